@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op10_decontaminate
+from . import op2_packing, op6_token_files, op10_decontaminate
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op6_token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_token_files.report(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -37,7 +45,11 @@ FROM d LEFT JOIN spots USING (doc_id) LEFT JOIN found USING (doc_id)
 
 
 def queries() -> dict[str, Query]:
-    return {"op10_decontamination": op10_decontamination}
+    return {
+        "op2_best_fit_packing": op2_packing_query,
+        "op6_token_files": op6_token_files_query,
+        "op10_decontamination": op10_decontamination,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
