@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op2_packing, op6_token_files, op10_decontaminate
+from . import op2_packing, op6_token_files, op7_substrings, op10_decontaminate
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def op6_token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_token_files.report(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_substrings.report(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -43,14 +47,26 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN spots USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS g FROM d, unnest(generate_series(1, len(w) - 49)) AS u(i) WHERE len(w) >= 50),
+least AS (SELECT g, min(doc_id) AS m FROM win GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS p FROM win JOIN least USING (g) WHERE doc_id > m),
+word AS (SELECT doc_id, p, w[p] AS x FROM d, unnest(generate_series(1, len(w))) AS u(p) WHERE len(w) > 0),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 
 def queries() -> dict[str, Query]:
     return {
         "op2_best_fit_packing": op2_packing_query,
         "op6_token_files": op6_token_files_query,
+        "op7_substring_dedup": op7_substring_dedup,
         "op10_decontamination": op10_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontamination": OP10_SQL}
+    return {"op7_substring_dedup": OP7_SQL, "op10_decontamination": OP10_SQL}
