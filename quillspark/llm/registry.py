@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op2_packing, op6_token_files, op7_substrings, op10_decontaminate
+from . import op2_packing, op6_token_files, op7_substrings, op9_ngram_join, op10_decontaminate
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_substrings.report(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_ngram_join.groups(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -64,6 +68,7 @@ def queries() -> dict[str, Query]:
         "op2_best_fit_packing": op2_packing_query,
         "op6_token_files": op6_token_files_query,
         "op7_substring_dedup": op7_substring_dedup,
+        "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
         "op10_decontamination": op10_decontamination,
     }
 
