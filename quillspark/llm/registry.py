@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op2_packing, op6_token_files, op7_substrings, op9_ngram_join, op10_decontaminate
+from . import op2_packing, op3_toxicity, op6_token_files, op7_substrings, op8_quality, op9_ngram_join, op10_decontaminate
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,14 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_ngram_join.groups(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -66,8 +74,10 @@ FROM d LEFT JOIN kept USING (doc_id)
 def queries() -> dict[str, Query]:
     return {
         "op2_best_fit_packing": op2_packing_query,
+        "op3_toxicity": op3_toxicity_query,
         "op6_token_files": op6_token_files_query,
         "op7_substring_dedup": op7_substring_dedup,
+        "op8_quality_classifier": op8_quality_classifier,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
         "op10_decontamination": op10_decontamination,
     }
