@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op2_packing, op3_toxicity, op6_token_files, op7_substrings, op8_quality, op9_ngram_join, op10_decontaminate
+from . import op1_url_filters, op2_packing, op3_toxicity, op5_quality_rules, op6_token_files, op7_substrings, op8_quality, op9_ngram_join, op10_decontaminate
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filters_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_url_filters.report(table(spark, sf_dir, "pages"))
+
+
+def op5_quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_quality_rules.report(table(spark, sf_dir, "documents"))
+
+
 def op2_packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_packing.pack(table(spark, sf_dir, "documents"))
 
@@ -73,8 +81,10 @@ FROM d LEFT JOIN kept USING (doc_id)
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_url_filters": op1_url_filters_query,
         "op2_best_fit_packing": op2_packing_query,
         "op3_toxicity": op3_toxicity_query,
+        "op5_quality_rules": op5_quality_rules_query,
         "op6_token_files": op6_token_files_query,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_quality_classifier": op8_quality_classifier,
@@ -84,4 +94,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_substring_dedup": OP7_SQL, "op10_decontamination": OP10_SQL}
+    return {"op1_url_filters": op1_url_filters.SQL, "op5_quality_rules": op5_quality_rules.SQL, "op7_substring_dedup": OP7_SQL, "op10_decontamination": OP10_SQL}
