@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_url_filters, op2_packing, op3_toxicity, op5_quality_rules, op6_token_files, op7_substrings, op8_quality, op9_ngram_join, op10_decontaminate
+from . import op1_url_filters, op2_packing, op3_toxicity, op4_lm_score, op5_quality_rules, op6_token_files, op7_substrings, op8_quality, op9_ngram_join, op10_decontaminate
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def op5_quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_quality_rules.report(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op2_packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_packing.pack(table(spark, sf_dir, "documents"))
 
@@ -84,6 +88,7 @@ def queries() -> dict[str, Query]:
         "op1_url_filters": op1_url_filters_query,
         "op2_best_fit_packing": op2_packing_query,
         "op3_toxicity": op3_toxicity_query,
+        "op4_lm_scores": op4_lm_scores,
         "op5_quality_rules": op5_quality_rules_query,
         "op6_token_files": op6_token_files_query,
         "op7_substring_dedup": op7_substring_dedup,

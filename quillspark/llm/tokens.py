@@ -16,7 +16,7 @@ from functools import cache
 import numpy as np
 
 END_ID = 1
-CACHE_PIECES = 800_000
+CACHE_PIECES = 1_500_000
 
 #: A run of Latin letters (without dotted capital I, whose lower case ends in a mark) before a blank, the end or ASCII punctuation other than an
 #: apostrophe (contractions); a run of such punctuation before a blank, the end or an
@@ -88,8 +88,11 @@ class Encoder:
         if len(self._known) > self._most:
             self._known.clear()
 
-    def of(self, piece: str) -> bytes:
-        return self._known[piece]
+    def ends(self, size: int) -> np.ndarray:
+        """By id: does it end a word."""
+        out = np.zeros(size, bool)
+        out[: len(self._ends)] = self._ends[:size]
+        return out
 
 
 @cache
