@@ -17,7 +17,10 @@ OWN_KEYS = {
     "heading": ("level", "text"), "text": ("text",), "quote": ("text", "attribution"), "image": ("file", "caption", "alt"),
     "table": ("rows", "image", "caption", "scanned"), "formula": ("display", "tex", "image", "number", "note"), "list": ("ordered", "items"),
 }
-_ORDER = Window.partitionBy("book_id").orderBy("pos")
+
+
+def _order():
+    return Window.partitionBy("book_id").orderBy("pos")
 
 
 def demoted(role: Column) -> Column:
@@ -68,14 +71,14 @@ def page_breaks(spans: DataFrame) -> DataFrame:
 
 def carry_page(blocks: DataFrame) -> DataFrame:
     """``blocks`` with the page last begun at or before each."""
-    w = _ORDER.rowsBetween(Window.unboundedPreceding, 0)
+    w = _order().rowsBetween(Window.unboundedPreceding, 0)
     return blocks.withColumn("current_page", F.last("break_page", ignorenulls=True).over(w))
 
 
 def contents_tree(blocks: DataFrame) -> DataFrame:
     """Headings to level 3 with their parent: the nearest earlier heading of a smaller level that is still open."""
     heads = blocks.where("type = 'heading' and level <= 3 and id is not null").where(~demoted(F.col("role")))
-    w = _ORDER.rowsBetween(Window.unboundedPreceding, -1)
+    w = _order().rowsBetween(Window.unboundedPreceding, -1)
     last = {k: F.max(F.when(F.col("level") == k, F.col("pos"))).over(w) for k in (1, 2)}
     parent = F.when(F.col("level") == 2, last[1]).when(F.col("level") == 3, F.greatest(last[1], last[2]))
     return heads.select("book_id", "pos", "level", "id", "text", parent.alias("parent_pos"))
@@ -170,7 +173,7 @@ def move(blocks: DataFrame, moved: Column, down: bool = True) -> DataFrame:
     """``blocks`` with each marked block swapped with its neighbour (marks never touch)."""
     rows = blocks.withColumn("mark", moved)
     here, there = (F.lead, F.lag) if down else (F.lag, F.lead)
-    pos = F.when(F.col("mark") & here("pos").over(_ORDER).isNotNull(), here("pos").over(_ORDER)).when(there("mark").over(_ORDER), there("pos").over(_ORDER)).otherwise(F.col("pos"))
+    pos = F.when(F.col("mark") & here("pos").over(_order()).isNotNull(), here("pos").over(_order())).when(there("mark").over(_order()), there("pos").over(_order())).otherwise(F.col("pos"))
     return rows.withColumn("new_pos", pos).drop("mark")
 
 

@@ -74,11 +74,12 @@ REGIONS = f"l_orderkey % 50 AS book_id, l_orderkey AS page, l_linenumber AS pos,
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").selectExpr(*_split(REGIONS)).dropDuplicates(["page", "pos"])
+    first = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey")
+    rows = table(spark, sf_dir, "lineitem").withColumn("k", F.row_number().over(first)).where("k = 1").selectExpr(*_split(REGIONS))
     return rows.withColumns({"label": F.expr(_pick(LABELS, "label_no")), "text": F.expr(_pick(TEXTS, "text_no"))})
 
 
-REGIONS_SQL = f"rg AS (SELECT DISTINCT ON (page, pos) * FROM (SELECT {REGIONS} FROM lineitem))"
+REGIONS_SQL = f"rg AS (SELECT {REGIONS} FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) AS k FROM lineitem) WHERE k = 1)"
 
 
 def _split(projection: str) -> list[str]:
