@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import book_queries, catalog, text_queries  # noqa: F401  (importing lists the queries)
+from .plans import book_queries, catalog, stream_queries, text_queries  # noqa: F401  (importing lists the queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
