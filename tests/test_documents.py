@@ -8,6 +8,7 @@ from quillspark.operators import books as B
 from quillspark.operators import pages as P
 from quillspark.operators import paragraphs as G
 from quillspark.sources import epub, xhtml
+from quillspark.sources import recognised as C
 from quillspark.streaming import jobs as J
 
 
@@ -20,8 +21,25 @@ def test_garble(spark, text, low, high):
     assert low <= one(spark, T.garble_score, text) <= high
 
 
-def test_cache_key_recipe():
-    assert len(hashlib.sha256(b"id\0png\0en").hexdigest()) == 64
+def test_cache_keys_and_misses(spark):
+    png = bytes.fromhex("89504e470d0a1a0a010203")
+    pages = spark.createDataFrame([(1, png), (2, b"other")], "page int, png binary")
+    keyed = pages.withColumn("key", C.cache_key("engine", F.col("png"), ["en"]))
+    assert keyed.where("page = 1").first().key == hashlib.sha256(b"engine\0" + png + b"\0en").hexdigest()
+    assert [r.page for r in C.misses(keyed, keyed.where("page = 1").select("key")).collect()] == [2]
+    assert C.misses(keyed, keyed, fresh=True).count() == 2
+
+
+def test_recognise_runs_a_plugged_engine(spark):
+    pages = spark.createDataFrame([("b", 1, b"p1"), ("b", 2, None)], "book_id string, page int, png binary")
+
+    def engine(png, languages):
+        if png is None:
+            raise ValueError("no image")
+        return [{"text": png.decode() + languages[0], "label": "text", "x": 0.1, "y": 0.1, "w": 0.5, "h": 0.1}]
+
+    rows = C.recognise(pages, lambda: engine, ["en"]).orderBy("page").collect()
+    assert [(r.page, r.pos, r.text, r.error) for r in rows] == [(1, 0, "p1en", None), (2, None, None, "no image")]
 
 
 def test_utf16_length(spark):
