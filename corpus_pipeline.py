@@ -19,13 +19,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import op2_packing, op7_substrings, op8_quality, op9_ngram_join, op10_decontaminate
-from quillspark.llm.durable import keep
+from quillspark.llm.durable import keep, tune
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of an Arrow batch: whole texts travel, so the default of 10,000 rows could be any size.
+BATCH_ROWS = 1000
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Keeps Arrow batches of texts small, unless the session has a size of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``.
 
@@ -29,7 +40,7 @@ def keep(df: DataFrame) -> DataFrame:
 
     A lost executor then costs its running tasks only, never what was written.
     """
-    spark = df.sparkSession
+    spark = tune(df.sparkSession)
     path = f"{shared_dir(spark)}/quillspark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -44,4 +55,4 @@ def release(spark: SparkSession) -> None:
 
 def slices(spark: SparkSession) -> int:
     """Into how many slices a hash space is cut: the session's shuffle partitions, which follow the input."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(1, int(tune(spark).conf.get("spark.sql.shuffle.partitions")))

@@ -20,7 +20,6 @@ internal row key is used.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -164,10 +163,6 @@ def _findings(column: pa.Array, matchers: list[Matcher]) -> Iterator[tuple[int,
             yield int(b - a), np.flatnonzero(hit[a:b]), items.get(d, set())
 
 
-def _digest(items: set[int] | list[int]) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
-
-
 def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int | None, str | None]]]:
     """The stated test items, streamed to the driver a partition at a time, in blocks of bounded bytes."""
     block, size = [], 0

@@ -22,7 +22,7 @@ from .words import mix
 #: Bits of a filter over all slices: 16 MB, whatever the input.
 FILTER_BITS = 1 << 27
 #: Values held by a map task before it sends them.
-CHUNK_VALUES = 3_000_000
+CHUNK_VALUES = 1_000_000
 MARKED, SEVERAL = 1, 2
 
 #: What a map function yields: values, the ordinal of their document, and which are marked.
