@@ -43,7 +43,7 @@ TOP_WORDS = 1 << 18
 WORD_WEIGHT = 0.8
 CONTEXT, STRIDE, WIDTH = 8, 24, 16
 LEN = CONTEXT + STRIDE
-OWN, SHARED = 64, 48
+OWN, SHARED = 48, 32
 EVERY = 512
 CLASSES = OWN + SHARED
 INPUTS, COMMON_INPUTS = 4096, 3072
@@ -51,7 +51,8 @@ VOCABULARY = 1 << 16
 ROUNDS, BATCH, RATE = 4, 64, 0.015
 NEAR = 6
 _SLOTS = 64
-_BATCH_WINDOWS = 2048
+#: Windows whose arrays stay in a core's cache.
+_BATCH_WINDOWS = 128
 END_HASH = np.uint64(0xE2D0_E2D0_E2D0_E2D0)
 _WORDS = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 _UPPER = re.compile("[A-Z]+")
@@ -182,6 +183,21 @@ def _forward(p: dict, x_in: np.ndarray, pad: np.ndarray):
     return x, q, k, v, a, o, x + o @ p["o"]
 
 
+def _states(p: dict, x_in: np.ndarray, pad: np.ndarray) -> np.ndarray:
+    """What ``_forward`` gives for the places that are scored; the others are context only."""
+    x = p["emb"][x_in] + p["pos"]
+    q, k, v = x[:, CONTEXT:] @ p["q"], x @ p["k"], x @ p["v"]
+    s = q @ k.transpose(0, 2, 1)
+    s *= np.float32(WIDTH**-0.5)
+    s += _MASK[CONTEXT:]
+    if pad.any():
+        s += (pad * np.float32(-1e4))[:, None, :]
+    a = np.exp(np.minimum(s, np.float32(60), out=s), out=s)
+    o = a @ v
+    o /= a.sum(2, keepdims=True)
+    return x[:, CONTEXT:] + o @ p["o"]
+
+
 def gradient(p: dict, x_in: np.ndarray, target: np.ndarray, pad: np.ndarray) -> dict[str, np.ndarray]:
     x, q, k, v, a, o, h = _forward(p, x_in, pad)
     z = h @ p["out"] + p["bias"]
@@ -235,15 +251,16 @@ def id_scores(p: dict[str, np.ndarray], table: Table, ids: np.ndarray, sizes: np
         pad = place < 0
         before = np.maximum(first[t][:, None] + place - 1, 0)
         x_in = np.where(place <= 0, START, table.input[ids[np.minimum(before, len(ids) - 1)]])
-        h = _forward(p, x_in, pad)[-1][:, CONTEXT:].reshape(-1, WIDTH)
+        h = _states(p, x_in, pad).reshape(-1, WIDTH)
         at = (first[t][:, None] + place[:, CONTEXT:]).ravel()
         live = np.flatnonzero((place[:, CONTEXT:] < sizes[t][:, None]).ravel())
         at = at[live]
-        z = h[live] @ p["out"] + p["bias"]
-        top = z.max(1)
-        norm = top + np.log(np.exp(z - top[:, None]).sum(1))
+        z = (h if len(live) == len(h) else h[live]) @ p["out"]
+        z += p["bias"]
+        np.clip(z, -60, 60, out=z)
         told = ids[at]
-        out[at] = z[np.arange(len(at)), table.cls[told]] - norm + table.log_odds[told]
+        hit = z[np.arange(len(at)), table.cls[told]]
+        out[at] = hit - np.log(np.exp(z, out=z).sum(1)) + table.log_odds[told]
     return out
 
 
