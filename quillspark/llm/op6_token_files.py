@@ -54,29 +54,43 @@ class Model:
         self.blocks, self.block = blocks, block
         self.after1 = np.full((blocks, _IDS), -1, np.int32)
         self.after2 = np.full((blocks, _SLOTS), -1, np.int32)
-        self.counts = np.ones((blocks, _IDS), np.int64)
+        self.counts = np.ones((blocks, _IDS), np.int32)
         self.base1, self.base2, self.base0 = block * _IDS, block * _SLOTS, block * (_IDS + 1)
+        self.block3, self.key = block * 3, block << 40
         #: odds of the events by state: 0 no guess, 1 order 1 only, 2 order 2 (and 1)
         self.events = np.tile(np.array([[1, 0, 0], [8, 1, 0], [4, 2, 2]], np.int64), (blocks, 1, 1))
         self._sum()
 
     def _sum(self) -> None:
-        self.cum = np.zeros((self.blocks, _IDS + 1), np.int64)
+        self.cum = np.zeros((self.blocks, _IDS + 1), np.int32)
         np.cumsum(self.counts, axis=1, out=self.cum[:, 1:])
         self.total = self.cum[:, -1][self.block].astype(np.uint64)
-        key = np.arange(self.blocks, dtype=np.int64)[:, None] << 40
-        self.sorted = (self.cum + key).ravel()
         self.flat = self.cum.ravel()
-        self.odds = self.events.reshape(self.blocks * 3, 3)
+        self.coarse = (self.cum[:, :-1:256].astype(np.int64) + (np.arange(self.blocks, dtype=np.int64)[:, None] << 40)).ravel()
+        self.none, self.first = (self.events[:, :, k].ravel().astype(np.uint64) for k in (0, 1))
+        self.every = self.events.sum(2).ravel().astype(np.uint64)
 
     @staticmethod
     def slot(two: np.ndarray, one: np.ndarray) -> np.ndarray:
         return ((two * 40503 + one * 30011) >> 3) & (_SLOTS - 1)
 
     def guess(self, two: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        g1 = self.after1.ravel()[self.base1 + one]
-        g2 = self.after2.ravel()[self.base2 + self.slot(two, one)]
-        return g2, g1, np.where(g2 >= 0, 2, (g1 >= 0).astype(np.int64))
+        g1 = self.after1.take(self.base1 + one)
+        g2 = self.after2.take(self.base2 + self.slot(two, one))
+        return g2, g1, np.where(g2 >= 0, 2, g1 >= 0)
+
+    def told(self, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Odds of no and of the order-1 event, and all odds, by lane."""
+        at = self.block3 + state
+        return self.none.take(at), self.first.take(at), self.every.take(at)
+
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """The id in whose order-0 range each value lies: first by every 256th sum, then by halving."""
+        id_ = ((np.searchsorted(self.coarse, value + self.key, "right") - 1) & 0xFF) << 8
+        for step in (128, 64, 32, 16, 8, 4, 2, 1):
+            ahead = id_ + step
+            id_ += step * (self.flat.take(self.base0 + ahead) <= value)
+        return id_
 
     def learn(self, done: np.ndarray, since: int) -> None:
         """``done``: ids of all columns so far; the columns from ``since`` on are new."""
@@ -85,8 +99,10 @@ class Model:
             two = done[:, t - 2] if t > 1 else np.zeros(len(done), np.int64)
             now = done[:, t]
             g2, g1, state = self.guess(two, one)
-            event = np.where((state == 2) & (g2 == now), 2, np.where((state > 0) & (g1 == now), 1, 0))
-            np.add.at(self.events, (self.block, state, event), 2 * (state > 0))
+            event = np.where(g2 == now, 2, g1 == now)
+            seen = np.bincount((self.block3 + state) * 3 + event, minlength=self.blocks * 9).reshape(-1, 3, 3)
+            seen[:, 0] = 0
+            self.events += 2 * seen
             self.after1.ravel()[self.base1 + one] = now
             self.after2.ravel()[self.base2 + self.slot(two, one)] = now
             np.add.at(self.counts.ravel(), self.base1 + now, _GAIN)
@@ -101,6 +117,20 @@ def _lanes(n: int) -> int:
     return max(1, -(-n // STEPS))
 
 
+def _emit(low: np.ndarray, span: np.ndarray, out: np.ndarray, used: np.ndarray) -> None:
+    """Settled upper halves of ``low`` leave; a carry that could still come is ruled out by a smaller span."""
+    idx = np.flatnonzero(span < _TOP)
+    if len(idx):
+        lo, rg = low[idx], _shrunk(low[idx], span[idx])
+        out[idx, used[idx]] = (lo >> _32).astype(np.uint32)
+        used[idx] += 1
+        low[idx], span[idx] = lo << _32, rg << _32
+
+
+def _shrunk(low: np.ndarray, span: np.ndarray) -> np.ndarray:
+    return np.where((low ^ (low + span)) >= _TOP, (~low + np.uint64(1)) & _MASK, span)
+
+
 def encode_blocks(parts: list[np.ndarray]) -> list[bytes]:
     """A coded block for each array of at most ``BLOCK`` ids below 65536."""
     lanes = [_lanes(len(p)) for p in parts]
@@ -116,17 +146,13 @@ def encode_blocks(parts: list[np.ndarray]) -> list[bytes]:
     out, used = np.zeros((n, STEPS + 8), np.uint32), np.zeros(n, np.int64)
     every = np.arange(n)
 
-    def put(who, cum, freq, total):
-        r = span[who] // total
-        low[who] += r * cum
-        span[who] = r * freq
-        idx = who[span[who] < _TOP]
-        if len(idx):
-            lo, rg = low[idx], span[idx]
-            rg = np.where((lo ^ (lo + rg)) >= _TOP, (~lo + np.uint64(1)) & _MASK, rg)
-            out[idx, used[idx]] = (lo >> _32).astype(np.uint32)
-            used[idx] += 1
-            low[idx], span[idx] = lo << _32, rg << _32
+    def put(cum: np.ndarray, freq: np.ndarray, total: np.ndarray) -> None:
+        """One symbol a lane; a lane with nothing to say has all of the odds."""
+        nonlocal low, span
+        r = span // total
+        low = low + r * cum
+        span = r * freq
+        _emit(low, span, out, used)
 
     learnt = 0
     one = two = np.zeros(n, np.int64)
@@ -136,17 +162,16 @@ def encode_blocks(parts: list[np.ndarray]) -> list[bytes]:
             learnt = t
         now = ids[:, t]
         g2, g1, state = model.guess(two, one)
-        event = np.where((state == 2) & (g2 == now), 2, np.where((state > 0) & (g1 == now), 1, 0))
-        told = every[state > 0]
-        if len(told):
-            odds = model.odds[model.block[told] * 3 + state[told]]
-            e = event[told]
-            cum = np.where(e == 0, 0, np.where(e == 1, odds[:, 0], odds[:, 0] + odds[:, 1]))
-            put(told, cum.astype(np.uint64), odds[np.arange(len(told)), e].astype(np.uint64), odds.sum(1).astype(np.uint64))
-        lit = every[event == 0]
-        spot = model.base0[lit] + now[lit]
-        cum = model.flat[spot]
-        put(lit, cum.astype(np.uint64), (model.flat[spot + 1] - cum).astype(np.uint64), model.total[lit])
+        hit2, hit1 = g2 == now, g1 == now
+        none, first, total = model.told(state)
+        cum = np.where(hit2, none + first, none * hit1)
+        freq = np.where(hit2, total - none - first, np.where(hit1, first, none))
+        put(cum, freq, total)
+        lit = ~(hit2 | hit1)
+        spot = model.base0 + now
+        cum = model.flat.take(spot)
+        wide = (model.flat.take(spot + 1) - cum).astype(np.uint64)
+        put(cum.astype(np.uint64) * lit, np.where(lit, wide, model.total), model.total)
         two, one = one, now
     last = (low + _MASK) >> _32
     out[every, used] = last.astype(np.uint32)
@@ -180,16 +205,15 @@ def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
     model = Model(len(blocks), block)
     low, span = np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
     value, used = (words[:, 0] << _32) | words[:, 1], np.full(n, 2)
-    every = np.arange(n)
     ids = np.zeros((n, STEPS), np.int64)
 
-    def take(who, r, cum, freq):
-        low[who] += r * cum
-        span[who] = r * freq
-        idx = who[span[who] < _TOP]
+    def take(r: np.ndarray, cum: np.ndarray, freq: np.ndarray) -> None:
+        nonlocal low, span
+        low = low + r * cum
+        span = r * freq
+        idx = np.flatnonzero(span < _TOP)
         if len(idx):
-            lo, rg = low[idx], span[idx]
-            rg = np.where((lo ^ (lo + rg)) >= _TOP, (~lo + np.uint64(1)) & _MASK, rg)
+            lo, rg = low[idx], _shrunk(low[idx], span[idx])
             value[idx] = (value[idx] << _32) | words[idx, np.minimum(used[idx], STEPS + 9)]
             used[idx] += 1
             low[idx], span[idx] = lo << _32, rg << _32
@@ -201,27 +225,21 @@ def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
             model.learn(ids[:, :t], learnt)
             learnt = t
         g2, g1, state = model.guess(two, one)
-        now = np.where(state == 2, g2, g1).astype(np.int64)
-        event = np.zeros(n, np.int64)
-        told = every[state > 0]
-        if len(told):
-            odds = model.odds[model.block[told] * 3 + state[told]]
-            r = span[told] // odds.sum(1).astype(np.uint64)
-            v = ((value[told] - low[told]) // r).astype(np.int64)
-            e = (v >= odds[:, 0]).astype(np.int64) + (v >= odds[:, 0] + odds[:, 1])
-            cum = np.where(e == 0, 0, np.where(e == 1, odds[:, 0], odds[:, 0] + odds[:, 1]))
-            take(told, r, cum.astype(np.uint64), odds[np.arange(len(told)), e].astype(np.uint64))
-            event[told] = e
-            now = np.where(event == 1, g1, now)
-        lit = every[event == 0]
-        if len(lit):
-            total = model.total[lit]
-            r = span[lit] // total
-            v = np.minimum((value[lit] - low[lit]) // r, total - np.uint64(1)).astype(np.int64)
-            spot = np.searchsorted(model.sorted, v + (model.block[lit] << 40), "right") - 1
-            cum = model.flat[spot]
-            take(lit, r, cum.astype(np.uint64), (model.flat[spot + 1] - cum).astype(np.uint64))
-            now[lit] = spot - model.base0[lit]
+        none, first, total = model.told(state)
+        r = span // total
+        v = (value - low) // r
+        past = v >= none
+        hit2 = (v >= none + first) & (state == 2)
+        hit1 = past & ~hit2 & (state > 0)
+        take(r, np.where(hit2, none + first, none * hit1), np.where(hit2, total - none - first, np.where(hit1, first, none)))
+        lit = ~(hit2 | hit1)
+        r = span // model.total
+        v = np.minimum((value - low) // r, model.total - np.uint64(1)).astype(np.int64)
+        now = model.find(v)
+        cum = model.flat.take(model.base0 + now)
+        wide = (model.flat.take(model.base0 + now + 1) - cum).astype(np.uint64)
+        take(r, cum.astype(np.uint64) * lit, np.where(lit, wide, model.total))
+        now = np.where(hit2, g2, np.where(hit1, g1, now))
         ids[:, t] = now
         two, one = one, now
     out, at = [], 0

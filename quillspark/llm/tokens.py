@@ -34,6 +34,8 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
     return public_tokenizers.path(name)
 _SIMPLE = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ɏ]+|[!-&(-/:-@\[-`{-~]+")
+#: All but plain Latin letters (without dotted capital I) and common punctuation.
+_OTHER = re.compile("[^\x00-įı-ɏ‐-‧]")
 
 
 class Encoder:
@@ -53,19 +55,20 @@ class Encoder:
     def ids_bytes(self, texts: Iterable[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, without an end id."""
         cut = [self.pieces(t) for t in texts]
-        self.learn(p for pieces in cut for p in set(pieces))
-        known = self._known
-        return [b"".join([known[p] for p in pieces]) for pieces in cut]
+        self.learn(set().union(*cut))
+        known = self._known.__getitem__
+        return [b"".join(map(known, pieces)) for pieces in cut]
 
     @staticmethod
     def pieces(text: str | None) -> list[str]:
         if not text:
             return []
-        return _PIECES.findall(text.lower() if text.isascii() else text)
+        # the tokenizer lowers one character at a time: the same as here but for a few scripts
+        return _PIECES.findall(text.lower() if text.isascii() or not _OTHER.search(text) else text)
 
-    def learn(self, pieces: Iterable[str]) -> None:
+    def learn(self, pieces: set[str]) -> None:
         known = self._known
-        fresh = [p for p in set(pieces) if p not in known]
+        fresh = pieces.difference(known)
         alone = [p for p in fresh if _SIMPLE.fullmatch(p)]
         for i in range(0, len(alone), 256):
             self._together(alone[i : i + 256])
