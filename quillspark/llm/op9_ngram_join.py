@@ -17,14 +17,16 @@ domain as well, so nothing is lost.
 
 Candidates: a signature shared by several classes (found without moving texts, see
 ``repeats``) is a bucket. All members are compared with the bucket's hub, its member
-with most shared signatures; members of one component need no more comparison; what
-is left is compared in a second round with the next hub, and then pair by pair. So a
-group of thousands of copies costs a few comparisons a member, and no link between
-components is lost. Every candidate pair is confirmed on its full sets.
+with most shared signatures; members linked to the same hub need no more comparison;
+what is left is compared in a second round with the next hub, and then pair by pair. Sets
+that share too few signatures with anyone never enter a bucket. So a group of thousands of copies costs a few comparisons a member, and no link between
+components is lost. Pairs that share fewer signatures than similar sets must are left
+out; every other candidate pair is confirmed on its full sets.
 
 Null and empty texts have no set and no link. One to four words are one shingle. Rows
 without doc_id have no link and no component. Rows of equal doc_id are one document
-for links. Shingles are compared by 54 bits, sets by 63.
+for links. Shingles are compared by 54 bits (in
+confirmations 40), sets by 63.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import words as W
 from .components import components
@@ -44,6 +46,8 @@ WORDS = 5
 #: A shingle in one of so many documents is common.
 COMMON_SHARE, COMMON_LEAST = 512, 24
 HUB_ROUNDS = 2
+#: Members of a hub that one task compares.
+SALT_MEMBERS = 512
 _BITS = np.uint64(54)
 _SET = np.uint64((1 << 54) - 1)
 
@@ -98,11 +102,15 @@ def partitions(upper: np.ndarray) -> np.ndarray:
     return np.maximum(2, np.where(upper <= 24, upper, np.where(upper <= 96, upper // 1.5, np.where(upper <= 320, upper // 2, upper // 2.7)))).astype(np.int64)
 
 
-def signatures(doc: np.ndarray, shingle: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, document, is it of the instance's own band); documents and shingles sorted."""
+def signatures(doc: np.ndarray, shingle: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, document, is it of the instance's own band, facts); documents and shingles sorted.
+
+    Facts are rows of size, band, and the partitions met in the own and the next instance.
+    """
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     if not len(doc):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros((0, 4), np.int64)
+    facts = []
     first = _starts(doc)
     names, size = doc[first], np.diff(np.append(first, len(doc)))
     ordinal = np.repeat(np.arange(len(names)), size)
@@ -131,6 +139,8 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, common: np.ndarray) -> tupl
             owner = np.repeat(np.arange(len(names)), n)
             met = np.bincount(owner[full], minlength=len(names))
             few = use & (met <= allowed)
+            if domain == 0:
+                facts.append(met)
             if domain == 1:
                 full |= few[owner]
             at = np.flatnonzero(full & use[owner])
@@ -141,7 +151,7 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, common: np.ndarray) -> tupl
             need = np.flatnonzero(few)
             if not len(need):
                 break
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    return (*(np.concatenate(x) for x in zip(*out, strict=True)), np.stack([size, own, *facts], 1))
 
 
 def _inventory(own: DataFrame, width: int) -> DataFrame:
@@ -185,21 +195,79 @@ def _common(found: DataFrame, docs: int) -> np.ndarray:
     return np.sort(rows.toArrow().column(0).to_numpy().astype(np.uint64))
 
 
+def _pack(shingles: np.ndarray) -> bytes:
+    """A sorted set as byte planes of its values' upper 40 bits; the upper planes compress well."""
+    return np.ascontiguousarray((shingles >> np.uint64(14)).view(np.uint8).reshape(-1, 8)[:, :5].T).tobytes()
+
+
+def _unpack(planes: bytes) -> np.ndarray:
+    parts = np.frombuffer(planes, np.uint8).reshape(5, -1)
+    out = np.zeros((parts.shape[1], 8), np.uint8)
+    out[:, :5] = parts.T
+    return out.view(np.uint64).ravel()
+
+
+def _plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share as many signatures as similar sets must.
+
+    Of the partitions that a set meets, each not shared holds a difference, and similar
+    sets have (|a|+|b|)/7 of those at most. Bands further apart can't be similar.
+    """
+    side = lambda c: sketches.select(F.col("node").alias(c), F.col("sigs").alias(f"sigs_{c}"), F.col("facts").alias(f"facts_{c}"))
+    both = pairs.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a")
+    fact = lambda c, k: F.get(F.col(f"facts_{c}"), F.lit(k))
+    most = F.floor((fact("a", 0) + fact("b", 0)) / 7)
+    band = F.greatest(fact("a", 1), fact("b", 1))
+    least = lambda c: F.when(fact(c, 1) == band, fact(c, 2)).otherwise(fact(c, 3)) - most
+    enough = F.size(F.array_intersect("sigs_a", "sigs_b")) >= F.greatest(least("a"), least("b"))
+    return both.where((F.abs(fact("a", 1) - fact("b", 1)) <= 1) & enough).select("a", "b")
+
+
+def _sets(own: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """The packed sets of the nodes in ``pairs``, read from the documents that stand for them."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = own.sparkSession.sparkContext.broadcast(members(classes.join(nodes, "node", "left_semi"), "rep"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pa.array(wanted.value.has(scramble(b.column("doc_id").to_numpy(zero_copy_only=False)))))
+            for _, doc, shingle in _shingles(b.column("text"), width):
+                _, size, node = _classes(doc, shingle)
+                if len(node):
+                    cut = np.split(shingle, np.cumsum(size)[:-1])
+                    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([_pack(c) for c in cut], pa.binary())], names=["node", "shingles"])
+
+    return keep(own.where("doc_id is not null").mapInArrow(run, "node long, shingles binary"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity."""
-    left = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")).hint("merge"), "b")
-    both = left.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")).hint("merge"), "a")
+    """The pairs (a: hub, b) whose sets reach the similarity.
+
+    Sets travel to their hub's task, which holds one hub's set at a time; hubs of many
+    members are salted and their set goes to every salt.
+    """
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_MEMBERS).cast("int").alias("salts"))
+    spread = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
+    hubs = salts.select("a", F.col("a").alias("node"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("hub"))
+    asked = spread.select("a", F.col("b").alias("node"), "salt", F.lit(False).alias("hub")).union(hubs.select("a", "node", "salt", "hub"))
+    rows = asked.join(sets.hint("merge"), "node").repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("hub"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, own = None, None
         for b in batches:
-            ok = []
-            for x, y in zip(b.column("set_a"), b.column("set_b"), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                met = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(100 * met >= percent * (len(p) + len(q) - met))
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            left, right = [], []
+            for a, node, hub, planes in zip(b.column("a").to_pylist(), b.column("node").to_pylist(), b.column("hub").to_pylist(), b.column("shingles"), strict=True):
+                got = _unpack(planes.as_buffer())
+                if hub:
+                    centre, own = a, got
+                elif a == centre:
+                    met = len(np.intersect1d(own, got, assume_unique=True))
+                    if 100 * met >= percent * (len(own) + len(got) - met):
+                        left.append(a)
+                        right.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return rows.select("a", "node", "hub", "shingles").mapInArrow(run, "a long, b long")
 
 
 def links(own: DataFrame, found: DataFrame, width: int = WORDS, percent: int = 75) -> tuple[DataFrame, DataFrame]:
@@ -212,65 +280,72 @@ def links(own: DataFrame, found: DataFrame, width: int = WORDS, percent: int = 7
         for b in batches:
             for _, doc, shingle in _shingles(b.column("text"), width):
                 which, _, node = _classes(doc, shingle)
-                value, who, mine = signatures(doc, shingle, common.value)
+                value, who, mine, _ = signatures(doc, shingle, common.value)
                 if len(value):
                     yield value, node[np.searchsorted(which, who)], mine
 
     shared = spark.sparkContext.broadcast(repeated(own.select("text"), emit))
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["sig", "node", "mine", "facts"]
         for b in batches:
             for _, doc, shingle in _shingles(b.column("text"), width):
                 which, _, node = _classes(doc, shingle)
-                value, who, mine = signatures(doc, shingle, common.value)
+                value, who, mine, facts = signatures(doc, shingle, common.value)
                 if len(value):
                     ok = shared.value.has(value)
-                    yield pa.RecordBatch.from_arrays([pa.array(value[ok].view(np.int64)), pa.array(node[np.searchsorted(which, who[ok])]), pa.array(mine[ok])], names=["sig", "node", "mine"])
+                    yield pa.RecordBatch.from_arrays([pa.array(value[ok].view(np.int64)), pa.array(node[np.searchsorted(which, who[ok])]), pa.array(mine[ok]), pa.nulls(int(ok.sum()), pa.list_(pa.int64()))], names=names)
+                    held = np.unique(np.searchsorted(which, who[ok]))
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(held), pa.int64()), pa.array(node[held]), pa.nulls(len(held), pa.bool_()), pa.array(facts[held].tolist(), pa.list_(pa.int64()))], names=names)
 
-    entries = own.select("text").mapInArrow(met, "sig long, node long, mine boolean").groupBy("sig", "node").agg(F.max("mine").alias("mine"))
+    seen = keep(own.select("text").mapInArrow(met, "sig long, node long, mine boolean, facts array<long>"))
+    entries = seen.where("sig is not null").groupBy("sig", "node").agg(F.max("mine").alias("mine"))
     buckets = entries.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("mine").alias("any")).where("low < high and any").select("sig")
-    entries = keep(entries.join(buckets.hint("merge"), "sig"))
-    wanted = spark.sparkContext.broadcast(members(classes.join(entries.select("node").distinct(), "node", "left_semi"), "rep"))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            b = b.filter(pa.array(wanted.value.has(scramble(b.column("doc_id").to_numpy(zero_copy_only=False)))))
-            for _, doc, shingle in _shingles(b.column("text"), width):
-                which, size, node = _classes(doc, shingle)
-                cut = np.split(shingle, np.cumsum(size)[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([c.tobytes() for c in cut], pa.binary())], names=["node", "shingles"])
-
-    held = keep(own.where("doc_id is not null").mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"]))
-    weight = entries.groupBy("node").agg(F.count("*").alias("weight"))
-    entries = entries.join(weight, "node")
-    tried, linked, parts = None, None, None
+    entries = entries.join(buckets.hint("merge"), "sig")
+    facts = seen.where("sig is null").groupBy("node").agg(F.first("facts").alias("facts"))
+    sketches = entries.groupBy("node").agg(F.collect_list("sig").alias("sigs"), F.collect_list(F.when(F.col("mine"), F.col("sig"))).alias("own_sigs"), F.count("*").alias("weight")).join(facts, "node")
+    sketches = keep(sketches.where(F.col("weight") >= _least_shared(F.col("facts"))))
+    # back to rows from the sets that are left: a signature with one of them is no bucket any more
+    one = lambda sigs, mine: F.transform(sigs, lambda x: F.struct(x.alias("sig"), F.lit(mine).alias("mine")))
+    rows = sketches.select("node", "weight", F.explode(F.concat(one(F.col("own_sigs"), True), one(F.array_except("sigs", "own_sigs"), False))).alias("s")).select("s.sig", "node", "weight", "s.mine")
+    crowded = rows.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("mine").alias("any")).where("low < high and any").select("sig")
+    entries = keep(rows.join(crowded.hint("merge"), "sig"))
+    linked, labelled = None, entries.withColumn("part", F.col("node"))
     for round_ in range(HUB_ROUNDS + 1):
         if round_ < HUB_ROUNDS:
-            hubs = entries.groupBy("sig").agg(F.max(F.when(F.col("mine"), F.struct("weight", "node"))).alias("hub"), F.count("*").alias("n")).select("sig", F.col("hub.node").alias("hub"), "n")
-            star = entries.join(hubs.hint("merge"), "sig")
-            pairs = star.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), *(["part"] if parts is not None else []))
-            rest = star.where("node <> hub and n > 2").drop("hub", "n")
+            hubs = labelled.groupBy("sig").agg(F.max(F.when(F.col("mine"), F.struct("weight", "node", "part"))).alias("hub"), F.count("*").alias("n")).select("sig", F.col("hub.node").alias("hub"), F.col("hub.part").alias("hub_part"), "n")
+            star = labelled.join(hubs.hint("merge"), "sig").where("hub is not null and node <> hub")
+            pairs = star.where("part <> hub_part").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+            rest = star.where("n > 2").select("sig", "node", "weight", "mine")
         else:
-            one, two = entries.alias("x"), entries.alias("y")
+            one, two = labelled.alias("x"), labelled.alias("y")
             pairs = one.join(two, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.mine") | F.col("y.mine")) & (F.col("x.part") != F.col("y.part")))
             pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
             rest = None
-        pairs = pairs.select("a", "b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = keep(pairs)
-        tried = pairs if tried is None else tried.union(pairs)
-        fresh = _verified(pairs, held, percent)
-        linked = keep(fresh if linked is None else linked.union(fresh))
-        parts = components(linked)
+        pairs = keep(_plausible(pairs.distinct(), sketches))
+        if not pairs.isEmpty():
+            fresh = _verified(pairs, _sets(own, classes, pairs, width), percent)
+            linked = keep(fresh if linked is None else linked.union(fresh))
         if rest is None:
             break
-        named = rest.select("sig", "node", "mine", "weight").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+        # members of a bucket that have been linked to one hub need no more comparison
+        hub_of = linked.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to")) if linked is not None else None
+        named = rest.withColumn("part", F.col("node")) if hub_of is None else rest.join(hub_of, "node", "left").withColumn("part", F.coalesce("to", "node")).drop("to")
         open_ = named.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.max("mine").alias("any")).where("low < high and any").select("sig")
-        entries = keep(named.join(open_.hint("merge"), "sig"))
-        if entries.isEmpty():
+        labelled = keep(named.join(open_.hint("merge"), "sig"))
+        if labelled.isEmpty():
             break
-    return classes, parts
+    if linked is None:
+        linked = own.sparkSession.createDataFrame([], "a long, b long")
+    return classes, components(linked)
+
+
+def _least_shared(facts: Column) -> Column:
+    """Of how few signatures, shared with anyone, a set can be similar to another."""
+    n, band, own, next_ = (F.get(facts, F.lit(k)) for k in range(4))
+    upper = F.array(*(F.lit(int(u)) for u in _BANDS[:64]))
+    most = lambda j: F.floor((n + F.least(F.coalesce(F.get(upper, j.cast("int")), n * 2), F.floor(n * 4 / 3))) / 7)
+    return F.least(own - most(band), next_ - most(band + 1))
 
 
 def groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WORDS, percent: int = 75) -> DataFrame:
