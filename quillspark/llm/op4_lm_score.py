@@ -10,9 +10,9 @@ product of its subword probabilities:
 
     P(word) = WORD_WEIGHT * count / N + (1 - WORD_WEIGHT) * P(subwords | context)
 
-Corpus counts of words and of subword ids cover every training document, and every
-training document gives windows to learn attention from, one in ``EVERY`` ids: tasks
-take gradient steps over their windows and their weights are averaged, round by round.
+Corpus counts of words, of subword ids and of neighbours cover every training document,
+and attention learns from every training id: in each round tasks stream all windows,
+placed as they are for scoring, through gradient steps, and their weights are averaged.
 
 Counts of the ``TOP_WORDS`` commonest words go to all executors (a fixed bound); scores
 that need a rarer word's count wait in the row for a shuffled join, so no vocabulary
@@ -44,7 +44,6 @@ WORD_WEIGHT = 0.8
 CONTEXT, STRIDE, WIDTH = 8, 24, 16
 LEN = CONTEXT + STRIDE
 OWN, SHARED = 48, 32
-EVERY = 512
 CLASSES = OWN + SHARED
 INPUTS, COMMON_INPUTS = 4096, 3072
 VOCABULARY = 1 << 16
@@ -53,6 +52,8 @@ NEAR = 6
 _SLOTS = 64
 #: Windows whose arrays stay in a core's cache.
 _BATCH_WINDOWS = 128
+#: Windows that are built at a time for training.
+_PART_WINDOWS = 20_000
 END_HASH = np.uint64(0xE2D0_E2D0_E2D0_E2D0)
 _WORDS = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 _UPPER = re.compile("[A-Z]+")
@@ -165,7 +166,7 @@ def shaped(x: np.ndarray) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for k, s in _SHAPES.items():
         n = int(np.prod(s))
-        out[k], at = x[at : at + n].reshape(s).astype(np.float32), at + n
+        out[k], at = x[at : at + n].reshape(s).astype(np.float32, copy=False), at + n
     return out
 
 
@@ -198,18 +199,21 @@ def _states(p: dict, x_in: np.ndarray, pad: np.ndarray) -> np.ndarray:
     return x[:, CONTEXT:] + o @ p["o"]
 
 
-def gradient(p: dict, x_in: np.ndarray, target: np.ndarray, pad: np.ndarray) -> dict[str, np.ndarray]:
+def gradient(p: dict, x_in: np.ndarray, target: np.ndarray, pad: np.ndarray, told: int = 0) -> dict[str, np.ndarray]:
+    """Of the mean loss at the places from ``told`` on; those before are context only."""
     x, q, k, v, a, o, h = _forward(p, x_in, pad)
+    h, target, pad = h[:, told:], target[:, told:], pad[:, told:]
     z = h @ p["out"] + p["bias"]
     z -= z.max(2, keepdims=True)
-    e = np.exp(z)
-    d = e / e.sum(2, keepdims=True)
+    d = np.exp(z, out=z)
+    d /= d.sum(2, keepdims=True)
     b, t = np.indices(target.shape)
     d[b, t, target] -= 1
     live = (~pad).astype(np.float32)
     d *= (live / max(1.0, live.sum()))[:, :, None]
     two = lambda m: m.reshape(-1, m.shape[-1])
-    dh = d @ p["out"].T
+    dh = np.zeros_like(x)
+    dh[:, told:] = d @ p["out"].T
     do = dh @ p["o"].T
     da = do @ v.transpose(0, 2, 1)
     dv = a.transpose(0, 2, 1) @ do
@@ -221,20 +225,38 @@ def gradient(p: dict, x_in: np.ndarray, target: np.ndarray, pad: np.ndarray) ->
     return {"emb": emb, "pos": dx.sum(0), "q": two(x).T @ two(dq), "k": two(x).T @ two(dk), "v": two(x).T @ two(dv), "o": two(o).T @ two(dh), "out": two(h).T @ two(d), "bias": two(d).sum(0)}
 
 
-def steps(p: dict[str, np.ndarray], windows: np.ndarray, table: Table, rate: float) -> dict[str, np.ndarray]:
-    """One pass of Adam over rows of LEN + 1 ids; -1 is before the text."""
-    p = {k: v.copy() for k, v in p.items()}
-    m1, m2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in (1, 2))
-    for n, i in enumerate(range(0, len(windows), BATCH), 1):
-        w = windows[i : i + BATCH]
-        pad = w[:, 1:] < 0
-        x_in = np.where(w[:, :-1] < 0, START, table.input[np.maximum(w[:, :-1], 0)])
-        g = gradient(p, x_in, table.cls[np.maximum(w[:, 1:], 0)], pad)
-        for key in p:
-            m1[key] = 0.9 * m1[key] + 0.1 * g[key]
-            m2[key] = 0.99 * m2[key] + 0.01 * g[key] ** 2
-            p[key] -= (rate * (m1[key] / (1 - 0.9**n)) / (np.sqrt(m2[key] / (1 - 0.99**n)) + 1e-6)).astype(np.float32)
-    return p
+class Adam:
+    """Gradient steps over windows that come in parts."""
+
+    def __init__(self, p: dict[str, np.ndarray], rate: float):
+        self._all, self._rate, self._n = flat(p).astype(np.float32), rate, 0
+        self._m1, self._m2 = np.zeros_like(self._all), np.zeros_like(self._all)
+
+    @property
+    def p(self) -> dict[str, np.ndarray]:
+        """Views of the weights as they stand."""
+        return shaped(self._all)
+
+    def steps(self, windows: np.ndarray, table: Table) -> None:
+        """One pass over rows of LEN + 1 ids; -1 is before or after the text."""
+        p, m1, m2 = self.p, self._m1, self._m2
+        for i in range(0, len(windows), BATCH):
+            self._n += 1
+            w = windows[i : i + BATCH]
+            x_in = np.where(w[:, :-1] < 0, START, table.input[np.maximum(w[:, :-1], 0)])
+            g = flat(gradient(p, x_in, table.cls[np.maximum(w[:, 1:], 0)], w[:, 1:] < 0, CONTEXT))
+            m1 *= 0.9
+            m1 += 0.1 * g
+            m2 *= 0.99
+            g *= g
+            g *= 0.01
+            m2 += g
+            np.sqrt(m2, out=g)
+            g /= np.sqrt(1 - 0.99**self._n)
+            g += 1e-6
+            np.divide(m1, g, out=g)
+            g *= self._rate / (1 - 0.9**self._n)
+            self._all -= g
 
 
 def id_scores(p: dict[str, np.ndarray], table: Table, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -265,7 +287,7 @@ def id_scores(p: dict[str, np.ndarray], table: Table, ids: np.ndarray, sizes: np
 
 
 def _gather(own: DataFrame, path: str | None) -> DataFrame:
-    """From every training document: kind 0 word counts, kind 1 id counts, kind 2 a window of ids."""
+    """From every training document: kind 0 word counts, kind 1 id counts, kind 2 all its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(path)
@@ -288,17 +310,9 @@ def _gather(own: DataFrame, path: str | None) -> DataFrame:
                 seen += np.bincount(ids, minlength=VOCABULARY)
                 ends = np.cumsum(sizes)[np.cumsum(counts) - 1]
                 begins = np.concatenate(([0], ends[:-1]))
-                keep_, key = [], []
-                for j, (a, z) in enumerate(zip(begins.tolist(), ends.tolist(), strict=True)):
-                    for lo in range(a, z, EVERY):  # somewhere in each stretch of ids
-                        at = lo + (j * 7919 + lo * 31) % max(1, min(EVERY, z - lo) - LEN + 1)
-                        w = np.full(LEN + 1, -1, np.int32)
-                        part = ids[max(a, at - 1) : min(z, at + LEN)]
-                        skip = 0 if at > a else 1
-                        w[skip : skip + len(part)] = part
-                        keep_.append(w.tobytes())
-                        key.append(j)
-                yield rows(2, np.array(key), np.array(key), pa.array(keep_, pa.binary()))
+                short = ids.astype("<u2")
+                key = np.arange(len(begins))
+                yield rows(2, key, key, pa.array([short[a:z].tobytes() for a, z in zip(begins.tolist(), ends.tolist(), strict=True)], pa.binary()))
                 if size > 3_000_000:
                     yield told()
                     hashes, size = [], 0
@@ -310,8 +324,20 @@ def _gather(own: DataFrame, path: str | None) -> DataFrame:
     return own.select("text").mapInArrow(run, "kind int, key long, n long, ids binary")
 
 
-def _windows(table: pa.RecordBatch) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int32).reshape(-1, LEN + 1).astype(np.int64)
+def windows(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """Rows of LEN + 1 ids that tell every id of every text once, at the last STRIDE places; -1 is outside the text."""
+    ids = np.frombuffer(b"".join(texts), "<u2").astype(np.int64)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) // 2
+    first = np.cumsum(sizes) - sizes
+    per = -(-sizes // STRIDE)
+    text = np.repeat(np.arange(len(sizes)), per)
+    start = (np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)) * STRIDE
+    reach = np.arange(LEN + 1) - CONTEXT - 1
+    for i in range(0, len(text), _PART_WINDOWS):
+        t = text[i : i + _PART_WINDOWS]
+        place = start[i : i + _PART_WINDOWS, None] + reach
+        inside = (place >= 0) & (place < sizes[t][:, None])
+        yield np.where(inside, ids[np.where(inside, first[t][:, None] + place, 0)], -1)
 
 
 def _fit(found: DataFrame, table: Table, rounds: int) -> dict[str, np.ndarray]:
@@ -322,12 +348,14 @@ def _fit(found: DataFrame, table: Table, rounds: int) -> dict[str, np.ndarray]:
 
         def local(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             p, t, rate = shipped.value
-            parts = [_windows(b) for b in batches if b.num_rows]
-            if parts:
-                every = np.concatenate(parts)
-                p = steps(p, every[np.random.default_rng(len(every)).permutation(len(every))], t, rate)
+            fit, n = Adam(p, rate), 0
+            for b in batches:
+                for part in windows(b.column("ids").to_pylist()):
+                    fit.steps(part[np.random.default_rng(len(part)).permutation(len(part))], t)
+                    n += len(part)
+            if n:
                 slot = TaskContext.get().partitionId() % _SLOTS
-                yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([float(len(every))]), pa.array([flat(p).astype("<f4").tobytes()], pa.binary())], names=["slot", "n", "weights"])
+                yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([float(n)]), pa.array([flat(fit.p).astype("<f4").tobytes()], pa.binary())], names=["slot", "n", "weights"])
 
         def mean(key: tuple, rows: pa.Table) -> pa.Table:
             n = rows.column("n").to_numpy()
@@ -344,20 +372,22 @@ def _fit(found: DataFrame, table: Table, rounds: int) -> dict[str, np.ndarray]:
 
 
 def _near(found: DataFrame, rank: np.ndarray) -> np.ndarray:
-    """How often each id stands within NEAR places of each of the OWN commonest, in all windows."""
+    """How often each id stands within NEAR places of each of the OWN commonest, in all training texts."""
     shipped = found.sparkSession.sparkContext.broadcast(rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(VOCABULARY * OWN, np.int64)
         for b in batches:
-            for i in range(0, b.num_rows, 20_000):
-                w = _windows(b.slice(i, 20_000))
-                for k in range(1, NEAR + 1):
-                    for x, y in ((w[:, k:], w[:, :-k]), (w[:, :-k], w[:, k:])):
-                        x, y = x.ravel(), y.ravel()
+            for w in windows(b.column("ids").to_pylist()):
+                told = w[:, CONTEXT + 1 :]
+                cells = []
+                for k in range(1, NEAR + 1):  # each id with those before it, which its window has too
+                    before = w[:, CONTEXT + 1 - k : LEN + 1 - k]
+                    for x, y in ((told, before), (before, told)):
                         r = shipped.value[np.maximum(y, 0)]
                         ok = (x >= 0) & (y >= 0) & (r < OWN)
-                        np.add.at(total, x[ok] * OWN + r[ok], 1)
+                        cells.append(x[ok] * OWN + r[ok])
+                total += np.bincount(np.concatenate(cells), minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["cell", "n"])
 

@@ -178,3 +178,11 @@ def test_windows_score_each_id_as_one_pass_does():
     assert np.allclose(both[70:], op4_lm_score.id_scores(p, table, ids[70:], np.array([7])), atol=1e-5)
     mass = np.bincount(table.cls, np.exp(table.log_odds), minlength=op4_lm_score.CLASSES)
     assert np.allclose(mass[mass > 0], 1, atol=1e-3) and (both < 0).all() and zlib.crc32(b"") == 0
+
+
+def test_windows_tell_every_id_once():
+    texts = [np.arange(n, dtype="<u2") + 1 for n in (1, 24, 25, 1300)]
+    w = np.concatenate(list(op4_lm_score.windows([t.tobytes() for t in texts])))
+    told = w[:, op4_lm_score.CONTEXT + 1 :]
+    assert sorted(told[told >= 0].tolist()) == sorted(np.concatenate(texts).tolist())
+    assert all(r[k] in (r[k + 1] - 1, -1) for r in w for k in range(op4_lm_score.LEN) if r[k + 1] > 1)

@@ -250,6 +250,25 @@ def test_op4_base_scores(docs, monkeypatch):
         assert abs(r.base_score - sum(log10(c[x] + 0.5) - floor for x in w[i])) < 1e-6 * len(w[i]) and r.score < 0
 
 
+def test_op4_learns_from_every_id(spark):
+    # ids of one long text stand next to each other more often than any sample of it shows
+    lines = [(2, " ".join(["red blue"] * 900)), (5, " ".join(["green"] * 700))]
+    df = spark.createDataFrame(lines, "doc_id long, text string")
+    found = op4_lm_score._gather(df, None).cache()
+    ids = [np.frombuffer(bytes(r.ids), "<u2").astype(int) for r in found.where("kind = 2").collect()]
+    seen = np.bincount(np.concatenate(ids), minlength=op4_lm_score.VOCABULARY)
+    counted = {r.key: r.n for r in found.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).collect()}
+    assert {int(k): int(seen[k]) for k in np.flatnonzero(seen)} == counted
+    rank = op4_lm_score.ranks(seen)
+    want = np.zeros((op4_lm_score.VOCABULARY, op4_lm_score.OWN))
+    for t in ids:
+        for i in range(len(t)):
+            for j in range(max(0, i - op4_lm_score.NEAR), min(len(t), i + op4_lm_score.NEAR + 1)):
+                if i != j and rank[t[j]] < op4_lm_score.OWN:
+                    want[t[i], rank[t[j]]] += 1
+    assert np.array_equal(op4_lm_score._near(found, rank), want)
+
+
 def test_empty_tables(spark, empty):
     bench = spark.createDataFrame([], "item_id long, text string")
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
