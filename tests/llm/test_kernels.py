@@ -186,3 +186,11 @@ def test_windows_tell_every_id_once():
     told = w[:, op4_lm_score.CONTEXT + 1 :]
     assert sorted(told[told >= 0].tolist()) == sorted(np.concatenate(texts).tolist())
     assert all(r[k] in (r[k + 1] - 1, -1) for r in w for k in range(op4_lm_score.LEN) if r[k + 1] > 1)
+
+
+def test_classes_of_the_output():
+    # 7bc4542 had cut these to 48 and 32
+    assert (op4_lm_score.OWN, op4_lm_score.SHARED) == (64, 48)
+    near = np.zeros((op4_lm_score.VOCABULARY, op4_lm_score.OWN))
+    table = op4_lm_score.Table.of(np.arange(op4_lm_score.VOCABULARY)[::-1], near, np.zeros(op4_lm_score.VOCABULARY, bool))
+    assert np.bincount(table.cls)[:64].tolist() == [1] * 64
