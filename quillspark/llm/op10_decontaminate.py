@@ -34,6 +34,7 @@ WIDTH = 10
 ITEM_BLOCK_BYTES = 8 << 20
 _LANE = 256
 _TABLE_BITS = 16
+_HIT = "__hit_words"
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -221,24 +222,30 @@ def report(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", width: int = WIDTH) -> DataFrame:
     """``docs`` with every hit word cut out of its text; all columns stay.
 
-    Text between hits is kept as it was; a document without hits is unchanged.
+    Text between hits is kept as it was; a document without hits is unchanged. Every
+    block of items is searched in the unchanged text, whose words are cut out once.
     """
     blocks = list(_blocks(benchmark, "item_id", "text"))
-    out = docs
-    for block in blocks:
+    out = docs if len(blocks) < 2 else docs.withColumn(_HIT, F.array().cast("array<int>"))
+    for n, block in enumerate(blocks, 1):
         shipped = docs.sparkSession.sparkContext.broadcast(compile_items(block, width))
 
-        def cut(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+        def step(batches: Iterator[pa.RecordBatch], shipped=shipped, before=n > 1, last=n == len(blocks)) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 k = b.schema.get_field_index(text)
                 column = b.column(k)
-                texts = column.to_pylist()
-                for d, (_, hit, _) in enumerate(_findings(column, shipped.value)):
-                    if len(hit):
-                        texts[d] = _without(texts[d], set(hit.tolist()))
-                yield pa.RecordBatch.from_arrays([pa.array(texts, column.type) if i == k else c for i, c in enumerate(b.columns)], schema=b.schema)
-
-        out = out.mapInArrow(cut, out.schema)
+                hits = [set(hit.tolist()) for _, hit, _ in _findings(column, shipped.value)]
+                if before:
+                    hits = [hit.union(more) for hit, more in zip(hits, b.column(_HIT).to_pylist(), strict=True)]
+                if last:
+                    texts = [_without(t, hit) if hit else t for t, hit in zip(column.to_pylist(), hits, strict=True)]
+                    done = {text: pa.array(texts, column.type)}
+                else:
+                    done = {_HIT: pa.array([sorted(hit) for hit in hits], b.schema.field(_HIT).type)}
+                names = [x for x in b.schema.names if x != _HIT or not last]
+                yield pa.RecordBatch.from_arrays([done.get(x, b.column(x)) for x in names], names=names)
+
+        out = out.mapInArrow(step, docs.schema if n == len(blocks) else out.schema)
     return out
 
 

@@ -269,6 +269,20 @@ def test_op4_learns_from_every_id(spark):
     assert np.array_equal(op4_lm_score._near(found, rank), want)
 
 
+def test_op10_cuts_all_blocks_from_the_same_text(spark, monkeypatch):
+    w = [f"w{k}" for k in range(30)]
+    # the windows of both items overlap; cutting the first would leave words 14 to 19 and make "w3 w20" neighbours
+    items = [(1, " ".join(w[4:14])), (2, " ".join(w[8:20])), (3, "w3 w20")]
+    df = spark.createDataFrame([(1, " ".join(w)), (2, "w3 x"), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    cut = lambda: {r.doc_id: r.text for r in op10_decontaminate.clean(df, bench).collect()}
+    want = {1: " ".join(w[:4]) + "  " + " ".join(w[20:]), 2: "w3 x", 3: None}
+    tidy = lambda d: {k: t and t.split() for k, t in d.items()}
+    assert tidy(cut()) == tidy(want)
+    monkeypatch.setattr(op10_decontaminate, "ITEM_BLOCK_BYTES", 40)
+    assert len(list(op10_decontaminate._blocks(bench, "item_id", "text"))) > 1 and tidy(cut()) == tidy(want)
+
+
 def test_empty_tables(spark, empty):
     bench = spark.createDataFrame([], "item_id long, text string")
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
