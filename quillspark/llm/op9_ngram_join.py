@@ -360,7 +360,16 @@ def groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width
 
 
 def representatives(docs: DataFrame, *, doc_id: str = "doc_id", **names) -> DataFrame:
-    """``docs`` without the documents whose group has a smaller doc_id; of equal ids one row stays; rows without id stay."""
+    """``docs`` without the documents whose group has a smaller doc_id; rows without id stay.
+
+    Of equal ids one row stays: that whose JSON has the smallest SHA-256.
+    """
     ids = groups(docs, doc_id=doc_id, **names).where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    left = docs.join(ids, F.col(doc_id).cast("long") == F.col("gone"), "left_anti")
-    return left
+    key = F.col(doc_id).cast("long")
+    left = docs.join(ids, key == F.col("gone"), "left_anti")
+    again = keep(docs.groupBy(key.alias("again")).count().where("again is not null and count > 1").select("again"))
+    if again.isEmpty():
+        return left
+    whole = F.struct(*left.columns)
+    repeated = left.join(again, key == F.col("again"), "left_semi").groupBy(key).agg(F.min_by(whole, F.sha2(F.to_json(whole), 256)).alias("row"))
+    return left.join(again, key == F.col("again"), "left_anti").unionByName(repeated.select("row.*"))

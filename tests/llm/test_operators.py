@@ -283,6 +283,15 @@ def test_op10_cuts_all_blocks_from_the_same_text(spark, monkeypatch):
     assert len(list(op10_decontaminate._blocks(bench, "item_id", "text"))) > 1 and tidy(cut()) == tidy(want)
 
 
+def test_op9_keeps_one_of_repeated_rows(spark):
+    r = random.Random(3)
+    a, b = prose(90, r), prose(90, r)
+    rows = [(1, a, "x"), (1, a, "x"), (2, a, "x"), (3, b, "x"), (3, b, "y"), (None, b, "x"), (None, b, "x"), (4, None, "x"), (4, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = [(x.doc_id, x.text) for x in op9_ngram_join.representatives(df).collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (3, b), (4, None), (None, b), (None, b)], key=str)
+
+
 def test_empty_tables(spark, empty):
     bench = spark.createDataFrame([], "item_id long, text string")
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
