@@ -20,9 +20,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Path prefixes of a URL that may be listed: those of up to so many segments.
-PATH_DEPTH = 8
-
 
 def host(url: Column) -> Column:
     """Lower-case host without user, port and trailing dot; null if there is none."""
@@ -35,11 +32,11 @@ def path(url: Column) -> Column:
 
 
 def keys(host_: Column, path_: Column) -> Column:
-    """Host, parent domains, and host with path prefixes, as strings to look up."""
+    """Host, parent domains, and host with every path prefix, as strings to look up."""
     parts = F.split(host_, r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     steps = F.split(path_, "/")
-    depth = F.least(F.size(steps) - 1, F.lit(PATH_DEPTH))
+    depth = F.size(steps) - 1
     prefixes = F.when(depth >= 1, F.transform(F.sequence(F.lit(1), depth), lambda i: F.concat(host_, F.array_join(F.slice(steps, 1, i), "/"), F.lit("/"))))
     return F.when(host_.isNotNull(), F.array_distinct(F.concat(domains, F.coalesce(prefixes, F.array().cast("array<string>")))))
 

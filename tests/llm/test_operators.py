@@ -292,6 +292,14 @@ def test_op9_keeps_one_of_repeated_rows(spark):
     assert sorted(got, key=str) == sorted([(1, a), (3, b), (4, None), (None, b), (None, b)], key=str)
 
 
+def test_op1_deep_folders(spark):
+    at = "timestamp'2024-05-01 00:00:00'"
+    deep = "h.org/" + "".join(f"f{k}/" for k in range(12))
+    captures = spark.sql(f"select 1 as page_id, 'http://{deep}x.html' as url, {at} as fetched_at union all select 2, 'http://h.org/f0/x.html', {at}")
+    entries = spark.sql(f"select 'l' as list, '{deep}' as pattern, 'add' as action, timestamp'2024-01-01 00:00:00' as at")
+    assert [r.page_id for r in op1_url_filters.kept(captures, entries).collect()] == [2]
+
+
 def test_empty_tables(spark, empty):
     bench = spark.createDataFrame([], "item_id long, text string")
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
