@@ -32,7 +32,7 @@ def job_eta(spark, sf_dir):
 
 @query("frame_reassembly", "WITH w AS (SELECT conv_id AS channel, string_agg(concat(replace(substr(coalesce(text, ''), 1, 30), chr(10), ' '), CASE WHEN turn % 2 = 1 THEN chr(10) ELSE '' END), '' ORDER BY turn) AS a FROM conversations GROUP BY conv_id), l AS (SELECT channel, string_split(a, chr(10)) AS s FROM w), u AS (SELECT channel, unnest(generate_series(0, len(s) - 2)) AS line_no, unnest(s[1:len(s) - 1]) AS line FROM l WHERE len(s) > 1) SELECT channel, CAST(line_no AS INT) AS line_no, line FROM u WHERE line <> ''")
 def frame_reassembly(spark, sf_dir):
-    chunks = table(spark, sf_dir, "conversations").selectExpr("conv_id AS channel", "turn AS seq", "concat(replace(substring(coalesce(text, ''), 1, 30), '\\n', ' '), CASE WHEN turn % 2 = 1 THEN '\\n' ELSE '' END) AS data")
+    chunks = table(spark, sf_dir, "conversations").selectExpr("conv_id AS channel", "turn AS seq", "concat(coalesce(text, ''), CASE WHEN turn % 2 = 1 THEN '\\n' ELSE '' END) AS data")
     return J.frames(chunks)
 
 

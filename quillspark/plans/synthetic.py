@@ -48,8 +48,12 @@ CAST(1 + floor(turn / 2) AS INT) AS page,
 CASE WHEN turn % 6 = 2 THEN concat('assets/a', CAST(conv_id % 10 AS STRING), '.png') END AS file"""
 
 
+#: The same blocks with their whole texts; BLOCKS, which the SQL uses, cuts them.
+WHOLE_BLOCKS = BLOCKS.replace("substring(coalesce(text, ''), 1, 12)", "coalesce(text, '')")
+
+
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").selectExpr(*_split(BLOCKS))
+    return table(spark, sf_dir, "conversations").selectExpr(*_split(WHOLE_BLOCKS))
 
 
 BLOCKS_SQL = f"bl AS (SELECT {BLOCKS} FROM conversations)"

@@ -139,3 +139,18 @@ def test_queries_match_their_sql(spark):
         r = con.execute(sql[name])
         names = [d[0] for d in r.description]
         assert sorted(map(str, (tuple(x[c] for c in names) for x in df.collect()))) == sorted(map(str, r.fetchall())), name
+
+
+def test_blocks_and_frames_hold_whole_texts(spark):
+    from quillspark import registry
+    from quillspark.plans import synthetic
+
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text")).collect()
+    got = {(r.book_id, r.pos): r.text for r in synthetic.blocks(spark, sf).collect()}
+    assert got == {(r.conv_id, r.turn): r.text for r in rows} and max(map(len, got.values())) > 30
+    sent = {}
+    for r in sorted(rows, key=lambda r: r.turn):
+        sent[r.conv_id] = sent.get(r.conv_id, "") + r.text + ("\n" if r.turn % 2 else "")
+    want = sorted((c, line) for c, t in sent.items() for line in t.split("\n")[:-1] if line)
+    assert sorted((r.channel, r.line) for r in registry.queries()["frame_reassembly"](spark, sf).collect()) == want
