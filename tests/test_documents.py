@@ -154,3 +154,11 @@ def test_blocks_and_frames_hold_whole_texts(spark):
         sent[r.conv_id] = sent.get(r.conv_id, "") + r.text + ("\n" if r.turn % 2 else "")
     want = sorted((c, line) for c, t in sent.items() for line in t.split("\n")[:-1] if line)
     assert sorted((r.channel, r.line) for r in registry.queries()["frame_reassembly"](spark, sf).collect()) == want
+
+
+def test_scan_spans_returns_every_page(spark):
+    from quillspark import registry
+
+    sf = "/root/testdata/sf0.001"
+    pages = [r[0] for r in spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").cast("int")).collect()]
+    assert sorted(r.page for r in registry.queries()["scan_spans"](spark, sf).collect()) == sorted(pages)
