@@ -1,37 +1,42 @@
 """N-gram Jaccard join by PartEnum signatures.
 
 A document's set holds its distinct shingles of five lower-cased words. Documents of
-equal sets are one class, held by its smallest doc_id. Sets are joined in bands of
-size: band j holds sizes up to U(j), and instance j joins sets of band j with those
-of bands j and j-1, which covers every pair of Jaccard 0.75 or more. Such a pair
-differs in at most (|r|+|s|)/7 shingles. Instance j cuts the shingle domain into n(j)
-partitions; the enumerated signatures are those that leave all partitions but one
-out: the content of each partition by itself. A set whose shingles meet more
-partitions than it may have differences shares the whole content of a partition with
-every partner. Rare sets that meet fewer also enumerate their empty partitions.
-
-Shingles that very many documents have (a common passage) would make unlike sets share
-signatures. They are counted over all documents and left out of the domain, which can
-only lower differences; sets that then meet too few partitions enumerate the whole
-domain as well, so nothing is lost.
-
-Candidates: a signature shared by several classes (found without moving texts, see
-``repeats``) is a bucket. All members are compared with the bucket's hub, its member
-with most shared signatures; members linked to the same hub need no more comparison;
-what is left is compared in a second round with the next hub, and then pair by pair. Sets
-that share too few signatures with anyone never enter a bucket. So a group of thousands of copies costs a few comparisons a member, and no link between
-components is lost. Pairs that share fewer signatures than similar sets must are left
-out; every other candidate pair is confirmed on its full sets.
+equal sets are one class, held by its smallest doc_id.
+
+*Lone shingles.* A shingle that no other class has is a difference to every partner. So
+sets of which more than a quarter is lone (at similarity 0.75) have no link, and drop
+out; all others go on with their shared shingles and the number of their lone ones.
+
+*Signatures.* Sets are joined in bands of size: band j holds sizes up to U(j), and
+instance j joins sets of band j with those of bands j and j-1, which covers every
+similar pair. Such a pair differs in at most k(j) shingles. Instance j cuts the shingle
+domain into n1 partitions and each of those into ``SUB`` sub-partitions, and enumerates,
+in every partition, the subsets that leave ``LEFT_OUT`` sub-partitions out: one signature
+for the content of each. With n1 * (LEFT_OUT + 1) > k(j), some partition of a similar pair
+differs in LEFT_OUT places at most, so one of its subsets is the same in both. Instances
+have a few partitions more than that (``slack``): a set with empty subsets in no more
+partitions than the slack leaves those out, since one of the pair's equal subsets lies
+in another partition; a set with more of them emits them too.
+
+*Candidates.* A signature shared by several sets is a bucket. In a round some members of
+each bucket are hubs, and all members are compared with the hubs, unless they are known
+to be in one component already, or sizes and lone shingles rule the pair out. Then hubs
+leave the bucket, components are drawn anew, and buckets with one component left are
+settled. Rounds take 1, 8, 64, ... hubs a bucket until no bucket is left, so a group of
+copies settles after a few comparisons a member and no link between components is lost.
+A first pass over one in ``SAMPLE`` signatures only ties most copies together early; it
+decides nothing by itself.
 
 Null and empty texts have no set and no link. One to four words are one shingle. Rows
 without doc_id have no link and no component. Rows of equal doc_id are one document
-for links. Shingles are compared by 54 bits (in
-confirmations 40), sets by 63.
+for links. Shingles are compared by 54 bits of a hash, so two sets of n shingles meet by
+chance in about n * n / 2^54 places; equal sets are told by 63 bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -40,16 +45,22 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import words as W
 from .components import components
 from .durable import keep
-from .repeats import Emitted, members, repeated, scramble
+from .repeats import Emitted, Filter, members, repeated, scramble
 
 WORDS = 5
-#: A shingle in one of so many documents is common.
-COMMON_SHARE, COMMON_LEAST = 512, 24
-HUB_ROUNDS = 2
+PERCENT = 75
+#: Sub-partitions of a partition, and how many of them a subset leaves out.
+SUB, LEFT_OUT = 4, 1
+SUBSETS = tuple(combinations(range(SUB), LEFT_OUT))
+#: One signature in so many takes part in the first pass.
+SAMPLE = 16
+#: Each round takes so many times more hubs a bucket.
+GROWTH = 8
 #: Members of a hub that one task compares.
 SALT_MEMBERS = 512
 _BITS = np.uint64(54)
 _SET = np.uint64((1 << 54) - 1)
+_PLANES = 7
 
 
 def _shingles(column: pa.Array, width: int = WORDS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -86,158 +97,186 @@ def _classes(doc: np.ndarray, shingle: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return doc[first], size, (value >> np.uint64(1)).astype(np.int64)
 
 
-def bands(most: int = 1 << 40) -> np.ndarray:
-    """U(j): the largest size of each band; the next begins above and reaches a third further."""
+def bands(percent: int = PERCENT, most: int = 1 << 40) -> np.ndarray:
+    """U(j): the largest size of each band; a similar set is in the same or in a neighbouring one."""
     out = [1]
     while out[-1] < most:
-        out.append(max(out[-1] + 1, out[-1] * 4 // 3))
+        out.append(max(out[-1] + 1, out[-1] * 100 // percent))
     return np.array(out)
 
 
-_BANDS = bands()
+def differences(sizes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """In how many shingles two similar sets of so many shingles together can differ."""
+    return sizes * (100 - percent) // (100 + percent)
 
 
-def partitions(upper: np.ndarray) -> np.ndarray:
-    """n(j): fine for small sets, three shingles of the largest set each for large ones."""
-    return np.maximum(2, np.where(upper <= 24, upper, np.where(upper <= 96, upper // 1.5, np.where(upper <= 320, upper // 2, upper // 2.7)))).astype(np.int64)
+def partitions(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n1, slack) for sets that differ in at most k shingles."""
+    least = k // (LEFT_OUT + 1) + 1
+    slack = 1 + least // 8
+    return least + slack, slack
 
 
-def signatures(doc: np.ndarray, shingle: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, document, is it of the instance's own band, facts); documents and shingles sorted.
+def signatures(doc: np.ndarray, shingle: np.ndarray, size: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, ordinal of the set, is it of the instance's own band).
 
-    Facts are rows of size, band, and the partitions met in the own and the next instance.
+    ``doc`` numbers the sets from 0, in order, for each of their shared shingles; ``size``
+    counts all shingles of each set.
     """
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    if not len(doc):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros((0, 4), np.int64)
-    facts = []
-    first = _starts(doc)
-    names, size = doc[first], np.diff(np.append(first, len(doc)))
-    ordinal = np.repeat(np.arange(len(names)), size)
-    rare = np.ones(len(shingle), bool)
-    if len(common):
-        k = np.minimum(np.searchsorted(common, shingle), len(common) - 1)
-        rare = common[k] != shingle
-    own = np.searchsorted(_BANDS, size)
+    out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool))]
+    upper = bands(percent)
+    own = np.searchsorted(upper, size)
+    first, content = W.mix(shingle + np.uint64(1_000_003)), W.mix(shingle + np.uint64(12_345))
     for step in (0, 1):
-        j = own + step
-        upper = _BANDS[j]
-        n = partitions(upper)
-        allowed = (size + np.minimum(upper, size * 4 // 3)) // 7
-        need = np.arange(len(names))
-        for domain in (0, 1):  # without common shingles; then all, for sets that met too few partitions
-            use = np.zeros(len(names), bool)
-            use[need] = True
-            pick = np.flatnonzero(use[ordinal] & (rare if domain == 0 else True))
-            base = np.cumsum(n) - n
-            total = int(n.sum())
-            spot = base[ordinal[pick]] + (W.mix(shingle[pick] + np.uint64(1_000_003)) % n[ordinal[pick]].astype(np.uint64)).astype(np.int64)
-            content = np.zeros(total, np.uint64)
-            np.add.at(content, spot, W.mix(shingle[pick] + np.uint64(12_345)))
-            full = np.zeros(total, bool)
-            full[spot] = True
-            owner = np.repeat(np.arange(len(names)), n)
-            met = np.bincount(owner[full], minlength=len(names))
-            few = use & (met <= allowed)
-            if domain == 0:
-                facts.append(met)
-            if domain == 1:
-                full |= few[owner]
-            at = np.flatnonzero(full & use[owner])
-            who = owner[at]
-            place = (at - base[who]).astype(np.uint64)
-            value = W.mix(content[at] + W.mix((j[who].astype(np.uint64) << np.uint64(33)) + (place << np.uint64(1)) + np.uint64(domain)))
-            out.append((value, names[who], np.full(len(at), step == 0)))
-            need = np.flatnonzero(few)
-            if not len(need):
-                break
-    return (*(np.concatenate(x) for x in zip(*out, strict=True)), np.stack([size, own, *facts], 1))
+        k = differences(2 * upper[own + step], percent)
+        n, slack = partitions(k)
+        n = np.where(k > 0, n, 0)  # sets that may not differ are equal: one class
+        base = np.cumsum(n) - n
+        live = np.flatnonzero(k[doc] > 0)
+        if not len(live):
+            continue
+        at = doc[live]
+        spot = base[at] * SUB + (first[live] % (n[at] * SUB).astype(np.uint64)).astype(np.int64)
+        total = int(n.sum())
+        held, full = np.zeros(total * SUB, np.uint64), np.zeros(total * SUB, bool)
+        np.add.at(held, spot, content[live])
+        full[spot] = True
+        held, full = held.reshape(-1, SUB), full.reshape(-1, SUB)
+        owner = np.repeat(np.arange(len(n)), n)
+        empty = np.stack([~np.delete(full, q, 1).any(1) for q in SUBSETS], 1)
+        thin = np.bincount(owner, empty.any(1), minlength=len(n)) > slack
+        emit = ~empty | thin[owner][:, None]
+        band = W.mix((own + step).astype(np.uint64) + np.uint64(0xB5AD4ECE))[owner]
+        place = (np.arange(total) - base[owner]).astype(np.uint64) * np.uint64(len(SUBSETS))
+        whole = held.sum(1, dtype=np.uint64)
+        for c, q in enumerate(SUBSETS):
+            ok = np.flatnonzero(emit[:, c])
+            rest = whole[ok] - held[ok][:, q].sum(1, dtype=np.uint64)
+            out.append((W.mix(rest + W.mix(band[ok] + place[ok] + np.uint64(c))), owner[ok], np.full(len(ok), step == 0)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _inventory(own: DataFrame, width: int) -> DataFrame:
-    """kind 0: doc_id, n, set of every document; kind 1: common shingles of a task and their counts."""
+    """doc_id, n, node (the hash of the set) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, docs = [], 0
-        names = ["kind", "doc_id", "n", "node"]
-
-        def rows(kind, a, b, c):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), kind, np.int32)), a, pa.array(b, pa.int64()), c], names=names)
-
         for b in batches:
-            ids = b.column("doc_id")
             n, node = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
             for i, doc, shingle in _shingles(b.column("text"), width):
                 which, size, value = _classes(doc, shingle)
                 n[i + which], node[i + which] = size, value
-                held.append(shingle)
-            docs += b.num_rows
-            yield rows(0, ids, n, pa.array(node, mask=n == 0))
-            if sum(map(len, held)) > 4_000_000:
-                yield from common(held, docs, rows)
-                held, docs = [], 0
-        if held:
-            yield from common(held, docs, rows)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(node, mask=n == 0)], names=["doc_id", "n", "node"])
 
-    def common(held, docs, rows):
-        value, count = np.unique(np.concatenate(held), return_counts=True)
-        some = count >= max(2, docs // COMMON_SHARE)
-        if docs >= COMMON_LEAST and some.any():
-            yield rows(1, pa.array(value[some].astype(np.int64)), count[some], pa.nulls(int(some.sum()), pa.int64()))
+    return own.mapInArrow(run, "doc_id long, n long, node long")
 
-    return own.mapInArrow(run, "kind int, doc_id long, n long, node long")
 
+def _pack(shingles: np.ndarray) -> bytes:
+    """A sorted set as byte planes of its values; the upper planes compress well."""
+    return np.ascontiguousarray(shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_PLANES].T).tobytes()
 
-def _common(found: DataFrame, docs: int) -> np.ndarray:
-    """Shingles of a share of all documents: at most COMMON_SHARE times the mean set, however many documents."""
-    least = max(COMMON_LEAST, docs // COMMON_SHARE)
-    rows = found.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("doc_id")
-    return np.sort(rows.toArrow().column(0).to_numpy().astype(np.uint64))
 
+def _unpack(planes: bytes | pa.Buffer) -> np.ndarray:
+    parts = np.frombuffer(planes, np.uint8).reshape(_PLANES, -1)
+    out = np.zeros((parts.shape[1], 8), np.uint8)
+    out[:, :_PLANES] = parts.T
+    return out.view("<u8").ravel()
 
-def _pack(shingles: np.ndarray) -> bytes:
-    """A sorted set as byte planes of its values' upper 40 bits; the upper planes compress well."""
-    return np.ascontiguousarray((shingles >> np.uint64(14)).view(np.uint8).reshape(-1, 8)[:, :5].T).tobytes()
 
+def _candidates(own: DataFrame, found: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
+    """node, size, lone, shingles of the classes that can have a link: their shared shingles, packed."""
+    spark = own.sparkSession
+    texts = own.where("doc_id is not null")
+    total = found.agg(F.sum("n")).first()[0] or 0
+    wanted = spark.sparkContext.broadcast(members(reps, "rep"))
 
-def _unpack(planes: bytes) -> np.ndarray:
-    parts = np.frombuffer(planes, np.uint8).reshape(5, -1)
-    out = np.zeros((parts.shape[1], 8), np.uint8)
-    out[:, :5] = parts.T
-    return out.view(np.uint64).ravel()
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Array]:
+        """Texts that stand for a class, and a few more by chance."""
+        for b in batches:
+            yield b.filter(pa.array(wanted.value.has(scramble(b.column("doc_id").to_numpy(zero_copy_only=False))))).column("text")
 
+    def emit(batches: Iterator[pa.RecordBatch]) -> Emitted:
+        ordinal = 0
+        for text in picked(batches):
+            for i, doc, shingle in _shingles(text, width):
+                yield W.mix(shingle), doc + (ordinal + i), np.ones(len(shingle), bool)
+            ordinal += len(text)
+
+    shared = spark.sparkContext.broadcast(repeated(texts, emit, values=total))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for text in picked(batches):
+            for _, doc, shingle in _shingles(text, width):
+                which, size, node = _classes(doc, shingle)
+                if not len(which):
+                    continue
+                ok = shared.value.has(W.mix(shingle))
+                k = np.searchsorted(which, doc)
+                lone = size - np.bincount(k[ok], minlength=len(which))
+                stay = np.flatnonzero((100 * lone <= (100 - percent) * size) & (lone < size))
+                ends = np.cumsum(np.bincount(k[ok], minlength=len(which)))
+                begins, rest = ends - (size - lone), shingle[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(node[stay]), pa.array(size[stay]), pa.array(lone[stay]), pa.array([_pack(rest[begins[x] : ends[x]]) for x in stay.tolist()], pa.binary())], names=["node", "size", "lone", "shingles"])
+
+    sets = texts.mapInArrow(cut, "node long, size long, lone long, shingles binary")
+    return keep(sets.dropDuplicates(["node"]))
+
+
+def _signed(batches: Iterator[pa.RecordBatch], percent: int, bound: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, signature, row, is it of the own band), a bounded number of shingles at a time."""
+    for b in batches:
+        size = np.array([len(x) // _PLANES for x in b.column("shingles").to_pylist()], np.int64)
+        ends, i = np.cumsum(size), 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + bound, "right")))
+            part = b.slice(i, j - i)
+            sets = [_unpack(x.as_buffer()) for x in part.column("shingles")]
+            yield part, *signatures(np.repeat(np.arange(j - i), size[i:j]), np.concatenate(sets), part.column("size").to_numpy(), percent)
+            i = j
+
+
+def _entries(sets: DataFrame, percent: int, pick) -> DataFrame:
+    """sig, node, part, size, lone, mine: a row for each signature that ``pick`` keeps."""
+    carried = ["node", "part", "size", "lone"]
 
-def _plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs (a, b) that share as many signatures as similar sets must.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, value, who, mine in _signed(batches, percent):
+            ok = np.flatnonzero(pick(value))
+            cols = [pa.array(part.column(c).to_numpy(zero_copy_only=False)[who[ok]]) for c in carried]
+            yield pa.RecordBatch.from_arrays([pa.array(value[ok].view(np.int64)), *cols, pa.array(mine[ok])], names=["sig", *carried, "mine"])
 
-    Of the partitions that a set meets, each not shared holds a difference, and similar
-    sets have (|a|+|b|)/7 of those at most. Bands further apart can't be similar.
-    """
-    side = lambda c: sketches.select(F.col("node").alias(c), F.col("sigs").alias(f"sigs_{c}"), F.col("facts").alias(f"facts_{c}"))
-    both = pairs.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a")
-    fact = lambda c, k: F.get(F.col(f"facts_{c}"), F.lit(k))
-    most = F.floor((fact("a", 0) + fact("b", 0)) / 7)
-    band = F.greatest(fact("a", 1), fact("b", 1))
-    least = lambda c: F.when(fact(c, 1) == band, fact(c, 2)).otherwise(fact(c, 3)) - most
-    enough = F.size(F.array_intersect("sigs_a", "sigs_b")) >= F.greatest(least("a"), least("b"))
-    return both.where((F.abs(fact("a", 1) - fact("b", 1)) <= 1) & enough).select("a", "b")
+    return sets.mapInArrow(run, "sig long, node long, part long, size long, lone long, mine boolean")
 
 
-def _sets(own: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """The packed sets of the nodes in ``pairs``, read from the documents that stand for them."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = own.sparkSession.sparkContext.broadcast(members(classes.join(nodes, "node", "left_semi"), "rep"))
+def _open(entries: DataFrame) -> DataFrame:
+    """The entries of buckets in which two components could still be linked."""
+    crowded = entries.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.max("mine").alias("any")).where("low < high and any").select("sig")
+    return entries.join(crowded.hint("merge"), "sig")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            b = b.filter(pa.array(wanted.value.has(scramble(b.column("doc_id").to_numpy(zero_copy_only=False)))))
-            for _, doc, shingle in _shingles(b.column("text"), width):
-                _, size, node = _classes(doc, shingle)
-                if len(node):
-                    cut = np.split(shingle, np.cumsum(size)[:-1])
-                    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([_pack(c) for c in cut], pa.binary())], names=["node", "shingles"])
 
-    return keep(own.where("doc_id is not null").mapInArrow(run, "node long, shingles binary"))
+def _possible(size: Column, lone: Column, hub_size: Column, hub_lone: Column, percent: int) -> Column:
+    """Lone shingles and the gap of the sizes of the rest are differences."""
+    least = lone + hub_lone + F.abs((size - lone) - (hub_size - hub_lone))
+    return least * (100 + percent) <= (size + hub_size) * (100 - percent)
+
+
+def _round(entries: DataFrame, hubs: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs a: hub, b to compare; entries without the hubs).
+
+    The hub that every bucket has is the member with the fewest lone shingles; more are
+    drawn by a hash of the node, so that a set is hub in all its buckets or in few.
+    """
+    first = F.struct((-F.floor(F.col("lone") * 1000 / F.col("size"))).alias("share"), F.col("size").alias("size"), F.col("node").alias("node"), F.col("part").alias("part"), F.col("lone").alias("lone"))
+    stats = entries.groupBy("sig").agg(F.max(F.when(F.col("mine"), first)).alias("top"), F.sum(F.col("mine").cast("long")).alias("n"))
+    tagged = entries.join(stats.hint("merge"), "sig")
+    if hubs == 1:
+        other = tagged.where("node <> top.node and part <> top.part").where(_possible(F.col("size"), F.col("lone"), F.col("top.size"), F.col("top.lone"), percent))
+        return other.select(F.col("top.node").alias("a"), F.col("node").alias("b")).distinct(), tagged.where("node <> top.node").select(*entries.columns)
+    draw = F.pmod(F.xxhash64("node", F.lit(hubs)), F.lit(1_000_000)) * F.col("n") < F.lit(1_000_000 * hubs)
+    tagged = tagged.withColumn("hub", F.col("mine") & ((F.col("node") == F.col("top.node")) | draw)).drop("top", "n")
+    tagged = keep(tagged)
+    chosen = tagged.where("hub").select("sig", F.col("node").alias("a"), F.col("part").alias("hub_part"), F.col("size").alias("hub_size"), F.col("lone").alias("hub_lone"))
+    met = tagged.join(chosen.hint("merge"), "sig").where("node <> a and part <> hub_part and (not hub or node > a)").where(_possible(F.col("size"), F.col("lone"), F.col("hub_size"), F.col("hub_lone"), percent))
+    return met.select("a", F.col("node").alias("b")).distinct(), tagged.where("not hub").select(*entries.columns)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -250,105 +289,83 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     spread = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
     hubs = salts.select("a", F.col("a").alias("node"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("hub"))
     asked = spread.select("a", F.col("b").alias("node"), "salt", F.lit(False).alias("hub")).union(hubs.select("a", "node", "salt", "hub"))
-    rows = asked.join(sets.hint("merge"), "node").repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("hub"))
+    rows = asked.join(sets.select("node", "size", "shingles").hint("merge"), "node").repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("hub"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, own = None, None
+        centre, own, own_size = None, None, 0
         for b in batches:
             left, right = [], []
-            for a, node, hub, planes in zip(b.column("a").to_pylist(), b.column("node").to_pylist(), b.column("hub").to_pylist(), b.column("shingles"), strict=True):
+            for a, node, hub, size, planes in zip(*(b.column(c).to_pylist() for c in ("a", "node", "hub", "size")), b.column("shingles"), strict=True):
                 got = _unpack(planes.as_buffer())
                 if hub:
-                    centre, own = a, got
+                    centre, own, own_size = a, got, size
                 elif a == centre:
                     met = len(np.intersect1d(own, got, assume_unique=True))
-                    if 100 * met >= percent * (len(own) + len(got) - met):
+                    if 100 * met >= percent * (own_size + size - met):
                         left.append(a)
                         right.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    return rows.select("a", "node", "hub", "shingles").mapInArrow(run, "a long, b long")
+    return rows.select("a", "node", "hub", "size", "shingles").mapInArrow(run, "a long, b long")
 
 
-def links(own: DataFrame, found: DataFrame, width: int = WORDS, percent: int = 75) -> tuple[DataFrame, DataFrame]:
-    """(classes: node and its smallest doc_id rep; components: node rep, component rep)."""
-    spark = own.sparkSession
-    classes = keep(found.where("kind = 0 and n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep")))
-    common = spark.sparkContext.broadcast(_common(found, found.where("kind = 0").count()))
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Emitted:
-        for b in batches:
-            for _, doc, shingle in _shingles(b.column("text"), width):
-                which, _, node = _classes(doc, shingle)
-                value, who, mine, _ = signatures(doc, shingle, common.value)
-                if len(value):
-                    yield value, node[np.searchsorted(which, who)], mine
+class _Links:
+    """The links found so far, and the component of every set that has one."""
 
-    shared = spark.sparkContext.broadcast(repeated(own.select("text"), emit))
+    def __init__(self, sets: DataFrame, percent: int):
+        self.sets, self.percent = sets, percent
+        self.found = self.parts = None
 
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["sig", "node", "mine", "facts"]
-        for b in batches:
-            for _, doc, shingle in _shingles(b.column("text"), width):
-                which, _, node = _classes(doc, shingle)
-                value, who, mine, facts = signatures(doc, shingle, common.value)
-                if len(value):
-                    ok = shared.value.has(value)
-                    yield pa.RecordBatch.from_arrays([pa.array(value[ok].view(np.int64)), pa.array(node[np.searchsorted(which, who[ok])]), pa.array(mine[ok]), pa.nulls(int(ok.sum()), pa.list_(pa.int64()))], names=names)
-                    held = np.unique(np.searchsorted(which, who[ok]))
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(held), pa.int64()), pa.array(node[held]), pa.nulls(len(held), pa.bool_()), pa.array(facts[held].tolist(), pa.list_(pa.int64()))], names=names)
-
-    seen = keep(own.select("text").mapInArrow(met, "sig long, node long, mine boolean, facts array<long>"))
-    entries = seen.where("sig is not null").groupBy("sig", "node").agg(F.max("mine").alias("mine"))
-    buckets = entries.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("mine").alias("any")).where("low < high and any").select("sig")
-    entries = entries.join(buckets.hint("merge"), "sig")
-    facts = seen.where("sig is null").groupBy("node").agg(F.first("facts").alias("facts"))
-    sketches = entries.groupBy("node").agg(F.collect_list("sig").alias("sigs"), F.collect_list(F.when(F.col("mine"), F.col("sig"))).alias("own_sigs"), F.count("*").alias("weight")).join(facts, "node")
-    sketches = keep(sketches.where(F.col("weight") >= _least_shared(F.col("facts"))))
-    # back to rows from the sets that are left: a signature with one of them is no bucket any more
-    one = lambda sigs, mine: F.transform(sigs, lambda x: F.struct(x.alias("sig"), F.lit(mine).alias("mine")))
-    rows = sketches.select("node", "weight", F.explode(F.concat(one(F.col("own_sigs"), True), one(F.array_except("sigs", "own_sigs"), False))).alias("s")).select("s.sig", "node", "weight", "s.mine")
-    crowded = rows.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("mine").alias("any")).where("low < high and any").select("sig")
-    entries = keep(rows.join(crowded.hint("merge"), "sig"))
-    linked, labelled = None, entries.withColumn("part", F.col("node"))
-    for round_ in range(HUB_ROUNDS + 1):
-        if round_ < HUB_ROUNDS:
-            hubs = labelled.groupBy("sig").agg(F.max(F.when(F.col("mine"), F.struct("weight", "node", "part"))).alias("hub"), F.count("*").alias("n")).select("sig", F.col("hub.node").alias("hub"), F.col("hub.part").alias("hub_part"), "n")
-            star = labelled.join(hubs.hint("merge"), "sig").where("hub is not null and node <> hub")
-            pairs = star.where("part <> hub_part").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-            rest = star.where("n > 2").select("sig", "node", "weight", "mine")
-        else:
-            one, two = labelled.alias("x"), labelled.alias("y")
-            pairs = one.join(two, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.mine") | F.col("y.mine")) & (F.col("x.part") != F.col("y.part")))
-            pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-            rest = None
-        pairs = keep(_plausible(pairs.distinct(), sketches))
-        if not pairs.isEmpty():
-            fresh = _verified(pairs, _sets(own, classes, pairs, width), percent)
-            linked = keep(fresh if linked is None else linked.union(fresh))
-        if rest is None:
-            break
-        # members of a bucket that have been linked to one hub need no more comparison
-        hub_of = linked.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to")) if linked is not None else None
-        named = rest.withColumn("part", F.col("node")) if hub_of is None else rest.join(hub_of, "node", "left").withColumn("part", F.coalesce("to", "node")).drop("to")
-        open_ = named.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.max("mine").alias("any")).where("low < high and any").select("sig")
-        labelled = keep(named.join(open_.hint("merge"), "sig"))
-        if labelled.isEmpty():
-            break
-    if linked is None:
-        linked = own.sparkSession.createDataFrame([], "a long, b long")
-    return classes, components(linked)
+    def compare(self, pairs: DataFrame) -> None:
+        pairs = keep(pairs)
+        if pairs.isEmpty():
+            return
+        fresh = keep(_verified(pairs, self.sets, self.percent))
+        if fresh.isEmpty():
+            return
+        # links of a component so far are its stars: only those and what is new are joined
+        known = fresh if self.parts is None else fresh.union(self.parts.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        self.parts = components(known)
 
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the part of their node."""
+        if self.parts is None:
+            return rows.withColumn("part", F.col("node"))
+        return rows.drop("part").join(self.parts.hint("merge"), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
 
-def _least_shared(facts: Column) -> Column:
-    """Of how few signatures, shared with anyone, a set can be similar to another."""
-    n, band, own, next_ = (F.get(facts, F.lit(k)) for k in range(4))
-    upper = F.array(*(F.lit(int(u)) for u in _BANDS[:64]))
-    most = lambda j: F.floor((n + F.least(F.coalesce(F.get(upper, j.cast("int")), n * 2), F.floor(n * 4 / 3))) / 7)
-    return F.least(own - most(band), next_ - most(band + 1))
 
+def links(own: DataFrame, found: DataFrame, width: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(classes: node and its smallest doc_id rep; components: node, component)."""
+    spark = own.sparkSession
+    classes = keep(found.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep")))
+    sets = _candidates(own, found, classes, width, percent)
+    state = _Links(sets, percent)
+    every = np.uint64(SAMPLE)
+    some = keep(_open(_entries(state.labelled(sets), percent, lambda v: v % every == 0)))
+    for hubs in (1, GROWTH):
+        if some.isEmpty():
+            break
+        pairs, rest = _round(some, hubs, percent)
+        state.compare(pairs)
+        some = keep(_open(state.labelled(rest)))
 
-def groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WORDS, percent: int = 75) -> DataFrame:
+    def emit(batches: Iterator[pa.RecordBatch]) -> Emitted:
+        ordinal = 0
+        for part, value, who, mine in _signed(batches, percent):
+            yield value, who + ordinal, mine
+            ordinal += part.num_rows
+
+    shared = spark.sparkContext.broadcast(repeated(sets, emit))
+    labelled = state.labelled(sets).select("node", "part", "size", "lone", "shingles")
+    rest, hubs = keep(_open(_entries(labelled, percent, lambda v: shared.value.has(v)))), 1
+    while not rest.isEmpty():
+        pairs, rest = _round(rest, hubs, percent)
+        state.compare(pairs)
+        rest, hubs = keep(_open(state.labelled(rest))), hubs * GROWTH
+    return classes, state.parts if state.parts is not None else spark.createDataFrame([], "node long, component long")
+
+
+def groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = keep(_inventory(own, width))
@@ -356,7 +373,7 @@ def groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width
     named = classes.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
     least = named.groupBy("part").agg(F.min("rep").alias("component_id"))
     ids = named.join(least, "part").select("node", "component_id")
-    return found.where("kind = 0").join(ids.hint("merge"), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return found.join(ids.hint("merge"), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def representatives(docs: DataFrame, *, doc_id: str = "doc_id", **names) -> DataFrame:
@@ -364,12 +381,12 @@ def representatives(docs: DataFrame, *, doc_id: str = "doc_id", **names) -> Data
 
     Of equal ids one row stays: that whose JSON has the smallest SHA-256.
     """
-    ids = groups(docs, doc_id=doc_id, **names).where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    ids = groups(docs, doc_id=doc_id, **names).where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
     key = F.col(doc_id).cast("long")
-    left = docs.join(ids, key == F.col("gone"), "left_anti")
-    again = keep(docs.groupBy(key.alias("again")).count().where("again is not null and count > 1").select("again"))
+    left = docs.join(ids, key == F.col("__gone"), "left_anti")
+    again = keep(docs.groupBy(key.alias("__again")).count().where("__again is not null and count > 1").select("__again"))
     if again.isEmpty():
         return left
     whole = F.struct(*left.columns)
-    repeated = left.join(again, key == F.col("again"), "left_semi").groupBy(key).agg(F.min_by(whole, F.sha2(F.to_json(whole), 256)).alias("row"))
-    return left.join(again, key == F.col("again"), "left_anti").unionByName(repeated.select("row.*"))
+    repeated = left.join(again, key == F.col("__again"), "left_semi").groupBy(key).agg(F.min_by(whole, F.sha2(F.to_json(whole), 256)).alias("row"))
+    return left.join(again, key == F.col("__again"), "left_anti").unionByName(repeated.select("row.*"))

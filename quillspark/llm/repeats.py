@@ -4,7 +4,7 @@ Map tasks send each value once per chunk of documents, cut into slices of the va
 space: sorted 32-bit keys as differences, byte plane by byte plane, which shuffle
 compression takes to two or three bytes a value. The task of a slice finds the keys
 met twice and returns them as its own segment of one Bloom filter, whose size is
-fixed. Filters only let too much through, never too little, so whoever uses one
+bounded. Filters only let too much through, never too little, so whoever uses one
 stays exact; as data outgrow the filter, more passes and the work after it grows.
 """
 
@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from .durable import slices
 from .words import mix
 
-#: Bits of a filter over all slices: 16 MB, whatever the input.
-FILTER_BITS = 1 << 27
+#: Bits of a filter over all slices: 16 MB, and for more values up to 128 MB, never more.
+FILTER_BITS, MOST_BITS = 1 << 27, 1 << 30
 #: Values held by a map task before it sends them.
 CHUNK_VALUES = 1_000_000
 MARKED, SEVERAL = 1, 2
@@ -78,8 +78,8 @@ def _found(keys: list[bytes], flags: list[bytes]) -> np.ndarray:
 class Filter:
     """A Bloom filter whose segments belong to slices."""
 
-    def __init__(self, n: int):
-        self.n, self.bits = n, max(64, FILTER_BITS // n // 8 * 8)
+    def __init__(self, n: int, bits: int = FILTER_BITS):
+        self.n, self.bits = n, max(64, bits // n // 8 * 8)
         self.data = np.zeros(n * self.bits // 8, np.uint8)
 
     @staticmethod
@@ -88,10 +88,10 @@ class Filter:
         return tuple(((half * np.uint64(bits)) >> np.uint64(32)).astype(np.int64) for half in (spread >> np.uint64(32), spread & np.uint64(0xFFFFFFFF)))
 
     @classmethod
-    def segment(cls, low: np.ndarray, n: int) -> bytes:
-        bits = max(64, FILTER_BITS // n // 8 * 8)
-        on = np.zeros(bits, bool)
-        for s in cls.spots(low, bits):
+    def segment(cls, low: np.ndarray, n: int, bits: int = FILTER_BITS) -> bytes:
+        own = max(64, bits // n // 8 * 8)
+        on = np.zeros(own, bool)
+        for s in cls.spots(low, own):
             on[s] = True
         return np.packbits(on, bitorder="little").tobytes()
 
@@ -108,12 +108,12 @@ class Filter:
         return ok
 
 
-def repeated(docs: DataFrame, emit: Callable[[Iterator[pa.RecordBatch]], Emitted], *, single: bool = False) -> Filter:
+def repeated(docs: DataFrame, emit: Callable[[Iterator[pa.RecordBatch]], Emitted], *, single: bool = False, values: int = 0) -> Filter:
     """A filter of the values that ``emit`` gives for two documents, at least once marked.
 
-    With ``single``, of all marked values.
+    With ``single``, of all marked values. ``values``: about how many values there are, where known.
     """
-    n = slices(docs.sparkSession)
+    n, total = slices(docs.sparkSession), min(MOST_BITS, max(FILTER_BITS, 1 << (2 * values).bit_length()))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -129,9 +129,9 @@ def repeated(docs: DataFrame, emit: Callable[[Iterator[pa.RecordBatch]], Emitted
     def gather(key: tuple, table: pa.Table) -> pa.Table:
         keys, flags = table.column("keys").to_pylist(), table.column("flags").to_pylist()
         low = np.unique(np.concatenate([_keys(k) for k in keys])) if single else _found(keys, flags)
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([Filter.segment(low, n)], pa.binary())})
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([Filter.segment(low, n, total)], pa.binary())})
 
-    out = Filter(n)
+    out = Filter(n, total)
     segments = docs.mapInArrow(send, "slice int, keys binary, flags binary").groupBy("slice").applyInArrow(gather, "slice int, bits binary")
     for row in segments.toLocalIterator():
         out.put(row["slice"], bytes(row["bits"]))

@@ -114,19 +114,20 @@ def _sets(texts):
     return doc, shingle
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.integers(1, 400), st.integers(0, 40), st.integers(0, 2**31))
-def test_similar_sets_share_a_signature(n, cut, seed):
-    rng = random.Random(seed)
-    words = [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
-    other = list(words)
-    for _ in range(min(cut, max(0, n // 30))):
-        other[rng.randrange(n)] = "changed"
-    doc, shingle = _sets([" ".join(words), " ".join(other)])
-    a, b = set(shingle[doc == 0].tolist()), set(shingle[doc == 1].tolist())
-    for common in (np.zeros(0, np.uint64), np.unique(shingle)[::2]):
-        value, who, mine, _ = op9_ngram_join.signatures(doc, shingle, common)
-        if 100 * len(a & b) >= 75 * len(a | b):
+@settings(max_examples=150, deadline=None)
+@given(st.integers(4, 300), st.floats(0, 1), st.integers(0, 2**31), st.sampled_from([75, 60, 90]))
+def test_similar_sets_share_a_signature(n, lost, seed, percent):
+    """Sets as far apart as similar ones may be; what only one of them has may count as lone."""
+    rng = np.random.default_rng(seed)
+    pool = rng.integers(0, 2**54, 2 * n, dtype=np.uint64)
+    cut = int(lost * n * (100 - percent) / 100)
+    one = np.unique(pool[:n])
+    two = np.unique(np.concatenate((one[cut:], pool[n : n + rng.integers(0, cut + 1)])))
+    met = len(np.intersect1d(one, two))
+    for lone in (False, True):
+        sets = [np.intersect1d(one, two)] * 2 if lone else [one, two]
+        value, who, mine = op9_ngram_join.signatures(np.repeat([0, 1], [len(x) for x in sets]), np.concatenate(sets), np.array([len(one), len(two)]), percent)
+        if 100 * met >= percent * (len(one) + len(two) - met) and cut:
             shared = set(value[who == 0].tolist()) & set(value[who == 1].tolist())
             assert shared & set(value[mine].tolist())
 

@@ -125,6 +125,22 @@ def test_op9_chains_of_near_copies(spark):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in op9_ngram_join.groups(df).collect()} == components_of(rows)
 
 
+def test_op9_group_of_unequal_copies(spark, monkeypatch):
+    """Copies of one text, some too far from the first hubs and some from every other."""
+    monkeypatch.setattr(op9_ngram_join, "GROWTH", 2)
+    r = random.Random(12)
+    base, rows = prose(120, r).split(" "), []
+    for k in range(60):
+        copy = list(base)
+        for _ in range(r.randint(0, 9)):
+            copy[r.randrange(120)] = r.choice(base) if k % 2 else f"n{r.random()}"
+        rows.append((k + 1, " ".join(copy)))
+    want = components_of(rows)
+    assert len({c for _, c in want.values()}) > 5
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in op9_ngram_join.groups(df).collect()} == want
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 20)] + [(30, 31), (31, 30), (40, 40)], "a long, b long")
     got = {r.node: r.component for r in components(links).collect()}
