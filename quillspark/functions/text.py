@@ -35,6 +35,11 @@ def escape_dialect(s: Column) -> Column:
     return F.regexp_replace(s, SPECIALS, r"\\$0")
 
 
+def unescape_dialect(s: Column) -> Column:
+    """Undoes ``escape_dialect``."""
+    return F.regexp_replace(s, r"\\(" + SPECIALS + ")", "$1")
+
+
 def collapse(s: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(s, f"[{BLANK}]*[\\r\\n]+[{BLANK}]*", " "), f"[{BLANK}]+", " "))
 

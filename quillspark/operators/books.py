@@ -12,6 +12,7 @@ from ..functions import text as T
 
 #: Fixed values.
 DEMOTED = ("running-header", "running-footer", "page-number", "artifact")
+DIM = (*DEMOTED, "footnote-source", "table-source")
 COMMON_KEYS = ("type", "id", "role", "page", "pages", "language", "annotations")
 OWN_KEYS = {
     "heading": ("level", "text"), "text": ("text",), "quote": ("text", "attribution"), "image": ("file", "caption", "alt"),
@@ -27,19 +28,34 @@ def demoted(role: Column) -> Column:
     return F.coalesce(role.isin(*DEMOTED), F.lit(False))
 
 
+def dim(role: Column) -> Column:
+    """Roles that an editor shows dimmed: the demoted ones, and sources of notes and tables."""
+    return F.coalesce(role.isin(*DIM), F.lit(False))
+
+
+def first_page(blocks: DataFrame) -> Column:
+    """A block's page, or the first of the pages it spans; null without either."""
+    return F.coalesce(F.col("page"), F.get("pages", F.lit(0))["page"]) if "pages" in blocks.columns else F.col("page")
+
+
 def ordered(blocks: DataFrame, arrival: str = "arrival") -> DataFrame:
     """pos by first page (none: 0), then arrival."""
-    w = Window.partitionBy("book_id").orderBy("first", arrival)
-    return blocks.withColumn("first", F.coalesce("page", F.lit(0))).withColumn("pos", F.row_number().over(w) - 1).drop("first")
+    w = Window.partitionBy("book_id").orderBy("__first", arrival)
+    return blocks.withColumn("__first", F.coalesce(first_page(blocks), F.lit(0))).withColumn("pos", F.row_number().over(w) - 1).drop("__first")
 
 
 def unique_ids(blocks: DataFrame, make=T.slug) -> DataFrame:
     """The first free of s, s-2, s-3, ... for each heading, against all ids before it.
 
-    What is free depends on every id given, so a fold over a book's distinct slugs in order.
+    The n-th heading of a slug gets s-n, unless a heading's own slug looks like that; only
+    books with such a slug need a fold over their headings.
     """
     heads = blocks.where("type = 'heading'").select("book_id", "pos", make(F.col("text")).alias("slug"))
-    per = heads.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("pos", "slug"))).alias("h"))
+    stem = heads.select("book_id", F.regexp_extract("slug", r"^(.+)-[0-9]+$", 1).alias("slug")).where("slug <> ''")
+    odd = stem.join(heads.select("book_id", "slug"), ["book_id", "slug"], "left_semi").select("book_id").distinct()
+    n = F.row_number().over(Window.partitionBy("book_id", "slug").orderBy("pos"))
+    plain = heads.join(odd, "book_id", "left_anti").withColumn("n", n).select("book_id", F.col("pos").cast("long").alias("pos"), F.when(F.col("n") == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), F.col("n").cast("string"))).alias("id"))
+    per = heads.join(odd, "book_id", "left_semi").groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("pos", "slug"))).alias("h"))
     kind = "struct<used:array<string>,out:array<struct<pos:bigint,id:string>>>"
     start = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast("array<struct<pos:bigint,id:string>>").alias("out")).cast(kind)
 
@@ -48,7 +64,8 @@ def unique_ids(blocks: DataFrame, make=T.slug) -> DataFrame:
         free = F.get(F.array_except(tries, acc["used"]), F.lit(0))
         return F.struct(F.concat(acc["used"], F.array(free)).alias("used"), F.concat(acc["out"], F.array(F.struct(x["pos"].cast("bigint").alias("pos"), free.alias("id")))).alias("out"))
 
-    return per.select("book_id", F.explode(F.aggregate("h", start, step)["out"]).alias("o")).select("book_id", "o.pos", "o.id")
+    folded = per.select("book_id", F.explode(F.aggregate("h", start, step)["out"]).alias("o")).select("book_id", "o.pos", "o.id")
+    return plain.unionByName(folded)
 
 
 def place_images(images: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -57,7 +74,8 @@ def place_images(images: DataFrame, blocks: DataFrame) -> DataFrame:
     Position needn't follow the page, so: the largest position per page, its running
     maximum over pages, and an as-of look-up by a union and a carried value.
     """
-    per_page = blocks.where("page is not null").groupBy("book_id", "page").agg(F.max("pos").alias("after"))
+    paged = blocks.select("book_id", first_page(blocks).alias("page"), "pos").where("page is not null")
+    per_page = paged.groupBy("book_id", "page").agg(F.max("pos").alias("after"))
     both = per_page.select("book_id", "page", F.lit(0).alias("side"), "after", F.lit(None).cast("long").alias("image_id")).unionByName(images.select("book_id", "page", F.lit(1).alias("side"), F.lit(None).cast("long").alias("after"), F.col("image_id").cast("long").alias("image_id")))
     w = Window.partitionBy("book_id").orderBy("page", "side", "image_id").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("after", F.max("after").over(w)).where("side = 1").select("book_id", "image_id", "page", F.coalesce("after", F.lit(-1)).alias("after"))
@@ -190,3 +208,13 @@ def request_checks(rows: DataFrame) -> DataFrame:
     """Shape of a request: uuid, page, scale, asset name, pages."""
     uuid = F.col("id").rlike(r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-8][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}\z")
     return rows.withColumns({"id_ok": uuid, "page_ok": F.coalesce((F.col("page") >= 1) & (F.col("page") == F.floor("page")), F.lit(False)), "scale_ok": F.coalesce(F.col("scale").between(0.2, 3), F.lit(False)), "file_ok": F.col("file").rlike(r"^[A-Za-z0-9._-]+\z"), "pages_ok": F.coalesce((F.size("pages") > 0) & F.forall("pages", lambda p: p >= 1), F.lit(False))})
+
+
+def stats(blocks: DataFrame) -> DataFrame:
+    """Blocks, headings and characters of each book."""
+    return blocks.groupBy("book_id").agg(F.count("*").alias("n_blocks"), F.count_if(F.col("type") == "heading").alias("n_headings"), F.sum(F.char_length("text")).alias("n_chars"))
+
+
+def image_order(images: DataFrame) -> DataFrame:
+    """``images`` with their place in their book: by page, then from the top."""
+    return images.withColumn("place", F.rank().over(Window.partitionBy("book_id").orderBy("page", "y")).cast("long"))

@@ -1,7 +1,8 @@
 """Pages and lines: verdicts, routing, running heads, printed page numbers, metrics.
 
 Tables: ``pages`` (book_id, page, width, height, image_coverage), ``lines`` (book_id,
-page, line_no, text, x, y, w, h, size). All windows are partitioned by book, so a chain
+page, line_no, text, x, y, w, h, size, and runs: text, italic, bold, size of each styled
+run, where known). All windows are partitioned by book, so a chain
 of these operators needs one exchange by ``book_id``; counts are pre-aggregated.
 """
 
@@ -79,7 +80,7 @@ def furniture(lines: DataFrame, pages: DataFrame, share: float = FURNITURE_SHARE
     often = F.col("n_pages") >= F.greatest(F.lit(3), F.ceil(F.col("total") * share))
     rule = often | (T.all_caps(text) & (F.col("n_pages") >= 3)) | T.running_head(text)
     role = F.when((F.col("total") >= 3) & F.col("zone").isNotNull() & F.coalesce(rule, F.lit(False)), "furniture")
-    return zoned.select(*lines.columns, "zone", "key", "n_pages", role.alias("role"))
+    return zoned.select(*lines.columns, "height", "zone", "key", "n_pages", role.alias("role"))
 
 
 def printed_pages(marked: DataFrame) -> DataFrame:
@@ -100,18 +101,30 @@ def first_mode(df: DataFrame, by: list[str], value: str, order: str, weight: Col
 
 
 def body_metrics(body: DataFrame) -> DataFrame:
-    """Left edge, modal width and modal line gap of each book's body."""
+    """Left edge, modal width and modal line gap of each book's body, in one pass over its lines."""
     w = Window.partitionBy("book_id").orderBy("page", "line_no")
-    at = body.withColumns({"pos": F.row_number().over(w), "gap": F.when(F.lag("page").over(w) == F.col("page"), F.col("y") - F.lag("y").over(w))})
-    left = first_mode(at.withColumn("v", T.round_half_up(F.col("x"))), ["book_id"], "v", "pos").select("book_id", F.col("mode").alias("body_left"))
-    width = first_mode(at.withColumn("v", T.round_half_up(F.col("w") / 10) * 10), ["book_id"], "v", "pos").select("book_id", F.col("mode").alias("modal_width"))
-    gap = first_mode(at.where("gap > 0").withColumn("v", T.round_half_up(F.col("gap"))), ["book_id"], "v", "pos").select("book_id", F.col("mode").alias("modal_gap"))
-    return left.join(width, "book_id").join(gap, "book_id", "left").select("book_id", "body_left", "modal_width", F.coalesce(F.nullif("modal_gap", F.lit(0)), F.lit(12)).alias("modal_gap"))
+    gap = F.when((F.lag("page").over(w) == F.col("page")) & (F.col("y") > F.lag("y").over(w)), F.col("y") - F.lag("y").over(w))
+    seen = {"left": F.col("x"), "width": F.col("w") / 10, "gap": F.col("gap")}
+    values = body.withColumn("gap", gap).select("book_id", (F.col("page").cast("long") * 1_000_000 + F.col("line_no")).alias("pos"), F.explode(F.array(*(F.struct(F.lit(k).alias("k"), T.round_half_up(v).alias("v")) for k, v in seen.items()))).alias("m"))
+    modes = first_mode(values.select("book_id", "pos", "m.k", "m.v").where("v is not null"), ["book_id", "k"], "v", "pos")
+    by = modes.groupBy("book_id").agg(*(F.max(F.when(F.col("k") == k, F.col("mode"))).alias(k) for k in seen))
+    return by.select("book_id", F.col("left").alias("body_left"), (F.col("width") * 10).alias("modal_width"), F.coalesce(F.nullif("gap", F.lit(0)), F.lit(12)).alias("modal_gap"))
+
+
+def dominant_size(runs: Column) -> Column:
+    """The rounded size that carries most of a line's text; of equals the first."""
+    weight = lambda r: F.greatest(F.lit(1), T.utf16_length(r["text"]))
+    sizes = F.array_distinct(F.transform(runs, lambda r: T.round_half_up(r["size"])))
+    total = lambda v: F.aggregate(F.filter(runs, lambda r: T.round_half_up(r["size"]) == v), F.lit(0), lambda n, r: n + weight(r).cast("int"))
+    return F.array_max(F.transform(sizes, lambda v, i: F.struct(total(v).alias("n"), (-i).alias("i"), v.alias("v"))))["v"]
 
 
 def body_font_size(marked: DataFrame) -> DataFrame:
     """The rounded size that carries most text."""
-    rows = marked.where(F.col("role").isNull()).withColumns({"v": T.round_half_up(F.col("size")), "pos": F.col("page").cast("long") * 1_000_000 + F.col("line_no")})
+    size = T.round_half_up(F.col("size"))
+    if "runs" in marked.columns:
+        marked = marked.select("book_id", "page", "line_no", "role", F.explode("runs").alias("r")).select("*", "r.size", "r.text")
+    rows = marked.where(F.col("role").isNull()).withColumns({"v": size, "pos": F.col("page").cast("long") * 1_000_000 + F.col("line_no")})
     return first_mode(rows, ["book_id"], "v", "pos", F.greatest(F.lit(1), T.utf16_length(F.col("text")))).select("book_id", F.col("mode").alias("body_size"))
 
 
@@ -159,17 +172,35 @@ def suggested_page(reports_: DataFrame) -> DataFrame:
 def group_lines(spans: DataFrame) -> DataFrame:
     """Spans of a page as visual lines: a span joins the line whose first span's baseline is near.
 
-    Anchored on a line's first span, so a fold over the page's sorted spans.
+    Anchored on a line's first span, so a fold over the page's sorted spans. ``runs`` keeps
+    the spans' styles (``italic``, ``bold``, where given), ``size`` is the dominant one.
     """
-    runs = spans.groupBy("book_id", "page").agg(F.array_sort(F.collect_list(F.struct("y", "x", "w", "h", "size", "text"))).alias("runs"))
-    line_type = "array<struct<y:double,x:double,x1:double,h:double,runs:array<struct<x:double,text:string>>>>"
+    style = [F.col(c) if c in spans.columns else F.lit(False).alias(c) for c in ("italic", "bold")]
+    runs = spans.groupBy("book_id", "page").agg(F.array_sort(F.collect_list(F.struct("y", "x", "w", "h", "size", "text", *style))).alias("runs"))
+    run_type = "struct<x:double,text:string,italic:boolean,bold:boolean,size:double>"
+    line_type = f"array<struct<y:double,x:double,x1:double,h:double,runs:array<{run_type}>>>"
+    kept = lambda r: F.array(F.struct(*(r[c].alias(c) for c in ("x", "text", "italic", "bold", "size"))))
 
     def step(lines: Column, r: Column) -> Column:
         last = F.get(lines, F.size(lines) - 1)
-        fresh = F.struct(r["y"].alias("y"), r["x"].alias("x"), (r["x"] + r["w"]).alias("x1"), r["h"].alias("h"), F.array(F.struct(r["x"].alias("x"), r["text"].alias("text"))).alias("runs"))
-        joined = F.struct(last["y"].alias("y"), F.least(last["x"], r["x"]).alias("x"), F.greatest(last["x1"], r["x"] + r["w"]).alias("x1"), F.greatest(last["h"], r["h"]).alias("h"), F.concat(last["runs"], F.array(F.struct(r["x"].alias("x"), r["text"].alias("text")))).alias("runs"))
+        fresh = F.struct(r["y"].alias("y"), r["x"].alias("x"), (r["x"] + r["w"]).alias("x1"), r["h"].alias("h"), kept(r).alias("runs"))
+        joined = F.struct(last["y"].alias("y"), F.least(last["x"], r["x"]).alias("x"), F.greatest(last["x1"], r["x"] + r["w"]).alias("x1"), F.greatest(last["h"], r["h"]).alias("h"), F.concat(last["runs"], kept(r)).alias("runs"))
         near = F.abs(r["y"] - last["y"]) < F.greatest(r["size"], F.lit(6.0)) * 0.5
         return F.when((F.size(lines) > 0) & near, F.concat(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(lines, F.array(fresh)))
 
-    folded = runs.select("book_id", "page", F.posexplode(F.aggregate("runs", F.array().cast(line_type), step)).alias("line_no", "l"))
-    return folded.select("book_id", "page", "line_no", "l.x", "l.y", (F.col("l.x1") - F.col("l.x")).alias("w"), "l.h", F.array_join(F.transform(F.array_sort("l.runs"), lambda r: r["text"]), "").alias("text"))
+    folded = runs.select("book_id", "page", F.posexplode(F.aggregate("runs", F.array().cast(line_type), step)).alias("line_no", "l")).withColumn("o", F.array_sort("l.runs"))
+    return folded.select("book_id", "page", "line_no", "l.x", "l.y", (F.col("l.x1") - F.col("l.x")).alias("w"), "l.h", F.array_join(F.transform("o", lambda r: r["text"]), "").alias("text"), dominant_size(F.col("o")).cast("double").alias("size"), F.col("o").alias("runs"))
+
+
+def fonts(spans: DataFrame) -> DataFrame:
+    """The distinct fonts of each page, in order."""
+    return spans.groupBy("page").agg(F.array_sort(F.collect_set("font")).alias("fonts"))
+
+
+def toggled(chosen: Column, page: Column) -> Column:
+    """A selection of pages with ``page`` taken out, or in."""
+    return F.array_union(F.array_except(chosen, F.array(page)), F.array_except(F.array(page), chosen))
+
+
+def all_but(pages: Column, page: Column) -> Column:
+    return F.array_except(pages, F.array(page))

@@ -10,6 +10,7 @@ from ..operators import books as B
 from ..operators import pages as P
 from ..operators import paragraphs as G
 from ..operators import regions as R
+from ..session import keep
 from . import synthetic as S
 from . import text_queries as Q
 from .catalog import query, table
@@ -17,13 +18,14 @@ from .catalog import query, table
 _BLOCKS = f"WITH {S.BLOCKS_SQL}"
 
 
-def _body(spark, sf_dir):
-    return P.body_lines(Q._marked(spark, sf_dir))
+def _kept_marked(spark, sf_dir):
+    """Marked lines as a table: several steps read them."""
+    return keep(Q._marked(spark, sf_dir).select("book_id", "page", "line_no", "text", "x", "y", "w", "h", "size", "runs", "height", "role"))
 
 
-def _bounded(spark, sf_dir):
-    body = _body(spark, sf_dir)
-    return G.bounds(body, P.body_metrics(body), S.pages(spark, sf_dir))
+def _bounded(marked):
+    body = P.body_lines(marked)
+    return G.bounds(body, P.body_metrics(body))
 
 
 _BOUNDS = f"""{Q._METRICS}, br AS (SELECT bd.*, mt.*, lp.height, x >= body_left + 20 AND w < modal_width * 0.5 AND NOT regexp_matches(flat, '\\p{{L}}') AS sep, floor(size + 0.5) AS dom FROM bd JOIN mt USING (book_id) JOIN lp USING (book_id, page)),
@@ -33,48 +35,67 @@ pn AS (SELECT *, sum(CAST(is_new AS INT)) OVER (PARTITION BY book_id ORDER BY pa
 
 @query("paragraph_bounds", f"{_BOUNDS} SELECT book_id, page, line_no, is_new, CAST(para AS BIGINT) AS para FROM pn")
 def paragraph_bounds(spark, sf_dir):
-    return _bounded(spark, sf_dir).select("book_id", "page", "line_no", "is_new", "para")
+    return _bounded(_kept_marked(spark, sf_dir)).select("book_id", "page", "line_no", "is_new", "para")
 
 
-def _paragraphs(spark, sf_dir):
-    return G.unwrap(_bounded(spark, sf_dir), P.printed_pages(Q._marked(spark, sf_dir)), P.compound_evidence(S.lines(spark, sf_dir)))
+def _paragraphs(marked):
+    return G.unwrap(_bounded(marked), P.printed_pages(marked), P.compound_evidence(marked))
 
 
-_PARAS = f"""{_BOUNDS}, nu AS (SELECT book_id, page, CAST(arg_min(num, line_no) AS INT) AS printed FROM (SELECT *, regexp_extract(flat, '(?:^|\\s)([0-9]{{1,4}})(?:\\s|$)', 1) AS num FROM fu WHERE role = 'furniture') WHERE num <> '' GROUP BY ALL),
-es AS (SELECT pn.*, coalesce(printed, page) AS shown, regexp_replace(regexp_replace(regexp_replace(text, '[{T.BLANK}]+', ' ', 'g'), '([\\*$\\[\\]^])', '\\\\\\1', 'g'), '^ | $', '', 'g') AS t FROM pn LEFT JOIN nu USING (book_id, page)),
-pa AS (SELECT book_id, para, CASE WHEN bool_or(sep) THEN 'separator' ELSE 'paragraph' END AS kind, string_agg(t, ' ' ORDER BY page, line_no) AS text, CAST(arg_min(dom, page * 1000000 + line_no) AS BIGINT) AS size, count(DISTINCT shown) AS n_shown, min(shown) AS shown FROM es GROUP BY book_id, para)""".replace("'\\\\s", "'\\s")
+# Line texts in the dialect, and how a fold would join them, for one-style lines (columns e: escaped text, italic).
+_ESCAPED = f"regexp_replace(regexp_replace(regexp_replace(text, '[{T.BLANK}]+', ' ', 'g'), '([\\*$\\[\\]^])', '\\\\\\1', 'g'), '^ | $', '', 'g')"
+_EVIDENCE = rf"ev AS (SELECT DISTINCT book_id, lower(m) AS compound FROM (SELECT book_id, unnest(regexp_extract_all(regexp_replace(t, '\p{{L}}+-\p{{L}}+$', ''), '\p{{L}}+-\p{{L}}+')) AS m FROM (SELECT book_id, {Q._LINE} AS t FROM ln)))"
 
 
-@query("unwrap", _PARAS.replace("(?:^|\\\\s)", "(?:^|\\s)") + " SELECT book_id, CAST(para AS BIGINT) AS para, kind, text, size, CASE WHEN n_shown = 1 THEN shown END AS page, CASE WHEN n_shown > 1 THEN n_shown END AS n_pages FROM pa")
-def unwrap(spark, sf_dir):
-    return _paragraphs(spark, sf_dir).select("book_id", "para", "kind", "text", "size", "page", F.when(F.col("pages").isNotNull(), F.size("pages")).cast("long").alias("n_pages"))
+def _folded(source: str, group: str) -> str:
+    """SQL: rows of ``source`` joined by ``group``, as a string aggregate over what each line leaves."""
+    return rf"""ne AS (SELECT *, lead(e) OVER w AS e2, coalesce(lead(italic) OVER w, false) AS it2, coalesce(lag(italic) OVER w, false) AS it0 FROM {source} WINDOW w AS (PARTITION BY book_id, {group} ORDER BY page, line_no)),
+hy AS (SELECT *, e2 IS NOT NULL AND suffix(e, '-') AND (NOT italic OR it2) AS hard, lower(regexp_extract(e, '(\p{{L}}+)-$', 1) || '-' || CASE WHEN it2 AND NOT italic THEN '' ELSE regexp_extract(e2, '^(\p{{L}}+)', 1) END) AS compound FROM ne),
+kp AS (SELECT hy.*, hard AND ev.compound IS NOT NULL AS keeps FROM hy LEFT JOIN ev ON hy.book_id = ev.book_id AND hy.compound = ev.compound),
+jo AS (SELECT *, CASE WHEN italic AND NOT it0 THEN '*' ELSE '' END || CASE WHEN hard AND NOT keeps THEN left(e, length(e) - 1) ELSE e END || CASE WHEN italic AND NOT it2 THEN '*' ELSE '' END || CASE WHEN e2 IS NULL OR hard THEN '' ELSE ' ' END AS piece FROM kp)"""
+
 
+_PARAS = (
+    rf"""{_BOUNDS}, nu AS (SELECT book_id, page, CAST(arg_min(num, line_no) AS INT) AS printed FROM (SELECT *, regexp_extract(flat, '(?:^|\s)([0-9]{{1,4}})(?:\s|$)', 1) AS num FROM fu WHERE role = 'furniture') WHERE num <> '' GROUP BY ALL),
+{_EVIDENCE}, es AS (SELECT pn.*, coalesce(printed, page) AS shown, {_ESCAPED} AS e FROM pn LEFT JOIN nu USING (book_id, page)),
+{_folded('es', 'para')},
+pa AS (SELECT book_id, para, CASE WHEN bool_or(sep) THEN 'separator' ELSE 'paragraph' END AS kind, string_agg(piece, '' ORDER BY page, line_no) AS text, CAST(arg_min(dom, page * 1000000 + line_no) AS BIGINT) AS size, count(DISTINCT shown) AS n_shown, min(shown) AS shown FROM jo GROUP BY book_id, para)"""
+)
 
-_FOLD_CASES = [
-    (["unpleas­", "ant things"], "unpleasant things"), (["he did consid-", "ered it"], "he did considered it"), (["a red-", "hot iron"], "a red-hot iron"),
-    (["one *sum­*", "*mer day*"], "one *summer day*"), (["plain", "line"], "plain line"),
-]
+
+@query("unwrap", _PARAS + " SELECT book_id, CAST(para AS BIGINT) AS para, kind, text, size, CASE WHEN n_shown = 1 THEN shown END AS page, CASE WHEN n_shown > 1 THEN n_shown END AS n_pages FROM pa")
+def unwrap(spark, sf_dir):
+    return _paragraphs(_kept_marked(spark, sf_dir)).select("book_id", "para", "kind", "text", "size", "page", F.when(F.col("pages").isNotNull(), F.size("pages")).cast("long").alias("n_pages"))
 
 
-@query("dehyphenate", "SELECT p_partkey, v AS text, CAST(a AS INT) AS at FROM part JOIN (VALUES (0, 'unpleasant things', 7), (1, 'he did considered it', 13), (2, 'a red-hot iron', 6), (3, 'one *summer day*', 8), (4, 'plain line', 6)) t(i, v, a) ON p_partkey % 5 = i")
+@query("dehyphenate", rf"WITH {S.LINES_SQL}, {_EVIDENCE}, es AS (SELECT * EXCLUDE (italic), false AS italic, {_ESCAPED} AS e FROM ln), {_folded('es', 'page')} SELECT book_id, page, string_agg(piece, '' ORDER BY line_no) AS text FROM jo GROUP BY ALL")
 def dehyphenate(spark, sf_dir):
-    given = F.lit(None).cast("array<string>")
-    for i, (parts, _) in enumerate(_FOLD_CASES):
-        given = F.when(F.col("p_partkey") % 5 == i, F.array(*map(F.lit, parts))).otherwise(given)
-    lines = F.transform(given, lambda t, i: F.struct(t.alias("text"), (i + 30).cast("int").alias("page")))
-    j = G.join_lines(lines, F.array(F.lit("red-hot")))
-    return table(spark, sf_dir, "part").select("p_partkey", j.alias("j")).select("p_partkey", "j.text", F.get("j.pages", F.lit(1))["at"].alias("at"))
+    """Every page's lines as one plain paragraph."""
+    lines = S.lines(spark, sf_dir)
+    plain = lines.select("book_id", F.col("page").alias("para"), "page", "line_no", T.strip(T.escape_dialect(F.regexp_replace("text", f"[{T.BLANK}]+", " "))).alias("t"))
+    told = G.kept_hyphens(plain, P.compound_evidence(lines))
+    rows = told.groupBy("book_id", "page").agg(F.array_sort(F.collect_list(F.struct("line_no", F.col("t").alias("text"), "page", "keeps"))).alias("rows"))
+    return rows.select("book_id", "page", G.join_lines(F.col("rows"))["text"].alias("text"))
 
 
-_RUNS = [([("see ", False, False), ("this", True, False), (" now", False, False)], "see *this* now"), ([("a", True, True), (" ", False, True), ("b*", False, False)], r"***a*** b\*"), ([("x ", False, True), ("y", False, True)], "**x y**")]
+_THIRDS = "SELECT book_id, page, line_no, " + ", ".join(f"regexp_replace(x{k}, '[{T.BLANK}]+', ' ', 'g') AS x{k}" for k in (1, 2, 3)) + " FROM (SELECT book_id, page, line_no, left(text, length(text) // 3) AS x1, substring(text, length(text) // 3 + 1, length(text) // 3) AS x2, substring(text, 2 * (length(text) // 3) + 1) AS x3 FROM ln)"
+_ESC = lambda x: rf"regexp_replace({x}, '([\*$\[\]^])', '\\\1', 'g')"
 
 
-@query("line_dialect", r"SELECT p_partkey, v AS text FROM part JOIN (VALUES (0, 'see *this* now'), (1, '***a*** b\*'), (2, '**x y**')) t(i, v) ON p_partkey % 3 = i")
+def _styled(x: str, m: str) -> str:
+    core = f"trim({x}, ' ')"
+    return f"CASE WHEN {core} = '' THEN {x} ELSE regexp_extract({x}, '^( *)', 1) || '{m}' || {_ESC(core)} || '{m}' || regexp_extract({x}, '( *)$', 1) END"
+
+
+@query("line_dialect", f"WITH {S.LINES_SQL}, th AS ({_THIRDS}) SELECT book_id, page, line_no, trim({_ESC('x1')} || CASE line_no % 3 WHEN 0 THEN {_styled('x2', '*')} || {_styled('x3', '***')} WHEN 1 THEN {_styled('(x2 || x3)', '**')} ELSE {_styled('x2', '***')} || {_ESC('x3')} END, ' ') AS text FROM th")
 def line_dialect(spark, sf_dir):
-    given = F.lit(None)
-    for i, (runs, _) in enumerate(_RUNS):
-        given = F.when(F.col("p_partkey") % 3 == i, F.array(*(F.struct(F.lit(t).alias("text"), F.lit(a).alias("italic"), F.lit(b).alias("bold")) for t, a, b in runs))).otherwise(given)
-    return table(spark, sf_dir, "part").select("p_partkey", given.alias("r")).select("p_partkey", G.line_dialect(F.col("r")).alias("text"))
+    """Every line as three runs: the second and third styled by line number, alike in a third of the lines."""
+    n, k = F.char_length("text"), F.col("line_no") % 3
+    third = F.floor(n / 3).cast("int")
+    parts = (F.substring("text", F.lit(1), third), F.substring("text", third + 1, third), F.substring("text", 2 * third + 1, n))
+    styles = ((F.lit(False), F.lit(False)), (k != 1, k != 0), (k == 0, k != 2))
+    runs = F.array(*(F.struct(t.alias("text"), i.alias("italic"), b.alias("bold")) for t, (i, b) in zip(parts, styles, strict=True)))
+    return S.lines(spark, sf_dir).select("book_id", "page", "line_no", G.line_dialect(runs).alias("text"))
 
 
 # Paragraph-like rows with varied sizes, for the outline operators.
@@ -123,10 +144,10 @@ _SPANS = "l_orderkey % 60 AS book_id, CAST(l_orderkey AS INT) AS page, CAST(l_li
 
 @query("group_lines", f"SELECT book_id, page, CAST(row_number() OVER (PARTITION BY book_id, page ORDER BY y) - 1 AS INT) AS line_no, x, y, w, h, text FROM (SELECT book_id, page, k, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(h) AS h, string_agg(text, '' ORDER BY x, text) AS text FROM (SELECT *, floor(y / 12) AS k FROM (SELECT {_SPANS} FROM lineitem)) GROUP BY book_id, page, k)")
 def group_lines(spark, sf_dir):
-    return P.group_lines(table(spark, sf_dir, "lineitem").selectExpr(*S._split(_SPANS)))
+    return P.group_lines(table(spark, sf_dir, "lineitem").selectExpr(*S._split(_SPANS))).drop("size", "runs")
 
 
-@query("scan_spans", f"SELECT book_id, page, x, y, text FROM (SELECT {_SPANS} FROM lineitem) WHERE page % 10 = 3")
+@query("scan_spans", f"SELECT book_id, page, x, y, text FROM (SELECT {_SPANS} FROM lineitem)")
 def scan_spans(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").selectExpr(*S._split(_SPANS)).select("book_id", "page", "x", "y", "text")
 
@@ -219,7 +240,7 @@ def block_order(spark, sf_dir):
 
 @query("image_order", f"SELECT book_id, image_id, y, rank() OVER (PARTITION BY book_id ORDER BY page, y) AS place FROM (SELECT {S.IMAGES} FROM lineitem)")
 def image_order(spark, sf_dir):
-    return S.images(spark, sf_dir).select("book_id", "image_id", "y", F.rank().over(Window.partitionBy("book_id").orderBy("page", "y")).cast("long").alias("place"))
+    return B.image_order(S.images(spark, sf_dir)).select("book_id", "image_id", "y", "place")
 
 
 @query("image_asof", f"{_BLOCKS}, im AS (SELECT c_custkey % 300 AS book_id, CAST(c_custkey % 9 AS INT) AS page, c_custkey AS image_id FROM customer) SELECT im.book_id, im.image_id, im.page, CAST(coalesce(max(bl.pos), -1) AS BIGINT) AS after FROM im LEFT JOIN bl ON bl.book_id = im.book_id AND bl.page <= im.page GROUP BY ALL")
@@ -228,7 +249,7 @@ def image_asof(spark, sf_dir):
     return B.place_images(im, S.blocks(spark, sf_dir))
 
 
-@query("heading_ids")
+@query("heading_ids", f"{_BLOCKS}, sg AS (SELECT book_id, pos, coalesce(nullif(regexp_replace(substr({Q._SLUG}, 1, 40), '^-+|-+$', '', 'g'), ''), 'section') AS s FROM bl WHERE type = 'heading') SELECT book_id, CAST(pos AS BIGINT) AS pos, CASE WHEN n = 1 THEN s ELSE concat(s, '-', n) END AS id FROM (SELECT *, row_number() OVER (PARTITION BY book_id, s ORDER BY pos) AS n FROM sg)")
 def heading_ids(spark, sf_dir):
     return B.unique_ids(S.blocks(spark, sf_dir))
 
@@ -330,7 +351,7 @@ def block_edit(spark, sf_dir):
 
 @query("book_stats", f"{_BLOCKS} SELECT book_id, count(*) AS n_blocks, count(*) FILTER (type = 'heading') AS n_headings, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM bl GROUP BY book_id")
 def book_stats(spark, sf_dir):
-    return S.blocks(spark, sf_dir).groupBy("book_id").agg(F.count("*").alias("n_blocks"), F.count_if(F.col("type") == "heading").alias("n_headings"), F.sum(F.char_length("text")).alias("n_chars"))
+    return B.stats(S.blocks(spark, sf_dir))
 
 
 @query("recent_docs", "SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 3")
@@ -343,9 +364,9 @@ def selection_ops(spark, sf_dir):
     page = (F.col("o_custkey") % 6 + 1).cast("int")
     whole = F.array(*map(F.lit, range(1, 7)))
     some = F.array(*map(F.lit, range(1, 5)))
-    toggle = F.array_union(F.array_except(some, F.array(page)), F.array_except(F.array(page), some))
+    toggle = P.toggled(some, page)
     text = lambda a: F.array_join(F.array_sort(a).cast("array<string>"), ",")
-    return table(spark, sf_dir, "orders").select("o_orderkey", text(F.when(page == 3, F.array_except(whole, F.array(page))).otherwise(whole)).alias("all_but"), text(toggle).alias("toggled"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text(F.when(page == 3, P.all_but(whole, page)).otherwise(whole)).alias("all_but"), text(toggle).alias("toggled"))
 
 
 @query("request_checks", "SELECT o_orderkey, o_orderkey % 2 = 0 AS id_ok, o_custkey % 5 > 0 AS page_ok, o_totalprice / 100000 BETWEEN 0.2 AND 3 AS scale_ok, o_orderkey % 3 <> 0 AS file_ok, o_custkey % 4 <> 0 AS pages_ok FROM orders")
@@ -362,12 +383,34 @@ def book_json(spark, sf_dir):
     return S.blocks(spark, sf_dir).groupBy("book_id").agg(content.alias("content")).select("book_id", F.to_json(F.struct(F.concat(F.lit("Book "), F.col("book_id").cast("string")).alias("title"), F.lit("en").alias("language"), "content", F.create_map().cast("map<string,string>").alias("footnotes"))).alias("json"))
 
 
-@query("pdf_book")
+_BOOK = (
+    rf"""{_PARAS},
+tn AS (SELECT *, sum(length(piece)) OVER w - length(piece) AS spot, coalesce(lag(shown) OVER w, -1) AS before FROM jo WINDOW w AS (PARTITION BY book_id, para ORDER BY page, line_no)),
+tu AS (SELECT book_id, para, '[' || string_agg('{{"page":' || shown || CASE WHEN before = -1 THEN '' ELSE ',"at":' || spot END || '}}', ',' ORDER BY page, line_no) || ']' AS pages, count(*) AS turns FROM tn WHERE shown <> before GROUP BY book_id, para),
+fs AS (SELECT book_id, CAST(m AS BIGINT) AS body_size FROM {Q._FIRST('floor(size + 0.5)', '(SELECT *, page * 1000000 + line_no AS pos FROM fu WHERE role IS NULL)', 'greatest(1, length(text))')}),
+ot AS (SELECT pa.book_id, pa.para, kind, text, size, CASE WHEN turns = 1 THEN shown END AS page, CASE WHEN turns > 1 THEN pages END AS pages, body_size FROM pa JOIN tu USING (book_id, para) JOIN fs USING (book_id)),
+c1 AS (SELECT *, coalesce(length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) <= 2 AND length(text) <= 4 AND size >= body_size * 2 AND lead(kind) OVER w = 'paragraph', false) AS cand, row_number() OVER w AS n FROM ot WINDOW w AS (PARTITION BY book_id ORDER BY para)),
+c2 AS (SELECT *, n - sum(CAST(cand AS INT)) OVER (PARTITION BY book_id ORDER BY para) AS island FROM c1),
+c3 AS (SELECT *, cand AND row_number() OVER (PARTITION BY book_id, island, cand ORDER BY para) % 2 = 1 AS takes FROM c2),
+c4 AS (SELECT *, coalesce(lag(takes) OVER w, false) AS taken, lag(text) OVER w AS text0, lag(page) OVER w AS page0 FROM c3 WINDOW w AS (PARTITION BY book_id ORDER BY para)),
+dc AS (SELECT book_id, para, kind, CASE WHEN taken THEN text0 || text ELSE text END AS text, size, CASE WHEN taken AND pages IS NULL THEN coalesce(page0, page) ELSE page END AS page, pages, body_size FROM c4 WHERE NOT takes),
+rk AS (SELECT book_id, size, row_number() OVER (PARTITION BY book_id ORDER BY size DESC) AS r FROM (SELECT DISTINCT book_id, size FROM dc WHERE size >= body_size * 1.25)),
+lv AS (SELECT dc.* EXCLUDE (kind), CASE WHEN kind = 'separator' THEN 'separator' WHEN r IS NOT NULL THEN 'heading' ELSE 'paragraph' END AS kind, CASE WHEN kind <> 'separator' AND r IS NOT NULL THEN CAST(least(r, 6) AS INT) END AS level FROM dc LEFT JOIN rk USING (book_id, size)),
+m1 AS (SELECT *, CASE WHEN kind = 'heading' AND lag(kind) OVER w = 'heading' AND lag(page) OVER w = page THEN 0 ELSE 1 END AS new FROM lv WINDOW w AS (PARTITION BY book_id ORDER BY para)),
+m2 AS (SELECT *, sum(new) OVER (PARTITION BY book_id ORDER BY para) AS g, lead(new) OVER (PARTITION BY book_id ORDER BY para) AS next_new FROM m1),
+mg AS (SELECT book_id, min(para) AS pos, arg_min(kind, para) AS kind, min(level) AS level, string_agg(text || CASE WHEN coalesce(next_new, 1) = 0 AND NOT suffix(text, '-') THEN ' ' ELSE '' END, '' ORDER BY para) AS text, any_value(page) AS page, any_value(pages) AS pages FROM m2 GROUP BY book_id, g),
+sg AS (SELECT *, coalesce(nullif(regexp_replace(substr({Q._SLUG}, 1, 40), '^-+|-+$', '', 'g'), ''), 'section') AS s FROM mg),
+hd AS (SELECT *, row_number() OVER (PARTITION BY book_id, s ORDER BY pos) AS k FROM sg WHERE kind = 'heading')
+SELECT sg.book_id, CAST(sg.pos AS BIGINT) AS pos, sg.kind, sg.level, sg.text, CASE WHEN k = 1 THEN hd.s ELSE hd.s || '-' || k END AS id, sg.page, sg.pages FROM sg LEFT JOIN hd USING (book_id, pos)"""
+)
+
+
+@query("pdf_book", _BOOK)
 def pdf_book(spark, sf_dir):
     """Lines to an outline: paragraphs, headings and ids of every book."""
-    paras = _paragraphs(spark, sf_dir)
-    sized = G.drop_caps(paras, P.body_font_size(Q._marked(spark, sf_dir)))
-    blocks = G.merge_headings(G.heading_levels(sized)).withColumn("pos", F.col("para"))
+    marked = _kept_marked(spark, sf_dir)
+    sized = keep(G.drop_caps(_paragraphs(marked), P.body_font_size(marked)))
+    blocks = keep(G.merge_headings(G.heading_levels(sized)).withColumn("pos", F.col("para")))
     ids = B.unique_ids(blocks.withColumn("type", F.col("kind")))
     return blocks.join(ids, ["book_id", "pos"], "left").select("book_id", "pos", "kind", "level", "text", "id", "page", F.to_json("pages").alias("pages"))
 

@@ -1,8 +1,8 @@
 """Document-like inputs made from the driver tables, the same way in Spark and in SQL.
 
 The tables hold no geometry, fonts or regions, so they are derived with integer rules:
-``documents`` are the pages of a book per source, with a planted running head and page
-number; ``lineitem`` gives layout regions and boxes; ``conversations`` give blocks.
+``documents`` are pages, those of one source and a range of ``BOOK_IDS`` ids are a book, with
+planted running heads, page numbers, italic lines and hyphens at line ends; ``lineitem`` gives layout regions and boxes; ``conversations`` give blocks.
 Where a rule is plain SQL, one string serves both engines.
 """
 
@@ -12,19 +12,22 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .catalog import table
 
-LINES_SQL = """
-pg AS (SELECT source AS book_id, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS page, (doc_id % 10) / 10.0 AS image_coverage, coalesce(text, '') AS text FROM documents),
+#: A book's pages come from so many neighbouring ids at most, whatever the input.
+BOOK_IDS = 400
+
+LINES_SQL = f"""
+pg AS (SELECT coalesce(source, 'none') || '-' || CAST(doc_id // {BOOK_IDS} AS VARCHAR) AS book_id, doc_id, CAST(row_number() OVER (PARTITION BY coalesce(source, 'none'), doc_id // {BOOK_IDS} ORDER BY doc_id) AS INTEGER) AS page, (doc_id % 10) / 10.0 AS image_coverage, coalesce(text, '') AS text FROM documents),
 sp AS (SELECT *, list_concat(['Running Head'], string_split(text, chr(10)), [CAST(page + 100 AS VARCHAR)]) AS s FROM pg),
 l0 AS (SELECT book_id, page, CAST(unnest(generate_series(0, len(s) - 1)) AS INTEGER) AS line_no, unnest(s) AS text FROM sp),
-ln AS (SELECT book_id, page, line_no, text, 41.0 + (CASE WHEN line_no % 7 = 0 THEN 12 ELSE 0 END) AS x, 4.0 + 12 * line_no AS y, 5.0 * length(text) AS w, 10.0 AS h, CASE WHEN line_no = 1 THEN 20.0 ELSE 10.0 END AS size FROM l0),
+l1 AS (SELECT book_id, page, line_no, CASE WHEN line_no % 11 = 3 AND text <> '' THEN text || '-' ELSE text END AS text, line_no % 5 IN (2, 3) AS italic FROM l0),
+ln AS (SELECT book_id, page, line_no, text, italic, 41.0 + (CASE WHEN line_no % 7 = 0 THEN 12 ELSE 0 END) AS x, 4.0 + 12 * line_no AS y, 5.0 * length(text) AS w, 10.0 AS h, CASE WHEN line_no = 1 THEN 20.0 ELSE 10.0 END AS size FROM l1),
 lp AS (SELECT pg.book_id, pg.page, 612.0 AS width, 4.0 + 12 * (len(sp.s) - 1) + 30 AS height, pg.image_coverage FROM pg JOIN sp USING (book_id, page))
 """
 
 
 def pages_with_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    number = docs.select(F.col("source").alias("book_id"), "doc_id").withColumn("page", F.row_number().over(Window.partitionBy("book_id").orderBy("doc_id")))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(number, "doc_id")
+    rows = table(spark, sf_dir, "documents").selectExpr(f"concat(coalesce(source, 'none'), '-', doc_id div {BOOK_IDS}) as book_id", "doc_id", "coalesce(text, '') as text")
+    rows = rows.withColumn("page", F.row_number().over(Window.partitionBy("book_id").orderBy("doc_id")))
     return rows.withColumns({"image_coverage": (F.col("doc_id") % 10) / 10.0, "s": F.concat(F.array(F.lit("Running Head")), F.split("text", "\n"), F.array((F.col("page") + 100).cast("string")))})
 
 
@@ -33,27 +36,26 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of one run each."""
     rows = pages_with_text(spark, sf_dir).select("book_id", "page", F.posexplode("s").alias("line_no", "text"))
     n = F.col("line_no")
-    return rows.withColumns({"x": 41.0 + F.when(n % 7 == 0, 12).otherwise(0), "y": 4.0 + 12 * n, "w": 5.0 * F.char_length("text"), "h": F.lit(10.0), "size": F.when(n == 1, 20.0).otherwise(10.0)})
+    rows = rows.withColumn("text", F.when((n % 11 == 3) & (F.col("text") != ""), F.concat("text", F.lit("-"))).otherwise(F.col("text")))
+    rows = rows.withColumns({"x": 41.0 + F.when(n % 7 == 0, 12).otherwise(0), "y": 4.0 + 12 * n, "w": 5.0 * F.char_length("text"), "h": F.lit(10.0), "size": F.when(n == 1, 20.0).otherwise(10.0)})
+    return rows.withColumn("runs", F.array(F.struct("text", (n % 5).isin(2, 3).alias("italic"), F.lit(False).alias("bold"), "size")))
 
 
 BLOCKS = """conv_id AS book_id, turn AS pos,
 CASE turn % 6 WHEN 0 THEN 'heading' WHEN 1 THEN 'text' WHEN 2 THEN 'image' WHEN 3 THEN 'heading' WHEN 4 THEN 'quote' ELSE 'formula' END AS type,
 CAST(1 + (turn * 5 + conv_id) % 4 AS INT) AS level,
 CASE WHEN turn % 6 = 1 AND conv_id % 5 = 0 THEN 'running-header' WHEN turn % 6 = 1 AND conv_id % 5 = 1 THEN 'caption' END AS role,
-substring(coalesce(text, ''), 1, 12) AS text,
-CASE WHEN turn % 3 = 0 THEN concat('id-', CAST((turn + conv_id) % 7 AS STRING)) END AS id,
+coalesce(text, '') AS text,
+CASE WHEN turn % 3 = 0 THEN concat('id-', CAST((turn + conv_id) % 2 AS STRING)) END AS id,
 CAST(1 + floor(turn / 2) AS INT) AS page,
 CASE WHEN turn % 6 = 2 THEN concat('assets/a', CAST(conv_id % 10 AS STRING), '.png') END AS file"""
 
 
-#: The same blocks with their whole texts; BLOCKS, which the SQL uses, cuts them.
-WHOLE_BLOCKS = BLOCKS.replace("substring(coalesce(text, ''), 1, 12)", "coalesce(text, '')")
-
-
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").selectExpr(*_split(WHOLE_BLOCKS))
+    return table(spark, sf_dir, "conversations").selectExpr(*_split(BLOCKS))
 
 
 BLOCKS_SQL = f"bl AS (SELECT {BLOCKS} FROM conversations)"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import pages as P
+from ..sources import recognised
 from . import synthetic as S
 from .catalog import query, table
 
@@ -223,7 +224,7 @@ def content_images(spark, sf_dir):
 @query("page_fonts", "SELECT l_suppkey AS page, array_to_string(list_sort(list(DISTINCT concat('Font-', l_returnflag, CASE WHEN l_linestatus = 'O' THEN '-Italic' ELSE '-Bold' END))), ',') AS fonts FROM lineitem GROUP BY l_suppkey")
 def page_fonts(spark, sf_dir):
     font = F.concat(F.lit("Font-"), "l_returnflag", F.when(F.col("l_linestatus") == "O", "-Italic").otherwise("-Bold"))
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("page")).agg(F.array_join(F.array_sort(F.collect_set(font)), ",").alias("fonts"))
+    return P.fonts(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), font.alias("font"))).select("page", F.array_join("fonts", ",").alias("fonts"))
 
 
 @query("font_style", "SELECT l_orderkey, l_linenumber, f, regexp_matches(f, '(?i)italic|oblique|-it\\b|-ital\\b') AS italic, regexp_matches(f, '(?i)bold|black|heavy|-bd\\b|semib') AS bold FROM (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 5 WHEN 0 THEN 'Times-It' WHEN 1 THEN 'Arial-Black' WHEN 2 THEN 'Foo-SemiBoldOblique' WHEN 3 THEN 'Gotham-Bd' ELSE 'Plain' END AS f FROM lineitem)".replace("\\\\b", "\\b"))
@@ -295,16 +296,25 @@ def sniff_kind(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.sniff_kind(name, head).alias("kind"))
 
 
-@query("cache_keys", "SELECT p_partkey, sha256(concat('engine-1', chr(0), p_name, chr(0), 'en')) AS key FROM part".replace("chr(0)", "chr(1)"))
+# A page's picture stands for two parts, so that a cache of some parts also serves others.
+_PNG = "concat(p_name, '/', CAST(p_partkey // 2 AS VARCHAR))"
+_KEY = f"sha256(encode('engine-1') || '\\x00'::BLOB || encode({_PNG}) || '\\x00'::BLOB || encode('en,de'))"
+
+
+def _keyed(spark, sf_dir):
+    png = F.encode(F.concat("p_name", F.lit("/"), F.floor(F.col("p_partkey") / 2).cast("string")), "UTF-8")
+    return table(spark, sf_dir, "part").select("p_partkey", recognised.cache_key("engine-1", png, ["en", "de"]).alias("key"))
+
+
+@query("cache_keys", f"SELECT p_partkey, {_KEY} AS key FROM part")
 def cache_keys(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.sha2(F.concat(F.lit("engine-1\x01"), "p_name", F.lit("\x01en")), 256).alias("key"))
+    return _keyed(spark, sf_dir)
 
 
-@query("cache_misses", "SELECT p_partkey FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_partkey % 3 = 0)")
+@query("cache_misses", f"SELECT p_partkey FROM part WHERE {_PNG} NOT IN (SELECT {_PNG} FROM part WHERE p_partkey % 3 = 0)")
 def cache_misses(spark, sf_dir):
-    key = F.sha2(F.concat(F.lit("engine-1\x01"), "p_name", F.lit("\x01en")), 256)
-    rows = table(spark, sf_dir, "part").withColumn("key", key)
-    return rows.join(rows.where("p_partkey % 3 = 0").select("key").distinct(), "key", "left_anti").select("p_partkey")
+    rows = _keyed(spark, sf_dir)
+    return recognised.misses(rows, rows.where("p_partkey % 3 = 0")).select("p_partkey")
 
 
 @query("decode_entities", "SELECT page_id, replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&') || '€A&bogus;' AS decoded FROM pages")

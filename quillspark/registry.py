@@ -8,7 +8,8 @@ from .plans import book_queries, catalog, stream_queries, text_queries  # noqa:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.QUERIES["verdict_counts"](spark, sf_dir)
+    """Every book rebuilt from its pages' lines: paragraphs, headings, ids and page offsets."""
+    return catalog.QUERIES["pdf_book"](spark, sf_dir)
 
 
 def queries() -> dict:

@@ -1,7 +1,8 @@
-"""EPUB 3 writer and reader (one book a task), and book folders."""
+"""EPUB 3 writer and reader, a book at a time; a book that fails is a row with its error."""
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import posixpath
@@ -13,7 +14,7 @@ from xml.sax.saxutils import escape as _esc
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..functions.inline import InlineError, parse, plain
+from ..functions.inline import InlineError, escape, parse, plain, render
 from ..functions.text import MEDIA_TYPES
 from ..operators.books import DEMOTED
 from . import xhtml
@@ -26,26 +27,98 @@ def _x(s: str) -> str:
     return _esc(s, {'"': "&quot;", "'": "&apos;"})
 
 
-def inline_html(nodes: list[dict], labels: dict[str, str] | None = None) -> str:
-    out = []
-    for n in nodes:
-        kind = n["kind"]
-        if kind == "text":
-            out.append(_x(n["text"]))
-        elif kind in ("em", "strong"):
-            out.append(f"<{kind}>{inline_html(n['children'], labels)}</{kind}>")
-        elif kind == "math":  # no typesetter here: the source, as text and as annotation
-            out.append(f'<math xmlns="http://www.w3.org/1998/Math/MathML"><semantics><mtext>{_x(n["tex"])}</mtext><annotation encoding="application/x-tex">{_x(n["tex"])}</annotation></semantics></math>')
-        elif kind == "noteref":
-            out.append(f'<a epub:type="noteref" href="#{n["id"]}"><sup>{_x((labels or {}).get(n["id"], "?"))}</sup></a>')
-        else:
-            href = ("#" if n["target_kind"] == "internal" else "") + n["target"]
-            out.append(f'<a href="{_x(href)}">{inline_html(n["children"], labels)}</a>')
-    return "".join(out)
+def _break(page: int) -> str:
+    return f'<span epub:type="pagebreak" id="page-{page}" role="doc-pagebreak" aria-label="{page}"/>'
+
+
+class _Writer:
+    """Nodes as markup, with page breaks where the source's code points reach their offsets.
+
+    A break inside a marker, a link's target or an atom stands before the whole construct;
+    one between the two characters of an escape, before the character.
+    """
+
+    def __init__(self, labels: dict[str, str], breaks: list[tuple[int, int]]):
+        self.labels, self.due, self.out = labels, sorted(breaks), []
 
+    def _settle(self, before: int) -> None:
+        while self.due and self.due[0][0] < before:
+            self.out.append(_break(self.due.pop(0)[1]))
 
-def _text(source: str, labels: dict[str, str]) -> str:
-    return inline_html(parse(source), labels)
+    def nodes(self, nodes: list[dict], pos: int) -> int:
+        for n in nodes:
+            end = pos + len(render([n]))
+            self._settle(pos + 1)
+            getattr(self, "_" + n["kind"])(n, pos, end)
+            pos = end
+        return pos
+
+    def whole(self, nodes: list[dict]) -> str:
+        self._settle(self.nodes(nodes, 0) + (1 << 60))
+        return "".join(self.out)
+
+    def _text(self, n: dict, pos: int, end: int) -> None:
+        for c in n["text"]:
+            width = len(escape(c))
+            self._settle(pos + width)
+            self.out.append(_x(c))
+            pos += width
+
+    def _marked(self, n: dict, pos: int, end: int, lead: int, tag: str, close: str) -> None:
+        inner = sum(len(render([k])) for k in n["children"])
+        first, last = pos + lead, pos + lead + inner
+        inside = [d for d in self.due if first <= d[0] <= last]
+        self.due, later = [d for d in self.due if d[0] < end and d not in inside], [d for d in self.due if d[0] >= end and d not in inside]
+        self._settle(end)
+        self.out.append(tag)
+        self.due = inside
+        self.nodes(n["children"], first)
+        self._settle(last + 1)
+        self.out.append(close)
+        self.due = later
+
+    def _em(self, n, pos, end):
+        self._marked(n, pos, end, 1, "<em>", "</em>")
+
+    def _strong(self, n, pos, end):
+        self._marked(n, pos, end, 2, "<strong>", "</strong>")
+
+    def _link(self, n, pos, end):
+        href = ("#" if n["target_kind"] == "internal" else "") + n["target"]
+        self._marked(n, pos, end, 1, f'<a href="{_x(href)}">', "</a>")
+
+    def _math(self, n, pos, end):  # no typesetter here: the source, as text and as annotation
+        self._settle(end)
+        self.out.append(f'<math xmlns="http://www.w3.org/1998/Math/MathML"><semantics><mtext>{_x(n["tex"])}</mtext><annotation encoding="application/x-tex">{_x(n["tex"])}</annotation></semantics></math>')
+
+    def _noteref(self, n, pos, end):
+        self._settle(end)
+        self.out.append(f'<a epub:type="noteref" href="#{n["id"]}"><sup>{_x(self.labels.get(n["id"], "?"))}</sup></a>')
+
+
+def inline_html(nodes: list[dict], labels: dict[str, str] | None = None, breaks: list[tuple[int, int]] | None = None) -> str:
+    """``breaks``: (offset, page) of page breaks inside."""
+    return _Writer(labels or {}, breaks or []).whole(nodes)
+
+
+def _text(source: str, labels: dict[str, str], breaks: list[tuple[int, int]] | None = None, annotations: list[dict] | None = None) -> str:
+    """A text with its page breaks, or in spans by its annotations; none of those may cut a construct."""
+    if not annotations:
+        return inline_html(parse(source), labels, breaks)
+    marks = sorted(annotations, key=lambda x: x["start"])
+    cuts, out = [0, *(x for m in marks for x in (m["start"], m["end"])), len(source)], []
+    for k, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        try:
+            part = inline_html(parse(source[a:z]), labels)
+        except InlineError as e:
+            raise ValueError(f"an annotation cuts an inline construct between {a} and {z}: {e}") from e
+        if k % 2:
+            m = marks[k // 2]
+            tongue = f' xml:lang="{_x(m["language"])}" lang="{_x(m["language"])}"' if m.get("language") else ""
+            style = ' class="small-caps"' if m.get("style") == "small-caps" else ""
+            part = f"<span{tongue}{style}>{part}</span>"
+        out.append(part)
+    return "".join(out)
 
 
 def _attributes(b: dict, extra: str = "") -> str:
@@ -54,18 +127,19 @@ def _attributes(b: dict, extra: str = "") -> str:
     return "".join(" " + p for p in parts if p)
 
 
-def block_html(b: dict, labels: dict[str, str] | None = None) -> str:
-    """One block; a table or formula without grid or TeX needs its image."""
+def block_html(b: dict, labels: dict[str, str] | None = None, breaks: list[tuple[int, int]] | None = None) -> str:
+    """One block, with the page breaks (offset, page) inside its text; a table or formula without grid or TeX needs its image."""
     labels, kind = labels or {}, b["type"]
     a = _attributes(b, "formula" if kind == "formula" else "")
     image = lambda path, alt="": f'<img src="{_x(path)}" alt="{_x(alt)}"/>'
-    caption = f"<figcaption>{_x(b['caption'])}</figcaption>" if b.get("caption") else ""
+    caption = f"<figcaption>{_text(b['caption'], labels)}</figcaption>" if b.get("caption") else ""
     if kind == "heading":
-        return f"<h{b['level']}{a}>{_text(b['text'], labels)}</h{b['level']}>"
+        return f"<h{b['level']}{a}>{_text(b['text'], labels, breaks, b.get('annotations'))}</h{b['level']}>"
     if kind == "text":
-        return f"<p{a}>{_text(b['text'], labels)}</p>"
+        return f"<p{a}>{_text(b['text'], labels, breaks, b.get('annotations'))}</p>"
     if kind == "quote":
-        return f"<blockquote{a}><p>{_text(b['text'], labels)}</p></blockquote>"
+        said = f"<footer>{_text(b['attribution'], labels)}</footer>" if b.get("attribution") else ""
+        return f"<blockquote{a}><p>{_text(b['text'], labels, breaks, b.get('annotations'))}</p>{said}</blockquote>"
     if kind == "image":
         return f"<figure{a}>{image(b['file'], b.get('alt') or '')}{caption}</figure>"
     if kind == "list":
@@ -74,11 +148,13 @@ def block_html(b: dict, labels: dict[str, str] | None = None) -> str:
         return f"<{tag}{a}>{''.join(map(item, b['items']))}</{tag}>"
     if kind == "table" and b.get("rows"):
         rows = "".join(f"<tr>{''.join(f'<td>{_text(c, labels)}</td>' for c in r)}</tr>" for r in b["rows"])
-        return f"<table{a}>{rows}</table>"
+        title = f"<caption>{_text(b['caption'], labels)}</caption>" if b.get("caption") else ""
+        return f"<table{a}>{title}{rows}</table>"
+    beside = "".join(f'<span class="formula-{k}">{_text(b[k], labels)}</span>' for k in ("number", "note") if b.get(k))
     if kind == "formula" and b.get("tex"):
-        return f"<div{a}>{inline_html([{'kind': 'math', 'tex': b['tex']}])}</div>"
+        return f"<div{a}>{inline_html([{'kind': 'math', 'tex': b['tex']}])}{beside}</div>"
     if b.get("image"):
-        return f"<figure{a}>{image(b['image'])}{caption}</figure>"
+        return f"<figure{a}>{image(b['image'])}{caption}{beside}</figure>"
     raise ValueError(f"{kind} has neither content nor image")
 
 
@@ -114,20 +190,21 @@ def write(book: dict, assets: dict[str, bytes]) -> bytes:
     seen: set[int] = set()
     parts, breaks = [], []
     for b in book["content"]:
-        page = b.get("page") or (b.get("pages") or [{}])[0].get("page")
-        if page and page not in seen:
-            seen.add(page)
-            breaks.append(page)
-            parts.append(f'<span epub:type="pagebreak" id="page-{page}" title="{page}"/>')
-        parts.append(block_html(b, labels))
+        spans = [(0, b["page"])] if b.get("page") else [(x.get("at") or 0, x["page"]) for x in b.get("pages") or ()]
+        fresh = [(at, page) for at, page in spans if page not in seen and not seen.add(page)]
+        breaks += [page for _, page in fresh]
+        parts += [_break(page) for at, page in fresh if not at]
+        parts.append(block_html(b, labels, [x for x in fresh if x[0]]))
     notes = "".join(f'<aside epub:type="footnote" id="{k}"><sup>{_x(n["label"])}</sup>{"".join(block_html(b, labels) for b in n["blocks"])}</aside>' for k, n in book.get("footnotes", {}).items())
     page = lambda title, body: f'{_HEAD}<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops" xml:lang="{_x(book["language"])}"><head><title>{_x(title)}</title></head><body>{body}</body></html>'
     toc = contents(book["content"]) or [{"href": "text.xhtml", "label": book["title"], "children": []}]
     pages = f'<nav epub:type="page-list" hidden="hidden"><ol>{"".join(f"<li><a href=\"text.xhtml#page-{p}\">{p}</a></li>" for p in breaks)}</ol></nav>' if breaks else ""
     types = {p: MEDIA_TYPES[p.rpartition(".")[2].lower()] for p in wanted}
-    items = "".join(f'<item id="a{i}" href="{_x(p)}" media-type="{types[p]}"/>' for i, p in enumerate(wanted))
+    cover = lambda p: ' properties="cover-image"' if p == book.get("cover") else ""
+    items = "".join(f'<item id="a{i}" href="{_x(p)}" media-type="{types[p]}"{cover(p)}/>' for i, p in enumerate(wanted))
+    name = "urn:sha256:" + hashlib.sha256(json.dumps(book, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
     author = f"<dc:creator>{_x(book['author'])}</dc:creator>" if book.get("author") else ""
-    opf = f'{_HEAD}<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="id">book</dc:identifier><dc:title>{_x(book["title"])}</dc:title>{author}<dc:language>{_x(book["language"])}</dc:language><meta property="dcterms:modified">2000-01-01T00:00:00Z</meta></metadata><manifest><item id="nav" href="nav.xhtml" properties="nav" media-type="application/xhtml+xml"/><item id="text" href="text.xhtml" media-type="application/xhtml+xml"/>{items}</manifest><spine><itemref idref="text"/></spine></package>'
+    opf = f'{_HEAD}<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="id">{name}</dc:identifier><dc:title>{_x(book["title"])}</dc:title>{author}<dc:language>{_x(book["language"])}</dc:language><meta property="dcterms:modified">2000-01-01T00:00:00Z</meta></metadata><manifest><item id="nav" href="nav.xhtml" properties="nav" media-type="application/xhtml+xml"/><item id="text" href="text.xhtml" media-type="application/xhtml+xml"/>{items}</manifest><spine><itemref idref="text"/></spine></package>'
     files = {"META-INF/container.xml": f'{_HEAD}<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container" version="1.0"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>', "OEBPS/content.opf": opf, "OEBPS/nav.xhtml": page("Contents", f'<nav epub:type="toc">{_nav(toc)}</nav>{pages}'), "OEBPS/text.xhtml": page(book["title"], "".join(parts) + (f'<section epub:type="footnotes">{notes}</section>' if notes else ""))}
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
@@ -148,36 +225,49 @@ def read(data: bytes) -> tuple[dict, dict[str, bytes], list[str]]:
         opf, base = ET.fromstring(z.read(opf_path)), posixpath.dirname(opf_path)
         meta = {local(e): (e.text or "").strip() for e in reversed(list(opf.iter())) if local(e) in ("title", "creator", "language")}
         items = {e.attrib["id"]: e.attrib for e in opf.iter() if local(e) == "item"}
-        content, notes, assets = [], {}, {}
+        bodies: list[tuple[str, xhtml.Node]] = []
         for ref in (e for e in opf.iter() if local(e) == "itemref"):
             item = items.get(ref.attrib.get("idref", ""))
             path = posixpath.normpath(posixpath.join(base, item["href"])) if item else ""
             if path not in names:
                 warn.append(f"missing document {path}")
                 continue
-            text = z.read(path).decode("utf-8", "replace")
-            root = xhtml.tree(text)
-            body = next(root.find("body"), root)
+            root = xhtml.tree(z.read(path).decode("utf-8", "replace"))
+            bodies.append((path, next(root.find("body"), root)))
+        xhtml.settle_ids(bodies)
+        content, notes, assets, page = [], {}, {}, None
+        for _, body in bodies:
             for aside in list(body.find("aside")):
                 if "footnote" in aside.attrs.get("epub:type", ""):
                     label = next((s.words().strip() for s in aside.find("sup")), "?")
                     aside.kids = [k for k in aside.kids if not (isinstance(k, xhtml.Node) and k.tag == "sup")]
-                    notes[aside.attrs.get("id", f"note-{len(notes) + 1}")] = {"label": label or "?", "blocks": list(xhtml._read(aside, warn))}
+                    notes[aside.attrs.get("id", f"note-{len(notes) + 1}")] = {"label": label or "?", "blocks": [_clean(b) for b in xhtml._read(aside, warn)]}
             _without(body, lambda n: n.tag == "section" and "footnotes" in n.attrs.get("epub:type", ""))
-            content += _paged(body, warn)
-        for b in content:
-            if path := b.get("file"):
-                full = posixpath.normpath(posixpath.join(base, path))
-                if full in names:
-                    assets[path] = z.read(full)
-                else:
-                    warn.append(f"missing asset {path}")
+            page = xhtml.settle_pages(body, page)
+            content += [_clean(b) for b in xhtml._read(body, warn)]
+        cover = next((i["href"] for i in items.values() if "cover-image" in i.get("properties", "").split()), None)
+        for path in [*(b.get("file") for b in content), cover]:
+            full = posixpath.normpath(posixpath.join(base, path)) if path else ""
+            if full in names:
+                assets[path] = z.read(full)
+            elif path:
+                warn.append(f"missing asset {path}")
     ids = {b["id"] for b in content if b.get("id")} | set(notes)
-    for b in content:
-        if "text" in b:
-            b["text"] = _unlink(b["text"], ids, warn)
+    for b in [*content, *(b for n in notes.values() for b in n["blocks"])]:
+        for k in ("text", "caption"):
+            if b.get(k):
+                b[k] = _unlink(b[k], ids, warn)
+        if b["type"] == "list":
+            b["items"] = [[{"type": "text", "text": _unlink(i, ids, warn)}] for i in b["items"]]
+        if b.get("rows"):
+            b["rows"] = [[_unlink(c, ids, warn) for c in r] for r in b["rows"]]
     book = {"title": meta.get("title") or "Untitled", "language": meta.get("language") or "en", "content": content, "footnotes": notes}
-    return book | ({"author": meta["creator"]} if meta.get("creator") else {}), assets, warn
+    book |= {"author": meta["creator"]} if meta.get("creator") else {}
+    return book | ({"cover": cover} if cover in assets else {}), assets, warn
+
+
+def _clean(b: dict) -> dict:
+    return {k: v for k, v in b.items() if v is not None}
 
 
 def _without(node: xhtml.Node, gone) -> None:
@@ -187,30 +277,8 @@ def _without(node: xhtml.Node, gone) -> None:
             _without(k, gone)
 
 
-def _paged(body: xhtml.Node, warn: list[str]) -> list[dict]:
-    """Blocks with the page that the last page break before them has begun."""
-    out, page = [], None
-    for k in body.kids:
-        if isinstance(k, xhtml.Node) and "pagebreak" in k.attrs.get("epub:type", ""):
-            title = k.attrs.get("title", "")
-            page = int(title) if title.isdigit() else page
-            rest = xhtml.Node("div", {})
-            rest.kids = k.kids
-        else:
-            rest = xhtml.Node("div", {})
-            rest.kids = [k]
-        for b in xhtml._read(rest, warn):
-            b = {x: y for x, y in b.items() if y is not None}
-            if b["type"] == "list":
-                b["items"] = [[{"type": "text", "text": i}] for i in b["items"]]
-            out.append(b | ({"page": page} if page else {}))
-    return out
-
-
 def _unlink(text: str, ids: set[str], warn: list[str]) -> str:
     """Links that lead nowhere become their text."""
-    from ..functions.inline import render
-
     def walk(nodes: list[dict]) -> list[dict]:
         out = []
         for n in nodes:
@@ -229,26 +297,46 @@ def _unlink(text: str, ids: set[str], warn: list[str]) -> str:
         return text
 
 
-def write_books(books: DataFrame) -> DataFrame:
-    """(book_id, json) -> (book_id, epub); books without images."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"book_id": pdf["book_id"], "epub": [write(json.loads(j), {}) for j in pdf["json"]]})
+def write_books(books: DataFrame, assets: DataFrame | None = None) -> DataFrame:
+    """(book_id, json) and (book_id, path, content) -> book_id, epub, error.
+
+    One book and its assets are in a task at a time; a book that can't be written has a null epub.
+    """
+
+    def one(text: str, files: dict[str, bytes]) -> tuple[bytes | None, str | None]:
+        try:
+            return write(json.loads(text), files), None
+        except (ValueError, KeyError, TypeError) as e:
+            return None, str(e)
+
+    schema = "book_id long, epub binary, error string"
+    if assets is None:
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                done = [one(j, {}) for j in pdf["json"]]
+                yield pd.DataFrame({"book_id": pdf["book_id"], "epub": [d[0] for d in done], "error": [d[1] for d in done]})
+
+        return books.select("book_id", "json").mapInPandas(run, schema)
+
+    def pair(book: pd.DataFrame, files: pd.DataFrame) -> pd.DataFrame:
+        done = [one(j, dict(zip(files["path"], files["content"], strict=True))) for j in book["json"]]
+        return pd.DataFrame({"book_id": book["book_id"], "epub": [d[0] for d in done], "error": [d[1] for d in done]}, columns=["book_id", "epub", "error"])
 
-    return books.select("book_id", "json").mapInPandas(run, "book_id long, epub binary")
+    return books.select("book_id", "json").groupBy("book_id").cogroup(assets.select("book_id", "path", "content").groupBy("book_id")).applyInPandas(pair, schema)
 
 
 def read_books(files: DataFrame) -> DataFrame:
-    """(path, content) as Spark's binaryFile gives them -> path, json, n_assets, warnings."""
+    """(path, content) as Spark's binaryFile gives them -> path, json, n_assets, warnings, assets (path, content)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 try:
                     book, assets, warn = read(content)
-                    rows.append((path, json.dumps(book, ensure_ascii=False), len(assets), warn))
+                    rows.append((path, json.dumps(book, ensure_ascii=False), len(assets), warn, [{"path": k, "content": v} for k, v in assets.items()]))
                 except (zipfile.BadZipFile, KeyError, StopIteration, ET.ParseError) as e:
-                    rows.append((path, None, 0, [f"unreadable: {e}"]))
-            yield pd.DataFrame(rows, columns=["path", "json", "n_assets", "warnings"])
+                    rows.append((path, None, 0, [f"unreadable: {e}"], []))
+            yield pd.DataFrame(rows, columns=["path", "json", "n_assets", "warnings", "assets"])
 
-    return files.select("path", "content").mapInPandas(run, "path string, json string, n_assets int, warnings array<string>")
+    return files.select("path", "content").mapInPandas(run, "path string, json string, n_assets int, warnings array<string>, assets array<struct<path:string,content:binary>>")

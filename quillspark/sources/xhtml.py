@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import posixpath
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import unquote
 
 import pandas as pd
 
@@ -72,6 +74,58 @@ class _Tree(HTMLParser):
         self.open[-1].kids.append(data)
 
 
+def settle_ids(bodies: list[tuple[str, Node]]) -> None:
+    """Gives every id of some documents (path, body) a clean one of its own, and points links at them.
+
+    The first node of a raw id in a document has it; a link may name another document.
+    """
+    known: dict[tuple[str, str], str] = {}
+    used: set[str] = set()
+
+    def every(node: Node) -> Iterator[Node]:
+        yield node
+        for k in node.kids:
+            if isinstance(k, Node):
+                yield from every(k)
+
+    for path, body in bodies:
+        for n in every(body):
+            raw = n.attrs.get("id")
+            if not raw:
+                continue
+            if (path, raw) not in known:
+                stem = clean = re.sub(r"[^a-z0-9]+", "-", raw.lower()).strip("-") or "x"
+                k = 2
+                while clean in used:
+                    clean, k = f"{stem}-{k}", k + 1
+                used.add(clean)
+                known[path, raw] = clean
+                n.attrs["id"] = clean
+            else:
+                del n.attrs["id"]
+    for path, body in bodies:
+        for n in every(body):
+            href = n.attrs.get("href", "") if n.tag == "a" else ""
+            file, mark, part = href.partition("#")
+            if mark and "://" not in file:
+                target = posixpath.normpath(posixpath.join(posixpath.dirname(path), unquote(file))) if file else path
+                n.attrs["href"] = "#" + known.get((target, unquote(part)), part)
+
+
+def settle_pages(node: Node, page: int | None) -> int | None:
+    """Marks every node with the page last begun before it; returns the page at its end."""
+    for k in node.kids:
+        if isinstance(k, str):
+            continue
+        if "pagebreak" in k.attrs.get("epub:type", "") or k.attrs.get("role") == "doc-pagebreak":
+            shown = (k.attrs.get("aria-label") or k.attrs.get("title") or k.words()).strip()
+            page = int(shown) if shown.isdigit() and int(shown) else page
+        if page:
+            k.attrs["_page"] = str(page)
+        page = settle_pages(k, page)
+    return page
+
+
 def tree(html: str) -> Node:
     t = _Tree()
     t.feed(html)
@@ -151,6 +205,10 @@ def _ident(node: Node) -> dict:
     return {"id": name} if name else {}
 
 
+def _page(node: Node) -> dict:
+    return {"page": int(node.attrs["_page"])} if "_page" in node.attrs else {}
+
+
 def _role(node: Node) -> dict:
     found = re.search(r"\brole-([a-z-]+)", node.attrs.get("class", ""))
     return {"role": found[1]} if found else {}
@@ -165,14 +223,15 @@ def _read(node: Node, warn: list[str]) -> Iterator[dict]:
             part.kids = list(loose)
             loose.clear()
             if text := _dialect(part, warn):
-                yield {"type": "text", "text": text}
+                first = next((k for k in part.kids if isinstance(k, Node)), part)
+                yield {"type": "text", "text": text} | _page(first)
 
     for k in node.kids:
         if isinstance(k, str) or k.tag not in _BLOCK | _SKIP | {"img", "hr"}:
             loose.append(k)
             continue
         yield from flush()
-        own = _ident(k) | _role(k)
+        own = _ident(k) | _role(k) | _page(k)
         if k.tag in _SKIP:
             continue
         if re.fullmatch("h[1-6]", k.tag):
@@ -182,10 +241,13 @@ def _read(node: Node, warn: list[str]) -> Iterator[dict]:
             if text := _dialect(k, warn):
                 yield {"type": "text", "text": text} | own
         elif k.tag == "hr":
-            yield {"type": "text", "text": r"\*\*\*", "role": "separator"}
+            yield {"type": "text", "text": r"\*\*\*", "role": "separator"} | _page(k)
         elif k.tag == "blockquote":
+            said = next((f for f in k.kids if isinstance(f, Node) and f.tag == "footer"), None)
+            k.kids = [x for x in k.kids if x is not said]
             if text := _dialect(k, warn):
-                yield {"type": "quote", "text": text} | own
+                by = _dialect(said, warn) if said else ""
+                yield {"type": "quote", "text": text} | own | ({"attribution": by} if by else {})
         elif k.tag == "img":
             yield {"type": "image", "file": k.attrs.get("src", ""), "alt": k.attrs.get("alt") or None} | own
         elif k.tag == "figure" and (img := next(k.find("img"), None)):
@@ -196,18 +258,20 @@ def _read(node: Node, warn: list[str]) -> Iterator[dict]:
             spans = any(int(c.attrs.get(a, "1") or 1) > 1 for c in k.find("td", "th") for a in ("colspan", "rowspan") if c.attrs.get(a, "1").isdigit())
             wide = max(map(len, rows), default=0)
             if wide:
-                yield {"type": "table", "rows": None if spans else [r + [""] * (wide - len(r)) for r in rows]} | own
+                title = next((_dialect(c, warn) for c in k.kids if isinstance(c, Node) and c.tag == "caption"), "")
+                yield {"type": "table", "rows": None if spans else [r + [""] * (wide - len(r)) for r in rows]} | own | ({"caption": title} if title else {})
         elif k.tag in ("ul", "ol"):
             items = [_dialect(i, warn) for i in k.kids if isinstance(i, Node) and i.tag == "li"]
             if items:
                 yield {"type": "list", "ordered": k.tag == "ol", "items": items} | own
         elif k.tag == "div" and "formula" in k.attrs.get("class", ""):
             note = next((a.words().strip() for a in k.find("annotation")), "")
-            yield {"type": "formula", "tex": note or None} | own
+            beside = {x: _dialect(n, warn) for n in k.find("span") for x in ("number", "note") if f"formula-{x}" in n.attrs.get("class", "")}
+            yield {"type": "formula", "tex": note or None} | own | beside
         else:
             first = True
             for b in _read(k, warn):
-                yield (own | b) if first and "id" in own else b
+                yield (own | b) if first and "id" in own else _page(k) | b
                 first = False
     yield from flush()
 
@@ -218,7 +282,7 @@ def blocks_of(key: str):
         names = ["pos", "type", "level", "role", "id", "text", "ordered", "items", "rows", "file", "caption", "alt", "tex"]
         for pdf in batches:
             rows = [{key: k, "pos": i} | b for k, html in zip(pdf[key], pdf["html"], strict=True) for i, b in enumerate(blocks(html or ""))]
-            out = pd.DataFrame(rows, columns=[key, *names]).astype({"pos": "int32", "level": "Int32", "ordered": "boolean"})
+            out = pd.DataFrame([{c: r.get(c) for c in (key, *names)} for r in rows], columns=[key, *names]).astype({"pos": "int32", "level": "Int32", "ordered": "boolean"})
             yield out.astype(object).where(out.notna(), None)
 
     return run

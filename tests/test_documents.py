@@ -58,7 +58,7 @@ def test_printed_pages_and_furniture(spark):
 
 def test_break_offset(spark):
     rows = spark.createDataFrame([(["x" * 29, "tail"],)], "t array<string>")
-    j = rows.select(G.join_lines(F.transform("t", lambda t, i: F.struct(t.alias("text"), (i + 30).cast("int").alias("page"))), F.array().cast("array<string>")).alias("j")).first().j
+    j = rows.select(G.join_lines(F.transform("t", lambda t, i: F.struct(t.alias("text"), (i + 30).cast("int").alias("page"), F.lit(False).alias("keeps")))).alias("j")).first().j
     assert [(p.page, p.at) for p in j.pages] == [(30, None), (31, 30)]
 
 
@@ -99,6 +99,112 @@ def test_epub_round_trip():
         epub.write(BOOK, {})
 
 
+def test_known_compounds_keep_their_hyphen(spark):
+    lines = spark.createDataFrame([("b", 1, 1, 0, "a red-"), ("b", 1, 1, 1, "hot *con-*"), ("b", 1, 1, 2, "*sider*")], "book_id string, para int, page int, line_no int, t string")
+    known = spark.createDataFrame([("b", "red-hot")], "book_id string, compound string")
+    rows = G.kept_hyphens(lines, known).groupBy("para").agg(F.array_sort(F.collect_list(F.struct("line_no", F.col("t").alias("text"), "page", "keeps"))).alias("r"))
+    assert rows.select(G.join_lines(F.col("r"))["text"]).first()[0] == "a red-hot *consider*"
+
+
+def test_dominant_size_of_runs(spark):
+    rows = spark.createDataFrame([([("ab", 12.0), ("abc", 9.6), ("c", 10.2)],)], "runs array<struct<text:string,size:double>>")
+    assert rows.select(P.dominant_size(F.col("runs"))).first()[0] == 10
+
+
+def test_group_lines_keeps_style(spark):
+    spans = spark.createDataFrame([("b", 1, 10.0, 50.0, 20.0, 10.0, 10.0, "two", True, False), ("b", 1, 12.0, 5.0, 20.0, 10.0, 10.0, "one ", False, False)], "book_id string, page int, y double, x double, w double, h double, size double, text string, italic boolean, bold boolean")
+    line = P.group_lines(spans).select("text", "size", G.line_dialect(F.col("runs")).alias("d")).first()
+    assert tuple(line) == ("one two", 10.0, "one *two*")
+
+
+def test_spanning_blocks_have_a_first_page(spark):
+    rows = spark.createDataFrame([("b", 0, 7, None), ("b", 1, None, [(5, None), (6, 9)]), ("b", 2, None, None)], "book_id string, arrival int, page int, pages array<struct<page:int,at:int>>")
+    done = B.ordered(rows)
+    assert [r.arrival for r in done.orderBy("pos").collect()] == [2, 1, 0]
+    images = spark.createDataFrame([("b", 1, 5), ("b", 2, 4)], "book_id string, image_id int, page int")
+    assert {r.image_id: r.after for r in B.place_images(images, done).collect()} == {1: 1, 2: -1}
+
+
+def test_breaks_and_annotations_in_texts():
+    out = epub.block_html({"type": "text", "text": r"ab\*c *de* f"}, {}, [(3, 8), (8, 9), (20, 10)])
+    mark = lambda p: f'<span epub:type="pagebreak" id="page-{p}" role="doc-pagebreak" aria-label="{p}"/>'
+    assert out == f"<p>ab{mark(8)}*c <em>d{mark(9)}e</em> f{mark(10)}</p>"
+    out = epub.block_html({"type": "text", "text": "say *oui* now", "annotations": [{"start": 4, "end": 9, "language": "fr"}]})
+    assert out == '<p>say <span xml:lang="fr" lang="fr"><em>oui</em></span> now</p>'
+    with pytest.raises(ValueError):
+        epub.block_html({"type": "text", "text": "say *oui* now", "annotations": [{"start": 5, "end": 9}]})
+
+
+def test_books_of_other_makers(spark):
+    import io
+    import zipfile
+
+    page = lambda body: f'<html xmlns:epub="http://www.idpf.org/2007/ops"><body>{body}</body></html>'
+    files = {
+        "META-INF/container.xml": '<container><rootfiles><rootfile full-path="O/c.opf"/></rootfiles></container>',
+        "O/c.opf": '<package><metadata><title>T</title></metadata><manifest><item id="a" href="a.xhtml"/><item id="b" href="t/b.xhtml"/><item id="c" href="c.png" properties="cover-image"/></manifest><spine><itemref idref="a"/><itemref idref="b"/></spine></package>',
+        "O/a.xhtml": page('<div><p id="Fig_1">one <span epub:type="pagebreak" aria-label="7"/>two</p><p id="fig-1">see <a href="t/b.xhtml#Fig_1">there</a> <a href="#gone">lost</a></p></div>'),
+        "O/t/b.xhtml": page('<blockquote id="Fig_1">said<footer>who</footer></blockquote><table><caption>cap</caption><tr><td>x</td></tr></table>'),
+        "O/c.png": "png",
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for k, v in files.items():
+            z.writestr(k, v)
+    book, assets, warnings = epub.read(out.getvalue())
+    got = [(b["type"], b.get("id"), b.get("page")) for b in book["content"]]
+    assert got == [("text", "fig-1", None), ("text", "fig-1-2", 7), ("quote", "fig-1-3", 7), ("table", None, 7)]
+    assert book["content"][1]["text"] == "see [there](#fig-1-3) lost" and book["content"][2]["attribution"] == "who" and book["content"][3]["caption"] == "cap"
+    assert assets == {"c.png": b"png"} and book["cover"] == "c.png" and any("gone" in w for w in warnings)
+
+
+def test_books_are_written_with_assets_and_errors(spark, tmp_path):
+    import json
+
+    from quillspark.sources import folders
+
+    good = json.dumps(BOOK)
+    books = spark.createDataFrame([(1, good), (2, good), (3, "{")], "book_id long, json string")
+    assets = spark.createDataFrame([(1, "assets/p.png", bytearray(b"png"))], "book_id long, path string, content binary")
+    got = {r.book_id: r for r in epub.write_books(books, assets).collect()}
+    assert got[1].epub and got[1].error is None and got[2].epub is None and "missing assets" in got[2].error and got[3].error
+    assert "missing assets" in epub.write_books(books.where("book_id = 1")).first().error
+    root = tmp_path.as_uri() + "/books"
+    done = {r.book_id: r for r in folders.write(books.where("book_id < 3"), assets, root).collect()}
+    assert done[1].n_assets == 1 and done[1].bytes == len(good.encode()) + 3 and done[2].error is not None and done[1].error is None
+    back, files = folders.read(spark, root)
+    assert [(r.book_id, json.loads(r.json)) for r in back.collect()] == [(1, BOOK)]
+    assert [(r.book_id, r.path, bytes(r.content)) for r in files.collect()] == [(1, "assets/p.png", b"png")]
+
+
+def test_recognition_by_a_process_and_by_micro_batches(spark, tmp_path):
+    import sys
+
+    from quillspark.sources import recognised
+
+    script = "import sys, json\nfor line in sys.stdin:\n    r = json.loads(line)\n    print(json.dumps({'id': r['id'], 'regions': [{'text': 'n' + str(len(r['png'])), 'label': 'text'}]} if r['png'] != 'YmFk' else {'id': r['id'], 'error': 'unreadable'}), flush=True)"
+    make = recognised.process_engine([sys.executable, "-c", script])
+    rows = spark.createDataFrame([("b", 1, bytearray(b"abc")), ("b", 2, bytearray(b"bad"))], "book_id string, page int, png binary")
+    got = {r.page: (r.text, r.error) for r in recognised.recognise(rows, make, ["en"]).collect()}
+    assert got == {1: ("n4", None), 2: (None, "unreadable")}
+    source, cache = str(tmp_path / "in"), str(tmp_path / "cache")
+    rows.write.parquet(source)
+    for _ in range(2):  # the second run finds all that can be found in the cache
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        recognised.recognise_stream(stream, make, ["en"], "e1", cache, str(tmp_path / "c1")).awaitTermination()
+    assert [(r.page, r.text) for r in spark.read.parquet(cache).where("error is null").collect()] == [(1, "n4")]
+
+
+def test_dim_roles_and_selections(spark):
+    rows = spark.createDataFrame([("footnote-source",), ("artifact",), ("caption",), (None,)], "role string")
+    assert [r[0] for r in rows.select(B.dim(F.col("role"))).collect()] == [True, True, False, False]
+
+
+def test_frames_need_no_whole_channel(spark):
+    chunks = spark.createDataFrame([("c", 1, "ab"), ("c", 2, "c\n\nd\ne"), ("c", 3, "f\n"), ("c", 4, "left"), ("d", 1, "x")], "channel string, seq int, data string")
+    assert sorted((r.channel, r.line_no, r.line) for r in J.frames(chunks).collect()) == [("c", 0, "abc"), ("c", 2, "d"), ("c", 3, "ef")]
+
+
 def test_loose_html():
     got = list(xhtml.blocks("<body><p>a <b>bold<br>x</b> &amp; *<p>next<ul><li>i<li>j</ul><script>var t='</p>'</script><h2 id=A1>T</h2><div id=d><p>in</p></div>"))
     assert [b["type"] for b in got] == ["text", "text", "list", "heading", "text"]
