@@ -184,17 +184,16 @@ def pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", capac
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = T.encoder(vocabulary), np.array([T.END_ID], "<u4").tobytes()
+        enc = T.encoder(vocabulary)
         for b in batches:
             rows = []
             keys = b.column("doc_id").to_pylist()
-            for i in range(0, len(keys), 256):
-                for key, raw in zip(keys[i : i + 256], enc.ids_bytes(b.column("text").slice(i, 256).to_pylist()), strict=True):
-                    raw += end
-                    for k, at in enumerate(range(0, len(raw), 4 * capacity)):
-                        part = raw[at : at + 4 * capacity]
-                        rows.append((key, k, at // 4, len(part) // 4, zlib.crc32(part)))
-                enc.trim()
+            for i, ids, sizes in enc.parts(b.column("text")):
+                raw, ends = memoryview(ids.astype("<u4").tobytes()), np.cumsum(sizes)
+                for key, begin, end in zip(keys[i : i + len(sizes)], (ends - sizes).tolist(), ends.tolist(), strict=True):
+                    for k, at in enumerate(range(begin, end, capacity)):
+                        to = min(end, at + capacity)
+                        rows.append((key, k, at - begin, to - at, zlib.crc32(raw[4 * at : 4 * to])))
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 

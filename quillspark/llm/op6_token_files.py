@@ -9,14 +9,18 @@ without any other block.
 In a block, ids lie in lanes of neighbouring ids, one lane a row of a matrix, which
 is coded column by column. The model holds what the columns before have shown: for
 order 2 and order 1 the id last seen after the same two or one ids, for order 0 the
-counts of all ids. An id is first coded as an event (the order-2 guess is right,
-else the order-1 guess, else neither) whose odds adapt to how often each order was
-right in that state, then, if no guess was right, by its adaptive order-0 odds: the
-three orders are mixed by learnt weights. The model learns at growing column marks,
-so that all lanes of many blocks pass through the range coder as arrays.
-
-Empty and null texts are documents of one id, the end. Documents with equal ids stay
-rows of their own, ordered by a hash of their text. An empty table gives no rows.
+counts of all ids. An id's odds are the mixture of the three,
+
+    P(id) = w0 * P0(id) + w1 * [id is the order-1 guess] + w2 * [id is the order-2 guess],
+
+and drive one step of a range coder. The weights adapt by state (no guess, order 1 only,
+two guesses that differ, two that agree) to how often each order was right there. The
+model learns at the columns of ``MARKS``, from all columns before, through the whole
+lane, so that all lanes of many blocks pass through the range coder as arrays.
+
+Ids may be any below ``MOST_IDS``; larger ones raise ValueError. Empty and null texts are
+documents of one id, the end. Documents with equal ids stay rows of their own, ordered
+by a hash of their text; documents without an id come first. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,12 +40,19 @@ from .durable import keep, slices
 LANES, STEPS = 256, 128
 BLOCK = LANES * STEPS
 STRETCH = 16 * BLOCK
-MAGIC = b"QSB1"
+MAGIC = b"QSB2"
+HEAD = "<4sIIIII"
+HEAD_BYTES = struct.calcsize(HEAD)
 #: Columns before which the model learns from all columns so far.
-MARKS = (2, 4, 8, 16, 32, 64)
-_IDS = 1 << 16
+MARKS = (1, 2, 4, 8, 16, 32, 64, 96)
+#: The alphabet of a block is a multiple of ``GROUP`` ids, from ``LEAST_IDS`` on.
+GROUP, LEAST_IDS, MOST_IDS = 256, 1 << 16, 1 << 21
+#: Files whose starts are broadcast: one row a file, so at most so many rows.
+MOST_FILES = 1 << 18
 _SLOTS = 1 << 15
 _GAIN = 48
+_WEIGHT_BITS = 10
+_WHOLE = 1 << _WEIGHT_BITS
 _TOP = np.uint64(1 << 32)
 _MASK = np.uint64(0xFFFFFFFF)
 _32 = np.uint64(32)
@@ -50,69 +61,68 @@ _32 = np.uint64(32)
 class Model:
     """The predictions of some blocks at once; ``block`` says whose lane it is."""
 
-    def __init__(self, blocks: int, block: np.ndarray):
-        self.blocks, self.block = blocks, block
-        self.after1 = np.full((blocks, _IDS), -1, np.int32)
-        self.after2 = np.full((blocks, _SLOTS), -1, np.int32)
-        self.counts = np.ones((blocks, _IDS), np.int32)
-        self.base1, self.base2, self.base0 = block * _IDS, block * _SLOTS, block * (_IDS + 1)
-        self.block3, self.key = block * 3, block << 40
-        #: odds of the events by state: 0 no guess, 1 order 1 only, 2 order 2 (and 1)
-        self.events = np.tile(np.array([[1, 0, 0], [8, 1, 0], [4, 2, 2]], np.int64), (blocks, 1, 1))
+    def __init__(self, blocks: int, block: np.ndarray, ids: int):
+        self.blocks, self.block, self.ids, self.groups = blocks, block, ids, ids // GROUP
+        self.after1 = np.full(blocks * ids, -1, np.int32)
+        self.after2 = np.full(blocks * _SLOTS, -1, np.int32)
+        self.counts = np.ones((blocks, ids), np.int32)
+        self.cum = np.zeros((blocks, ids + 2), np.int32)
+        self.base1, self.base2, self.base0, self.base4 = block * ids, block * _SLOTS, block * (ids + 2), block * 4
+        self.key = block << 40
+        #: by state: times seen, order 1 right (order 2 not), order 2 right
+        self.seen = np.tile(np.array([[8, 0, 0], [8, 3, 0], [8, 1, 2], [8, 0, 5]], np.int64), (blocks, 1, 1))
         self._sum()
 
     def _sum(self) -> None:
-        self.cum = np.zeros((self.blocks, _IDS + 1), np.int32)
-        np.cumsum(self.counts, axis=1, out=self.cum[:, 1:])
-        self.total = self.cum[:, -1][self.block].astype(np.uint64)
+        np.cumsum(self.counts, axis=1, out=self.cum[:, 1:-1])
+        self.cum[:, -1] = self.cum[:, -2]
         self.flat = self.cum.ravel()
-        self.coarse = (self.cum[:, :-1:256].astype(np.int64) + (np.arange(self.blocks, dtype=np.int64)[:, None] << 40)).ravel()
-        self.none, self.first = (self.events[:, :, k].ravel().astype(np.uint64) for k in (0, 1))
-        self.every = self.events.sum(2).ravel().astype(np.uint64)
+        whole = self.cum[:, -1][self.block]
+        self.total0, self.total = whole.astype(np.uint64), whole.astype(np.uint64) << np.uint64(_WEIGHT_BITS)
+        self.coarse = (self.cum[:, : self.ids : GROUP].astype(np.int64) + (np.arange(self.blocks, dtype=np.int64)[:, None] << 40)).ravel()
+        part = (_WHOLE - 32) * self.seen[:, :, 1:] // self.seen[:, :, :1]
+        self.weight1, self.weight2 = part[:, :, 0].ravel(), part[:, :, 1].ravel()
 
     @staticmethod
     def slot(two: np.ndarray, one: np.ndarray) -> np.ndarray:
         return ((two * 40503 + one * 30011) >> 3) & (_SLOTS - 1)
 
-    def guess(self, two: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def guess(self, two: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(order-2 guess, order-1 guess, state, weights of both); an order without a guess has weight 0."""
         g1 = self.after1.take(self.base1 + one)
         g2 = self.after2.take(self.base2 + self.slot(two, one))
-        return g2, g1, np.where(g2 >= 0, 2, g1 >= 0)
-
-    def told(self, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Odds of no and of the order-1 event, and all odds, by lane."""
-        at = self.block3 + state
-        return self.none.take(at), self.first.take(at), self.every.take(at)
-
-    def find(self, value: np.ndarray) -> np.ndarray:
-        """The id in whose order-0 range each value lies: first by every 256th sum, then by halving."""
-        id_ = ((np.searchsorted(self.coarse, value + self.key, "right") - 1) & 0xFF) << 8
-        for step in (128, 64, 32, 16, 8, 4, 2, 1):
-            ahead = id_ + step
-            id_ += step * (self.flat.take(self.base0 + ahead) <= value)
+        state = np.where(g2 < 0, g1 >= 0, np.where(g1 == g2, 3, 2))
+        at = self.base4 + state
+        return g2, g1, state, self.weight1.take(at) * (g1 >= 0), self.weight2.take(at)
+
+    def find(self, lanes: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """The id in whose order-0 range each value of some lanes lies: first by groups, then by halving."""
+        id_ = ((np.searchsorted(self.coarse, value + self.key[lanes], "right") - 1) % self.groups) * GROUP
+        base = self.base0[lanes]
+        step = GROUP // 2
+        while step:
+            id_ += step * (self.flat.take(base + id_ + step) <= value)
+            step //= 2
         return id_
 
+    def told(self, state: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> None:
+        event = np.where(hit2, 2, hit1)
+        some = np.bincount((self.base4 + state) * 3 + event, minlength=self.blocks * 12).reshape(-1, 4, 3)
+        self.seen[:, :, 0] += some.sum(2)
+        self.seen[:, :, 1:] += some[:, :, 1:]
+
     def learn(self, done: np.ndarray, since: int) -> None:
-        """``done``: ids of all columns so far; the columns from ``since`` on are new."""
-        for t in range(since, done.shape[1]):
-            one = done[:, t - 1] if t > 0 else np.zeros(len(done), np.int64)
-            two = done[:, t - 2] if t > 1 else np.zeros(len(done), np.int64)
-            now = done[:, t]
-            g2, g1, state = self.guess(two, one)
-            event = np.where(g2 == now, 2, g1 == now)
-            seen = np.bincount((self.block3 + state) * 3 + event, minlength=self.blocks * 9).reshape(-1, 3, 3)
-            seen[:, 0] = 0
-            self.events += 2 * seen
-            self.after1.ravel()[self.base1 + one] = now
-            self.after2.ravel()[self.base2 + self.slot(two, one)] = now
-            np.add.at(self.counts.ravel(), self.base1 + now, _GAIN)
+        """``done``: ids of all columns so far; the columns from ``since`` on are new. Later columns win."""
+        now = done[:, since:].T
+        pad = np.zeros((2, len(done)), np.int64)
+        before = np.concatenate((pad, done[:, :-1].T))
+        one, two = before[since + 1 :], before[since : -1]
+        self.after1[(self.base1 + one).ravel()] = now.ravel()
+        self.after2[(self.base2 + self.slot(two, one)).ravel()] = now.ravel()
+        np.add.at(self.counts.ravel(), (self.base1 + now).ravel(), _GAIN)
         self._sum()
 
 
-def _learns(t: int) -> bool:
-    return t in MARKS
-
-
 def _lanes(n: int) -> int:
     return max(1, -(-n // STEPS))
 
@@ -131,8 +141,15 @@ def _shrunk(low: np.ndarray, span: np.ndarray) -> np.ndarray:
     return np.where((low ^ (low + span)) >= _TOP, (~low + np.uint64(1)) & _MASK, span)
 
 
-def encode_blocks(parts: list[np.ndarray]) -> list[bytes]:
-    """A coded block for each array of at most ``BLOCK`` ids below 65536."""
+def _alphabet(ids: np.ndarray) -> int:
+    most = max(LEAST_IDS, -(-(int(ids.max(initial=0)) + 1) // GROUP) * GROUP)
+    if most > MOST_IDS:
+        raise ValueError(f"ids of {MOST_IDS} and more can't be coded")
+    return most
+
+
+def encode_blocks(parts: list[np.ndarray], alphabet: int) -> list[bytes]:
+    """A coded block for each array of at most ``BLOCK`` ids."""
     lanes = [_lanes(len(p)) for p in parts]
     block = np.repeat(np.arange(len(parts)), lanes)
     ids = np.zeros((sum(lanes), STEPS), np.int64)
@@ -141,109 +158,110 @@ def encode_blocks(parts: list[np.ndarray]) -> list[bytes]:
         ids[at : at + k].reshape(-1)[: len(p)] = p
         at += k
     n = len(ids)
-    model = Model(len(parts), block)
+    model = Model(len(parts), block, alphabet)
     low, span = np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
     out, used = np.zeros((n, STEPS + 8), np.uint32), np.zeros(n, np.int64)
-    every = np.arange(n)
-
-    def put(cum: np.ndarray, freq: np.ndarray, total: np.ndarray) -> None:
-        """One symbol a lane; a lane with nothing to say has all of the odds."""
-        nonlocal low, span
-        r = span // total
-        low = low + r * cum
-        span = r * freq
-        _emit(low, span, out, used)
-
     learnt = 0
     one = two = np.zeros(n, np.int64)
+    columns = np.ascontiguousarray(ids.T)
     for t in range(STEPS):
-        if _learns(t):
+        if t in MARKS:
             model.learn(ids[:, :t], learnt)
             learnt = t
-        now = ids[:, t]
-        g2, g1, state = model.guess(two, one)
+        now = columns[t]
+        g2, g1, state, w1, w2 = model.guess(two, one)
         hit2, hit1 = g2 == now, g1 == now
-        none, first, total = model.told(state)
-        cum = np.where(hit2, none + first, none * hit1)
-        freq = np.where(hit2, total - none - first, np.where(hit1, first, none))
-        put(cum, freq, total)
-        lit = ~(hit2 | hit1)
         spot = model.base0 + now
         cum = model.flat.take(spot)
-        wide = (model.flat.take(spot + 1) - cum).astype(np.uint64)
-        put(cum.astype(np.uint64) * lit, np.where(lit, wide, model.total), model.total)
+        wide = model.flat.take(spot + 1) - cum
+        w0 = _WHOLE - w1 - w2
+        begin = (w0 * cum).astype(np.uint64) + model.total0 * (w1 * (g1 < now) + w2 * (g2 < now)).astype(np.uint64)
+        freq = (w0 * wide).astype(np.uint64) + model.total0 * (w1 * hit1 + w2 * hit2).astype(np.uint64)
+        r = span // model.total
+        low += r * begin
+        span = r * freq
+        _emit(low, span, out, used)
+        model.told(state, hit1, hit2)
         two, one = one, now
-    last = (low + _MASK) >> _32
-    out[every, used] = last.astype(np.uint32)
+    every = np.arange(n)
+    out[every, used] = ((low + _MASK) >> _32).astype(np.uint32)
     used += 1
     blocks, at = [], 0
+    live = np.arange(out.shape[1]) < used[:, None]
     for p, k in zip(parts, lanes, strict=True):
-        sizes = used[at : at + k]
-        code = sizes.astype("<u2").tobytes() + b"".join(out[at + i, :s].astype("<u4").tobytes() for i, s in enumerate(sizes.tolist()))
-        blocks.append(struct.pack("<4sIIII", MAGIC, len(p), len(code), zlib.crc32(code), zlib.crc32(p.astype("<u4").tobytes())) + code)
+        code = used[at : at + k].astype("<u2").tobytes() + out[at : at + k][live[at : at + k]].astype("<u4").tobytes()
+        blocks.append(struct.pack(HEAD, MAGIC, len(p), alphabet, len(code), zlib.crc32(code), zlib.crc32(p.astype("<u4").tobytes())) + code)
         at += k
     return blocks
 
 
 def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
-    """The ids of each block; a block whose checksums differ raises ValueError."""
-    heads = [struct.unpack_from("<4sIIII", b) for b in blocks]
+    """The ids of each block, all of one alphabet; a block whose checksums differ raises ValueError."""
+    heads = [struct.unpack_from(HEAD, b) for b in blocks]
     lanes = [_lanes(h[1]) for h in heads]
     n = sum(lanes)
     block = np.repeat(np.arange(len(blocks)), lanes)
     words = np.zeros((n, STEPS + 10), np.uint64)
     at = 0
-    for b, (magic, _, size, crc, _), k in zip(blocks, heads, lanes, strict=True):
-        code = b[20 : 20 + size]
-        if magic != MAGIC or len(code) != size or zlib.crc32(code) != crc:
+    for b, (magic, _, alphabet, size, crc, _), k in zip(blocks, heads, lanes, strict=True):
+        code = b[HEAD_BYTES : HEAD_BYTES + size]
+        if magic != MAGIC or alphabet != heads[0][2] or alphabet > MOST_IDS or len(code) != size or zlib.crc32(code) != crc:
             raise ValueError("damaged block")
         sizes = np.frombuffer(code, "<u2", k).astype(np.int64)
         flat = np.frombuffer(code, "<u4", int(sizes.sum()), 2 * k)
         row = np.repeat(np.arange(k), sizes)
         words[at + row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
         at += k
-    model = Model(len(blocks), block)
+    model = Model(len(blocks), block, heads[0][2])
+    none = np.int64(model.ids)  # an id after all others, without odds
     low, span = np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
     value, used = (words[:, 0] << _32) | words[:, 1], np.full(n, 2)
     ids = np.zeros((n, STEPS), np.int64)
-
-    def take(r: np.ndarray, cum: np.ndarray, freq: np.ndarray) -> None:
-        nonlocal low, span
-        low = low + r * cum
-        span = r * freq
-        idx = np.flatnonzero(span < _TOP)
-        if len(idx):
-            lo, rg = low[idx], _shrunk(low[idx], span[idx])
-            value[idx] = (value[idx] << _32) | words[idx, np.minimum(used[idx], STEPS + 9)]
-            used[idx] += 1
-            low[idx], span[idx] = lo << _32, rg << _32
-
     learnt = 0
     one = two = np.zeros(n, np.int64)
     for t in range(STEPS):
-        if _learns(t):
+        if t in MARKS:
             model.learn(ids[:, :t], learnt)
             learnt = t
-        g2, g1, state = model.guess(two, one)
-        none, first, total = model.told(state)
-        r = span // total
-        v = (value - low) // r
-        past = v >= none
-        hit2 = (v >= none + first) & (state == 2)
-        hit1 = past & ~hit2 & (state > 0)
-        take(r, np.where(hit2, none + first, none * hit1), np.where(hit2, total - none - first, np.where(hit1, first, none)))
-        lit = ~(hit2 | hit1)
+        g2, g1, state, w1, w2 = model.guess(two, one)
+        w0 = _WHOLE - w1 - w2
         r = span // model.total
-        v = np.minimum((value - low) // r, model.total - np.uint64(1)).astype(np.int64)
-        now = model.find(v)
-        cum = model.flat.take(model.base0 + now)
-        wide = (model.flat.take(model.base0 + now + 1) - cum).astype(np.uint64)
-        take(r, cum.astype(np.uint64) * lit, np.where(lit, wide, model.total))
-        now = np.where(hit2, g2, np.where(hit1, g1, now))
+        v = ((value - low) // r).astype(np.int64)
+        np.minimum(v, model.total.astype(np.int64) - 1, out=v)
+        # the two guesses in order of their ids; equal ones are one guess with the odds of both
+        same, first1 = g1 == g2, g1 <= g2
+        total0 = model.total0.astype(np.int64)
+        a = np.where(first1, g1, g2)
+        z = np.where(same, none, np.where(first1, g2, g1))
+        wa = np.where(same, w1 + w2, np.where(first1, w1, w2))
+        wz = np.where(same, 0, w1 + w2 - wa)
+        a, z = np.where(a < 0, none, a), np.where(z < 0, none, z)
+        mass_a, mass_z = total0 * wa, total0 * wz
+        cum_a, cum_z = model.flat.take(model.base0 + a), model.flat.take(model.base0 + z)
+        begin_a, end_a = w0 * cum_a, w0 * model.flat.take(model.base0 + np.minimum(a + 1, none)) + mass_a
+        begin_z, end_z = w0 * cum_z + mass_a, w0 * model.flat.take(model.base0 + np.minimum(z + 1, none)) + mass_a + mass_z
+        is_a, is_z = (v >= begin_a) & (v < end_a) & (a < none), (v >= begin_z) & (v < end_z) & (z < none)
+        now = np.where(is_a, a, z)
+        rest = np.flatnonzero(~(is_a | is_z))
+        plain = v[rest] - mass_a[rest] * ((v >= end_a) & (a < none))[rest] - mass_z[rest] * ((v >= end_z) & (z < none))[rest]
+        now[rest] = model.find(rest, plain // w0[rest])
+        hit2, hit1 = g2 == now, g1 == now
+        spot = model.base0 + now
+        cum = model.flat.take(spot)
+        wide = model.flat.take(spot + 1) - cum
+        low += r * (w0 * cum + total0 * (w1 * (g1 < now) + w2 * (g2 < now))).astype(np.uint64)
+        span = r * (w0 * wide + total0 * (w1 * hit1 + w2 * hit2)).astype(np.uint64)
+        idx = np.flatnonzero(span < _TOP)
+        if len(idx):
+            lo, rg = low[idx], _shrunk(low[idx], span[idx])
+            value[idx] = (value[idx] << _32) | words[idx, np.minimum(used[idx], STEPS + 9)]
+            used[idx] += 1
+            low[idx], span[idx] = lo << _32, rg << _32
+        model.told(state, hit1, hit2)
         ids[:, t] = now
         two, one = one, now
     out, at = [], 0
-    for (_, size, _, _, crc), k in zip(heads, lanes, strict=True):
+    for (_, size, _, _, _, crc), k in zip(heads, lanes, strict=True):
         got = ids[at : at + k].reshape(-1)[:size].astype("<u4")
         if zlib.crc32(got.tobytes()) != crc:
             raise ValueError("a block's ids differ from its checksum")
@@ -254,14 +272,14 @@ def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
 
 def pack(ids: np.ndarray) -> bytes:
     """A stretch's blocks, one after the other."""
-    parts = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
-    return b"".join(b for i in range(0, len(parts), 16) for b in encode_blocks(parts[i : i + 16]))
+    parts, alphabet = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)], _alphabet(ids)
+    return b"".join(b for i in range(0, len(parts), 16) for b in encode_blocks(parts[i : i + 16], alphabet))
 
 
 def unpack(data: bytes) -> np.ndarray:
     blocks, at = [], 0
     while at < len(data):
-        end = at + 20 + struct.unpack_from("<I", data, at + 8)[0]
+        end = at + HEAD_BYTES + struct.unpack_from(HEAD, data, at)[3]
         blocks.append(data[at:end])
         at = end
     got = [a for i in range(0, len(blocks), 16) for a in decode_blocks(blocks[i : i + 16])]
@@ -269,67 +287,61 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def write(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """The written files: file int, stretch int, doc_ids, lengths array<long>, n_tokens long, code binary.
+    """The written files: file, stretch int, first long, doc_ids, lengths array<long>, n_tokens long, code binary.
 
-    Documents are range partitioned, so file k holds smaller ids than file k+1; a lost
-    executor costs the files it was writing, which Spark's committer writes again.
+    ``first``: the ids of the file before the stretch. Documents are range partitioned, so
+    file k holds smaller ids than file k+1; a lost executor costs the files it was writing,
+    which Spark's committer writes again.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ordered = own.repartitionByRange(slices(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, count = T.encoder(vocabulary), TaskContext.get().partitionId(), 0
-        ids, names, held = [], [], 0
-        end = np.array([T.END_ID], "<u4").tobytes()
+        enc, part, count, before = T.encoder(vocabulary), TaskContext.get().partitionId(), 0, 0
+        held, names, sizes, size = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            raw = np.frombuffer(b"".join(ids), "<u4")
-            sizes = [len(x) // 4 for x in ids]
-            return pa.RecordBatch.from_pydict({"file": pa.array([part], pa.int32()), "stretch": pa.array([count], pa.int32()), "doc_ids": pa.array([names], pa.list_(pa.int64())), "lengths": pa.array([sizes], pa.list_(pa.int64())), "n_tokens": pa.array([len(raw)], pa.int64()), "code": pa.array([pack(raw)], pa.binary())})
+            return pa.RecordBatch.from_pydict({"file": pa.array([part], pa.int32()), "stretch": pa.array([count], pa.int32()), "first": pa.array([before], pa.int64()), "doc_ids": pa.array([names], pa.list_(pa.int64())), "lengths": pa.array([sizes], pa.list_(pa.int64())), "n_tokens": pa.array([size], pa.int64()), "code": pa.array([pack(np.concatenate(held))], pa.binary())})
 
         for b in batches:
-            keys, texts = b.column("doc_id"), b.column("text")
-            for i in range(0, len(texts), 256):
-                for key, raw in zip(keys.slice(i, 256).to_pylist(), enc.ids_bytes(texts.slice(i, 256).to_pylist()), strict=True):
-                    if ids and held + len(raw) // 4 + 1 > STRETCH:
+            keys = b.column("doc_id").to_pylist()
+            for i, ids, many in enc.parts(b.column("text")):
+                ends = np.cumsum(many)
+                for key, n, end in zip(keys[i : i + len(many)], many.tolist(), ends.tolist(), strict=True):
+                    if held and size + n > STRETCH:
                         yield flush()
-                        ids, names, held, count = [], [], 0, count + 1
-                    ids.append(raw + end)
+                        held, names, sizes, size, count, before = [], [], [], 0, count + 1, before + size
+                    held.append(ids[end - n : end])
                     names.append(key)
-                    held += len(raw) // 4 + 1
-                enc.trim()
-        if ids:
+                    sizes.append(n)
+                    size += n
+        if held:
             yield flush()
 
-    return keep(ordered.mapInArrow(code, "file int, stretch int, doc_ids array<long>, lengths array<long>, n_tokens long, code binary"))
+    return keep(ordered.mapInArrow(code, "file int, stretch int, first long, doc_ids array<long>, lengths array<long>, n_tokens long, code binary"))
 
 
 def starts(files: DataFrame) -> DataFrame:
-    """file, stretch, start: the ids in all stretches before, from sums by file and then within it."""
+    """file, base: the ids of all files before, one row a file."""
     by_file = files.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    base = by_file.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("base"))
-    inner = files.select("file", "stretch", (F.sum("n_tokens").over(Window.partitionBy("file").orderBy("stretch")) - F.col("n_tokens")).alias("inner"))
-    return inner.join(base, "file").select("file", "stretch", (F.col("base") + F.col("inner")).alias("stretch_start"))
+    return by_file.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("base"))
 
 
 def read(files: DataFrame) -> DataFrame:
     """Per document of the files: doc_id, start, n_tokens, ids_crc32, and ids as packed bytes."""
-    schema = "file int, stretch int, doc_id long, inner long, n_tokens long, ids_crc32 long, ids binary"
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                ids = unpack(row["code"])
                 ends = np.cumsum(row["lengths"])
                 begin = ends - row["lengths"]
-                raw = ids.astype("<u4").tobytes()
+                raw = unpack(row["code"]).astype("<u4").tobytes()
                 cuts = [raw[4 * a : 4 * z] for a, z in zip(begin.tolist(), ends.tolist(), strict=True)]
-                n = len(cuts)
-                yield pa.RecordBatch.from_pydict({"file": pa.array([row["file"]] * n, pa.int32()), "stretch": pa.array([row["stretch"]] * n, pa.int32()), "doc_id": pa.array(row["doc_ids"], pa.int64()), "inner": pa.array(begin, pa.int64()), "n_tokens": pa.array(row["lengths"], pa.int64()), "ids_crc32": pa.array([zlib.crc32(c) for c in cuts], pa.int64()), "ids": pa.array(cuts, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(row["doc_ids"], pa.int64()), "start": pa.array(begin + (row["first"] + row["base"]), pa.int64()), "n_tokens": pa.array(row["lengths"], pa.int64()), "ids_crc32": pa.array([zlib.crc32(c) for c in cuts], pa.int64()), "ids": pa.array(cuts, pa.binary())})
 
-    coded = files.select("file", "stretch", "doc_ids", "lengths", "code")
-    docs = coded.mapInArrow(back, schema)
-    return docs.join(F.broadcast(starts(files)), ["file", "stretch"]).select("doc_id", (F.col("stretch_start") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    base = starts(files)
+    base = F.broadcast(base) if slices(files.sparkSession) <= MOST_FILES else base.hint("merge")
+    return files.join(base, "file").select("first", "base", "doc_ids", "lengths", "code").mapInArrow(back, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def report(docs: DataFrame, **names) -> DataFrame:

@@ -161,3 +161,42 @@ def windows(words: Words, hashes: np.ndarray, width: int) -> tuple[np.ndarray, n
         return value, np.zeros(0, np.int64)
     same = np.flatnonzero(words.doc[: len(value)] == words.doc[width - 1 :])
     return value[same], same
+
+
+class Seen:
+    """Entry numbers, from 1 on, of 64-bit hashes met before: two tables of slots lead to them."""
+
+    def __init__(self, slot_bits: int = 22):
+        self._bits, self.n = slot_bits, 1
+        self._key = np.zeros(1 << 12, np.uint64)
+        self._slots = [np.zeros(1 << slot_bits, np.int32) for _ in range(2)]
+
+    def _spots(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        shift = np.uint64(64 - self._bits)
+        return (hashes >> shift).astype(np.int64), ((hashes << np.uint64(self._bits)) >> shift).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Entries, 0 for hashes not known."""
+        one, two = self._spots(hashes)
+        found = self._slots[0][one]
+        found[self._key[found] != hashes] = 0
+        rest = np.flatnonzero(found == 0)
+        other = self._slots[1][two[rest]]
+        other[self._key[other] != hashes[rest]] = 0
+        found[rest] = other
+        return found
+
+    def add(self, hashes: np.ndarray) -> np.ndarray:
+        """New entries in order; a hash that loses its slots is not known any more."""
+        n = self.n + len(hashes)
+        if n > len(self._key):
+            self._key = np.resize(self._key, max(n, 2 * len(self._key)))
+        self._key[self.n : n] = hashes
+        one, two = self._spots(hashes)
+        entry = np.arange(self.n, n, dtype=np.int32)
+        free = self._slots[0][one] == 0
+        self._slots[0][one[free]] = entry[free]
+        late = np.flatnonzero(self._slots[0][one] != entry)  # a slot that is taken: the other table
+        self._slots[1][two[late]] = entry[late]
+        self.n = n
+        return entry
