@@ -1,22 +1,28 @@
 """Language-model scores from a small causal self-attention model, trained in numpy.
 
-The model reads subword ids (``tokens``, lower-cased text). One attention layer looks
-back over a window of ``CONTEXT + STRIDE`` ids; windows overlap by ``CONTEXT`` ids, so
-each id is scored once, with context, and all windows of a batch go through masked
-attention as arrays. Its output is a class of ids: the commonest ids are classes of
-their own, the rest share classes of ids that stand near the same common ids, apart
-for ids that end a word and that don't. Within a class, ids have their corpus odds. A word's probability is mixed from the corpus odds of whole words and from the
-product of its subword probabilities:
-
-    P(word) = WORD_WEIGHT * count / N + (1 - WORD_WEIGHT) * P(subwords | context)
-
-Corpus counts of words, of subword ids and of neighbours cover every training document,
-and attention learns from every training id: in each round tasks stream all windows,
-placed as they are for scoring, through gradient steps, and their weights are averaged.
-
-Counts of the ``TOP_WORDS`` commonest words go to all executors (a fixed bound); scores
-that need a rarer word's count wait in the row for a shuffled join, so no vocabulary
-is ever gathered. Words are told apart by 64-bit hashes.
+Tokens are words and ends of texts; the model reads each as its first subword id
+(``tokens``). One attention layer looks back over a window of ``CONTEXT + STRIDE`` tokens;
+windows overlap by ``CONTEXT`` tokens, so each token is scored once, with context, and all
+windows of a batch go through masked attention as arrays. Its output is a class of
+subword ids: the commonest ids are classes of their own, the end is one, and the rest
+share classes of ids that stand near the same common ids, apart for ids that end a word
+and that don't. Within a class, tokens have their corpus odds, over all training documents:
+
+    P(token | context) = P(class | context) * (c + 0.5) / M(class)
+
+where c is the token's count and M(class) the sum of c + 0.5 over the class's words, and
+0.5 more for a word that training has not seen. So what the model adds to the base score is
+the log ratio of P(class | context) to the class's share of the corpus, and every word's
+count, seen or unseen, enters both alike.
+
+Corpus counts of words, classes and neighbours cover every training document, and attention
+learns from every training token once: documents are dealt to ``ROUNDS`` rounds of growing
+share; in each, tasks stream their windows, placed as they are for scoring, through
+gradient steps, and their weights are averaged (64 at a time, level by level).
+
+Counts of the ``TOP_WORDS`` commonest words go to all executors (a fixed bound); rarer words
+wait in the row for a shuffled join with the counts, so no vocabulary is ever gathered.
+Words are told apart by 64-bit hashes.
 
 Null and empty texts are one token, the end. Rows of equal doc_id are scored each by
 itself. Without training documents every score is that of the untrained model.
@@ -24,7 +30,6 @@ itself. Without training documents every score is that of the untrained model.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,77 +45,101 @@ from .durable import keep
 
 HELD_OUT = 1
 TOP_WORDS = 1 << 18
-WORD_WEIGHT = 0.8
 CONTEXT, STRIDE, WIDTH = 8, 24, 16
 LEN = CONTEXT + STRIDE
 OWN, SHARED = 64, 48
-CLASSES = OWN + SHARED
+#: One more class: the end of a text.
+CLASSES = OWN + SHARED + 1
 INPUTS, COMMON_INPUTS = 4096, 3072
+#: Subword ids are below this; the last stands for the end.
 VOCABULARY = 1 << 16
-ROUNDS, BATCH, RATE = 4, 64, 0.015
+END = VOCABULARY - 1
+#: Shares of the training documents by round.
+ROUNDS = (0.05, 0.2, 1.0)
+BATCH, RATE = 64, 0.02
 NEAR = 6
-_SLOTS = 64
+#: Weights that one task averages.
+_FAN_IN = 64
 #: Windows whose arrays stay in a core's cache.
 _BATCH_WINDOWS = 128
 #: Windows that are built at a time for training.
 _PART_WINDOWS = 20_000
+#: Words whose first id a worker remembers.
+_REMEMBERED = 2_000_000
 END_HASH = np.uint64(0xE2D0_E2D0_E2D0_E2D0)
-_WORDS = re.compile(r"[^ \t\n\x0b\x0c\r]+")
-_UPPER = re.compile("[A-Z]+")
-
-
-def lowered(text: str | None) -> str:
-    if not text:
-        return ""
-    return text.lower() if text.isascii() else _UPPER.sub(lambda m: m[0].lower(), text)
 
 
 class Reader:
-    """Words of texts, as hashes and as subword ids."""
-
-    def __init__(self, path: str | None = None):
-        self._encoder = T.encoder(path)
-        self._known: dict[str, bytes] = {}
-
-    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(hash of every word and end, ids a word, ids, words a text); an end is the id END_ID."""
-        low = [lowered(t) for t in texts]
-        cut = [_WORDS.findall(t) for t in low]
-        known, end = self._known, np.array([T.END_ID], "<u4").tobytes()
-        if len(known) > T.CACHE_PIECES // 2:
-            known.clear()
-        fresh = {w for words in cut for w in words if w not in known}
-        if fresh:
-            for w, ids in zip(fresh, self._encoder.ids_bytes(fresh), strict=True):
-                known[w] = ids
-            self._encoder.trim()
-        flat: list[bytes] = []
-        for words in cut:
-            flat += [known[w] for w in words]
-            flat.append(end)
-        sizes = np.fromiter(map(len, flat), np.int64, len(flat)) // 4
-        counts = np.array([len(w) + 1 for w in cut], np.int64)
-        raw, offsets = W.utf8(pa.array(low, pa.large_string()))
-        found = W.scan(raw, offsets, W.NOT_BLANK)
-        hashes = np.full(len(flat), END_HASH)
-        ends = np.cumsum(counts) - 1
-        mask = np.ones(len(flat), bool)
-        mask[ends] = False
-        hashes[mask] = found.hashes()
-        return hashes, sizes, np.frombuffer(b"".join(flat), "<u4").astype(np.int64), counts
+    """Tokens of texts, as hashes and as first subword ids."""
+
+    def __init__(self, path: str | None = None, hashes: np.ndarray | None = None, first: np.ndarray | None = None):
+        """``hashes`` and ``first``: words known from the start, as entries 1, 2, ..."""
+        self._encoder, self._given = T.encoder(path), (hashes, first)
+        self._clear()
+
+    def _clear(self) -> None:
+        self._seen = W.Seen(T._SLOT_BITS)
+        self._first = np.full(1 << 16, END, np.uint16)
+        hashes, first = self._given
+        if hashes is not None and len(hashes):
+            self._put(self._seen.add(hashes), first)
+
+    def _put(self, entry: np.ndarray, first: np.ndarray) -> None:
+        if self._seen.n > len(self._first):
+            self._first = np.resize(self._first, max(self._seen.n, 2 * len(self._first)))
+        self._first[entry] = first
+
+    def read(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(first row, hash of every token, its entry, its first id, tokens a text), some texts at a time.
+
+        The end is entry 0. A word without any id counts as the end id.
+        """
+        raw, offsets = W.utf8(column)
+        for i, j in W.chunks(offsets):
+            if self._seen.n > _REMEMBERED:
+                self._clear()
+            words = W.scan(W.LOWER[raw[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i], W.NOT_BLANK)
+            hashes = words.hashes()
+            entry = self._seen.find(hashes)
+            lost = np.flatnonzero(entry == 0)
+            if len(lost):
+                fresh, at = np.unique(hashes[lost], return_index=True)
+                new = self._seen.add(fresh)
+                self._put(new, self._firsts(words, lost[at]))
+                entry[lost] = new[np.searchsorted(fresh, hashes[lost])]
+            counts = words.counts + 1
+            word = np.ones(len(entry) + j - i, bool)
+            word[np.cumsum(counts) - 1] = False
+            every, told = np.full(len(word), END_HASH), np.zeros(len(word), np.int64)
+            every[word], told[word] = hashes, entry
+            ids = self._first[told].astype(np.int64)
+            ids[~word] = END
+            yield i, every, told, ids, counts
+
+    def _firsts(self, words: W.Words, at: np.ndarray) -> np.ndarray:
+        """First ids of some words, each encoded as a text of its own."""
+        size = words.ends[at] - words.starts[at]
+        last = np.cumsum(size)
+        data = words.raw[np.arange(int(last[-1])) + np.repeat(words.starts[at] - (last - size), size)]
+        column = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.concatenate(([0], last)).astype(np.int64).tobytes()), pa.py_buffer(data.tobytes()))
+        out = [np.zeros(0, np.uint16)]
+        for _, ids, sizes in self._encoder.parts(column, end=False):
+            begin = np.cumsum(sizes) - sizes
+            out.append(np.where(sizes > 0, np.append(ids, T.END_ID)[begin], T.END_ID).astype(np.uint16))
+        return np.concatenate(out)
 
 
 @dataclass
 class Table:
-    """Subword ids: their model input, their class and their odds in it."""
+    """Subword ids: their model input, their class, and log M of it."""
 
     input: np.ndarray
     cls: np.ndarray
-    log_odds: np.ndarray
+    log_mass: np.ndarray
 
     @classmethod
-    def of(cls, counts: np.ndarray, near: np.ndarray, ends: np.ndarray) -> Table:
-        """``near``: how often each id stands near each of the OWN commonest; ``ends``: does it end a word."""
+    def of(cls, counts: np.ndarray, types: np.ndarray, near: np.ndarray, ends: np.ndarray) -> Table:
+        """By first id: tokens, distinct words, how often near each of the OWN commonest, and does it end a word."""
         rank = ranks(counts)
         spread = (np.arange(len(counts)) * 40503) % (INPUTS - COMMON_INPUTS - 1)
         inputs = np.where(rank < COMMON_INPUTS, rank, COMMON_INPUTS + spread)
@@ -120,8 +149,9 @@ class Table:
         for k, kind in enumerate((False, True)):
             rest = np.flatnonzero((rank >= OWN) & (ends == kind))
             classes[rest] = OWN + k * half + _clusters(near[rest], mass[rest], half)
-        total = np.bincount(classes, mass, minlength=CLASSES)
-        return cls(inputs, classes, np.log(mass / total[classes]).astype(np.float32))
+        classes[END] = CLASSES - 1
+        total = np.bincount(classes, counts + 0.5 * types, minlength=CLASSES) + 0.5
+        return cls(inputs, classes, np.log(total).astype(np.float32))
 
 
 def ranks(counts: np.ndarray) -> np.ndarray:
@@ -138,11 +168,15 @@ def _clusters(near: np.ndarray, mass: np.ndarray, k: int, rounds: int = 12) -> n
     x = np.sqrt(near + 4.0 * whole / whole.sum())
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     weight = np.sqrt(mass)
-    centre = x[np.argsort(-mass, kind="stable")[:: max(1, min(len(mass), 40 * k) // k)][:k]]
+    busy = np.flatnonzero(mass > 0.5)  # ids never met follow the others
+    if not len(busy):
+        return np.arange(len(mass)) % k
+    met, x_met, weight = mass[busy], x[busy], weight[busy]
+    centre = x_met[np.argsort(-met, kind="stable")[:: max(1, min(len(met), 40 * k) // k)][:k]]
     for _ in range(rounds):
-        which = np.argmax(x @ centre.T, 1)
+        which = np.argmax(x_met @ centre.T, 1)
         total = np.zeros((len(centre), x.shape[1]))
-        np.add.at(total, which, x * weight[:, None])
+        np.add.at(total, which, x_met * weight[:, None])
         norm = np.linalg.norm(total, axis=1, keepdims=True)
         centre = np.where(norm > 0, total / np.maximum(norm, 1e-9), centre)
     return np.argmax(x @ centre.T, 1)
@@ -153,9 +187,14 @@ _SHAPES = {"emb": (INPUTS, WIDTH), "pos": (LEN, WIDTH), "q": (WIDTH, WIDTH), "k"
 _MASK = np.triu(np.full((LEN, LEN), -1e9, np.float32), 1)
 
 
-def initial(seed: int = 7) -> dict[str, np.ndarray]:
+def initial(share: np.ndarray | None = None, seed: int = 7) -> dict[str, np.ndarray]:
+    """Weights before learning, which give every class about its ``share``, whatever the context."""
     rng = np.random.default_rng(seed)
-    return {k: (np.zeros(s) if k == "bias" else rng.normal(0, 0.3 if k == "emb" else 0.15, s)).astype(np.float32) for k, s in _SHAPES.items()}
+    scale = {"emb": 0.3, "out": 0.02}
+    p = {k: (np.zeros(s) if k == "bias" else rng.normal(0, scale.get(k, 0.15), s)).astype(np.float32) for k, s in _SHAPES.items()}
+    if share is not None:
+        p["bias"][:] = np.log(share)
+    return p
 
 
 def flat(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -220,8 +259,8 @@ def gradient(p: dict, x_in: np.ndarray, target: np.ndarray, pad: np.ndarray, tol
     ds = a * (da - (da * a).sum(2, keepdims=True)) * np.float32(WIDTH**-0.5)
     dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
     dx = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-    emb = np.zeros_like(p["emb"])
-    np.add.at(emb, x_in.ravel(), two(dx))
+    cell = (x_in.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
+    emb = np.bincount(cell, dx.ravel(), minlength=INPUTS * WIDTH).reshape(INPUTS, WIDTH).astype(dx.dtype)
     return {"emb": emb, "pos": dx.sum(0), "q": two(x).T @ two(dq), "k": two(x).T @ two(dk), "v": two(x).T @ two(dv), "o": two(o).T @ two(dh), "out": two(h).T @ two(d), "bias": two(d).sum(0)}
 
 
@@ -260,7 +299,7 @@ class Adam:
 
 
 def id_scores(p: dict[str, np.ndarray], table: Table, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Natural log probability of every id; ``sizes``: ids of each text."""
+    """log P(class | context) - log M(class) of every id, natural; ``sizes``: ids of each text."""
     first = np.cumsum(sizes) - sizes
     per = -(-sizes // STRIDE)
     text = np.repeat(np.arange(len(sizes)), per)
@@ -282,46 +321,45 @@ def id_scores(p: dict[str, np.ndarray], table: Table, ids: np.ndarray, sizes: np
         np.clip(z, -60, 60, out=z)
         told = ids[at]
         hit = z[np.arange(len(at)), table.cls[told]]
-        out[at] = hit - np.log(np.exp(z, out=z).sum(1)) + table.log_odds[told]
+        out[at] = hit - np.log(np.exp(z, out=z).sum(1)) - table.log_mass[table.cls[told]]
     return out
 
 
 def _gather(own: DataFrame, path: str | None) -> DataFrame:
-    """From every training document: kind 0 word counts, kind 1 id counts, kind 2 all its ids."""
+    """From every training document: kind 0 word counts, kind 1 id counts, kind 2 all its first ids and a draw for its round."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(path)
-        names = ["kind", "key", "n", "ids"]
-        hashes, seen, size = [], np.zeros(VOCABULARY, np.int64), 0
+        names = ["kind", "key", "n", "first", "ids"]
+        held, size, seen = [], 0, np.zeros(VOCABULARY, np.int64)
 
-        def rows(kind, key, n, ids=None):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key, pa.int64()), pa.array(n, pa.int64()), ids if ids is not None else pa.nulls(len(key), pa.binary())], names=names)
+        def rows(kind, key, n, first=None, ids=None):
+            none = lambda x, t: pa.array(x, t) if x is not None else pa.nulls(len(key), t)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key, pa.int64()), none(n, pa.int64()), none(first, pa.int32()), none(ids, pa.binary())], names=names)
 
         def told():
-            value, count = np.unique(np.concatenate(hashes), return_counts=True)
-            return rows(0, value.view(np.int64), count)
+            value, at, count = np.unique(np.concatenate([h for h, _ in held]), return_index=True, return_counts=True)
+            return rows(0, value.view(np.int64), count, np.concatenate([f for _, f in held])[at])
 
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for i in range(0, len(texts), 512):
-                h, sizes, ids, counts = reader.read(texts[i : i + 512])
-                hashes.append(h)
-                size += len(h)
+            draw = b.column("draw").to_numpy()
+            for i, hashes, _, ids, counts in reader.read(b.column("text")):
+                held.append((hashes, ids))
+                size += len(hashes)
                 seen += np.bincount(ids, minlength=VOCABULARY)
-                ends = np.cumsum(sizes)[np.cumsum(counts) - 1]
-                begins = np.concatenate(([0], ends[:-1]))
+                ends = np.cumsum(counts)
                 short = ids.astype("<u2")
-                key = np.arange(len(begins))
-                yield rows(2, key, key, pa.array([short[a:z].tobytes() for a, z in zip(begins.tolist(), ends.tolist(), strict=True)], pa.binary()))
+                yield rows(2, draw[i : i + len(counts)], counts, None, [short[z - n : z].tobytes() for n, z in zip(counts.tolist(), ends.tolist(), strict=True)])
                 if size > 3_000_000:
                     yield told()
-                    hashes, size = [], 0
+                    held, size = [], 0
         if size:
             yield told()
         at = np.flatnonzero(seen)
         yield rows(1, at, seen[at])
 
-    return own.select("text").mapInArrow(run, "kind int, key long, n long, ids binary")
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)).alias("draw")
+    return own.select("text", draw).mapInArrow(run, "kind int, key long, n long, first int, ids binary")
 
 
 def windows(texts: list[bytes]) -> Iterator[np.ndarray]:
@@ -340,10 +378,32 @@ def windows(texts: list[bytes]) -> Iterator[np.ndarray]:
         yield np.where(inside, ids[np.where(inside, first[t][:, None] + place, 0)], -1)
 
 
-def _fit(found: DataFrame, table: Table, rounds: int) -> dict[str, np.ndarray]:
+def _mean(weights: DataFrame) -> tuple[float, np.ndarray] | None:
+    """The mean of all rows (task, n, weights) by n, no more than _FAN_IN of them in one task."""
+    schema = "task int, n double, weights binary"
+
+    def mean(key: tuple, rows: pa.Table) -> pa.Table:
+        n = rows.column("n").to_numpy()
+        total = sum(np.frombuffer(w, "<f4").astype(np.float64) * k for w, k in zip(rows.column("weights").to_pylist(), n, strict=True)) / n.sum()
+        return pa.table({"task": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([float(n.sum())]), "weights": pa.array([total.astype("<f4").tobytes()], pa.binary())})
+
+    weights = keep(weights)
+    tasks = weights.agg(F.max("task")).first()[0]
+    if tasks is None:
+        return None
+    while tasks:
+        weights = weights.withColumn("task", (F.col("task") / _FAN_IN).cast("int")).groupBy("task").applyInArrow(mean, schema)
+        tasks //= _FAN_IN
+    row = weights.first()
+    return row["n"], np.frombuffer(bytes(row["weights"]), "<f4")
+
+
+def _fit(found: DataFrame, table: Table, rounds: tuple[float, ...]) -> dict[str, np.ndarray]:
+    """Round r learns from the documents drawn between the shares of rounds r - 1 and r."""
     spark = found.sparkSession
-    params = initial()
-    for r in range(rounds):
+    params, low = initial(np.exp(table.log_mass)), 0
+    for r, share in enumerate(rounds):
+        high = int(1_000_000 * share)
         shipped = spark.sparkContext.broadcast((params, table, RATE / (1 + r)))
 
         def local(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
@@ -354,20 +414,11 @@ def _fit(found: DataFrame, table: Table, rounds: int) -> dict[str, np.ndarray]:
                     fit.steps(part[np.random.default_rng(len(part)).permutation(len(part))], t)
                     n += len(part)
             if n:
-                slot = TaskContext.get().partitionId() % _SLOTS
-                yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([float(n)]), pa.array([flat(fit.p).astype("<f4").tobytes()], pa.binary())], names=["slot", "n", "weights"])
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([float(n)]), pa.array([flat(fit.p).astype("<f4").tobytes()], pa.binary())], names=["task", "n", "weights"])
 
-        def mean(key: tuple, rows: pa.Table) -> pa.Table:
-            n = rows.column("n").to_numpy()
-            total = sum(np.frombuffer(w, "<f4").astype(np.float64) * k for w, k in zip(rows.column("weights").to_pylist(), n, strict=True)) / n.sum()
-            return pa.table({"slot": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([float(n.sum())]), "weights": pa.array([total.astype("<f4").tobytes()], pa.binary())})
-
-        schema = "slot int, n double, weights binary"
-        rows = found.where("kind = 2").select("ids").mapInArrow(local, schema).groupBy("slot").applyInArrow(mean, schema).collect()
-        if not rows:
-            break
-        total = sum(x["n"] for x in rows)
-        params = shaped(sum(np.frombuffer(bytes(x["weights"]), "<f4").astype(np.float64) * x["n"] for x in rows) / total)
+        mine = found.where((F.col("kind") == 2) & (F.col("key") >= low) & (F.col("key") < high))
+        got = _mean(mine.select("ids").mapInArrow(local, "task int, n double, weights binary"))
+        params, low = shaped(got[1]) if got else params, high
     return params
 
 
@@ -397,82 +448,86 @@ def _near(found: DataFrame, rank: np.ndarray) -> np.ndarray:
     return out.reshape(VOCABULARY, OWN)
 
 
-def _top(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Hashes and counts of all words that occur at least so often that no more than ``most`` do."""
+def _top(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, counts and first ids of all words that occur at least so often that no more than ``most`` do."""
     spread = counts.groupBy("c").count().orderBy(F.desc("c"))
     total, least = 0, 1 << 62
     for row in spread.limit(most).collect():
         if total + row["count"] > most:
             break
         total, least = total + row["count"], row["c"]
-    rows = counts.where(F.col("c") >= least).select("h", "c").toArrow()
-    h = rows.column(0).to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    return h[order], rows.column(1).to_numpy()[order], least
+    rows = counts.where(F.col("c") >= least).select("h", "c", "first").toArrow()
+    return rows.column(0).to_numpy().view(np.uint64), rows.column(1).to_numpy(), rows.column(2).to_numpy().astype(np.uint16)
 
 
-def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", fold: int = HELD_OUT, vocabulary: str | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("held_out", learn.held_out("doc_id", fold))
-    found = keep(_gather(own.where(~F.col("held_out")), vocabulary))
-    counts = keep(found.where("kind = 0").groupBy(F.col("key").alias("h")).agg(F.sum("n").alias("c")))
+@dataclass
+class Model:
+    """What is learnt: attention weights, the classes, and counts of all words (a table) and of the commonest."""
+
+    params: dict[str, np.ndarray]
+    table: Table
+    counts: DataFrame  # h, c, first
+    tokens: int
+    types: int
+    top: tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def train(own: DataFrame, vocabulary: str | None = None, rounds: tuple[float, ...] = ROUNDS) -> Model:
+    """From all rows of ``own`` (doc_id, text)."""
+    found = keep(_gather(own, vocabulary))
+    counts = keep(found.where("kind = 0").groupBy(F.col("key").alias("h")).agg(F.sum("n").alias("c"), F.max("first").alias("first")))
     whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n_all, v_all = int(whole["n"]), int(whole["v"])
-    ids = np.zeros(VOCABULARY, np.int64)
+    ids, types = np.zeros(VOCABULARY, np.int64), np.zeros(VOCABULARY, np.int64)
     for row in found.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).collect():  # one row an id of the vocabulary
         ids[row["key"]] = row["n"]
-    table = Table.of(ids, _near(found, ranks(ids)), T.encoder(vocabulary).ends(VOCABULARY))
-    params = _fit(found, table, rounds)
-    top_h, top_c, _ = _top(counts, TOP_WORDS)
-    floor = np.log10(n_all + 0.5 * (v_all + 1))
-    shipped = spark.sparkContext.broadcast((params, table, top_h, top_c))
+    for row in counts.groupBy("first").count().collect():
+        types[row["first"]] = row["count"]
+    table = Table.of(ids, types, _near(found, ranks(ids)), T.encoder(vocabulary).ends(VOCABULARY))
+    return Model(_fit(found, table, rounds), table, counts, int(whole["n"]), int(whole["v"]), _top(counts, TOP_WORDS))
+
+
+def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", fold: int = HELD_OUT, vocabulary: str | None = None, rounds: tuple[float, ...] = ROUNDS, model: Model | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    Without a ``model``, one is trained on the documents outside the held-out fold.
+    """
+    spark = docs.sparkSession
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("held_out", learn.held_out("doc_id", fold))
+    model = model or train(own.where(~F.col("held_out")).select("doc_id", "text"), vocabulary, rounds)
+    floor = float(np.log10(model.tokens + 0.5 * (model.types + 1)))
+    shipped = spark.sparkContext.broadcast((model.params, model.table, model.top))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, t, h_known, c_known = shipped.value
-        reader = Reader(vocabulary)
+        p, t, (top_h, top_c, top_first) = shipped.value
+        order = np.argsort(-top_c, kind="stable")
+        reader = Reader(vocabulary, top_h[order], top_first[order])
+        known = np.concatenate(([0], top_c[order]))  # by entry; later entries are rarer words
+        end_c = int(top_c[top_h == END_HASH].sum())
+        logs = np.log10(known + 0.5)
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                h, sizes, found_ids, words = reader.read(part.column("text").to_pylist())
-                ends = np.cumsum(words)
+            for i, hashes, entry, ids, words in reader.read(b.column("text")):
+                part = b.slice(i, len(words))
                 text_of = np.repeat(np.arange(len(words)), words)
-                per_text = np.bincount(text_of, sizes, minlength=len(words)).astype(np.int64)
-                logs = id_scores(p, t, found_ids, per_text)
-                at = np.cumsum(sizes) - sizes
-                sub = np.add.reduceat(np.append(logs.astype(np.float64), 0.0), at)
-                sub[sizes == 0] = -40.0
-                k = np.minimum(np.searchsorted(h_known, h), max(0, len(h_known) - 1))
-                known = h_known[k] == h if len(h_known) else np.zeros(len(h), bool)
-                c = np.where(known, c_known[k] if len(c_known) else 0, 0)
-                model = _mixed(c, n_all, sub)
-                base = np.log10(c + 0.5) - floor
-                total = lambda x, m: np.bincount(text_of[m], x[m], minlength=len(words))  # noqa: B023, E731
-                rest = np.flatnonzero(~known)
-                cut = np.searchsorted(rest, np.concatenate(([0], ends)))
-                one = lambda x, kind: pa.LargeListArray.from_arrays(pa.array(cut, pa.int64()), pa.array(x, kind)).cast(pa.list_(kind))  # noqa: B023, E731
+                gain = id_scores(p, t, ids, words).astype(np.float64) / np.log(10) + floor
+                common = (entry > 0) & (entry < len(known)) | ((entry == 0) & (end_c > 0))
+                at = np.where(common, entry, 0)
+                count, log = known[at], logs[at]
+                count[entry == 0], log[entry == 0] = end_c, np.log10(end_c + 0.5)
+                total = lambda x: np.bincount(text_of, x, minlength=len(words))  # noqa: B023, E731
+                rest = np.flatnonzero(~common)
+                cut = np.searchsorted(rest, np.concatenate(([0], np.cumsum(words))))
+                late = pa.LargeListArray.from_arrays(pa.array(cut, pa.int64()), pa.array(hashes[rest].view(np.int64))).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("held_out"), pa.array(words), pa.array(total(np.ones(len(h)), known).astype(np.int64)), pa.array(total(base, known)), pa.array(total(model, known)), one(h[rest].view(np.int64), pa.int64()), one(sub[rest], pa.float64())],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rest", "rest_log"],
+                    [part.column("doc_id"), part.column("held_out"), pa.array(words), pa.array(total(count > 0).astype(np.int64)), pa.array(total((log - floor) * common)), pa.array(total(gain)), late],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "base", "gain", "rest"],
                 )
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, rest array<long>, rest_log array<double>"
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, gain double, rest array<long>"
     scored = keep(own.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
-    loose = scored.select("row", F.explode(F.arrays_zip("rest", "rest_log")).alias("w")).select("row", F.col("w.rest").alias("h"), F.col("w.rest_log").alias("log"))
-    met = loose.join(counts.hint("merge"), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    mixed = F.when(F.col("c") > 0, F.log10(WORD_WEIGHT * F.col("c") / F.lit(float(max(1, n_all))) + (1 - WORD_WEIGHT) * F.exp("log"))).otherwise(F.col("log") / F.lit(float(np.log(10))) + F.lit(float(np.log10(1 - WORD_WEIGHT))))
-    late = met.groupBy("row").agg(F.sum((F.col("c") > 0).cast("long")).alias("k"), F.sum(F.log10(F.col("c") + 0.5) - F.lit(float(floor))).alias("b"), F.sum(mixed).alias("m"))
-    zero = F.lit(0.0)
-    return scored.drop("rest", "rest_log").join(late, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("b", zero)).alias("base_score"), (F.col("model") + F.coalesce("m", zero)).alias("score")
+    loose = scored.select("row", F.explode("rest").alias("h")).groupBy("row", "h").agg(F.count("*").alias("n"))
+    met = loose.join(model.counts.select("h", "c").hint("merge"), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    late = met.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k"), F.sum(F.col("n") * (F.log10(F.col("c") + 0.5) - F.lit(floor))).alias("b"))
+    base = F.col("base") + F.coalesce("b", F.lit(0.0))
+    return scored.drop("rest").join(late, "row", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain")).alias("score")
     )
-
-
-def _mixed(count: np.ndarray, total: int, sub: np.ndarray) -> np.ndarray:
-    """log10 of the mixture; ``sub`` in natural logs."""
-    rare = sub + np.log(1 - WORD_WEIGHT)
-    if not total:
-        return rare / np.log(10)
-    with np.errstate(divide="ignore"):
-        often = np.log(WORD_WEIGHT * count / total)
-    return np.logaddexp(often, rare) / np.log(10)

@@ -40,17 +40,28 @@ def test_pieces_encode_as_whole_texts():
     from tokenizers import Tokenizer
 
     own, e = Tokenizer.from_file(vocabulary()), Encoder()
-    own.encode_special_tokens = True
     rng = random.Random(5)
-    alphabet = [*"abcXYZ 's't !?.,-%_^`~{}[]()\"#1234567890<>=\n\té×÷ÉßKİΣσς中文 😀", "́", "̸", "\u0085", "\x1c", " ", "don't", "</w>", "<|endoftext|>"]
+    alphabet = [*"abcXYZ 's't !?.,-%_^`~{}[]()\"#1234567890<>=\n\té×÷ÉßKİΣσς中文 😀", "́", "̸", "\u0085", "\x1c", " ", "don't", "</w>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "hello <|endoftext|> world"]
     for _ in range(4000):
         x = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 12)))
         assert np.frombuffer(e.ids_bytes([x])[0], "<u4").tolist() == own.encode(x, add_special_tokens=False).ids
     assert e.ids_bytes([None, ""]) == [b"", b""]
+    assert np.frombuffer(e.ids_bytes(["hello <|endoftext|> world"])[0], "<u4").tolist() == [3306, 49407, 1002]
+
+
+def test_encoder_forgets_and_keeps_its_slots_apart(monkeypatch):
+    from quillspark.llm import tokens
+
+    monkeypatch.setattr(tokens, "_SLOT_BITS", 6)
+    small, large = Encoder(most=300), Encoder()
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choice("abcdé") for _ in range(rng.randint(1, 5))) for _ in range(50)) for _ in range(60)]
+    want = [np.array(x.ids, "<u4").tobytes() for x in large._own.encode_batch(texts, add_special_tokens=False)]
+    assert [small.ids_bytes([t])[0] for t in texts] == want == large.ids_bytes(texts)
 
 
 @pytest.mark.parametrize("n", [1, 2, 127, 128, 129, 5000, op6_token_files.BLOCK + 3])
-@pytest.mark.parametrize("high", [2, 49408, 65536])
+@pytest.mark.parametrize("high", [2, 49408, 65536, 200_000])
 def test_range_coder_round_trip(n, high):
     ids = np.random.default_rng(n).integers(0, high, n)
     assert (op6_token_files.unpack(op6_token_files.pack(ids)) == ids).all()
@@ -64,7 +75,7 @@ def test_range_coder_compresses_and_finds_damage():
         bad[at] ^= 1
         with pytest.raises(ValueError):
             op6_token_files.unpack(bytes(bad))
-    blocks = op6_token_files.encode_blocks([np.arange(300), np.arange(7)])
+    blocks = op6_token_files.encode_blocks([np.arange(300), np.arange(7)], op6_token_files.LEAST_IDS)
     assert op6_token_files.decode_blocks(blocks[1:])[0].tolist() == list(range(7))
 
 
@@ -132,6 +143,17 @@ def test_similar_sets_share_a_signature(n, lost, seed, percent):
             assert shared & set(value[mine].tolist())
 
 
+def test_sketches_never_tell_more_than_the_difference():
+    rng = np.random.default_rng(3)
+    pool = np.unique(rng.integers(0, 2**54, 900, dtype=np.uint64))
+    for cut in (0, 5, 60, 400):
+        one, two = pool[: len(pool) - cut], pool[cut // 2 :]
+        words = op9_ngram_join.sketches(np.concatenate((one, two)), np.array([0, len(one)]))
+        apart = sum(((int(w[0]) ^ int(w[1])) & (2**64 - 1)).bit_count() for w in words)
+        differ = len(np.setxor1d(one, two))
+        assert apart <= differ and apart >= min(differ, 100) // 2
+
+
 def test_chain_marginals_match_enumeration():
     rng = np.random.default_rng(3)
     doc, e, table = np.array([0, 0, 0, 0, 1]), rng.normal(size=5), rng.normal(size=(2, 2))
@@ -173,12 +195,13 @@ def test_attention_gradient():
 def test_windows_score_each_id_as_one_pass_does():
     p = op4_lm_score.initial()
     near = np.zeros((op4_lm_score.VOCABULARY, op4_lm_score.OWN))
-    table = op4_lm_score.Table.of(np.arange(op4_lm_score.VOCABULARY)[::-1] % 97, near, np.zeros(op4_lm_score.VOCABULARY, bool))
+    counts = np.arange(op4_lm_score.VOCABULARY)[::-1] % 97
+    table = op4_lm_score.Table.of(counts, counts // 3, near, np.zeros(op4_lm_score.VOCABULARY, bool))
     ids = np.random.default_rng(2).integers(0, 500, 77)
     both = op4_lm_score.id_scores(p, table, ids, np.array([70, 7]))
     assert np.allclose(both[70:], op4_lm_score.id_scores(p, table, ids[70:], np.array([7])), atol=1e-5)
-    mass = np.bincount(table.cls, np.exp(table.log_odds), minlength=op4_lm_score.CLASSES)
-    assert np.allclose(mass[mass > 0], 1, atol=1e-3) and (both < 0).all() and zlib.crc32(b"") == 0
+    mass = np.bincount(table.cls, counts + 0.5 * (counts // 3), minlength=op4_lm_score.CLASSES) + 0.5
+    assert np.allclose(np.exp(table.log_mass), mass, rtol=1e-4)
 
 
 def test_windows_tell_every_id_once():
@@ -193,5 +216,6 @@ def test_classes_of_the_output():
     # 7bc4542 had cut these to 48 and 32
     assert (op4_lm_score.OWN, op4_lm_score.SHARED) == (64, 48)
     near = np.zeros((op4_lm_score.VOCABULARY, op4_lm_score.OWN))
-    table = op4_lm_score.Table.of(np.arange(op4_lm_score.VOCABULARY)[::-1], near, np.zeros(op4_lm_score.VOCABULARY, bool))
+    counts = np.arange(op4_lm_score.VOCABULARY)[::-1]
+    table = op4_lm_score.Table.of(counts, counts, near, np.zeros(op4_lm_score.VOCABULARY, bool))
     assert np.bincount(table.cls)[:64].tolist() == [1] * 64

@@ -85,6 +85,45 @@ def test_op7_remove_keeps_columns_and_null_ids(spark, docs):
     assert sorted((r.doc_id or 0, r.n_removed) for r in op7_substrings.report(rows).collect()) == [(0, 0), (5, 0), (5, 0), (9, 60)]
 
 
+def test_op7_hot_windows_are_salted(spark, monkeypatch):
+    """Windows of many rows go in parts; results are those of one part."""
+    monkeypatch.setattr(op7_substrings, "HOT", ((5, 8), (40, 64)))
+    r = random.Random(31)
+    common = prose(80, r)
+    rows = [(i, f"{prose(r.randint(0, 40), r)} {common} {prose(r.randint(0, 40), r)}") for i in range(1, 61)] + [(100 + i, f"{prose(20, r)} {common[:400]}") for i in range(6)]
+    got = {x.doc_id: x.n_removed for x in op7_substrings.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    first = {}
+    for i, t in rows:
+        w = words(t)
+        for p in range(len(w) - 49):
+            first.setdefault(tuple(w[p : p + 50]), i)
+    for i, t in rows:
+        w = words(t)
+        assert got[i] == len({q for p in range(len(w) - 49) if first[tuple(w[p : p + 50])] < i for q in range(p, p + 50)})
+    assert sum(got.values()) > 4000
+
+
+def test_clashing_columns_keep_their_values(spark):
+    """Columns of the input named as the operators name their own come back unchanged."""
+    same, n = prose(70, random.Random(1)), 4
+    cols = ["row_key", "starts", "gone", "again", "node", "part", "window", "host", "n_active", "blocked", "__hit_words", "h", "score"]
+    rows = [(i, same if i < 3 else f"{same} more {i}", *(100 * i + k for k in range(len(cols)))) for i in range(1, n + 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` long" for c in cols))
+    want = {r[0]: r[2:] for r in rows}
+    bench = spark.createDataFrame([(1, same)], "item_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1, n + 1)], "doc_id long, quality int, toxic int")
+    for out in (op7_substrings.remove(df), op9_ngram_join.representatives(df), op10_decontaminate.clean(df, bench), op8_quality.accepted(df, labels)):
+        assert out.columns == df.columns
+        got = {r.doc_id: tuple(r)[2:] for r in out.collect()}
+        assert got and all(got[i] == want[i] for i in got)
+    caps = spark.createDataFrame([("http://ok.org/x", 5, "mine", 7, "also"), ("http://ok.org/x", 5, "mine", 7, "also"), (None, None, "m", None, None)], "url string, fetched_at int, host string, n_active int, blocked string")
+    entries = spark.createDataFrame([("l", "ok.org", "add", 1)], "list string, pattern string, action string, at int")
+    out = op1_url_filters.evaluate(caps, entries)
+    assert out.columns == [*caps.columns, "host_", "n_active_", "active_pattern", "active_lists", "blocked_"]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([("http://ok.org/x", 5, "mine", 7, "also", "ok.org", 1, "ok.org", "l", True)] * 2 + [(None, None, "m", None, None, None, 0, None, None, False)], key=str)
+    assert [tuple(x) for x in op1_url_filters.kept(caps, entries).collect()] == [(None, None, "m", None, None)]
+
+
 def components_of(rows):
     sets = {}
     for i, t in rows:
@@ -249,21 +288,57 @@ def test_op3_and_op8_learn(spark):
     assert {x.score for x in op8_quality.score(docs, lab.limit(0)).collect()} == {1.0}
 
 
-def test_op4_base_scores(docs, monkeypatch):
+def test_op4_scores_match_brute_force(docs, monkeypatch):
+    """Counts, base and model score, each token told by itself from its own window."""
     from collections import Counter
     from math import log10
 
-    monkeypatch.setattr(op4_lm_score, "TOP_WORDS", 50)
+    from tokenizers import Tokenizer
+
+    from quillspark.llm import learn
+    from quillspark.llm.tokens import vocabulary
+
+    o, own = op4_lm_score, Tokenizer.from_file(vocabulary())
+    monkeypatch.setattr(o, "TOP_WORDS", 50)
     w = {i: [*words(low(t)), None] for i, t, *_ in ROWS}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in w}
     c = Counter(x for i in w if not held[i] for x in w[i])
     n, floor = sum(c.values()), log10(sum(c.values()) + 0.5 * (len(c) + 1))
-    got = {r.doc_id: r for r in op4_lm_score.score(docs, rounds=1).collect()}
+    model = o.train(docs.where(~learn.held_out("doc_id", 1)).select("doc_id", "text"), None, (0.3, 1.0))
+    first = {x: (own.encode(x, add_special_tokens=False).ids or [1])[0] if x is not None else o.END for x in {x for v in w.values() for x in v}}
+    cls = {x: int(model.table.cls[first[x]]) for x in first}
+    mass = np.full(o.CLASSES, 0.5)
+    for x, k in c.items():
+        mass[cls[x]] += k + 0.5
+    p = {k: v.astype(float) for k, v in model.params.items()}
+
+    def told(seq, t):
+        begin = t // o.STRIDE * o.STRIDE - o.CONTEXT
+        places = range(max(0, begin), t + 1)
+        x = np.array([p["emb"][model.table.input[first[seq[q - 1]]] if q else o.START] + p["pos"][q - begin] for q in places])
+        a = np.exp((x[-1] @ p["q"]) @ (x @ p["k"]).T / o.WIDTH**0.5)
+        z = (x[-1] + (a / a.sum()) @ (x @ p["v"]) @ p["o"]) @ p["out"] + p["bias"]
+        z -= z.max()
+        return float(z[cls[seq[t]]] - np.log(np.exp(z).sum())) / np.log(10)
+
+    got = {r.doc_id: r for r in o.score(docs, model=model).collect()}
     assert len(got) == len(ROWS)
     for i in w:
-        r = got[i]
+        r, base = got[i], sum(log10(c[x] + 0.5) - floor for x in w[i])
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(w[i]), sum(c[x] > 0 for x in w[i]), n)
-        assert abs(r.base_score - sum(log10(c[x] + 0.5) - floor for x in w[i])) < 1e-6 * len(w[i]) and r.score < 0
+        assert abs(r.base_score - base) < 1e-6 * len(w[i])
+        if len(w[i]) < 300:
+            want = sum(told(w[i], t) + log10(c[x] + 0.5) - log10(mass[cls[x]]) for t, x in enumerate(w[i]))
+            assert abs(r.score - want) < 2e-4 * len(w[i])
+
+
+def test_op4_beats_its_base(spark):
+    """Texts of two languages: context tells which, counts don't."""
+    r = random.Random(9)
+    tongues = [["".join(r.choice(a) for _ in range(r.randint(2, 5))) for _ in range(60)] for a in ("abcde", "vwxyz")]
+    rows = [(i, " ".join(r.choice(tongues[i % 2]) for _ in range(60))) for i in range(900)]
+    got = op4_lm_score.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert (got[0] - got[1]) / got[2] > 0.15
 
 
 def test_op4_learns_from_every_id(spark):
@@ -271,18 +346,18 @@ def test_op4_learns_from_every_id(spark):
     lines = [(2, " ".join(["red blue"] * 900)), (5, " ".join(["green"] * 700))]
     df = spark.createDataFrame(lines, "doc_id long, text string")
     found = op4_lm_score._gather(df, None).cache()
-    ids = [np.frombuffer(bytes(r.ids), "<u2").astype(int) for r in found.where("kind = 2").collect()]
+    rows = found.where("kind = 2").collect()
+    ids = [np.frombuffer(bytes(r.ids), "<u2").astype(int) for r in rows]
+    assert sorted(len(x) for x in ids) == [701, 1801] and all(0 <= r.key < 1_000_000 for r in rows)
     seen = np.bincount(np.concatenate(ids), minlength=op4_lm_score.VOCABULARY)
-    counted = {r.key: r.n for r in found.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).collect()}
-    assert {int(k): int(seen[k]) for k in np.flatnonzero(seen)} == counted
-    rank = op4_lm_score.ranks(seen)
-    want = np.zeros((op4_lm_score.VOCABULARY, op4_lm_score.OWN))
-    for t in ids:
-        for i in range(len(t)):
-            for j in range(max(0, i - op4_lm_score.NEAR), min(len(t), i + op4_lm_score.NEAR + 1)):
-                if i != j and rank[t[j]] < op4_lm_score.OWN:
-                    want[t[i], rank[t[j]]] += 1
-    assert np.array_equal(op4_lm_score._near(found, rank), want)
+    near = op4_lm_score._near(found, op4_lm_score.ranks(seen))
+    rank, want = op4_lm_score.ranks(seen), np.zeros_like(near)
+    for x in ids:
+        for k in range(1, op4_lm_score.NEAR + 1):
+            for a, b in ((x[:-k], x[k:]), (x[k:], x[:-k])):
+                ok = rank[b] < op4_lm_score.OWN
+                np.add.at(want, (a[ok], rank[b[ok]]), 1)
+    assert (near == want).all() and near.sum() > 0
 
 
 def test_op10_cuts_all_blocks_from_the_same_text(spark, monkeypatch):
