@@ -77,10 +77,16 @@ def odd_token(raw: Column) -> Column:
 
 
 def garble_score(s: Column) -> Column:
-    """The share of letter-bearing tokens that look damaged; 0 without any."""
-    tokens = F.filter(F.split(s, f"[{BLANK}]+"), lambda t: t.rlike(r"\p{L}"))
-    share = lambda ts: F.when(F.size(ts) > 0, F.size(F.filter(ts, odd_token)) / F.size(ts)).otherwise(0.0)
-    return let(tokens, share)
+    """The share of letter-bearing tokens that look damaged; 0 without any.
+
+    Tokens of letters with a vowel among them never do: one pass takes those out, so only
+    what is left is judged token by token.
+    """
+    edge = rf"[^\p{{L}}\p{{N}}{BLANK}]*+"
+    sound = rf"(?<![^{BLANK}]){edge}(?=[\p{{L}}'’\-]*(?iu:[{VOWELS}]))[\p{{L}}'’\-]++{edge}(?![^{BLANK}])"
+    rest = F.filter(F.split(F.regexp_replace(s, sound, ""), f"[{BLANK}]+"), lambda t: t.rlike(r"\p{L}"))
+    total = F.regexp_count(s, F.lit(rf"[^{BLANK}\p{{L}}]*+\p{{L}}[^{BLANK}]*+"))
+    return F.when(total > 0, F.size(F.filter(rest, odd_token)) / total).otherwise(0.0)
 
 
 def verdict(coverage: Column, chars: Column, garble: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from ..functions import contract as C
 from ..functions import inline as I
 from ..functions import text as T
 from ..operators import books as B
@@ -336,12 +337,34 @@ def schema_issues(spark, sf_dir):
     return B.schema_issues(table(spark, sf_dir, "conversations").selectExpr("conv_id AS book_id", "turn AS pos", f"{_JSON} AS json"))
 
 
-@query("walk_blocks", "SELECT conv_id AS book_id, CAST(turn * 2 AS BIGINT) AS pos, concat('content/', CAST(turn AS VARCHAR)) AS path FROM conversations UNION ALL SELECT conv_id, turn * 2 + 1, concat('content/', CAST(turn AS VARCHAR), '/items/0/0') FROM conversations WHERE turn % 5 = 0")
+@query("walk_blocks", "SELECT conv_id AS book_id, concat('content/', CAST(turn AS VARCHAR)) AS path, CASE WHEN turn % 5 = 0 THEN 'list' ELSE 'text' END AS type FROM conversations UNION ALL SELECT conv_id, concat('content/', CAST(turn AS VARCHAR), '/items/', CAST(k AS VARCHAR), '/0'), 'quote' FROM conversations, (VALUES (0), (1)) t(k) WHERE turn % 5 = 0 UNION ALL SELECT DISTINCT conv_id, 'footnotes/n/blocks/0', 'text' FROM conversations")
 def walk_blocks(spark, sf_dir):
-    here = F.struct((F.col("turn") * 2).cast("long").alias("pos"), F.concat(F.lit("content/"), F.col("turn").cast("string")).alias("path"))
-    item = F.struct((F.col("turn") * 2 + 1).cast("long").alias("pos"), F.concat(F.lit("content/"), F.col("turn").cast("string"), F.lit("/items/0/0")).alias("path"))
-    walked = F.when(F.col("turn") % 5 == 0, F.array(here, item)).otherwise(F.array(here))
-    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book_id"), F.inline(walked))
+    text = F.coalesce("text", F.lit(""))
+    quote = F.array(F.struct(F.lit("quote").alias("type"), text.alias("text")))
+    listed = F.when(F.col("turn") % 5 == 0, F.array(quote, quote))
+    block = F.struct(F.when(F.col("turn") % 5 == 0, "list").otherwise("text").alias("type"), F.when(F.col("turn") % 5 != 0, text).alias("text"), listed.alias("items"))
+    content = F.transform(F.array_sort(F.collect_list(F.struct("turn", block.alias("b")))), lambda x: x["b"])
+    notes = F.struct(F.struct(F.lit("1").alias("label"), F.array(F.struct(F.lit("text").alias("type"), F.lit("t").alias("text"))).alias("blocks")).alias("n"))
+    books = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("book_id")).agg(F.to_json(F.struct(content.alias("content"), notes.alias("footnotes"))).alias("json"))
+    return C.book_blocks(books).select("book_id", "path", "type")
+
+
+@query("book_issues", """WITH n AS (SELECT conv_id AS book_id, turn, coalesce(text, '') AS t, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations)
+SELECT book_id, concat('content/', CAST(turn AS VARCHAR), '/id') AS path, 'id a is used twice' AS issue FROM n WHERE turn % 4 = 0 AND turn > 0 AND book_id % 7 <> 0
+UNION ALL SELECT book_id, concat('content/', CAST(turn AS VARCHAR), '/text'), 'no place b' FROM n WHERE turn % 4 = 1 AND book_id % 7 <> 0
+UNION ALL SELECT book_id, concat('content/', CAST(turn AS VARCHAR), '/text'), 'no footnote c' FROM n WHERE turn % 4 = 2 AND book_id % 7 <> 0
+UNION ALL SELECT book_id, concat('content/', CAST(turn AS VARCHAR), '/annotations/0'), 'the offsets select another text' FROM n WHERE turn % 4 = 3 AND book_id % 7 <> 0 AND substr(t, 3, 3) <> 'and'
+UNION ALL SELECT book_id, concat('content/', CAST(turn AS VARCHAR), '/page'), 'expected an integer from 1' FROM n WHERE book_id % 7 = 0""")
+def book_issues(spark, sf_dir):
+    """Books with planted faults; where pages are of wrong shape, nothing else is looked at."""
+    kind, text = F.col("turn") % 4, T.escape_dialect(F.coalesce("text", F.lit("")))
+    plain = F.coalesce("text", F.lit(""))
+    shown = F.when(kind == 1, F.concat(text, F.lit(" [x](#b)"))).when(kind == 2, F.concat(text, F.lit(" [^c]"))).otherwise(text)
+    annotation = F.array(F.struct(F.lit(2).alias("start"), F.lit(5).alias("end"), F.lit("and").alias("matches")))
+    block = F.struct(F.lit("text").alias("type"), F.when(kind == 0, "a").alias("id"), F.when(kind == 3, F.translate(plain, "\\*$[]^", "......")).otherwise(shown).alias("text"), F.when(kind == 3, annotation).alias("annotations"), F.when(F.col("conv_id") % 7 == 0, 0).alias("page"))
+    content = F.transform(F.array_sort(F.collect_list(F.struct("turn", block.alias("b")))), lambda x: x["b"])
+    books = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("book_id")).agg(F.to_json(F.struct(F.lit("T").alias("title"), F.lit("en").alias("language"), content.alias("content"))).alias("json"))
+    return C.book_issues(books)
 
 
 @query("block_edit", f"{_BLOCKS} SELECT book_id, pos, CASE WHEN pos % 4 = 0 AND lead(pos) OVER w IS NOT NULL THEN lead(pos) OVER w WHEN lag(pos) OVER w % 4 = 0 THEN lag(pos) OVER w ELSE pos END AS new_pos FROM bl WINDOW w AS (PARTITION BY book_id ORDER BY pos)")

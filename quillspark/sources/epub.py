@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from xml.sax.saxutils import escape as _esc
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.inline import InlineError, escape, parse, plain, render
 from ..functions.text import MEDIA_TYPES
@@ -323,7 +323,8 @@ def write_books(books: DataFrame, assets: DataFrame | None = None) -> DataFrame:
         done = [one(j, dict(zip(files["path"], files["content"], strict=True))) for j in book["json"]]
         return pd.DataFrame({"book_id": book["book_id"], "epub": [d[0] for d in done], "error": [d[1] for d in done]}, columns=["book_id", "epub", "error"])
 
-    return books.select("book_id", "json").groupBy("book_id").cogroup(assets.select("book_id", "path", "content").groupBy("book_id")).applyInPandas(pair, schema)
+    files = assets.select(F.col("book_id").alias("book_id"), "path", "content")  # may come from the same plan as the books
+    return books.select("book_id", "json").groupBy("book_id").cogroup(files.groupBy("book_id")).applyInPandas(pair, schema)
 
 
 def read_books(files: DataFrame) -> DataFrame:

@@ -43,7 +43,8 @@ def write(books: DataFrame, assets: DataFrame, root: str) -> DataFrame:
         return pd.DataFrame(rows, columns=["book_id", "folder", "n_assets", "bytes", "error"])
 
     schema = "book_id long, folder string, n_assets int, bytes long, error string"
-    return books.select("book_id", "json").groupBy("book_id").cogroup(assets.select("book_id", "path", "content").groupBy("book_id")).applyInPandas(pair, schema)
+    files = assets.select(F.col("book_id").alias("book_id"), "path", "content")  # may come from the same plan as the books
+    return books.select("book_id", "json").groupBy("book_id").cogroup(files.groupBy("book_id")).applyInPandas(pair, schema)
 
 
 def read(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:

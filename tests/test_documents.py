@@ -195,6 +195,42 @@ def test_recognition_by_a_process_and_by_micro_batches(spark, tmp_path):
     assert [(r.page, r.text) for r in spark.read.parquet(cache).where("error is null").collect()] == [(1, "n4")]
 
 
+def test_shapes_of_books():
+    from quillspark.functions.contract import issues, walk
+
+    assert issues(BOOK) == []
+    text = lambda **more: {"type": "text", "text": "t"} | more
+    book = lambda *blocks, **more: {"title": "T", "language": "en", "content": list(blocks)} | more
+    wrong = [
+        (book(text(id="Bad Id")), "content/0/id"), (book(text(page=0)), "content/0/page"), (book(text(page=True)), "content/0/page"), (book(text(page=1, pages=[{"page": 1}, {"page": 2, "at": 3}])), "content/0/pages"),
+        (book(text(pages=[{"page": 1, "at": 2}, {"page": 2, "at": 3}])), "content/0/pages/0/at"), (book(text(pages=[{"page": 1}])), "content/0/pages"), (book({"type": "poem"}), "content/0/type"), (book({"type": "heading", "level": 7, "text": ""}), "content/0/level"),
+        (book({"type": "list", "ordered": False, "items": [[text(extra=1)]]}), "content/0/items/0/0/extra"), (book({"type": "table", "rows": [["a", 1]]}), "content/0/rows/0/1"), (book({"type": "formula", "tex": None}), "content/0/display"),
+        (book(title=""), "title"), (book(language="e"), "language"), ([], ""), (book(footnotes={"n": {"label": "", "blocks": []}}), "footnotes/n/label"), (book(text(text="*open")), "content/0/text"), (book({"type": "table", "rows": [["[^n]"]]}), "content/0/rows/0/0"),
+        (book(text(id="a"), footnotes={"a": {"label": "1", "blocks": [text()]}}), "footnotes/a"),
+    ]
+    for value, path in wrong:
+        assert path in ["/".join(map(str, p)) for p, _ in issues(value)], (value, issues(value))
+    assert ["/".join(map(str, p)) for p, _ in walk(book({"type": "list", "ordered": True, "items": [[text()], [text()]]}))] == ["content/0", "content/0/items/0/0", "content/0/items/1/0"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from quillspark import __main__ as cli
+    from quillspark.sources import folders
+
+    books = spark.createDataFrame([(1, json.dumps(BOOK)), (2, json.dumps(BOOK | {"title": ""}))], "book_id long, json string")
+    assets = spark.createDataFrame([(k, "assets/p.png", bytearray(b"png")) for k in (1, 2)], "book_id long, path string, content binary")
+    root = (tmp_path / "books").as_uri()
+    folders.write(books, assets, root).collect()
+    assert cli.main(["validate", root]) == 1 and "2: title" in capsys.readouterr().err
+    assert cli.main(["pack", root, (tmp_path / "out").as_uri()]) == 0
+    assert cli.main(["unpack", (tmp_path / "out").as_uri(), (tmp_path / "again").as_uri()]) == 0
+    assert sorted(p.name for p in (tmp_path / "again").iterdir()) == ["1", "2"] and (tmp_path / "again/1/assets/p.png").read_bytes() == b"png"
+    assert {r.folder: r.n_files for r in folders.sizes(spark, root).collect()} == {"1": 2, "2": 2}
+    assert cli.main(["pack"]) == 2
+
+
 def test_dim_roles_and_selections(spark):
     rows = spark.createDataFrame([("footnote-source",), ("artifact",), ("caption",), (None,)], "role string")
     assert [r[0] for r in rows.select(B.dim(F.col("role"))).collect()] == [True, True, False, False]
