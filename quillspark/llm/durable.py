@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import session
+from ..session import shared_dir
+
 
 #: Rows of an Arrow batch: whole texts travel, so the default of 10,000 rows could be any size.
 BATCH_ROWS = 1000
@@ -19,38 +21,42 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``.
-
-    Only a session without that setting (local tests) gets a folder of its own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def keep(df: DataFrame) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back.
 
     A lost executor then costs its running tasks only, never what was written.
     """
-    spark = tune(df.sparkSession)
-    path = f"{shared_dir(spark)}/quillspark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    tune(df.sparkSession)
+    return session.keep(df)
+
+
+def written(spark: SparkSession) -> set[str]:
+    """The tables that ``keep`` has written in this application and that are still there."""
+    folder, fs = _folder(spark)
+    return {f.getPath().getName() for f in fs.listStatus(folder)} if fs.exists(folder) else set()
+
+
+def release(spark: SparkSession, names: Iterable[str] | None = None) -> None:
+    """Deletes those tables that ``keep`` wrote, or all of this application."""
+    folder, fs = _folder(spark)
+    if names is None:
+        fs.delete(folder, True)
+    else:
+        for name in names:
+            fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, name), True)
+
+
+def _folder(spark: SparkSession):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quillspark/{spark.sparkContext.applicationId}")
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes all that ``keep`` wrote in this application."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quillspark/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def free_name(taken: Iterable[str], name: str) -> str:
+    """``name``, with as many underscores behind as no column of ``taken`` has (in any case)."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
 
 
 def slices(spark: SparkSession) -> int:

@@ -9,8 +9,8 @@ into lanes of equal length whose cursors all move at once, so the skipping searc
 runs as array operations.
 
 Scale: documents are scanned where they are read, without a shuffle. Items are
-compiled in blocks of bounded bytes; each block goes to the executors by itself,
-and only with more than one block are the per-block findings joined by document.
+read, compiled and sent in blocks of bounded bytes, one at a time, so the driver holds
+one block; only with more than one block are the per-block findings joined by document.
 
 Null and empty texts have no words: no hit, no item. Repeated items or windows all
 count; a null item id is left out of the lists. Rows with equal ids are told apart
@@ -26,9 +26,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
+from .durable import free_name
 
 WIDTH = 10
 ITEM_BLOCK_BYTES = 8 << 20
@@ -178,6 +180,12 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tupl
         yield block
 
 
+def _shipped(benchmark: DataFrame, item_id: str, text: str, width: int) -> list[Broadcast]:
+    """The compiled blocks, each written out before the next is read."""
+    sc = benchmark.sparkSession.sparkContext
+    return [sc.broadcast(compile_items(block, width)) for block in _blocks(benchmark, item_id, text)]
+
+
 def search(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH) -> DataFrame:
     """Per document: doc_id, n_words, hit_words (positions), item_ids (sorted).
 
@@ -186,14 +194,13 @@ def search(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", tex
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id long, n_words long, hit_words array<int>, item_ids array<long>"
     parts = []
-    blocks = list(_blocks(benchmark, item_id, item_text)) or [[]]
+    blocks = _shipped(benchmark, item_id, item_text, width) or [docs.sparkSession.sparkContext.broadcast([])]
     if len(blocks) > 1:
         from .durable import keep
 
         own = keep(own.withColumn("row", F.expr("uuid()")))
         schema = "row string, " + schema
-    for block in blocks:
-        shipped = docs.sparkSession.sparkContext.broadcast(compile_items(block, width) if block else [])
+    for shipped in blocks:
 
         def scan(batches: Iterator[pa.RecordBatch], shipped=shipped, keyed=len(blocks) > 1) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -225,10 +232,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", width: i
     Text between hits is kept as it was; a document without hits is unchanged. Every
     block of items is searched in the unchanged text, whose words are cut out once.
     """
-    blocks = list(_blocks(benchmark, "item_id", "text"))
-    out = docs if len(blocks) < 2 else docs.withColumn(_HIT, F.array().cast("array<int>"))
-    for n, block in enumerate(blocks, 1):
-        shipped = docs.sparkSession.sparkContext.broadcast(compile_items(block, width))
+    blocks = _shipped(benchmark, "item_id", "text", width)
+    hit_words = free_name(docs.columns, _HIT)
+    out = docs if len(blocks) < 2 else docs.withColumn(hit_words, F.array().cast("array<int>"))
+    for n, shipped in enumerate(blocks, 1):
 
         def step(batches: Iterator[pa.RecordBatch], shipped=shipped, before=n > 1, last=n == len(blocks)) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -236,13 +243,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", width: i
                 column = b.column(k)
                 hits = [set(hit.tolist()) for _, hit, _ in _findings(column, shipped.value)]
                 if before:
-                    hits = [hit.union(more) for hit, more in zip(hits, b.column(_HIT).to_pylist(), strict=True)]
+                    hits = [hit.union(more) for hit, more in zip(hits, b.column(hit_words).to_pylist(), strict=True)]
                 if last:
                     texts = [_without(t, hit) if hit else t for t, hit in zip(column.to_pylist(), hits, strict=True)]
                     done = {text: pa.array(texts, column.type)}
                 else:
-                    done = {_HIT: pa.array([sorted(hit) for hit in hits], b.schema.field(_HIT).type)}
-                names = [x for x in b.schema.names if x != _HIT or not last]
+                    done = {hit_words: pa.array([sorted(hit) for hit in hits], b.schema.field(hit_words).type)}
+                names = [x for x in b.schema.names if x != hit_words or not last]
                 yield pa.RecordBatch.from_arrays([done.get(x, b.column(x)) for x in names], names=names)
 
         out = out.mapInArrow(step, docs.schema if n == len(blocks) else out.schema)

@@ -11,15 +11,18 @@ where the pattern already fits. Intervals are gathered per pattern before the jo
 the list side if its size allows or split a host that a third of all captures share.
 Only DataFrame functions run.
 
+A capture is judged by its URL and time, so repeated captures are looked up once and
+keep a row each. Verdict columns whose name a capture has get underscores behind theirs.
 Null or empty URLs, URLs without a host and captures without a time match nothing and
-pass. Repeated entries count once; of entries of one moment a removal wins. Repeated
-captures keep a row each. Entries with null pattern, time or action are ignored.
+pass. Repeated entries count once; of entries of one moment a removal wins. Entries with null pattern, time or action are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .durable import free_name
+
 
 def host(url: Column) -> Column:
     """Lower-case host without user, port and trailing dot; null if there is none."""
@@ -50,24 +53,29 @@ def intervals(entries: DataFrame) -> DataFrame:
     return turns.withColumn("until", F.lead("at").over(w)).where("on").select("list", "pattern", F.col("at").alias("since"), "until")
 
 
+VERDICT = ("host", "n_active", "active_pattern", "active_lists", "blocked")
+
+
 def evaluate(captures: DataFrame, entries: DataFrame, *, url: str = "url", at: str = "fetched_at") -> DataFrame:
-    """``captures`` with host, n_active, pattern (the longest active one), lists and blocked."""
+    """``captures`` with ``VERDICT``: host, n_active, active_pattern (the longest), active_lists and blocked."""
     listed = intervals(entries).groupBy("pattern").agg(F.collect_list(F.struct("list", "since", "until")).alias("spans"))
-    rows = captures.withColumn("__row", F.monotonically_increasing_id()).withColumn("host", host(F.col(url)))
-    looked = rows.select("__row", F.col(at).alias("__at"), F.explode(keys(F.col("host"), path(F.col(url)))).alias("pattern")).where("__at is not null")
+    asked = captures.select(F.col(url).alias("__url"), F.col(at).alias("__at")).where("__url is not null and __at is not null").distinct()
+    looked = asked.withColumn("pattern", F.explode(keys(host(F.col("__url")), path(F.col("__url")))))
     active = looked.join(listed, "pattern").withColumn("spans", F.filter("spans", lambda s: (s["since"] <= F.col("__at")) & (s["until"].isNull() | (s["until"] > F.col("__at"))))).where(F.size("spans") > 0)
-    found = active.groupBy("__row").agg(
-        F.sum(F.size("spans")).cast("long").alias("n_active"),
-        F.max(F.struct(F.length("pattern").alias("n"), F.col("pattern").alias("p"))).alias("best"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("spans", lambda s: s["list"]))))).alias("lists"),
+    found = active.groupBy("__url", "__at").agg(
+        F.sum(F.size("spans")).cast("long").alias("__n"),
+        F.max(F.struct(F.length("pattern").alias("n"), F.col("pattern").alias("p"))).alias("__best"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("spans", lambda s: s["list"]))))).alias("__lists"),
     )
-    joined = rows.join(found, "__row", "left")
-    return joined.select(*captures.columns, "host", F.coalesce("n_active", F.lit(0).cast("long")).alias("n_active"), F.col("best.p").alias("active_pattern"), F.array_join("lists", ",").alias("active_lists"), F.coalesce(F.col("n_active") > 0, F.lit(False)).alias("blocked"))
+    own, names = captures.columns, [free_name(captures.columns, c) for c in VERDICT]
+    joined = captures.join(found, (captures[url] == found["__url"]) & (captures[at] == found["__at"]), "left")
+    told = (host(captures[url]), F.coalesce("__n", F.lit(0).cast("long")), F.col("__best.p"), F.array_join("__lists", ","), F.coalesce(F.col("__n") > 0, F.lit(False)))
+    return joined.select(*(captures[c] for c in own), *(v.alias(c) for v, c in zip(told, names, strict=True)))
 
 
 def kept(captures: DataFrame, entries: DataFrame, **names) -> DataFrame:
     """The captures that pass, with their own columns."""
-    return evaluate(captures, entries, **names).where(~F.col("blocked")).select(*captures.columns)
+    return evaluate(captures, entries, **names).where(~F.col(free_name(captures.columns, "blocked"))).select(*captures.columns)
 
 
 def demo_captures(pages: DataFrame) -> DataFrame:
@@ -113,7 +121,7 @@ span AS (SELECT list, pattern, act, tm AS since, lead(tm) OVER (PARTITION BY lis
 parts AS (SELECT page_id, fetched_at, host, string_split(host, '.') AS p, string_split(path, '/') AS s FROM cap WHERE host IS NOT NULL),
 look AS (
   SELECT page_id, fetched_at, array_to_string(p[i:], '.') AS pattern FROM parts, unnest(generate_series(1, len(p))) AS u(i)
-  UNION SELECT page_id, fetched_at, host || array_to_string(s[1:i], '/') || '/' FROM parts, unnest(generate_series(1, least(len(s) - 1, 8))) AS u(i)),
+  UNION SELECT page_id, fetched_at, host || array_to_string(s[1:i], '/') || '/' FROM parts, unnest(generate_series(1, len(s) - 1)) AS u(i)),
 hit AS (SELECT page_id, list, look.pattern FROM look JOIN span ON look.pattern = span.pattern AND act AND since <= fetched_at AND (until IS NULL OR until > fetched_at)),
 agg AS (SELECT page_id, count(*) AS n, max({'n': length(pattern), 'p': pattern}).p AS best, array_to_string(list_sort(list(DISTINCT list)), ',') AS lists FROM hit GROUP BY page_id)
 SELECT page_id, host, CAST(coalesce(n, 0) AS BIGINT) AS n_active, best AS active_pattern, lists AS active_lists, coalesce(n, 0) > 0 AS blocked FROM cap LEFT JOIN agg USING (page_id)

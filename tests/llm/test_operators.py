@@ -288,6 +288,68 @@ def test_op3_and_op8_learn(spark):
     assert {x.score for x in op8_quality.score(docs, lab.limit(0)).collect()} == {1.0}
 
 
+def test_op3_counts_ratios_and_scores(spark):
+    """Feature counts, log ratios and scores, recomputed a document at a time."""
+    r = random.Random(5)
+    texts = [prose(r.randint(5, 30), r) + (" dreadfulness" if i % 4 == 0 else "") for i in range(80)] + ["", "x", "long " * 60_000]
+    y = [int(i % 4 == 0) for i in range(len(texts))]
+    rows = spark.createDataFrame(list(zip(texts, y, strict=True)), "text string, y int").repartition(3)
+    features = [set(op3_toxicity.present([t])[1].tolist()) for t in texts]
+    counts = op3_toxicity.counted(rows)
+    want = np.zeros_like(counts)
+    for f, k in zip(features, y, strict=True):
+        want[k, list(f)] += 1
+    assert (counts == want).all()
+    n1, n0 = sum(y), len(y) - sum(y)
+    ratio, names = op3_toxicity.chosen(counts, n1, n0, 200)
+    for f in names[:20]:
+        assert np.isclose(ratio[f], np.log((want[1, f] + 1) / (n1 + 2)) - np.log((want[0, f] + 1) / (n0 + 2)))
+    gain = lambda f: abs(want[1, f] / n1 - want[0, f] / n0) * abs(ratio[f])
+    rest = [f for f in set().union(*features) - set(names.tolist()) if want[:, f].sum() >= 3]
+    assert len(names) == 200 and min(map(gain, names)) >= max(map(gain, rest)) - 1e-12
+    model = op3_toxicity.fit(rows, 0.25, 200)
+    assert set(np.flatnonzero(model.keep).tolist()) == set(names.tolist())
+    for t, f, got in zip(texts, features, model.score(texts), strict=True):
+        z = model.bias + sum(model.weight[k] for k in f if model.keep[k])
+        assert np.isclose(got, 1 / (1 + np.exp(-np.clip(z, -30, 30))))
+    assert sum((model.score(texts) >= 0.5) == np.array(y)) >= len(y) - 3
+
+
+def test_op8_document_scores_match_enumeration(spark):
+    """Marginals by summing over all paths, then their mean by length, and the outer fit."""
+    from itertools import product
+
+    import pyarrow as pa
+
+    r = random.Random(6)
+    rng = np.random.default_rng(1)
+    model = op8_quality.Model(rng.normal(0, 1, 3 * op8_quality.FEATURES), rng.normal(0, 1, (2, 2)), rng.normal(0, 1, 3))
+    texts = ["\n".join(prose(r.randint(0, 8), r) + r.choice(["", " ###"]) for _ in range(r.randint(1, 6))) for _ in range(12)] + ["", "one\n\none"]
+    got = op8_quality.scores(pa.array(texts), model)
+    for t, value in zip(texts, got, strict=True):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        doc, size, seen = op8_quality.lines(raw, np.array([0, len(raw)]))
+        e = op8_quality.neighbours(doc, seen) @ model.weight
+        paths = {p: np.exp(sum(e[i] for i, x in enumerate(p) if x) + sum(model.table[a, b] for a, b in zip(p, p[1:]))) for p in product((0, 1), repeat=len(e))}  # noqa: B905
+        m = np.array([sum(v for p, v in paths.items() if p[i]) for i in range(len(e))]) / sum(paths.values())
+        w = size + 1.0
+        mean, bad = (w * m).sum() / w.sum(), (w * (m < 0.5)).sum() / w.sum()
+        logit = np.clip(np.log(mean + 1e-4) - np.log(1 - mean + 1e-4), -8, 8)
+        assert np.isclose(value, 1 / (1 + np.exp(-(model.slope @ [1, logit, bad]))), rtol=1e-6)
+
+
+def test_learning_takes_long_documents_and_bounds_lines(spark):
+    rows = [(i, ("good words here\n" if i % 2 else "### $$$ ***\n") * (20_000 if i < 4 else 3)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    from quillspark.llm import learn
+
+    got = {r.i: len(r.text) for r in learn.sample(docs, labels, "quality", 100).collect()}
+    assert got == {i: len(t) for i, t in rows if zlib.crc32(str(i).encode()) % 5}
+    small = op8_quality.train(docs, labels, most_lines=150)  # the long ones are passed over, the others learnt from
+    assert small is not None and op8_quality.train(docs, labels, most_lines=3) is None
+
+
 def test_op4_scores_match_brute_force(docs, monkeypatch):
     """Counts, base and model score, each token told by itself from its own window."""
     from collections import Counter
@@ -398,6 +460,36 @@ def test_empty_tables(spark, empty):
     assert all(r.count() == 0 for r in runs)
 
 
+def _tables(spark, folder, docs, labels, bench, extra=""):
+    spark.createDataFrame(docs, "doc_id long, text string" + extra).write.parquet(str(folder / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline as C
+
+    _tables(spark, tmp_path, [], [], [])
+    assert C.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_of_repeated_rows_and_clashing_columns(spark, tmp_path):
+    """Without labels and test items: repeated rows and copies go but for one, other columns stay."""
+    import corpus_pipeline as C
+
+    r = random.Random(17)
+    one, two = prose(70, r), prose(70, r)
+    rows = [(1, one, 11, 21), (1, one, 11, 21), (2, one, 12, 22), (3, two, 13, 23), (None, two, 14, 24), (4, None, 15, 25), (4, "", 16, 26)]
+    _tables(spark, tmp_path, rows, [], [], ", node long, row_key long")
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in C.STAGES[:4]:
+        docs = stage(spark, docs, str(tmp_path)).cache()
+    got = sorted(map(tuple, docs.collect()), key=str)
+    assert [x for x in got if x[0] in (1, 2, 3)] == [(1, one, 11, 21), (3, two, 13, 23)]
+    assert (None, two, 14, 24) in got and sum(x[0] == 4 for x in got) == 1
+    assert C.run(spark, str(tmp_path)).count() == len(got)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as C
 
