@@ -13,6 +13,7 @@ from ..functions import text as T
 #: Fixed values.
 DEMOTED = ("running-header", "running-footer", "page-number", "artifact")
 DIM = (*DEMOTED, "footnote-source", "table-source")
+NO_CAPTION, NO_GRID = "(image, no caption)", "kept as a picture — no grid parsed"
 COMMON_KEYS = ("type", "id", "role", "page", "pages", "language", "annotations")
 OWN_KEYS = {
     "heading": ("level", "text"), "text": ("text",), "quote": ("text", "attribution"), "image": ("file", "caption", "alt"),
@@ -174,8 +175,8 @@ def describe(kind: Column, level: Column, role: Column, text: Column, caption: C
     name = F.when(kind == "heading", F.concat(F.lit("h"), level.cast("string"))).when(kind == "text", F.coalesce(role, F.lit("paragraph"))).when(kind == "image", "figure").otherwise(kind)
     grid = F.concat(F.size(rows).cast("string"), F.lit(" × "), F.coalesce(F.size(F.get(rows, F.lit(0))), F.lit(0)).cast("string"), F.lit(" cells"))
     shown = (
-        F.when(kind == "image", F.coalesce(caption, F.lit("(image, no caption)")))
-        .when(kind == "table", F.when(rows.isNotNull(), grid).otherwise("kept as a picture — no grid parsed"))
+        F.when(kind == "image", F.coalesce(caption, F.lit(NO_CAPTION)))
+        .when(kind == "table", F.when(rows.isNotNull(), grid).otherwise(NO_GRID))
         .when(kind == "formula", F.coalesce(tex, F.lit("(image)")))
         .when(kind == "list", F.concat(n_items.cast("string"), F.lit(" items")))
         .otherwise(text)

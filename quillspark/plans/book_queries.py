@@ -441,29 +441,37 @@ def pdf_book(spark, sf_dir):
 # Inline dialect
 
 
-_DIALECT = r"concat('*em* and **', CAST(p_partkey AS STRING), '** [^n-', CAST(p_size AS STRING), '] [x *y*](#a-', CAST(p_size AS STRING), ') $a_', CAST(p_size AS STRING), '$', CASE WHEN p_partkey % 4 = 0 THEN ' *open' ELSE '' END)"
+_ESC_TEXT = r"regexp_replace(coalesce(text, ''), '([\\*$\[\]^])', '\\\1', 'g')"
+_TOLD = f"WITH di AS (SELECT conv_id, turn, coalesce(text, '') AS text, concat('*em* and **', CAST(conv_id AS VARCHAR), '** [^n-', CAST(turn AS VARCHAR), '] [x *y*](#a-', CAST(turn AS VARCHAR), ') $a_', CAST(turn AS VARCHAR), '$ ', {_ESC_TEXT}, CASE WHEN turn % 4 = 0 THEN ' *open' ELSE '' END) AS s FROM conversations)"
 
 
-@query("inline_nodes", r"SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE 'em,text,text,strong,text,text,noteref,text,link,text,em,text,text,math' END AS kinds, CASE WHEN p_partkey % 4 = 0 THEN 'unclosed *emphasis*' END AS error FROM part")
+def _told(spark, sf_dir):
+    """Marks of every kind before the whole text of a turn; every fourth is left open."""
+    n, turn = F.col("conv_id").cast("string"), F.col("turn").cast("string")
+    parts = ("*em* and **", n, "** [^n-", turn, "] [x *y*](#a-", turn, ") $a_", turn, "$ ", T.escape_dialect(F.coalesce("text", F.lit(""))), F.when(F.col("turn") % 4 == 0, " *open").otherwise(""))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)).alias("s"))
+
+
+@query("inline_nodes", f"{_TOLD} SELECT conv_id, turn, CASE WHEN turn % 4 <> 0 THEN 'em,text,text,strong,text,text,noteref,text,link,text,em,text,text,math,text' END AS kinds, turn % 4 = 0 AS failed FROM di")
 def inline_nodes(spark, sf_dir):
-    parsed = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{_DIALECT} AS s").withColumn("r", I.parse_udf()(F.col("s")))
-    return parsed.select("p_partkey", F.array_join(F.transform("r.nodes", lambda n: n["kind"]), ",").alias("kinds"), "r.error")
+    parsed = _told(spark, sf_dir).withColumn("r", I.parse_udf()(F.col("s")))
+    return parsed.select("conv_id", "turn", F.array_join(F.transform("r.nodes", lambda n: n["kind"]), ",").alias("kinds"), F.col("r.error").isNotNull().alias("failed"))
 
 
-@query("inline_roundtrip", rf"SELECT p_partkey, CASE WHEN p_partkey % 4 <> 0 THEN {_DIALECT} END AS again FROM part")
+@query("inline_roundtrip", f"{_TOLD} SELECT conv_id, turn, CASE WHEN turn % 4 <> 0 THEN s END AS again FROM di")
 def inline_roundtrip(spark, sf_dir):
-    return table(spark, sf_dir, "part").selectExpr("p_partkey", f"{_DIALECT} AS s").select("p_partkey", I.roundtrip_udf()(F.col("s")).alias("again"))
+    return _told(spark, sf_dir).select("conv_id", "turn", I.roundtrip_udf()(F.col("s")).alias("again"))
 
 
-@query("plain_text", rf"SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN {_DIALECT} ELSE concat('em and ', CAST(p_partkey AS VARCHAR), '  x y a_', CAST(p_size AS VARCHAR)) END AS plain FROM part")
+@query("plain_text", f"{_TOLD} SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN s ELSE concat('em and ', CAST(conv_id AS VARCHAR), '  x y a_', CAST(turn AS VARCHAR), ' ', text) END AS plain FROM di")
 def plain_text(spark, sf_dir):
-    return table(spark, sf_dir, "part").selectExpr("p_partkey", f"{_DIALECT} AS s").select("p_partkey", I.plain_udf()(F.col("s")).alias("plain"))
+    return _told(spark, sf_dir).select("conv_id", "turn", I.plain_udf()(F.col("s")).alias("plain"))
 
 
-@query("inline_issues", "SELECT p_partkey, 'unclosed *emphasis*' AS error, CAST(length(CAST(p_partkey AS VARCHAR)) + 3 * length(CAST(p_size AS VARCHAR)) + 38 AS INT) AS offset FROM part WHERE p_partkey % 4 = 0")
+@query("inline_issues", f"{_TOLD} SELECT conv_id, turn, CAST(length(s) - 5 AS INT) AS offset FROM di WHERE turn % 4 = 0")
 def inline_issues(spark, sf_dir):
-    parsed = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{_DIALECT} AS s").withColumn("r", I.parse_udf()(F.col("s")))
-    return parsed.where("r.error is not null").select("p_partkey", "r.error", "r.offset")
+    parsed = _told(spark, sf_dir).withColumn("r", I.parse_udf()(F.col("s")))
+    return parsed.where("r.error is not null").select("conv_id", "turn", "r.offset")
 
 
 @query("prose_documents")
