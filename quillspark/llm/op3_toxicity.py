@@ -8,9 +8,13 @@ the documents, where they are read: an n-gram hash, a table look-up, and a sum o
 the distinct features that a document has.
 
 Only texts are features. Learning takes a bounded sample of labelled rows
-(``TRAIN_ROWS``), never of the held-out fold; scoring covers every whole text. Empty and
-null texts get the score of no features. Without two classes to learn from, all
-scores are 0.0.
+(``TRAIN_ROWS``), never of the held-out fold; scoring covers every whole text. Texts stay in
+tasks: the driver gets the counts of at most ``BUCKETS`` features and, of each training
+document, which of the ``FEATURES`` kept ones it has. Empty and null texts get the score of
+no features. Without two classes to learn from, all scores are 0.0. Every row is scored
+by itself, so rows of equal doc_id or text keep a row each, null ids too; features of
+equal gain are taken in the order of their numbers. Only the two columns named are
+read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -68,8 +72,8 @@ def present(texts: list[str | None], keep: np.ndarray | None = None) -> tuple[np
             ok = keep[feature]
             feature, at = feature[ok], at[ok]
         doc = np.searchsorted(ends, at)
-        found.append(np.unique(doc * BUCKETS + feature))
-    both = np.concatenate(found)  # orders share no feature but by chance
+        found.append(doc * BUCKETS + feature)
+    both = np.unique(np.concatenate(found))  # by document; orders share features by chance
     return both // BUCKETS, both % BUCKETS
 
 
@@ -87,51 +91,85 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def fit(texts: list[str], y: np.ndarray, prior: float | None = None, features: int = FEATURES, rounds: int = 300) -> Model | None:
-    """``prior``: the true share of toxic documents, where the rows given hold another."""
-    positive, negative = float(y.sum()), float(len(y) - y.sum())
-    if not positive or not negative:
-        return None
-    prior = prior or positive / len(y)
-    importance = np.where(y == 1, prior / positive, (1 - prior) / negative)
-    counts = np.zeros((2, BUCKETS))
-    for i, j in _chunks(texts):
-        doc, feature = present(texts[i:j])
-        for c in (0, 1):
-            counts[c] += np.bincount(feature[y[i:j][doc] == c], minlength=BUCKETS)
-    p, q = (counts[1] + 1) / (positive + 2), (counts[0] + 1) / (negative + 2)
-    ratio = np.log(p / q)
+def counted(rows: DataFrame) -> np.ndarray:
+    """(2, BUCKETS): in how many documents of each class (``y``) of ``rows`` a feature occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(2 * BUCKETS, np.int64)
+        for b in batches:
+            texts, y = b.column("text").to_pylist(), b.column("y").to_numpy()
+            for i, j in _chunks(texts):
+                doc, feature = present(texts[i:j])
+                counts += np.bincount(y[i:j][doc] * BUCKETS + feature, minlength=2 * BUCKETS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], names=["cell", "n"])
+
+    cells = rows.select("text", "y").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(2 * BUCKETS)
+    out[cells.column(0).to_numpy()] = cells.column(1).to_numpy()
+    return out.reshape(2, BUCKETS)
+
+
+def chosen(counts: np.ndarray, positive: float, negative: float, features: int = FEATURES) -> tuple[np.ndarray, np.ndarray]:
+    """(log ratio of the rates by feature; the numbers of those that tell most, ascending)."""
+    ratio = np.log((counts[1] + 1) / (positive + 2)) - np.log((counts[0] + 1) / (negative + 2))
     gain = np.abs(counts[1] / positive - counts[0] / negative) * np.abs(ratio)
-    gain[(counts.sum(0) < 3)] = 0
+    gain[counts.sum(0) < 3] = 0
     top = np.argsort(-gain, kind="stable")[:features]
-    keep = np.zeros(BUCKETS, bool)
-    keep[top[gain[top] > 0]] = True
-    docs, cols = [], []
-    for i, j in _chunks(texts):
-        doc, feature = present(texts[i:j], keep)
-        docs.append(doc + i)
-        cols.append(feature)
-    doc, col = np.concatenate(docs), np.concatenate(cols)
-    names = np.flatnonzero(keep)
-    at, x = np.searchsorted(names, col), ratio[col]
-    w, bias = np.zeros(len(names)), 0.0
-    m1, m2 = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
+    return ratio, np.sort(top[gain[top] > 0])
+
+
+def weighted(doc: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray, prior: float, width: int, rounds: int = 300) -> tuple[np.ndarray, float]:
+    """Logistic weights and bias: cell k says that document doc[k] has feature at[k], of value x[k]."""
+    importance = np.where(y == 1, prior / max(1, y.sum()), (1 - prior) / max(1, len(y) - y.sum()))
+    w, bias = np.zeros(width), 0.0
+    m1, m2 = np.zeros(width + 1), np.zeros(width + 1)
     for t in range(1, rounds + 1):  # Adam on the regularised mean log loss
         z = bias + np.bincount(doc, x * w[at], minlength=len(y))
         err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * importance
-        grad = np.append(np.bincount(at, x * err[doc], minlength=len(names)) + 1e-5 * w, err.sum())
+        grad = np.append(np.bincount(at, x * err[doc], minlength=width) + 1e-5 * w, err.sum())
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
         step = 0.05 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
         w, bias = w - step[:-1], bias - step[-1]
+    return w, float(bias)
+
+
+def fit(rows: DataFrame, prior: float, features: int = FEATURES) -> Model | None:
+    """From ``rows`` (text, y); ``prior``: the true share of toxic documents, where the rows hold another."""
+    classes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    positive, negative = float(classes.get(1, 0)), float(classes.get(0, 0))
+    if not positive or not negative:
+        return None
+    ratio, names = chosen(counted(rows), positive, negative, features)
+    keep = np.zeros(BUCKETS, bool)
+    keep[names] = True
+    shipped = rows.sparkSession.sparkContext.broadcast((keep, names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, of = shipped.value
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            cells: list[bytes] = []
+            for i, j in _chunks(texts):
+                doc, feature = present(texts[i:j], wanted)
+                at = np.searchsorted(of, feature).astype("<u2")
+                cut = np.searchsorted(doc, np.arange(j - i + 1))
+                cells += [at[a:z].tobytes() for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(cells, pa.binary())], names=["y", "cells"])
+
+    got = rows.select("text", "y").mapInArrow(run, "y int, cells binary").toArrow()
+    cells = [np.frombuffer(c, "<u2") for c in got.column("cells").to_pylist()]
+    y, at = got.column("y").to_numpy().astype(float), np.concatenate(cells).astype(np.int64)
+    doc = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
+    w, bias = weighted(doc, at, ratio[names][at], y, prior, len(names))
     weight = np.zeros(BUCKETS)
     weight[names] = w * ratio[names]
-    return Model(keep, weight, float(bias))
+    return Model(keep, weight, bias)
 
 
-def score(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS, features: int = FEATURES) -> DataFrame:
     """doc_id and score of every document."""
-    train = learn.sample(docs, labels, label, rows, doc_id=doc_id, text=text, balanced=True)
-    model = fit(train.column("text").to_pylist(), train.column("y").to_numpy().astype(float), learn.share(labels, label))
+    model = fit(learn.sample(docs, labels, label, rows, doc_id=doc_id, text=text, balanced=True), learn.share(labels, label), features)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

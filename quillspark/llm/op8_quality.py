@@ -8,10 +8,13 @@ one-dimensional logistic fit on the training documents maps it, with the share o
 worst lines, to a score.
 
 Lines of a labelled document carry its label when learning. Learning takes a bounded
-sample of labelled rows (``TRAIN_ROWS``), never of the held-out fold; scoring covers
-every line of every whole text. The chain's messages are log odds, so all documents of
+sample of labelled rows (at most ``TRAIN_ROWS`` with at most ``TRAIN_LINES`` lines together),
+never of the held-out fold; scoring covers every line of every whole text. Texts stay in
+tasks: only the features of the sample's lines come to the driver. The chain's messages are log odds, so all documents of
 a chunk move line by line as arrays. Empty and null texts are one empty line. Without
 two classes to learn from, all scores are 1.0 (nothing is known against a document).
+Every row is scored by itself, so rows of equal doc_id or text keep a row each, null
+ids too. Only the id and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -25,8 +28,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import learn
 from . import words as W
+from .durable import keep
 
-TRAIN_ROWS = 4000
+#: Rows of the sample, and lines of all its rows together: a row with more than are left is passed over.
+TRAIN_ROWS, TRAIN_LINES = 4000, 200_000
 THRESHOLD = 0.3
 _KINDS = 7
 _KIND = np.zeros(256, np.int64)  # other punctuation and controls
@@ -37,7 +42,9 @@ _KIND[list(b"0123456789")] = 3
 _KIND[list(b"#*$%&|<>")] = 4
 _KIND[list(b" \t\r\x0b\x0c")] = 5
 _KIND[list(b"!?")] = 6
-_CHUNK = 4 << 20
+_CHUNK = 1 << 20
+#: Numbers that describe a line.
+FEATURES = 22
 
 
 def _counts(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -155,11 +162,11 @@ def _adam(grad, start: np.ndarray, rounds: int, rate: float) -> np.ndarray:
     return x
 
 
-def fit(column: pa.Array, y: np.ndarray, rounds: int = 150) -> Model | None:
+def fit(doc: np.ndarray, size: np.ndarray, seen: np.ndarray, y: np.ndarray, rounds: int = 150) -> Model | None:
+    """From all lines (document, bytes, features) of the documents, whose labels are ``y``."""
     if not len(y) or y.min() == y.max():
         return None
-    raw, offsets = W.utf8(column)
-    doc, size, seen = lines(raw, offsets)
+    seen = seen.astype(np.float32)
     wide, chain = neighbours(doc, seen), Chain(doc)
     label = y[doc]
     follows = np.flatnonzero(doc[1:] == doc[:-1]) + 1
@@ -168,10 +175,10 @@ def fit(column: pa.Array, y: np.ndarray, rounds: int = 150) -> Model | None:
 
     def grad(x: np.ndarray) -> np.ndarray:
         w, table = x[:k], x[k:].reshape(2, 2)
-        emission = wide @ w
+        emission = (wide @ w.astype(np.float32)).astype(np.float64)
         ahead, back = chain.run(emission, table)
         p = 1 / (1 + np.exp(-np.clip(ahead + back, -30, 30)))
-        g = wide.T @ (weight * (p - label)) / len(y) + 1e-4 * w
+        g = wide.T @ (weight * (p - label)).astype(np.float32) / len(y) + 1e-4 * w
         # pairs of neighbouring lines
         a, b = ahead[follows - 1], back[follows] + emission[follows]
         joint = np.stack([np.full(len(a), table[0, 0]), table[0, 1] + b, table[1, 0] + a, table[1, 1] + a + b])
@@ -192,16 +199,34 @@ def fit(column: pa.Array, y: np.ndarray, rounds: int = 150) -> Model | None:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", rows: int = TRAIN_ROWS) -> Model | None:
-    table = learn.sample(docs, labels, label, rows, doc_id=doc_id, text=text)
-    return fit(table.column("text"), table.column("y").to_numpy().astype(np.int64))
+def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", rows: int = TRAIN_ROWS, most_lines: int = TRAIN_LINES) -> Model | None:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw, offsets = W.utf8(b.column("text"))
+            for i, j in W.chunks(offsets, _CHUNK):
+                doc, size, seen = lines(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                n = np.bincount(doc)
+                both, ends = np.concatenate((size[:, None], seen), 1).astype("<f4"), np.cumsum(n)
+                part = b.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([part.column("i"), part.column("y"), pa.array(n), pa.array([both[z - k : z].tobytes() for k, z in zip(n.tolist(), ends.tolist(), strict=True)], pa.binary())], names=["i", "y", "n", "lines"])
+
+    seen = keep(learn.sample(docs, labels, label, rows, doc_id=doc_id, text=text).mapInArrow(read, "i long, y int, n long, lines binary"))
+    left, picked = most_lines, []
+    for r in seen.select("i", "n").orderBy(F.xxhash64("i"), "i").collect():  # at most ``rows`` numbers
+        if r["n"] <= left:
+            left -= r["n"]
+            picked.append((r["i"],))
+    got = seen.join(F.broadcast(docs.sparkSession.createDataFrame(picked, "i long")), "i").orderBy("i").select("y", "lines").toArrow()
+    parts = [np.frombuffer(x, "<f4").reshape(-1, 1 + FEATURES) for x in got.column("lines").to_pylist()]
+    both = np.concatenate(parts) if parts else np.zeros((0, 1 + FEATURES), "<f4")
+    return fit(np.repeat(np.arange(len(parts)), [len(x) for x in parts]), both[:, 0].astype(np.float64), both[:, 1:], got.column("y").to_numpy().astype(np.int64))
 
 
 def scores(column: pa.Array, model: Model | None) -> np.ndarray:
     out = np.ones(len(column))
     if model is not None:
         raw, offsets = W.utf8(column)
-        for i, j in W.chunks(offsets, _CHUNK, 1 << 12):
+        for i, j in W.chunks(offsets, _CHUNK):
             doc, size, seen = lines(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             out[i:j] = model.score(doc, size, seen)
     return out
