@@ -188,6 +188,28 @@ def editable_text(kind: Column, text: Column, caption: Column, tex: Column) -> C
     return F.when(kind.isin("heading", "text", "quote"), text).when(kind == "formula", tex).when(kind == "image", F.coalesce(caption, F.lit("")))
 
 
+def write_back(blocks: DataFrame, edits: DataFrame) -> DataFrame:
+    """``blocks`` with edited texts (book_id, pos, edited) where ``editable_text`` took them; a blank caption goes."""
+    new, kind = F.col("edited"), F.col("type")
+    rows = blocks.join(edits.select("book_id", "pos", "edited"), ["book_id", "pos"], "left")
+    changed = {
+        "text": F.when(new.isNotNull() & kind.isin("heading", "text", "quote"), new).otherwise(F.col("text")),
+        "tex": F.when(new.isNotNull() & (kind == "formula"), new).otherwise(F.col("tex")),
+        "caption": F.when(new.isNotNull() & (kind == "image"), F.when(T.strip(new) != "", new)).otherwise(F.col("caption")),
+    }
+    return rows.select(*(changed.get(c, F.col(c)).alias(c) for c in blocks.columns))
+
+
+def remove(blocks: DataFrame, gone: Column) -> DataFrame:
+    """``blocks`` without the marked ones, positions closed up."""
+    return blocks.where(~F.coalesce(gone, F.lit(False))).withColumn("pos", (F.row_number().over(_order()) - 1).cast(blocks.schema["pos"].dataType))
+
+
+def replace(blocks: DataFrame, others: DataFrame) -> DataFrame:
+    """``blocks`` with those of ``others`` (same columns) at their positions."""
+    return blocks.join(others.select("book_id", "pos"), ["book_id", "pos"], "left_anti").select(*blocks.columns).unionByName(others.select(*blocks.columns))
+
+
 def move(blocks: DataFrame, moved: Column, down: bool = True) -> DataFrame:
     """``blocks`` with each marked block swapped with its neighbour (marks never touch)."""
     rows = blocks.withColumn("mark", moved)

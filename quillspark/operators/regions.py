@@ -22,6 +22,11 @@ def normalise(points: Column, width: Column, height: Column) -> Column:
     return F.struct((x / width).alias("x"), (y / height).alias("y"), ((F.array_max(xs) - x) / width).alias("w"), ((F.array_max(ys) - y) / height).alias("h"))
 
 
+def telling(text: Column, label: Column) -> Column:
+    """Regions worth keeping: with text, or of something to be looked at."""
+    return (T.strip(F.coalesce(text, F.lit(""))) != "") | F.coalesce(F.lower(label).rlike(VISION), F.lit(False))
+
+
 def crop_rect(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:
     """Pixel rectangle inside the page, or null if a side is under two pixels."""
     left, top = F.greatest(F.lit(0), T.round_half_up(x * width)), F.greatest(F.lit(0), T.round_half_up(y * height))

@@ -122,3 +122,30 @@ def spans(files: DataFrame, make_decoder: Callable[[], Callable[[bytes], list[di
             yield out.astype(object).where(out.notna(), None)
 
     return files.select("path", "content").mapInPandas(run, SPANS)
+
+
+IMAGES = "path string, page int, y double, w double, h double, hash string, png binary, error string"
+
+
+def image_bytes(files: DataFrame, wanted: DataFrame, make_reader: Callable[[], Callable[[bytes, list[int]], list[dict]]]) -> DataFrame:
+    """Images of the pages asked for (path, page), by a reader that the caller brings.
+
+    Only files with such a page are opened, each once with the list of its pages.
+    """
+    pages = wanted.groupBy("path").agg(F.array_sort(F.collect_set("page")).alias("pages"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import hashlib
+
+        reader = make_reader()
+        for pdf in batches:
+            rows = []
+            for path, content, listed in zip(pdf["path"], pdf["content"], pdf["pages"], strict=True):
+                try:
+                    rows += [{"path": path, "hash": hashlib.sha256(i["png"]).hexdigest()[:16]} | i for i in reader(content, list(listed))]
+                except Exception as e:  # noqa: BLE001  one bad file must not end the job
+                    rows.append({"path": path, "error": str(e)})
+            out = pd.DataFrame(rows, columns=[c.split()[0] for c in IMAGES.split(", ")]).astype({"page": "Int32"})
+            yield out.astype(object).where(out.notna(), None)
+
+    return files.select("path", "content").join(pages, "path").mapInPandas(run, IMAGES)

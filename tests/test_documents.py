@@ -236,6 +236,37 @@ def test_dim_roles_and_selections(spark):
     assert [r[0] for r in rows.select(B.dim(F.col("role"))).collect()] == [True, True, False, False]
 
 
+def test_edits_of_blocks(spark):
+    schema = "book_id string, pos int, type string, text string, tex string, caption string"
+    rows = spark.createDataFrame([("b", 0, "text", "old", None, None), ("b", 1, "image", None, None, "cap"), ("b", 2, "formula", None, "x", None)], schema)
+    edits = spark.createDataFrame([("b", 0, "new"), ("b", 1, "  "), ("b", 2, "y")], "book_id string, pos int, edited string")
+    assert [tuple(r)[3:] for r in B.write_back(rows, edits).orderBy("pos").collect()] == [("new", None, None), (None, None, None), (None, "y", None)]
+    assert [(r.pos, r.type) for r in B.remove(rows, F.col("pos") == 1).orderBy("pos").collect()] == [(0, "text"), (1, "formula")]
+    other = spark.createDataFrame([("b", 1, "text", "in place", None, None)], schema)
+    assert [r.text for r in B.replace(rows, other).orderBy("pos").collect()] == ["old", "in place", None]
+
+
+def test_telling_regions_and_image_bytes(spark):
+    from quillspark.operators import regions as R
+    from quillspark.sources import recognised
+
+    rows = spark.createDataFrame([("a", "text"), (" ", "text"), ("", "Image"), (None, "seal"), (None, None)], "text string, label string")
+    assert [r[0] for r in rows.select(R.telling(F.col("text"), F.col("label"))).collect()] == [True, False, True, True, False]
+    files = spark.createDataFrame([("p", bytearray(b"good")), ("q", bytearray(b"bad")), ("r", bytearray(b"unread"))], "path string, content binary")
+    wanted = spark.createDataFrame([("p", 3), ("p", 1), ("p", 3), ("q", 1)], "path string, page int")
+
+    def make():
+        def read(content, pages):
+            if content != b"good":
+                raise ValueError("damaged")
+            return [{"page": p, "y": 1.0, "w": 30.0, "h": 30.0, "png": b"png"} for p in pages]
+
+        return read
+
+    got = recognised.image_bytes(files, wanted, make).orderBy("path", "page").collect()
+    assert [(r.path, r.page, r.error) for r in got] == [("p", 1, None), ("p", 3, None), ("q", None, "damaged")] and len({r.hash for r in got[:2]}) == 1
+
+
 def test_frames_need_no_whole_channel(spark):
     chunks = spark.createDataFrame([("c", 1, "ab"), ("c", 2, "c\n\nd\ne"), ("c", 3, "f\n"), ("c", 4, "left"), ("d", 1, "x")], "channel string, seq int, data string")
     assert sorted((r.channel, r.line_no, r.line) for r in J.frames(chunks).collect()) == [("c", 0, "abc"), ("c", 2, "d"), ("c", 3, "ef")]
