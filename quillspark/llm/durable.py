@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,20 @@ def keep(df: DataFrame) -> DataFrame:
     return session.keep(df)
 
 
+def free(*tables: DataFrame | None) -> None:
+    """Deletes tables that ``keep`` has given and that nothing will read again; others are left alone."""
+    for df in tables:
+        path = getattr(df, "kept_path", None)
+        if path:
+            release(df.sparkSession, [path.rpartition("/")[2]])
+
+
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that are done: it does so when the driver collects garbage, which a driver with little to do hardly ever does."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(spark: SparkSession) -> set[str]:
     """The tables that ``keep`` has written in this application and that are still there."""
     folder, fs = _folder(spark)

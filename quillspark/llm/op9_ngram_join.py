@@ -20,9 +20,10 @@ in another partition; a set with more of them emits them too.
 
 *Candidates.* A signature shared by several sets is a bucket. In a round some members of
 each bucket are hubs, and all members are compared with the hubs, unless they are known
-to be in one component already, or sizes and lone shingles rule the pair out. Then hubs
-leave the bucket, components are drawn anew, and buckets with one component left are
-settled. Rounds take 1, 8, 64, ... hubs a bucket until no bucket is left, so a group of
+to be in one component already, or too different by a bound: lone shingles are differences,
+and so are the places where the *sketches* of the shared shingles differ, which hold the
+parities of their counts in ``64 * WORDS_OF_SKETCH`` buckets. Then hubs leave the bucket, components are drawn anew, and buckets with one component left are
+settled. Rounds take 16, 256, ... hubs a bucket until no bucket is left, so a group of
 copies settles after a few comparisons a member and no link between components is lost.
 A first pass over one in ``SAMPLE`` signatures only ties most copies together early; it
 decides nothing by itself.
@@ -44,7 +45,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import words as W
 from .components import components
-from .durable import keep
+from .durable import free, keep, sweep
 from .repeats import Emitted, Filter, members, repeated, scramble
 
 WORDS = 5
@@ -55,9 +56,12 @@ SUBSETS = tuple(combinations(range(SUB), LEFT_OUT))
 #: One signature in so many takes part in the first pass.
 SAMPLE = 16
 #: Each round takes so many times more hubs a bucket.
-GROWTH = 8
+GROWTH = 16
 #: Members of a hub that one task compares.
 SALT_MEMBERS = 512
+#: 64-bit words of the sketch of a set.
+WORDS_OF_SKETCH = 4
+SKETCH = tuple(f"s{k}" for k in range(WORDS_OF_SKETCH))
 _BITS = np.uint64(54)
 _SET = np.uint64((1 << 54) - 1)
 _PLANES = 7
@@ -182,8 +186,15 @@ def _unpack(planes: bytes | pa.Buffer) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def sketches(shingle: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
+    """By word, the parities of each set's shingles by bucket; no set is empty."""
+    bucket = W.mix(shingle + np.uint64(271_828)) % np.uint64(64 * WORDS_OF_SKETCH)
+    word, bit = bucket >> np.uint64(6), np.uint64(1) << (bucket & np.uint64(63))
+    return [np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), begins).view(np.int64) for k in range(WORDS_OF_SKETCH)]
+
+
 def _candidates(own: DataFrame, found: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
-    """node, size, lone, shingles of the classes that can have a link: their shared shingles, packed."""
+    """node, size, lone, sketch, shingles of the classes that can have a link: their shared shingles, packed."""
     spark = own.sparkSession
     texts = own.where("doc_id is not null")
     total = found.agg(F.sum("n")).first()[0] or 0
@@ -213,11 +224,17 @@ def _candidates(own: DataFrame, found: DataFrame, reps: DataFrame, width: int, p
                 k = np.searchsorted(which, doc)
                 lone = size - np.bincount(k[ok], minlength=len(which))
                 stay = np.flatnonzero((100 * lone <= (100 - percent) * size) & (lone < size))
-                ends = np.cumsum(np.bincount(k[ok], minlength=len(which)))
-                begins, rest = ends - (size - lone), shingle[ok]
-                yield pa.RecordBatch.from_arrays([pa.array(node[stay]), pa.array(size[stay]), pa.array(lone[stay]), pa.array([_pack(rest[begins[x] : ends[x]]) for x in stay.tolist()], pa.binary())], names=["node", "size", "lone", "shingles"])
+                keeps = np.zeros(len(which), bool)
+                keeps[stay] = True
+                rest = shingle[ok & keeps[k]]
+                if not len(rest):
+                    continue
+                ends = np.cumsum((size - lone)[stay])
+                begins = ends - (size - lone)[stay]
+                cols = [node[stay], size[stay], lone[stay], *sketches(rest, begins)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array([_pack(rest[a:z]) for a, z in zip(begins.tolist(), ends.tolist(), strict=True)], pa.binary())], names=["node", "size", "lone", *SKETCH, "shingles"])
 
-    sets = texts.mapInArrow(cut, "node long, size long, lone long, shingles binary")
+    sets = texts.mapInArrow(cut, f"node long, size long, lone long, {', '.join(f'{c} long' for c in SKETCH)}, shingles binary")
     return keep(sets.dropDuplicates(["node"]))
 
 
@@ -235,8 +252,8 @@ def _signed(batches: Iterator[pa.RecordBatch], percent: int, bound: int = 1 << 2
 
 
 def _entries(sets: DataFrame, percent: int, pick) -> DataFrame:
-    """sig, node, part, size, lone, mine: a row for each signature that ``pick`` keeps."""
-    carried = ["node", "part", "size", "lone"]
+    """sig, node, part, mine: a row for each signature that ``pick`` keeps."""
+    carried = ["node", "part"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, value, who, mine in _signed(batches, percent):
@@ -244,7 +261,7 @@ def _entries(sets: DataFrame, percent: int, pick) -> DataFrame:
             cols = [pa.array(part.column(c).to_numpy(zero_copy_only=False)[who[ok]]) for c in carried]
             yield pa.RecordBatch.from_arrays([pa.array(value[ok].view(np.int64)), *cols, pa.array(mine[ok])], names=["sig", *carried, "mine"])
 
-    return sets.mapInArrow(run, "sig long, node long, part long, size long, lone long, mine boolean")
+    return sets.mapInArrow(run, "sig long, node long, part long, mine boolean")
 
 
 def _open(entries: DataFrame) -> DataFrame:
@@ -253,30 +270,42 @@ def _open(entries: DataFrame) -> DataFrame:
     return entries.join(crowded.hint("merge"), "sig")
 
 
-def _possible(size: Column, lone: Column, hub_size: Column, hub_lone: Column, percent: int) -> Column:
-    """Lone shingles and the gap of the sizes of the rest are differences."""
-    least = lone + hub_lone + F.abs((size - lone) - (hub_size - hub_lone))
-    return least * (100 + percent) <= (size + hub_size) * (100 - percent)
+def _possible(percent: int, hub: str) -> Column:
+    """Can a set (size, lone, sketch) be similar to the hub, whose columns begin with ``hub``.
 
+    Lone shingles are differences; of the rest, so are the places where the sketches differ, and the gap of the sizes.
+    """
+    col = F.col
+    apart = sum((F.bit_count(col(c).bitwiseXOR(col(hub + c))) for c in SKETCH[1:]), F.bit_count(col(SKETCH[0]).bitwiseXOR(col(hub + SKETCH[0]))))
+    gap = F.abs((col("size") - col("lone")) - (col(hub + "size") - col(hub + "lone")))
+    least = col("lone") + col(hub + "lone") + F.greatest(apart.cast("long"), gap)
+    return least * (100 + percent) <= (col("size") + col(hub + "size")) * (100 - percent)
 
-def _round(entries: DataFrame, hubs: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs a: hub, b to compare; entries without the hubs).
 
-    The hub that every bucket has is the member with the fewest lone shingles; more are
-    drawn by a hash of the node, so that a set is hub in all its buckets or in few.
+def _round(entries: DataFrame, sets: DataFrame, hubs: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs a: hub, b to compare; entries without the hubs; the table that both come from).
+
+    The hub of a first round (``hubs`` 1) is the bucket's member with the fewest lone
+    shingles. Later, hubs are drawn by a hash of the node, so that a set is hub in all its
+    buckets or in few; a bucket of no more members than ``hubs`` has all of them.
     """
-    first = F.struct((-F.floor(F.col("lone") * 1000 / F.col("size"))).alias("share"), F.col("size").alias("size"), F.col("node").alias("node"), F.col("part").alias("part"), F.col("lone").alias("lone"))
-    stats = entries.groupBy("sig").agg(F.max(F.when(F.col("mine"), first)).alias("top"), F.sum(F.col("mine").cast("long")).alias("n"))
-    tagged = entries.join(stats.hint("merge"), "sig")
+    told = ("size", "lone", *SKETCH)
+    facts = sets.select("node", *told)
+    names = ["node", "part", *told]
     if hubs == 1:
-        other = tagged.where("node <> top.node and part <> top.part").where(_possible(F.col("size"), F.col("lone"), F.col("top.size"), F.col("top.lone"), percent))
-        return other.select(F.col("top.node").alias("a"), F.col("node").alias("b")).distinct(), tagged.where("node <> top.node").select(*entries.columns)
+        rows = entries.join(facts, "node")
+        first = F.struct((-F.floor(F.col("lone") * 1000 / F.col("size"))).alias("share"), F.col("size"), *(F.col(c) for c in names if c != "size"))
+        stats = rows.where("mine").groupBy("sig").agg(F.max(first).alias("top"))
+        tagged = rows.join(stats.select("sig", *(F.col(f"top.{c}").alias(f"hub_{c}") for c in names)).hint("merge"), "sig").where("node <> hub_node")
+        pairs = tagged.where("part <> hub_part").where(_possible(percent, "hub_"))
+        return pairs.select(F.col("hub_node").alias("a"), F.col("node").alias("b")).distinct(), tagged.select(*entries.columns), entries
+    stats = entries.where("mine").groupBy("sig").agg(F.count("*").alias("n"))
     draw = F.pmod(F.xxhash64("node", F.lit(hubs)), F.lit(1_000_000)) * F.col("n") < F.lit(1_000_000 * hubs)
-    tagged = tagged.withColumn("hub", F.col("mine") & ((F.col("node") == F.col("top.node")) | draw)).drop("top", "n")
-    tagged = keep(tagged)
-    chosen = tagged.where("hub").select("sig", F.col("node").alias("a"), F.col("part").alias("hub_part"), F.col("size").alias("hub_size"), F.col("lone").alias("hub_lone"))
-    met = tagged.join(chosen.hint("merge"), "sig").where("node <> a and part <> hub_part and (not hub or node > a)").where(_possible(F.col("size"), F.col("lone"), F.col("hub_size"), F.col("hub_lone"), percent))
-    return met.select("a", F.col("node").alias("b")).distinct(), tagged.where("not hub").select(*entries.columns)
+    tagged = keep(entries.join(stats.hint("merge"), "sig").withColumn("hub", F.col("mine") & draw).drop("n"))
+    rows = tagged.join(facts, "node")
+    chosen = rows.where("hub").select("sig", *(F.col(c).alias(f"hub_{c}") for c in names))
+    met = rows.join(chosen.hint("merge"), "sig").where("node <> hub_node and part <> hub_part and (not hub or node > hub_node)").where(_possible(percent, "hub_"))
+    return met.select(F.col("hub_node").alias("a"), F.col("node").alias("b")).distinct(), tagged.where("not hub").select(*entries.columns), tagged
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -318,20 +347,31 @@ class _Links:
 
     def compare(self, pairs: DataFrame) -> None:
         pairs = keep(pairs)
-        if pairs.isEmpty():
-            return
-        fresh = keep(_verified(pairs, self.sets, self.percent))
-        if fresh.isEmpty():
-            return
-        # links of a component so far are its stars: only those and what is new are joined
-        known = fresh if self.parts is None else fresh.union(self.parts.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        self.parts = components(known)
+        if not pairs.isEmpty():
+            fresh = keep(_verified(pairs, self.sets, self.percent))
+            if not fresh.isEmpty():
+                # links of a component so far are its stars: only those and what is new are joined
+                before = self.parts
+                known = fresh if before is None else fresh.union(before.select(F.col("node").alias("a"), F.col("component").alias("b")))
+                self.parts = components(known)
+                free(before)
+            free(fresh)
+        free(pairs)
+
+    def settle(self, entries: DataFrame, hubs: int) -> DataFrame:
+        """One round over ``entries``, a table that goes; the entries still open."""
+        pairs, rest, source = _round(entries, self.sets, hubs, self.percent)
+        self.compare(pairs)
+        rest = keep(_open(self.labelled(rest)))
+        free(entries, source)
+        sweep(entries.sparkSession)
+        return rest
 
     def labelled(self, rows: DataFrame) -> DataFrame:
         """``rows`` with the part of their node."""
         if self.parts is None:
             return rows.withColumn("part", F.col("node"))
-        return rows.drop("part").join(self.parts.hint("merge"), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+        return rows.drop("part").join(self.parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
 
 
 def links(own: DataFrame, found: DataFrame, width: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -339,29 +379,27 @@ def links(own: DataFrame, found: DataFrame, width: int = WORDS, percent: int = P
     spark = own.sparkSession
     classes = keep(found.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep")))
     sets = _candidates(own, found, classes, width, percent)
+    sweep(spark)
     state = _Links(sets, percent)
     every = np.uint64(SAMPLE)
     some = keep(_open(_entries(state.labelled(sets), percent, lambda v: v % every == 0)))
     for hubs in (1, GROWTH):
         if some.isEmpty():
             break
-        pairs, rest = _round(some, hubs, percent)
-        state.compare(pairs)
-        some = keep(_open(state.labelled(rest)))
+        some = state.settle(some, hubs)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Emitted:
-        ordinal = 0
         for part, value, who, mine in _signed(batches, percent):
-            yield value, who + ordinal, mine
-            ordinal += part.num_rows
-
-    shared = spark.sparkContext.broadcast(repeated(sets, emit))
-    labelled = state.labelled(sets).select("node", "part", "size", "lone", "shingles")
-    rest, hubs = keep(_open(_entries(labelled, percent, lambda v: shared.value.has(v)))), 1
+            yield value, part.column("part").to_numpy()[who], mine
+
+    # signatures of two components, found by their parts' numbers: what copies share among themselves stays away
+    labelled = state.sets = keep(state.labelled(sets))
+    free(sets)
+    sweep(spark)
+    shared = spark.sparkContext.broadcast(repeated(labelled, emit, named=True))
+    rest, hubs = keep(_entries(labelled, percent, lambda v: shared.value.has(v))), GROWTH
     while not rest.isEmpty():
-        pairs, rest = _round(rest, hubs, percent)
-        state.compare(pairs)
-        rest, hubs = keep(_open(state.labelled(rest))), hubs * GROWTH
+        rest, hubs = state.settle(rest, hubs), hubs * GROWTH
     return classes, state.parts if state.parts is not None else spark.createDataFrame([], "node long, component long")
 
 

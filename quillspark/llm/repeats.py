@@ -25,7 +25,7 @@ FILTER_BITS, MOST_BITS = 1 << 27, 1 << 30
 CHUNK_VALUES = 1_000_000
 MARKED, SEVERAL = 1, 2
 
-#: What a map function yields: values, the ordinal of their document, and which are marked.
+#: What a map function yields: values, the number of their document, and which are marked.
 Emitted = Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
@@ -44,7 +44,8 @@ def slice_of(values: np.ndarray, n: int) -> np.ndarray:
     return ((values >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
 
 
-def _rows(values: np.ndarray, docs: np.ndarray, marked: np.ndarray, n: int) -> pa.RecordBatch:
+def _rows(values: np.ndarray, docs: np.ndarray, marked: np.ndarray, n: int, named: bool = False) -> pa.RecordBatch:
+    """One row a slice; ``named``: with the number of each value's (least) document."""
     at = (slice_of(values, n) << np.uint64(32)) | (values & np.uint64(0xFFFFFFFF))
     order = np.argsort(at)
     at, docs, marked = at[order], docs[order], marked[order]
@@ -57,22 +58,33 @@ def _rows(values: np.ndarray, docs: np.ndarray, marked: np.ndarray, n: int) -> p
     low = at & np.uint64(0xFFFFFFFF)
     keys = [_planes(low[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
     bits = [np.packbits(np.unpackbits(flags[a:b, None], axis=1, count=2, bitorder="little"), bitorder="little").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(piece[cut[:-1]], pa.int32()), pa.array(keys, pa.binary()), pa.array(bits, pa.binary())], names=["slice", "keys", "flags"])
+    least = np.minimum.reduceat(docs, first).astype("<i8") if named else np.zeros(0, "<i8")
+    names = [least[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(piece[cut[:-1]], pa.int32()), pa.array(keys, pa.binary()), pa.array(bits, pa.binary()), pa.array(names, pa.binary())], names=["slice", "keys", "flags", "docs"])
 
 
-def _found(keys: list[bytes], flags: list[bytes]) -> np.ndarray:
-    """Keys that are marked somewhere and come from two documents."""
+def _found(keys: list[bytes], flags: list[bytes], docs: list[bytes] | None = None) -> np.ndarray:
+    """Keys that are marked somewhere and come from two documents.
+
+    Without ``docs``, a key of two chunks is taken to come from two documents.
+    """
     packed = []
     for k, f in zip(keys, flags, strict=True):
         value = _keys(k)
         bits = np.unpackbits(np.frombuffer(f, np.uint8), bitorder="little")[: 2 * len(value)].reshape(-1, 2)
         packed.append((value << np.uint64(2)) | (bits[:, 0] | bits[:, 1] << 1).astype(np.uint64))
-    every = np.sort(np.concatenate(packed))
+    every = np.concatenate(packed)
+    order = np.argsort(every >> np.uint64(2), kind="stable")
+    every = every[order]
     key = every >> np.uint64(2)
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     flag = np.bitwise_or.reduceat(every & np.uint64(3), first)
-    count = np.diff(np.append(first, len(key)))
-    return key[first][((flag & np.uint64(MARKED)) > 0) & ((count > 1) | ((flag & np.uint64(SEVERAL)) > 0))]
+    if docs is None:
+        apart = np.diff(np.append(first, len(key))) > 1
+    else:
+        named = np.concatenate([np.frombuffer(d, "<i8") for d in docs])[order]
+        apart = np.minimum.reduceat(named, first) != np.maximum.reduceat(named, first)
+    return key[first][((flag & np.uint64(MARKED)) > 0) & (apart | ((flag & np.uint64(SEVERAL)) > 0))]
 
 
 class Filter:
@@ -108,10 +120,11 @@ class Filter:
         return ok
 
 
-def repeated(docs: DataFrame, emit: Callable[[Iterator[pa.RecordBatch]], Emitted], *, single: bool = False, values: int = 0) -> Filter:
+def repeated(docs: DataFrame, emit: Callable[[Iterator[pa.RecordBatch]], Emitted], *, single: bool = False, named: bool = False, values: int = 0) -> Filter:
     """A filter of the values that ``emit`` gives for two documents, at least once marked.
 
-    With ``single``, of all marked values. ``values``: about how many values there are, where known.
+    With ``single``, of all marked values. With ``named``, numbers of documents hold over all
+    tasks and travel along; without, they only tell documents of one task apart. ``values``: about how many values there are, where known.
     """
     n, total = slices(docs.sparkSession), min(MOST_BITS, max(FILTER_BITS, 1 << (2 * values).bit_length()))
 
@@ -121,19 +134,19 @@ def repeated(docs: DataFrame, emit: Callable[[Iterator[pa.RecordBatch]], Emitted
             held.append(part)
             size += len(part[0])
             if size >= CHUNK_VALUES:
-                yield _rows(*map(np.concatenate, zip(*held, strict=True)), n)
+                yield _rows(*map(np.concatenate, zip(*held, strict=True)), n, named)
                 held, size = [], 0
         if size:
-            yield _rows(*map(np.concatenate, zip(*held, strict=True)), n)
+            yield _rows(*map(np.concatenate, zip(*held, strict=True)), n, named)
 
     def gather(key: tuple, table: pa.Table) -> pa.Table:
         keys, flags = table.column("keys").to_pylist(), table.column("flags").to_pylist()
-        low = np.unique(np.concatenate([_keys(k) for k in keys])) if single else _found(keys, flags)
+        low = np.unique(np.concatenate([_keys(k) for k in keys])) if single else _found(keys, flags, table.column("docs").to_pylist() if named else None)
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([Filter.segment(low, n, total)], pa.binary())})
 
     out = Filter(n, total)
-    segments = docs.mapInArrow(send, "slice int, keys binary, flags binary").groupBy("slice").applyInArrow(gather, "slice int, bits binary")
-    for row in segments.toLocalIterator():
+    segments = docs.mapInArrow(send, "slice int, keys binary, flags binary, docs binary").groupBy("slice").applyInArrow(gather, "slice int, bits binary")
+    for row in segments.collect():  # as many bytes as the filter has
         out.put(row["slice"], bytes(row["bits"]))
     return out
 

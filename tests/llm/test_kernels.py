@@ -116,6 +116,10 @@ def test_slices_find_repeats():
         flags = [t["flags"][t["slice"].index(s)] for t in tables]
         out.put(s, Filter.segment(_found(keys, flags), n))
     assert out.has(one[:60]).all() and out.has(one[100:]).mean() < 0.01 and out.has(one[60:100]).mean() < 0.1
+    # with numbers of documents, a value that one document sends twice is not shared
+    sent = [_rows(v, np.full(len(v), doc), np.ones(len(v), bool), 1, True).to_pydict() for v, doc in ((one, -5), (one, -5), (two, 9))]
+    low = _found([t["keys"][0] for t in sent], [t["flags"][0] for t in sent], [t["docs"][0] for t in sent])
+    assert low.tolist() == sorted(set((one[:100] & np.uint64(2**32 - 1)).tolist()))
     keys = np.sort(rng.integers(0, 2**32, 999, dtype=np.uint64))
     assert (_keys(_planes(keys)) == keys).all()
 
