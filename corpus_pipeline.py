@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import op2_packing, op7_substrings, op8_quality, op9_ngram_join, op10_decontaminate
-from quillspark.llm.durable import keep, tune
+from quillspark.llm.durable import keep, release, tune, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -61,10 +61,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written as Parquet and read again by the next."""
+    """All stages, each written as Parquet and read again by the next.
+
+    What a stage has written besides its output goes when the output is there.
+    """
     docs = _table(spark, sf_dir, "documents")
+    before = written(spark)
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
+            spent = written(spark) - before
             docs = keep(docs)
+            release(spark, spent)
     return docs
