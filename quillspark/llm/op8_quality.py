@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import learn
+from . import tokens as T
 from . import words as W
 from .durable import keep
 
@@ -252,6 +253,7 @@ def accepted(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, text=text, **names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.forget()
         for b in batches:
             yield b.filter(pa.array(scores(b.column(text), model.value) >= threshold))
 

@@ -43,6 +43,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import tokens as T
 from . import words as W
 from .components import components
 from .durable import free, keep, sweep
@@ -164,6 +165,7 @@ def _inventory(own: DataFrame, width: int) -> DataFrame:
     """doc_id, n, node (the hash of the set) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.forget()
         for b in batches:
             n, node = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
             for i, doc, shingle in _shingles(b.column("text"), width):
@@ -238,7 +240,7 @@ def _candidates(own: DataFrame, found: DataFrame, reps: DataFrame, width: int, p
     return keep(sets.dropDuplicates(["node"]))
 
 
-def _signed(batches: Iterator[pa.RecordBatch], percent: int, bound: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+def _signed(batches: Iterator[pa.RecordBatch], percent: int, bound: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     """(rows, signature, row, is it of the own band), a bounded number of shingles at a time."""
     for b in batches:
         size = np.array([len(x) // _PLANES for x in b.column("shingles").to_pylist()], np.int64)

@@ -22,7 +22,7 @@ from .words import mix
 #: Bits of a filter over all slices: 16 MB, and for more values up to 128 MB, never more.
 FILTER_BITS, MOST_BITS = 1 << 27, 1 << 30
 #: Values held by a map task before it sends them.
-CHUNK_VALUES = 1_000_000
+CHUNK_VALUES = 500_000
 MARKED, SEVERAL = 1, 2
 
 #: What a map function yields: values, the number of their document, and which are marked.
@@ -74,8 +74,12 @@ def _found(keys: list[bytes], flags: list[bytes], docs: list[bytes] | None = Non
         bits = np.unpackbits(np.frombuffer(f, np.uint8), bitorder="little")[: 2 * len(value)].reshape(-1, 2)
         packed.append((value << np.uint64(2)) | (bits[:, 0] | bits[:, 1] << 1).astype(np.uint64))
     every = np.concatenate(packed)
-    order = np.argsort(every >> np.uint64(2), kind="stable")
-    every = every[order]
+    packed.clear()
+    if docs is None:
+        every.sort()
+    else:
+        order = np.argsort(every)
+        every = every[order]
     key = every >> np.uint64(2)
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     flag = np.bitwise_or.reduceat(every & np.uint64(3), first)

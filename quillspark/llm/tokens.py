@@ -22,7 +22,7 @@ from . import words as W
 
 END_ID = 1
 #: Units that a worker remembers.
-CACHE_UNITS = 2_000_000
+CACHE_UNITS = 1_500_000
 _SLOT_BITS = 22
 #: New plain units of one call.
 _TOGETHER = 512
@@ -90,7 +90,7 @@ class Encoder:
     def _clear(self) -> None:
         """Entry 0 is the end id."""
         self._seen, self._used = W.Seen(_SLOT_BITS), 1
-        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.start, self.size = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.ids = np.zeros(1 << 18, np.uint32)
         self.ids[0], self.size[0] = END_ID, 1
 
@@ -160,7 +160,7 @@ class Encoder:
                 whole[mask] = entry
                 entry = whole
             size = self.size[entry]
-            last = np.cumsum(size)
+            last = np.cumsum(size, dtype=np.int64)
             ids = self.ids[np.arange(int(last[-1]) if len(last) else 0) + np.repeat(self.start[entry] - (last - size), size)]
             ends = np.concatenate(([0], last))[np.concatenate(([0], np.cumsum(counts)))]
             yield i, ids, np.diff(ends)
@@ -184,3 +184,8 @@ class Encoder:
 def encoder(path: str | None = None) -> Encoder:
     """One for each worker process."""
     return Encoder(path)
+
+
+def forget() -> None:
+    """Frees a worker's encoders: operators that don't encode call it where they begin, as workers are used again."""
+    encoder.cache_clear()
