@@ -22,7 +22,15 @@ in another partition; a set with more of them emits them too.
 each bucket are hubs, and all members are compared with the hubs, unless they are known
 to be in one component already, or too different by a bound: lone shingles are differences,
 and so are the places where the *sketches* of the shared shingles differ, which hold the
-parities of their counts in ``64 * WORDS_OF_SKETCH`` buckets. Then hubs leave the bucket, components are drawn anew, and buckets with one component left are
+parities of their counts in ``64 * WORDS_OF_SKETCH`` buckets. Large sets would fill a sketch,
+so partitions lie in groups of about ``GROUP``, and each group has a sketch of its own. A pair
+is compared over a signature only if the sketches of that signature's group differ in no more
+places than the group's share of the differences allowed. That loses no pair: let a similar
+pair differ in D <= T shared shingles, let L of the n1 partitions be left out as empty, and let
+a group of P partitions pass if it differs in (T + 2L) * P / n1 places at most. A group
+without an equal signature differs in 2 * (P - L') places, L' of the L being its own, which is
+no less than that share less 2 * L', since T + 2L < 2 * n1. If no group both passed and had an
+equal signature, the groups would differ in more than T places together. Then hubs leave the bucket, components are drawn anew, and buckets with one component left are
 settled. Rounds take 16, 256, ... hubs a bucket until no bucket is left, so a group of
 copies settles after a few comparisons a member and no link between components is lost.
 A first pass over one in ``SAMPLE`` signatures only ties most copies together early; it
@@ -60,8 +68,9 @@ SAMPLE = 16
 GROWTH = 16
 #: Members of a hub that one task compares.
 SALT_MEMBERS = 512
-#: 64-bit words of the sketch of a set.
+#: 64-bit words of a sketch, and partitions that one sketch covers.
 WORDS_OF_SKETCH = 4
+GROUP = 16
 SKETCH = tuple(f"s{k}" for k in range(WORDS_OF_SKETCH))
 _BITS = np.uint64(54)
 _SET = np.uint64((1 << 54) - 1)
@@ -122,42 +131,83 @@ def partitions(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return least + slack, slack
 
 
+class _Instance:
+    """The partitions of every set in one of its two instances; step 0 is that of its own band."""
+
+    def __init__(self, doc: np.ndarray, shingle: np.ndarray, size: np.ndarray, step: int, percent: int):
+        upper = bands(percent)
+        self.band = np.searchsorted(upper, size) + step
+        k = differences(2 * upper[self.band], percent)
+        n, slack = partitions(k)
+        n = self.n = np.where(k > 0, n, 0)  # sets that may not differ are equal: one class
+        self.base = np.cumsum(n) - n
+        self.live = np.flatnonzero(k[doc] > 0)
+        at = doc[self.live]
+        first = W.mix(shingle[self.live] + np.uint64(1_000_003))
+        self.spot = self.base[at] * SUB + (first % (n[at] * SUB).astype(np.uint64)).astype(np.int64)
+        full = np.zeros(int(n.sum()) * SUB, bool)
+        full[self.spot] = True
+        full = full.reshape(-1, SUB)
+        self.owner = np.repeat(np.arange(len(n)), n)
+        self.place = np.arange(len(self.owner)) - self.base[self.owner]
+        empty = np.stack([~np.delete(full, q, 1).any(1) for q in SUBSETS], 1)
+        hollow = np.bincount(self.owner, empty.any(1), minlength=len(n)).astype(np.int64)
+        thin = hollow > slack
+        self.emit = ~empty | thin[self.owner][:, None]
+        self.left_out = np.where(thin, 0, hollow)
+        # groups of partitions: how many a set has, where its own begin, and that of each partition
+        self.groups = np.where(n > 0, np.maximum(n // GROUP, 1), 0)
+        self.group_base = np.cumsum(self.groups) - self.groups
+        self.group = self.place * self.groups[self.owner] // np.maximum(n[self.owner], 1)
+
+
 def signatures(doc: np.ndarray, shingle: np.ndarray, size: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(signature, ordinal of the set, is it of the instance's own band).
 
     ``doc`` numbers the sets from 0, in order, for each of their shared shingles; ``size``
     counts all shingles of each set.
     """
-    out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool))]
-    upper = bands(percent)
-    own = np.searchsorted(upper, size)
-    first, content = W.mix(shingle + np.uint64(1_000_003)), W.mix(shingle + np.uint64(12_345))
+    return _signatures(doc, shingle, size, percent)[:3]
+
+
+def _signatures(doc: np.ndarray, shingle: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``signatures``, and the place (2 * group + step) of each."""
+    out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int32))]
+    content = W.mix(shingle + np.uint64(12_345))
     for step in (0, 1):
-        k = differences(2 * upper[own + step], percent)
-        n, slack = partitions(k)
-        n = np.where(k > 0, n, 0)  # sets that may not differ are equal: one class
-        base = np.cumsum(n) - n
-        live = np.flatnonzero(k[doc] > 0)
-        if not len(live):
+        x = _Instance(doc, shingle, size, step, percent)
+        if not len(x.live):
             continue
-        at = doc[live]
-        spot = base[at] * SUB + (first[live] % (n[at] * SUB).astype(np.uint64)).astype(np.int64)
-        total = int(n.sum())
-        held, full = np.zeros(total * SUB, np.uint64), np.zeros(total * SUB, bool)
-        np.add.at(held, spot, content[live])
-        full[spot] = True
-        held, full = held.reshape(-1, SUB), full.reshape(-1, SUB)
-        owner = np.repeat(np.arange(len(n)), n)
-        empty = np.stack([~np.delete(full, q, 1).any(1) for q in SUBSETS], 1)
-        thin = np.bincount(owner, empty.any(1), minlength=len(n)) > slack
-        emit = ~empty | thin[owner][:, None]
-        band = W.mix((own + step).astype(np.uint64) + np.uint64(0xB5AD4ECE))[owner]
-        place = (np.arange(total) - base[owner]).astype(np.uint64) * np.uint64(len(SUBSETS))
+        held = np.zeros(len(x.owner) * SUB, np.uint64)
+        np.add.at(held, x.spot, content[x.live])
+        held = held.reshape(-1, SUB)
+        band = W.mix(x.band.astype(np.uint64) + np.uint64(0xB5AD4ECE))[x.owner]
+        place = x.place.astype(np.uint64) * np.uint64(len(SUBSETS))
         whole = held.sum(1, dtype=np.uint64)
         for c, q in enumerate(SUBSETS):
-            ok = np.flatnonzero(emit[:, c])
+            ok = np.flatnonzero(x.emit[:, c])
             rest = whole[ok] - held[ok][:, q].sum(1, dtype=np.uint64)
-            out.append((W.mix(rest + W.mix(band[ok] + place[ok] + np.uint64(c))), owner[ok], np.full(len(ok), step == 0)))
+            out.append((W.mix(rest + W.mix(band[ok] + place[ok] + np.uint64(c))), x.owner[ok], np.full(len(ok), step == 0), (2 * x.group[ok] + step).astype(np.int32)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def local_sketches(doc: np.ndarray, shingle: np.ndarray, size: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, ...]:
+    """(ordinal of the set, place, partitions of the group, of the instance, those left out, words of the sketch) by set and group."""
+    out = [tuple(np.zeros(0, np.int64) for _ in range(5 + WORDS_OF_SKETCH))]
+    for step in (0, 1):
+        x = _Instance(doc, shingle, size, step, percent)
+        if not len(x.live):
+            continue
+        total = int(x.groups.sum())
+        owner = np.repeat(np.arange(len(x.n)), x.groups)
+        every = x.group_base[x.owner] + x.group
+        at = every[x.spot // SUB]
+        order = np.argsort(at, kind="stable")
+        begins = _starts(at[order])
+        words = np.zeros((WORDS_OF_SKETCH, total), np.int64)  # groups without a shingle too
+        words[:, at[order][begins]] = sketches(shingle[x.live][order], begins)
+        place = 2 * (np.arange(total) - x.group_base[owner]) + step
+        out.append((owner, place, np.bincount(every, minlength=total), x.n[owner], x.left_out[owner], *words))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -196,7 +246,7 @@ def sketches(shingle: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
 
 
 def _candidates(own: DataFrame, found: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
-    """node, size, lone, sketch, shingles of the classes that can have a link: their shared shingles, packed."""
+    """node, size, lone, shingles of the classes that can have a link: their shared shingles, packed."""
     spark = own.sparkSession
     texts = own.where("doc_id is not null")
     total = found.agg(F.sum("n")).first()[0] or 0
@@ -233,15 +283,15 @@ def _candidates(own: DataFrame, found: DataFrame, reps: DataFrame, width: int, p
                     continue
                 ends = np.cumsum((size - lone)[stay])
                 begins = ends - (size - lone)[stay]
-                cols = [node[stay], size[stay], lone[stay], *sketches(rest, begins)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array([_pack(rest[a:z]) for a, z in zip(begins.tolist(), ends.tolist(), strict=True)], pa.binary())], names=["node", "size", "lone", *SKETCH, "shingles"])
+                cols = [node[stay], size[stay], lone[stay]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array([_pack(rest[a:z]) for a, z in zip(begins.tolist(), ends.tolist(), strict=True)], pa.binary())], names=["node", "size", "lone", "shingles"])
 
-    sets = texts.mapInArrow(cut, f"node long, size long, lone long, {', '.join(f'{c} long' for c in SKETCH)}, shingles binary")
+    sets = texts.mapInArrow(cut, "node long, size long, lone long, shingles binary")
     return keep(sets.dropDuplicates(["node"]))
 
 
-def _signed(batches: Iterator[pa.RecordBatch], percent: int, bound: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, signature, row, is it of the own band), a bounded number of shingles at a time."""
+def _unpacked(batches: Iterator[pa.RecordBatch], bound: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, row of each shingle, shingle, size), a bounded number of shingles at a time."""
     for b in batches:
         size = np.array([len(x) // _PLANES for x in b.column("shingles").to_pylist()], np.int64)
         ends, i = np.cumsum(size), 0
@@ -249,21 +299,35 @@ def _signed(batches: Iterator[pa.RecordBatch], percent: int, bound: int = 1 << 1
             j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + bound, "right")))
             part = b.slice(i, j - i)
             sets = [_unpack(x.as_buffer()) for x in part.column("shingles")]
-            yield part, *signatures(np.repeat(np.arange(j - i), size[i:j]), np.concatenate(sets), part.column("size").to_numpy(), percent)
+            yield part, np.repeat(np.arange(j - i), size[i:j]), np.concatenate(sets), part.column("size").to_numpy()
             i = j
 
 
 def _entries(sets: DataFrame, percent: int, pick) -> DataFrame:
-    """sig, node, part, mine: a row for each signature that ``pick`` keeps."""
+    """sig, node, part, mine, place: a row for each signature that ``pick`` keeps."""
     carried = ["node", "part"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, value, who, mine in _signed(batches, percent):
+        for part, *given in _unpacked(batches):
+            value, who, mine, place = _signatures(*given, percent)
             ok = np.flatnonzero(pick(value))
             cols = [pa.array(part.column(c).to_numpy(zero_copy_only=False)[who[ok]]) for c in carried]
-            yield pa.RecordBatch.from_arrays([pa.array(value[ok].view(np.int64)), *cols, pa.array(mine[ok])], names=["sig", *carried, "mine"])
+            yield pa.RecordBatch.from_arrays([pa.array(value[ok].view(np.int64)), *cols, pa.array(mine[ok]), pa.array(place[ok])], names=["sig", *carried, "mine", "place"])
+
+    return sets.mapInArrow(run, "sig long, node long, part long, mine boolean, place int")
+
+
+def _facts(sets: DataFrame, percent: int) -> DataFrame:
+    """node, place, size, lone, parts, cuts, gone, sketch: what ``_possible`` asks of a set at a place."""
+    names = ["parts", "cuts", "gone", *SKETCH]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, *given in _unpacked(batches):
+            who, place, *told = local_sketches(*given, percent)
+            node, size, lone = (pa.array(part.column(c).to_numpy(zero_copy_only=False)[who]) for c in ("node", "size", "lone"))
+            yield pa.RecordBatch.from_arrays([node, pa.array(place.astype(np.int32)), size, lone, *map(pa.array, told)], names=["node", "place", "size", "lone", *names])
 
-    return sets.mapInArrow(run, "sig long, node long, part long, mine boolean")
+    return sets.mapInArrow(run, f"node long, place int, size long, lone long, {', '.join(f'{c} long' for c in names)}")
 
 
 def _open(entries: DataFrame) -> DataFrame:
@@ -273,29 +337,30 @@ def _open(entries: DataFrame) -> DataFrame:
 
 
 def _possible(percent: int, hub: str) -> Column:
-    """Can a set (size, lone, sketch) be similar to the hub, whose columns begin with ``hub``.
+    """Can a set be similar to the hub, whose columns begin with ``hub``, and is this signature one to compare them by.
 
     Lone shingles are differences; of the rest, so are the places where the sketches differ, and the gap of the sizes.
+    Of the differences that are left to shared shingles, the group of this signature may hold its share only.
     """
-    col = F.col
-    apart = sum((F.bit_count(col(c).bitwiseXOR(col(hub + c))) for c in SKETCH[1:]), F.bit_count(col(SKETCH[0]).bitwiseXOR(col(hub + SKETCH[0]))))
+    col, both = F.col, lambda c: col(c) + col(hub + c)
+    apart = sum((F.bit_count(col(c).bitwiseXOR(col(hub + c))) for c in SKETCH[1:]), F.bit_count(col(SKETCH[0]).bitwiseXOR(col(hub + SKETCH[0])))).cast("long")
     gap = F.abs((col("size") - col("lone")) - (col(hub + "size") - col(hub + "lone")))
-    least = col("lone") + col(hub + "lone") + F.greatest(apart.cast("long"), gap)
-    return least * (100 + percent) <= (col("size") + col(hub + "size")) * (100 - percent)
+    most = both("size") * (100 - percent) - both("lone") * (100 + percent)
+    share = most + F.greatest(col("gone"), col(hub + "gone")) * (2 * (100 + percent))
+    return (F.greatest(apart, gap) * (100 + percent) <= most) & (apart * col("cuts") * (100 + percent) <= share * col("parts"))
 
 
-def _round(entries: DataFrame, sets: DataFrame, hubs: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _round(entries: DataFrame, facts: DataFrame, hubs: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pairs a: hub, b to compare; entries without the hubs; the table that both come from).
 
     The hub of a first round (``hubs`` 1) is the bucket's member with the fewest lone
     shingles. Later, hubs are drawn by a hash of the node, so that a set is hub in all its
     buckets or in few; a bucket of no more members than ``hubs`` has all of them.
     """
-    told = ("size", "lone", *SKETCH)
-    facts = sets.select("node", *told)
+    told = ("size", "lone", "gone", *SKETCH)
     names = ["node", "part", *told]
     if hubs == 1:
-        rows = entries.join(facts, "node")
+        rows = entries.join(facts, ["node", "place"])
         first = F.struct((-F.floor(F.col("lone") * 1000 / F.col("size"))).alias("share"), F.col("size"), *(F.col(c) for c in names if c != "size"))
         stats = rows.where("mine").groupBy("sig").agg(F.max(first).alias("top"))
         tagged = rows.join(stats.select("sig", *(F.col(f"top.{c}").alias(f"hub_{c}") for c in names)).hint("merge"), "sig").where("node <> hub_node")
@@ -304,7 +369,7 @@ def _round(entries: DataFrame, sets: DataFrame, hubs: int, percent: int) -> tupl
     stats = entries.where("mine").groupBy("sig").agg(F.count("*").alias("n"))
     draw = F.pmod(F.xxhash64("node", F.lit(hubs)), F.lit(1_000_000)) * F.col("n") < F.lit(1_000_000 * hubs)
     tagged = keep(entries.join(stats.hint("merge"), "sig").withColumn("hub", F.col("mine") & draw).drop("n"))
-    rows = tagged.join(facts, "node")
+    rows = tagged.join(facts, ["node", "place"])
     chosen = rows.where("hub").select("sig", *(F.col(c).alias(f"hub_{c}") for c in names))
     met = rows.join(chosen.hint("merge"), "sig").where("node <> hub_node and part <> hub_part and (not hub or node > hub_node)").where(_possible(percent, "hub_"))
     return met.select(F.col("hub_node").alias("a"), F.col("node").alias("b")).distinct(), tagged.where("not hub").select(*entries.columns), tagged
@@ -345,6 +410,7 @@ class _Links:
 
     def __init__(self, sets: DataFrame, percent: int):
         self.sets, self.percent = sets, percent
+        self.facts = keep(_facts(sets, percent))
         self.found = self.parts = None
 
     def compare(self, pairs: DataFrame) -> None:
@@ -362,7 +428,7 @@ class _Links:
 
     def settle(self, entries: DataFrame, hubs: int) -> DataFrame:
         """One round over ``entries``, a table that goes; the entries still open."""
-        pairs, rest, source = _round(entries, self.sets, hubs, self.percent)
+        pairs, rest, source = _round(entries, self.facts, hubs, self.percent)
         self.compare(pairs)
         rest = keep(_open(self.labelled(rest)))
         free(entries, source)
@@ -391,7 +457,8 @@ def links(own: DataFrame, found: DataFrame, width: int = WORDS, percent: int = P
         some = state.settle(some, hubs)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Emitted:
-        for part, value, who, mine in _signed(batches, percent):
+        for part, *given in _unpacked(batches):
+            value, who, mine = signatures(*given, percent)
             yield value, part.column("part").to_numpy()[who], mine
 
     # signatures of two components, found by their parts' numbers: what copies share among themselves stays away
@@ -402,6 +469,7 @@ def links(own: DataFrame, found: DataFrame, width: int = WORDS, percent: int = P
     rest, hubs = keep(_entries(labelled, percent, lambda v: shared.value.has(v))), GROWTH
     while not rest.isEmpty():
         rest, hubs = state.settle(rest, hubs), hubs * GROWTH
+    free(rest, state.facts)
     return classes, state.parts if state.parts is not None else spark.createDataFrame([], "node long, component long")
 
 

@@ -223,3 +223,57 @@ def test_classes_of_the_output():
     counts = np.arange(op4_lm_score.VOCABULARY)[::-1]
     table = op4_lm_score.Table.of(counts, counts, near, np.zeros(op4_lm_score.VOCABULARY, bool))
     assert np.bincount(table.cls)[:64].tolist() == [1] * 64
+
+
+def _apart(one, two):
+    return sum(((int(x) ^ int(y)) & (1 << 64) - 1).bit_count() for x, y in zip(one, two))
+
+
+def _met(one, two, lone=(0, 0), percent=75):
+    """Over how many equal signatures the sets are compared, and how many they have."""
+    doc, every, size = np.repeat([0, 1], [len(one), len(two)]), np.concatenate((one, two)), np.array([len(one) + lone[0], len(two) + lone[1]])
+    sig, who, mine, place = op9_ngram_join._signatures(doc, every, size, percent)
+    owner, at, parts, cuts, gone, *words = op9_ngram_join.local_sketches(doc, every, size, percent)
+    facts = {(a, b): (p, n, g, w) for a, b, p, n, g, w in zip(owner.tolist(), at.tolist(), parts.tolist(), cuts.tolist(), gone.tolist(), zip(*(w.tolist() for w in words)))}
+    met = equal = 0
+    left = {s: (p, m) for s, p, m in zip(sig[who == 0].tolist(), place[who == 0].tolist(), mine[who == 0].tolist())}
+    for s, p, m in zip(sig[who == 1].tolist(), place[who == 1].tolist(), mine[who == 1].tolist()):
+        if s in left and (m or left[s][1]):
+            (parts_, n, g, w), (parts2, n2, g2, w2) = facts[0, left[s][0]], facts[1, p]
+            assert (parts_, n) == (parts2, n2)
+            apart = _apart(w, w2)
+            most = int(size.sum()) * (100 - percent) - sum(lone) * (100 + percent)
+            equal += 1
+            met += apart * n * (100 + percent) <= (most + 2 * max(g, g2) * (100 + percent)) * parts_
+    return met, equal
+
+
+def test_ngram_local_sketches_lose_no_similar_pair():
+    """Pairs as different as a link allows, spread over the groups or heaped in few of them."""
+    r = np.random.default_rng(21)
+    for k in range(60):
+        n = int(r.integers(60, 3000))
+        base = np.unique(r.integers(0, 1 << 54, 2 * n, dtype=np.uint64))
+        if k % 2:  # what differs lies in a few groups of partitions
+            base = base[np.argsort(op9_ngram_join.W.mix(base + np.uint64(1_000_003)) % np.uint64(64), kind="stable")]
+        else:
+            base = r.permutation(base)
+        lone = (int(r.integers(0, 4)), int(r.integers(0, 4)))
+        cut = 2 * n * 25 // 175 - sum(lone)
+        added = int(r.integers(0, cut // 2 + 1))
+        one, two = base[added:n], np.concatenate((base[:added], base[added : n - (cut - 2 * added)])) if k % 3 else base[cut - added : n]
+        apart = len(np.setxor1d(one, two)) + sum(lone)
+        if apart * 175 > (len(one) + len(two) + sum(lone)) * 25:
+            continue
+        assert _met(np.sort(one), np.sort(two), lone)[0] > 0, (k, n)
+
+
+def test_ngram_large_unlike_sets_do_not_meet():
+    """They share a third, so many signatures are equal, and too much for one sketch of a whole set to tell."""
+    r = np.random.default_rng(22)
+    shared = r.integers(0, 1 << 54, 2000, dtype=np.uint64)
+    one, two = (np.unique(np.concatenate((shared, r.integers(0, 1 << 54, 2000, dtype=np.uint64)))) for _ in range(2))
+    whole = op9_ngram_join.sketches(np.concatenate((one, two)), np.array([0, len(one)]))
+    assert _apart(*zip(*whole)) * 175 < (len(one) + len(two)) * 25
+    met, equal = _met(one, two)
+    assert equal > 10 and met == 0
