@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 from collections.abc import Iterable
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import session
@@ -39,6 +40,12 @@ def free(*tables: DataFrame | None) -> None:
             release(df.sparkSession, [path.rpartition("/")[2]])
 
 
+def spent(*sent: Broadcast) -> None:
+    """Takes broadcast values off every disk and out of memory, once the tables made with them are written."""
+    for value in sent:
+        value.destroy()
+
+
 def sweep(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that are done: it does so when the driver collects garbage, which a driver with little to do hardly ever does."""
     gc.collect()

@@ -54,7 +54,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import tokens as T
 from . import words as W
 from .components import components
-from .durable import free, keep, sweep
+from .durable import free, keep, spent, sweep
 from .repeats import Emitted, Filter, members, repeated, scramble
 
 WORDS = 5
@@ -287,7 +287,9 @@ def _candidates(own: DataFrame, found: DataFrame, reps: DataFrame, width: int, p
                 yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array([_pack(rest[a:z]) for a, z in zip(begins.tolist(), ends.tolist(), strict=True)], pa.binary())], names=["node", "size", "lone", "shingles"])
 
     sets = texts.mapInArrow(cut, "node long, size long, lone long, shingles binary")
-    return keep(sets.dropDuplicates(["node"]))
+    out = keep(sets.dropDuplicates(["node"]))
+    spent(wanted, shared)
+    return out
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch], bound: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
@@ -467,6 +469,7 @@ def links(own: DataFrame, found: DataFrame, width: int = WORDS, percent: int = P
     sweep(spark)
     shared = spark.sparkContext.broadcast(repeated(labelled, emit, named=True))
     rest, hubs = keep(_entries(labelled, percent, lambda v: shared.value.has(v))), GROWTH
+    spent(shared)
     while not rest.isEmpty():
         rest, hubs = state.settle(rest, hubs), hubs * GROWTH
     free(rest, state.facts)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import op1_url_filters, op2_packing, op3_toxicity, op4_lm_score, op5_quality_rules, op6_token_files, op7_substrings, op8_quality, op9_ngram_join, op10_decontaminate
 from quillspark.llm.components import components
+from quillspark.llm.durable import spent
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label int, h long, row_key long, component_id long, node long"
 rng = random.Random(11)
@@ -186,6 +187,31 @@ def test_components(spark):
     assert all(got[i] == 1 for i in range(1, 21)) and got[31] == 30 and got[30] == 30
 
 
+def test_few_links_take_few_tasks(spark):
+    """Not some shuffles for every step, which at many partitions is mostly files and logs of empty tasks."""
+    r = random.Random(5)
+    order = [r.randrange(-(2**62), 2**62) for _ in range(60)]
+    links = spark.createDataFrame([(order[i], order[i + 1]) for i in range(59) if i % 7] + [(5, 5)], "a long, b long")
+    spark.sparkContext.setJobGroup("few links", "")
+    got = {r.node: r.component for r in components(links).collect()}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    told = spark.sparkContext.statusTracker()
+    stages = {i for job in told.getJobIdsForGroup("few links") for i in told.getJobInfo(job).stageIds}
+    assert sum(told.getStageInfo(i).numTasks for i in stages) <= 3 * links.rdd.getNumPartitions() + 3
+    assert got == {r.node: r.component for r in components(links, few=0).collect()} and len(got) == 59 and len(set(got.values())) == 9
+
+
+def test_no_links_have_no_components(spark):
+    assert components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
+
+
+def test_broadcasts_of_links_are_gone(spark, docs, monkeypatch):
+    sent = []
+    monkeypatch.setattr(op9_ngram_join, "spent", lambda *x: (sent.extend(x), spent(*x)))
+    op9_ngram_join.groups(docs).count()
+    assert len(sent) == 3 and all(x._jbroadcast is None or not x._jbroadcast.isValid() for x in sent)
+
+
 def test_op10_matches_brute_force(spark, docs, monkeypatch):
     texts = {i: t for i, t, *_ in ROWS}
     items = [(1, " ".join(words(texts[4])[3:20])), (2, "one"), (10, "nowhere to be found at all"), (3, None), (4, ""), (5, texts[7].upper()), (1, "two words"), (6, " ".join(words(texts[4])[3:20]))]
