@@ -60,6 +60,16 @@ def test_encoder_forgets_and_keeps_its_slots_apart(monkeypatch):
     assert [small.ids_bytes([t])[0] for t in texts] == want == large.ids_bytes(texts)
 
 
+def test_coded_ids_near_both_ends_and_next_to_each_other():
+    """Guesses that agree, differ, lie next to each other, or are missing beside the first and the last id."""
+    r = np.random.default_rng(4)
+    last = op6_token_files.LEAST_IDS - 1
+    for few in ([0], [last], [0, last], [0, 1, last - 1, last], [7, 8, 9]):
+        parts = [r.choice(few, int(n)) for n in r.integers(1, 6000, 5)] + [np.arange(last - 300, last + 1)]
+        back = op6_token_files.decode_blocks(op6_token_files.encode_blocks(parts, op6_token_files.LEAST_IDS))
+        assert all((a == b).all() for a, b in zip(parts, back, strict=True))
+
+
 @pytest.mark.parametrize("n", [1, 2, 127, 128, 129, 5000, op6_token_files.BLOCK + 3])
 @pytest.mark.parametrize("high", [2, 49408, 65536, 200_000])
 def test_range_coder_round_trip(n, high):

@@ -239,6 +239,16 @@ def test_op10_matches_brute_force(spark, docs, monkeypatch):
     assert again.n_words == want[4][0] - want[4][1]
 
 
+def test_op6_report_keeps_ids_in_the_task(spark, docs):
+    """It reads every id back, but sends none to the JVM, where nobody asks for them."""
+    files = op6_token_files.write(docs)
+    plan = op6_token_files.report(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert [x for x in plan.splitlines() if "MapInArrow" in x] and not [x for x in plan.splitlines() if "MapInArrow" in x and " ids#" in x]
+    whole, slim = op6_token_files.read(files), op6_token_files.read(files, ids=False)
+    assert sorted(whole.drop("ids").collect()) == sorted(slim.collect())
+    assert all(zlib.crc32(bytes(r.ids)) == r.ids_crc32 and len(r.ids) == 4 * r.n_tokens for r in whole.collect())
+
+
 def test_op2_and_op6(spark, docs):
     from tokenizers import Tokenizer
 
