@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import tokens as T
+from . import words as W
 from .durable import keep, slices
 
 CAPACITY = 4096
@@ -183,6 +184,7 @@ def pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", capac
     """doc_id, piece, start, length, ids_crc32 of every piece; ids themselves aren't kept."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
+    @W.lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = T.encoder(vocabulary)
         for b in batches:
@@ -196,6 +198,7 @@ def pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", capac
                         rows.append((key, k, at - begin, to - at, zlib.crc32(raw[4 * at : 4 * to])))
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            pa.default_memory_pool().release_unused()  # texts of a batch before the next comes
 
     return own.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -212,6 +215,7 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, **names) -> DataFrame:
     inside = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = cut.withColumn("inside", inside).join(before, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("inside"))
 
+    @W.lean
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             length, rank = (b.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))

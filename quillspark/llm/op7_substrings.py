@@ -87,6 +87,7 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wind
     def rows(levels: list[tuple[Filter, int]] | None):
         """Windows near anchors; with ``levels``, also their salt, row and place."""
 
+        @W.lean
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 ids, keys = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "row_key"))
@@ -152,6 +153,7 @@ def _joined(docs: DataFrame, *, doc_id: str, text: str, window: int) -> tuple[Da
     keyed = docs.withColumn(key, F.xxhash64(F.col(doc_id).cast("long"), F.col(text)))
 
     def part(wanted: bool):
+        @W.lean
         def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 ok = some.value.has(scramble(b.column(key).to_numpy(zero_copy_only=False)))
@@ -163,6 +165,7 @@ def _joined(docs: DataFrame, *, doc_id: str, text: str, window: int) -> tuple[Da
 
 
 def _cut(make, window: int):
+    @W.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             starts = b.column("starts") if "starts" in b.schema.names else None
@@ -213,6 +216,7 @@ def remove(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", windo
     columns = docs.columns
     some, rest, told = _joined(docs, doc_id=doc_id, text=text, window=window)
 
+    @W.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, starts = b.column(text).to_pylist(), b.column(told)

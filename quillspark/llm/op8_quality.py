@@ -201,6 +201,7 @@ def fit(doc: np.ndarray, size: np.ndarray, seen: np.ndarray, y: np.ndarray, roun
 
 
 def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", rows: int = TRAIN_ROWS, most_lines: int = TRAIN_LINES) -> Model | None:
+    @W.lean
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, offsets = W.utf8(b.column("text"))
@@ -237,6 +238,7 @@ def score(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     """doc_id and score of every document."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, doc_id=doc_id, text=text, **names))
 
+    @W.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores(b.column("text"), model.value))], names=["doc_id", "score"])
@@ -252,6 +254,7 @@ def accepted(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD
     """The rows of ``docs`` whose score reaches the threshold, all columns as they are."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, text=text, **names))
 
+    @W.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         T.forget()
         for b in batches:

@@ -214,6 +214,7 @@ def local_sketches(doc: np.ndarray, shingle: np.ndarray, size: np.ndarray, perce
 def _inventory(own: DataFrame, width: int) -> DataFrame:
     """doc_id, n, node (the hash of the set) of every document."""
 
+    @W.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         T.forget()
         for b in batches:
@@ -266,6 +267,7 @@ def _candidates(own: DataFrame, found: DataFrame, reps: DataFrame, width: int, p
 
     shared = spark.sparkContext.broadcast(repeated(texts, emit, values=total))
 
+    @W.lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in picked(batches):
             for _, doc, shingle in _shingles(text, width):
@@ -309,6 +311,7 @@ def _entries(sets: DataFrame, percent: int, pick) -> DataFrame:
     """sig, node, part, mine, place: a row for each signature that ``pick`` keeps."""
     carried = ["node", "part"]
 
+    @W.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, *given in _unpacked(batches):
             value, who, mine, place = _signatures(*given, percent)
@@ -323,6 +326,7 @@ def _facts(sets: DataFrame, percent: int) -> DataFrame:
     """node, place, size, lone, parts, cuts, gone, sketch: what ``_possible`` asks of a set at a place."""
     names = ["parts", "cuts", "gone", *SKETCH]
 
+    @W.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, *given in _unpacked(batches):
             who, place, *told = local_sketches(*given, percent)
@@ -389,6 +393,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     asked = spread.select("a", F.col("b").alias("node"), "salt", F.lit(False).alias("hub")).union(hubs.select("a", "node", "salt", "hub"))
     rows = asked.join(sets.select("node", "size", "shingles").hint("merge"), "node").repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("hub"))
 
+    @W.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, own, own_size = None, None, 0
         for b in batches:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .durable import slices
-from .words import mix
+from .words import lean, mix
 
 #: Bits of a filter over all slices: 16 MB, and for more values up to 128 MB, never more.
 FILTER_BITS, MOST_BITS = 1 << 27, 1 << 30
@@ -132,6 +132,7 @@ def repeated(docs: DataFrame, emit: Callable[[Iterator[pa.RecordBatch]], Emitted
     """
     n, total = slices(docs.sparkSession), min(MOST_BITS, max(FILTER_BITS, 1 << (2 * values).bit_length()))
 
+    @lean
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for part in emit(batches):

@@ -8,8 +8,9 @@ documents so that memory follows the chunk and the longest text, not the batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,8 @@ _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _ROLL = 0xD6E8FEB86659FD93
-_BLOCK = 1 << 20
+#: Bytes hashed at a time; their arrays stay in a core's cache.
+_BLOCK = 1 << 16
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -55,6 +57,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which a worker gives back what Arrow's pool holds unused: an executor keeps more workers than it has cores, and all but those at work only wait."""
+
+    @wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return task
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The texts' bytes and their offsets (one more than there are texts)."""
     if isinstance(column, pa.ChunkedArray):
@@ -164,12 +177,15 @@ def windows(words: Words, hashes: np.ndarray, width: int) -> tuple[np.ndarray, n
 
 
 class Seen:
-    """Entry numbers, from 1 on, of 64-bit hashes met before: two tables of slots lead to them."""
+    """Entry numbers, from 1 on, of 64-bit hashes met before: two tables of slots lead to them.
+
+    The tables grow with the entries, up to ``2 ** slot_bits`` slots each.
+    """
 
     def __init__(self, slot_bits: int = 22):
-        self._bits, self.n = slot_bits, 1
+        self._most, self._bits, self.n = slot_bits, min(slot_bits, 16), 1
         self._key = np.zeros(1 << 12, np.uint64)
-        self._slots = [np.zeros(1 << slot_bits, np.int32) for _ in range(2)]
+        self._slots = [np.zeros(1 << self._bits, np.int32) for _ in range(2)]
 
     def _spots(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         shift = np.uint64(64 - self._bits)
@@ -192,11 +208,19 @@ class Seen:
         if n > len(self._key):
             self._key = np.resize(self._key, max(n, 2 * len(self._key)))
         self._key[self.n : n] = hashes
-        one, two = self._spots(hashes)
         entry = np.arange(self.n, n, dtype=np.int32)
+        self.n = n
+        if 4 * n > 1 << self._bits and self._bits < self._most:
+            self._bits = min(self._most, (4 * n).bit_length())
+            self._slots = [np.zeros(1 << self._bits, np.int32) for _ in range(2)]
+            self._put(np.arange(1, n, dtype=np.int32))
+        else:
+            self._put(entry)
+        return entry
+
+    def _put(self, entry: np.ndarray) -> None:
+        one, two = self._spots(self._key[entry])
         free = self._slots[0][one] == 0
         self._slots[0][one[free]] = entry[free]
         late = np.flatnonzero(self._slots[0][one] != entry)  # a slot that is taken: the other table
         self._slots[1][two[late]] = entry[late]
-        self.n = n
-        return entry

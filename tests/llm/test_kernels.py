@@ -60,6 +60,41 @@ def test_encoder_forgets_and_keeps_its_slots_apart(monkeypatch):
     assert [small.ids_bytes([t])[0] for t in texts] == want == large.ids_bytes(texts)
 
 
+def test_tables_of_known_hashes_follow_their_entries():
+    """A few words in a worker take little memory; many are all found, whatever the tables grew by."""
+    room = lambda seen: sum(x.nbytes for x in seen._slots)
+    assert room(Encoder()._seen) < 1 << 20
+    hashes = W.mix(np.arange(1, 300_001, dtype=np.uint64))
+    seen, entry = W.Seen(), []
+    for part in np.array_split(hashes, 37):
+        entry.append(seen.add(part))
+    assert np.concatenate(entry).tolist() == list(range(1, 300_001))
+    found = seen.find(hashes)
+    assert ((found == np.arange(1, 300_001)) | (found == 0)).all() and (found == 0).mean() < 0.01
+    assert room(seen) < 1 << 25 and not seen.find(W.mix(np.arange(400_000, 500_000, dtype=np.uint64))).any()
+
+
+def test_workers_give_back_what_arrow_holds(monkeypatch):
+    calls = []
+
+    class Pool:
+        def release_unused(self):
+            calls.append(1)
+
+    monkeypatch.setattr(W.pa, "default_memory_pool", Pool)
+    assert list(W.lean(lambda batches: batches)(iter([pa.record_batch({"a": [1]})])))[0].num_rows == 1
+    assert calls == [1]
+
+
+def test_hashes_of_words_do_not_know_their_block():
+    words = [b"x" * n for n in (1, 70_000, 5, 66_000, 3)] + [b"w%d" % i for i in range(30_000)]
+    raw = np.frombuffer(b" ".join(words), np.uint8)
+    whole = W.scan(raw, np.array([0, len(raw)]), W.NOT_BLANK).hashes()
+    for k in (0, 1, 2, 3, 4, 5, 9_000, 30_004):
+        own = np.frombuffer(words[k], np.uint8)
+        assert W.scan(own, np.array([0, len(own)]), W.NOT_BLANK).hashes()[0] == whole[k]
+
+
 def test_coded_ids_near_both_ends_and_next_to_each_other():
     """Guesses that agree, differ, lie next to each other, or are missing beside the first and the last id."""
     r = np.random.default_rng(4)
