@@ -239,29 +239,43 @@ def _states(p: dict, x_in: np.ndarray, pad: np.ndarray) -> np.ndarray:
 
 
 def gradient(p: dict, x_in: np.ndarray, target: np.ndarray, pad: np.ndarray, told: int = 0) -> dict[str, np.ndarray]:
-    """Of the mean loss at the places from ``told`` on; those before are context only."""
-    x, q, k, v, a, o, h = _forward(p, x_in, pad)
-    h, target, pad = h[:, told:], target[:, told:], pad[:, told:]
-    z = h @ p["out"] + p["bias"]
-    z -= z.max(2, keepdims=True)
-    d = np.exp(z, out=z)
-    d /= d.sum(2, keepdims=True)
-    b, t = np.indices(target.shape)
-    d[b, t, target] -= 1
-    live = (~pad).astype(np.float32)
-    d *= (live / max(1.0, live.sum()))[:, :, None]
+    """Of the mean loss at the places from ``told`` on; those before are context only, so they ask nothing."""
+    x = p["emb"][x_in] + p["pos"]
+    b, n = x.shape[0], x.shape[1] - told
     two = lambda m: m.reshape(-1, m.shape[-1])
-    dh = np.zeros_like(x)
-    dh[:, told:] = d @ p["out"].T
-    do = dh @ p["o"].T
-    da = do @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ do
-    ds = a * (da - (da * a).sum(2, keepdims=True)) * np.float32(WIDTH**-0.5)
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    dx = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
+    every, own = two(x), two(x[:, told:])
+    q, k, v = (own @ p["q"]).reshape(b, n, WIDTH), (every @ p["k"]).reshape(x.shape), (every @ p["v"]).reshape(x.shape)
+    a = q @ k.transpose(0, 2, 1)
+    a *= np.float32(WIDTH**-0.5)
+    a += _MASK[told:]
+    if pad.any():
+        a += (pad * np.float32(-1e4))[:, None, :]
+    a -= a.max(2, keepdims=True)
+    np.exp(a, out=a)
+    a /= a.sum(2, keepdims=True)
+    o = two(a @ v)
+    h = own + o @ p["o"]
+    d = h @ p["out"]
+    d += p["bias"]
+    d -= d.max(1, keepdims=True)
+    np.exp(d, out=d)
+    live = (~pad[:, told:]).astype(np.float32).ravel()
+    live /= max(1.0, float(live.sum()))
+    d *= (live / d.sum(1))[:, None]
+    d[np.arange(len(d)), target[:, told:].ravel()] -= live
+    dh = d @ p["out"].T
+    do = (dh @ p["o"].T).reshape(q.shape)
+    ds = do @ v.transpose(0, 2, 1)
+    dv = two(a.transpose(0, 2, 1) @ do)
+    ds -= (ds * a).sum(2, keepdims=True)
+    ds *= a
+    ds *= np.float32(WIDTH**-0.5)
+    dq, dk = two(ds @ k), two(ds.transpose(0, 2, 1) @ q)
+    dx = (dk @ p["k"].T + dv @ p["v"].T).reshape(x.shape)
+    dx[:, told:] += (dh + dq @ p["q"].T).reshape(q.shape)
     cell = (x_in.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
     emb = np.bincount(cell, dx.ravel(), minlength=INPUTS * WIDTH).reshape(INPUTS, WIDTH).astype(dx.dtype)
-    return {"emb": emb, "pos": dx.sum(0), "q": two(x).T @ two(dq), "k": two(x).T @ two(dk), "v": two(x).T @ two(dv), "o": two(o).T @ two(dh), "out": two(h).T @ two(d), "bias": two(d).sum(0)}
+    return {"emb": emb, "pos": dx.sum(0), "q": own.T @ dq, "k": every.T @ dk, "v": every.T @ dv, "o": o.T @ dh, "out": h.T @ d, "bias": d.sum(0)}
 
 
 class Adam:

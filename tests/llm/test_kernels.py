@@ -241,6 +241,30 @@ def test_attention_gradient():
         assert np.isclose((loss(up) - loss(down)) / 2e-4, g[key][at], rtol=2e-2, atol=1e-5), key
 
 
+def test_gradient_of_told_places_takes_no_whole_pass(monkeypatch):
+    """Context places are looked at but ask nothing; the gradient is that of a whole pass whose loss leaves them out."""
+    p = {k: v.astype(np.float64) for k, v in op4_lm_score.initial().items()}
+    rng, told = np.random.default_rng(1), op4_lm_score.CONTEXT
+    x, t = rng.integers(0, 50, (3, op4_lm_score.LEN)), rng.integers(0, op4_lm_score.CLASSES, (3, op4_lm_score.LEN))
+    pad = np.zeros(t.shape, bool)
+    pad[0, :11] = pad[1, 20:] = True
+    live = ~pad & (np.arange(t.shape[1]) >= told)
+
+    def loss(p, whole=op4_lm_score._forward):
+        z = whole(p, x, pad)[-1] @ p["out"] + p["bias"]
+        logp = z - np.log(np.exp(z).sum(2, keepdims=True))
+        return -np.take_along_axis(logp, t[:, :, None], 2)[live].mean()
+
+    monkeypatch.setattr(op4_lm_score, "_forward", None)
+    g = op4_lm_score.gradient(p, x, t, pad, told)
+    for key in p:
+        at = tuple(np.unravel_index(np.argmax(np.abs(g[key])), g[key].shape))
+        up, down = ({k: v.copy() for k, v in p.items()} for _ in (0, 1))
+        up[key][at] += 1e-4
+        down[key][at] -= 1e-4
+        assert np.isclose((loss(up) - loss(down)) / 2e-4, g[key][at], rtol=2e-2, atol=1e-5), key
+
+
 def test_windows_score_each_id_as_one_pass_does():
     p = op4_lm_score.initial()
     near = np.zeros((op4_lm_score.VOCABULARY, op4_lm_score.OWN))
