@@ -199,6 +199,7 @@ def pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", capac
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
             pa.default_memory_pool().release_unused()  # texts of a batch before the next comes
+        T.forget()  # a worker that waits holds no tables
 
     return own.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -95,7 +95,7 @@ class Reader:
         The end is entry 0. A word without any id counts as the end id.
         """
         raw, offsets = W.utf8(column)
-        for i, j in W.chunks(offsets):
+        for i, j in W.chunks(offsets, 1 << 20):  # every chunk counts its ids over the whole vocabulary
             if self._seen.n > _REMEMBERED:
                 self._clear()
             words = W.scan(W.LOWER[raw[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i], W.NOT_BLANK)

@@ -217,8 +217,9 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     for r in seen.select("i", "n").orderBy(F.xxhash64("i"), "i").collect():  # at most ``rows`` numbers
         if r["n"] <= left:
             left -= r["n"]
-            picked.append((r["i"],))
-    got = seen.join(F.broadcast(docs.sparkSession.createDataFrame(picked, "i long")), "i").orderBy("i").select("y", "lines").toArrow()
+            picked.append(r["i"])
+    ids = docs.sparkSession.createDataFrame(pa.table({"i": pa.array(picked, pa.int64())}))  # of a list it would start Python workers of another kind, which stay
+    got = seen.join(F.broadcast(ids), "i").orderBy("i").select("y", "lines").toArrow()
     parts = [np.frombuffer(x, "<f4").reshape(-1, 1 + FEATURES) for x in got.column("lines").to_pylist()]
     both = np.concatenate(parts) if parts else np.zeros((0, 1 + FEATURES), "<f4")
     return fit(np.repeat(np.arange(len(parts)), [len(x) for x in parts]), both[:, 0].astype(np.float64), both[:, 1:], got.column("y").to_numpy().astype(np.int64))

@@ -478,7 +478,7 @@ def links(own: DataFrame, found: DataFrame, width: int = WORDS, percent: int = P
     while not rest.isEmpty():
         rest, hubs = state.settle(rest, hubs), hubs * GROWTH
     free(rest, state.facts)
-    return classes, state.parts if state.parts is not None else spark.createDataFrame([], "node long, component long")
+    return classes, state.parts if state.parts is not None else spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("component"))
 
 
 def groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WORDS, percent: int = PERCENT) -> DataFrame:

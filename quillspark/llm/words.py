@@ -8,6 +8,7 @@ documents so that memory follows the chunk and the longest text, not the batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import wraps
@@ -58,16 +59,24 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, after which a worker gives back what Arrow's pool holds unused: an executor keeps more workers than it has cores, and all but those at work only wait."""
+    """``run``, after which a worker gives back what it holds unused: an executor keeps more workers than it has cores, and all but those at work only wait."""
 
     @wraps(run)
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return task
 
 
+def give_back() -> None:
+    """To the system: what Arrow's pool and the C library's heap have free (glibc keeps up to 64 MB otherwise)."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The texts' bytes and their offsets (one more than there are texts)."""
     if isinstance(column, pa.ChunkedArray):
@@ -83,7 +92,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def chunks(offsets: np.ndarray, size: int = 1 << 20, most: int = 1 << 9) -> Iterator[tuple[int, int]]:
+def chunks(offsets: np.ndarray, size: int = 1 << 18, most: int = 1 << 9) -> Iterator[tuple[int, int]]:
     """Ranges of documents of up to ``size`` bytes and ``most`` documents; one longer text is a range of its own."""
     n, i = len(offsets) - 1, 0
     while i < n:

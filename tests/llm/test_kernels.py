@@ -86,6 +86,20 @@ def test_workers_give_back_what_arrow_holds(monkeypatch):
     assert calls == [1]
 
 
+def test_workers_give_back_what_the_heap_holds(monkeypatch):
+    calls = []
+
+    class Library:
+        def malloc_trim(self, pad):
+            calls.append(pad)
+
+    monkeypatch.setattr(W.ctypes, "CDLL", lambda name: Library())
+    assert list(W.lean(lambda batches: batches)(iter([1, 2]))) == [1, 2]
+    assert calls == [0]
+    monkeypatch.setattr(W.ctypes, "CDLL", lambda name: object())  # a C library without it
+    assert list(W.lean(lambda batches: batches)(iter([3]))) == [3]
+
+
 def test_hashes_of_words_do_not_know_their_block():
     words = [b"x" * n for n in (1, 70_000, 5, 66_000, 3)] + [b"w%d" % i for i in range(30_000)]
     raw = np.frombuffer(b" ".join(words), np.uint8)

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -547,3 +548,33 @@ def test_pipeline(spark, tmp_path):
     assert bench not in kept[42] and all(kept[i] == texts[i] for i in range(40) if i in kept)
     packed = C.run(spark, str(tmp_path))
     assert {x.doc_id for x in packed.collect()} == set(kept)
+
+
+def test_waiting_workers_hold_no_encoder(spark):
+    class Docs:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    op2_packing.T.forget()
+    batch = pa.record_batch({"doc_id": pa.array([1], pa.int64()), "text": ["one word"]})
+    assert [b.num_rows for b in op2_packing.pieces(Docs())(iter([batch]))] == [1]
+    assert op2_packing.T.encoder.cache_info().currsize == 0
+
+
+def test_no_workers_of_a_second_kind(spark, monkeypatch):
+    """A frame from a Python list goes through a Python RDD, for which executors start a daemon and workers besides those of Arrow."""
+    rows = [(i, f"text {i}\n" * (1 + i % 3), i % 2) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    labels = docs.drop("text")
+
+    def refused(*a, **b):
+        raise AssertionError("a Python RDD")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refused)
+    assert op8_quality.train(docs, labels) is not None
+    assert op8_quality.train(docs, labels.where("false")) is None
+    alone = docs.where("doc_id < 3")
+    assert sorted((r["doc_id"], r["component_id"]) for r in op9_ngram_join.groups(alone).collect()) == [(0, 0), (1, 1), (2, 2)]
