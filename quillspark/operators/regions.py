@@ -99,7 +99,7 @@ def bind_captions(blocks: DataFrame) -> DataFrame:
     A caption takes the figure to its right if that touches, else the one to its left
     unless the caption on that figure's other side has taken it.
     """
-    w = Window.partitionBy("book_id", "page").orderBy("pos")
+    w = Window.partitionBy("book_id", "page").orderBy(F.asc_nulls_last("pos"))
     box = F.struct("type", "role", "x", "y", "w", "h")
     rows = blocks.withColumn("box", box)
     for name, k in (("n1", 1), ("p1", -1), ("p2", -2)):
