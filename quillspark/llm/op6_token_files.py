@@ -49,8 +49,12 @@ MARKS = (1, 2, 4, 8, 16, 32, 64, 96)
 GROUP, LEAST_IDS, MOST_IDS = 256, 1 << 16, 1 << 21
 #: Files whose starts are broadcast: one row a file, so at most so many rows.
 MOST_FILES = 1 << 18
+#: Blocks that are coded together; their tables should fit a core's cache.
+_AT_ONCE = 16
 _SLOTS = 1 << 15
 _GAIN = 48
+#: Up to 7 slots begin among 256 values: those of told ids are over ``_GAIN`` wide, an id 0 may be 1 wide.
+_NEAR_BITS = (2, 1, 0)
 _WEIGHT_BITS = 10
 _WHOLE = 1 << _WEIGHT_BITS
 _TOP = np.uint64(1 << 32)
@@ -61,68 +65,115 @@ _32 = np.uint64(32)
 class Model:
     """The predictions of some blocks at once; ``block`` says whose lane it is.
 
-    Tables are read by ``table[at]``: on long tables ``take`` needs about twice the time.
+    An id that a block has shown has a *slot*, a number over all blocks; slot 0 is none. All tables are by slot,
+    so they are as long as what was shown, not as the alphabet, and mostly stay in a core's cache. An id without a slot
+    has a count of 1, so order-0 sums are closed forms: before an id lie its number and ``_GAIN`` for each telling of
+    a smaller id. Sums run on from block to block, so one sorted list serves all.
     """
 
-    def __init__(self, blocks: int, block: np.ndarray, ids: int):
-        self.blocks, self.block, self.ids, self.groups = blocks, block, ids, ids // GROUP
-        self.after1 = np.full(blocks * ids, -1, np.int32)
-        self.after2 = np.full(blocks * _SLOTS, -1, np.int32)
-        self.counts = np.ones((blocks, ids), np.int32)
-        self.cum = np.zeros((blocks, ids + 2), np.int32)
-        self.base1, self.base2, self.base0, self.base4 = block * ids, block * _SLOTS, block * (ids + 2), block * 4
-        self.key = block << 40
+    def __init__(self, block: np.ndarray, ids: int, told: np.ndarray | None = None):
+        """``told``: all ids to come, column by column, for a coder that has them."""
+        n, self.blocks, self.ids = len(block), int(block[-1]) + 1, ids
+        #: of what is below ``_WHOLE`` times a block's order-0 sum
+        self.kind = np.int32 if (ids + _GAIN * BLOCK) * _WHOLE < 1 << 31 else np.int64
+        self.block, self.base, self.base2, self.base8 = block, block * ids, block * _SLOTS, block * 8
+        self.edges = np.searchsorted(block, np.arange(self.blocks + 1))
+        self.slot = np.zeros(self.blocks * ids, np.int32)
+        # whatever indexes a table is of 64 bits, as numpy would make it so each time
+        self.past = np.zeros((STEPS + 2, n), np.uint32)  # ids by column, after two columns of zeros
+        self.at = np.zeros((STEPS + 1, n), np.int64)  # their slots, after one
+        self.place = np.zeros((STEPS, n), np.int64)  # of their contexts in ``after2``
+        self.events = np.zeros((STEPS, n), np.uint8)
+        self.keys, self.order = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.count, self.after1, self.after2 = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(self.blocks * _SLOTS, np.int32)
         #: by state: times seen, order 1 right (order 2 not), order 2 right
-        self.seen = np.tile(np.array([[8, 0, 0], [8, 3, 0], [8, 1, 2], [8, 0, 5]], np.int64), (blocks, 1, 1))
+        self.seen = np.tile(np.array([[8, 0, 0], [8, 3, 0], [8, 1, 2], [8, 0, 5]], np.int64), (self.blocks, 1, 1))
+        known = np.zeros(self.blocks * ids, bool)
+        known[::ids] = True
+        for ids_ in () if told is None else told:
+            known[self.base + ids_] = True
+        self._add(np.flatnonzero(known))
+        self.at[0] = self.slot[self.base]
+        for t, ids_ in enumerate(() if told is None else told):
+            self.past[t + 2], self.at[t + 1] = ids_, self.slot.take(self.base + ids_)
         self._sum()
 
+    def _add(self, keys: np.ndarray) -> None:
+        """Slots for sorted new keys, which are ``block * ids + id``."""
+        new = np.arange(len(self.count), len(self.count) + len(keys))
+        where = np.searchsorted(self.keys, keys)
+        self.keys, self.order = np.insert(self.keys, where, keys), np.insert(self.order, where, new)
+        self.slot[keys] = new
+        self.count, self.after1 = np.append(self.count, np.zeros_like(new)), np.append(self.after1, np.zeros_like(new))
+
     def _sum(self) -> None:
-        np.cumsum(self.counts, axis=1, out=self.cum[:, 1:-1])
-        self.cum[:, -1] = self.cum[:, -2]
-        self.flat = self.cum.ravel()
-        whole = self.cum[:, -1][self.block]
-        self.total0, self.total = whole.astype(np.uint64), whole.astype(np.uint64) << np.uint64(_WEIGHT_BITS)
-        self.coarse = (self.cum[:, : self.ids : GROUP].astype(np.int64) + (np.arange(self.blocks, dtype=np.int64)[:, None] << 40)).ravel()
+        n = self.count[self.order]
+        ends = np.cumsum(n) * _GAIN
+        self.sums = (self.keys + ends - _GAIN * n).astype(np.int32)
+        self.wides = (1 + _GAIN * n).astype(self.kind)
+        at = np.searchsorted(self.keys, np.arange(self.blocks) * self.ids)
+        start = np.append(self.sums[at], len(self.slot) + ends[-1])
+        self.start, whole = start[:-1].astype(np.int32)[self.block], np.diff(start)
+        own = np.repeat(start[:-1], np.diff(np.append(at, len(n))))
+        self.cum, self.wide = np.zeros(len(self.count), self.kind), np.zeros(len(self.count), self.kind)
+        self.cum[self.order], self.wide[self.order] = self.sums - own, self.wides
+        self.total = (whole[self.block] << _WEIGHT_BITS).astype(np.uint64)
         part = (_WHOLE - 32) * self.seen[:, :, 1:] // self.seen[:, :, :1]
-        self.weight1, self.weight2 = part[:, :, 0].ravel(), part[:, :, 1].ravel()
-
-    @staticmethod
-    def slot(two: np.ndarray, one: np.ndarray) -> np.ndarray:
-        return ((two * 40503 + one * 30011) >> 3) & (_SLOTS - 1)
-
-    def guess(self, two: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(order-2 guess, order-1 guess, state, weights of both); an order without a guess has weight 0."""
-        g1 = self.after1[self.base1 + one]
-        g2 = self.after2[self.base2 + self.slot(two, one)]
-        state = np.where(g2 < 0, g1 >= 0, np.where(g1 == g2, 3, 2))
-        at = self.base4 + state
-        return g2, g1, state, self.weight1[at] * (g1 >= 0), self.weight2[at]
-
-    def find(self, lanes: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """The id in whose order-0 range each value of some lanes lies: first by groups, then by halving."""
-        id_ = ((np.searchsorted(self.coarse, value + self.key[lanes], "right") - 1) % self.groups) * GROUP
-        base = self.base0[lanes]
-        step = GROUP // 2
-        while step:
-            id_ += step * (self.flat[base + id_ + step] <= value)
-            step //= 2
-        return id_
-
-    def told(self, state: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> None:
-        event = np.where(hit2, 2, hit1)
-        some = np.bincount((self.base4 + state) * 3 + event, minlength=self.blocks * 12).reshape(-1, 4, 3)
-        self.seen[:, :, 0] += some.sum(2)
-        self.seen[:, :, 1:] += some[:, :, 1:]
-
-    def learn(self, done: np.ndarray, since: int) -> None:
-        """``done``: ids of all columns so far; the columns from ``since`` on are new. Later columns win."""
-        now = done[:, since:].T
-        pad = np.zeros((2, len(done)), np.int64)
-        before = np.concatenate((pad, done[:, :-1].T))
-        one, two = before[since + 1 :], before[since : -1]
-        self.after1[(self.base1 + one).ravel()] = now.ravel()
-        self.after2[(self.base2 + self.slot(two, one)).ravel()] = now.ravel()
-        np.add.at(self.counts.ravel(), (self.base1 + now).ravel(), np.int32(_GAIN))  # of their type: a tenth of the time
+        w1, w2 = np.zeros((self.blocks, 8), np.int64), np.zeros((self.blocks, 8), np.int64)
+        w1[:, [1, 3]], w2[:, [2, 3]] = part[:, 1:3, 0], part[:, [2, 2], 1]
+        w1[:, 7] = part[:, 3].sum(1)  # guesses that agree are one
+        self.weight0 = (_WHOLE - w1 - w2).astype(self.kind).ravel()
+        self.mass1, self.mass2 = ((whole[:, None] * w).astype(self.kind).ravel() for w in (w1, w2))
+
+    def index(self) -> None:
+        """For ``find``: the last slot that begins no later than each 256th value."""
+        self.first = np.cumsum(np.bincount((self.sums + 255) >> 8, minlength=int(self.sums[-1] + self.wides[-1] + self.ids >> 8) + 2)) - 1
+        self.reach = np.append(self.sums, np.full(2 << _NEAR_BITS[0], np.iinfo(np.int32).max, np.int32))
+
+    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(id, slot, begin, width) where each lane's order-0 value lies. Slots are wide, so few begin among 256 values."""
+        whole = value + self.start
+        j = self.first.take(whole >> 8)
+        for bit in _NEAR_BITS:
+            j += (self.reach.take(j + (1 << bit)) <= whole).view(np.uint8) << np.uint8(bit)
+        whole -= self.sums.take(j)
+        wide = self.wides.take(j)
+        known = whole < wide
+        past = np.maximum(whole - wide + 1, 0)  # ids after the slot's
+        past += (self.keys.take(j) - self.base).astype(self.kind)
+        return past, self.order.take(j) * known, value - whole * known, np.where(known, wide, 1)
+
+    def guess(self, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Column t's order-1 and order-2 guesses (slots), which there are (1, 2, and 4 if they agree), weight of order 0, masses."""
+        two, one = self.past[t], self.past[t + 1]
+        place = self.place[t]
+        # of bits that 32-bit products have, too
+        np.add(self.base2, (two * np.uint32(40503) + one * np.uint32(30011) >> np.uint32(3)) & np.uint32(_SLOTS - 1), out=place)
+        g1, g2 = self.after1.take(self.at[t]), self.after2.take(place).astype(np.int64)
+        some2 = g2 > 0
+        which = (g1 > 0).view(np.uint8) | some2.view(np.uint8) << np.uint8(1) | ((g1 == g2) & some2).view(np.uint8) << np.uint8(2)
+        at = self.base8 + which
+        return g1, g2, which, self.weight0.take(at), self.mass1.take(at), self.mass2.take(at)
+
+    def learn(self, since: int, t: int) -> None:
+        """From the columns ``since`` to t, of which an id of slot 0 is new. Later columns win."""
+        now = self.at[since + 1 : t + 1].ravel()
+        new = np.flatnonzero(now == 0)
+        if len(new):
+            keys = (self.base + self.past[since + 2 : t + 2]).ravel()[new]
+            fresh = np.sort(keys)
+            self._add(fresh[np.append(True, fresh[1:] != fresh[:-1])])
+            now[new] = self.slot[keys]
+        self.count += np.bincount(now, minlength=len(self.count))
+        for c in range(since, t):
+            self.after1[self.at[c]] = self.at[c + 1]
+            self.after2[self.place[c]] = self.at[c + 1]
+        hits = np.array([np.bincount(self.events[since:t, a:z].ravel(), minlength=32) for a, z in zip(self.edges[:-1], self.edges[1:], strict=True)]).reshape(-1, 4, 8)
+        every, right1, right2 = hits.sum(1), hits[:, 1], hits[:, 2] + hits[:, 3]
+        for which, state in ((0, 0), (1, 1), (2, 2), (3, 2)):
+            self.seen[:, state] += np.stack((every[:, which], right1[:, which], right2[:, which]), 1)
+        self.seen[:, 3, 0] += every[:, 7]
+        self.seen[:, 3, 2] += right1[:, 7] + right2[:, 7]
         self._sum()
 
 
@@ -131,12 +182,14 @@ def _lanes(n: int) -> int:
 
 
 def _emit(low: np.ndarray, span: np.ndarray, out: np.ndarray, used: np.ndarray) -> None:
-    """Settled upper halves of ``low`` leave; a carry that could still come is ruled out by a smaller span."""
+    """Settled upper halves of ``low`` leave to ``out``, at the places ``used``; a carry that could still come is ruled out by a smaller span."""
     idx = np.flatnonzero(span < _TOP)
     if len(idx):
-        lo, rg = low[idx], _shrunk(low[idx], span[idx])
-        out[idx, used[idx]] = (lo >> _32).astype(np.uint32)
-        used[idx] += 1
+        lo = low.take(idx)
+        rg = _shrunk(lo, span.take(idx))
+        at = used.take(idx)
+        out[at] = (lo >> _32).astype(np.uint32)
+        used[idx] = at + 1
         low[idx], span[idx] = lo << _32, rg << _32
 
 
@@ -161,34 +214,26 @@ def encode_blocks(parts: list[np.ndarray], alphabet: int) -> list[bytes]:
         ids[at : at + k].reshape(-1)[: len(p)] = p
         at += k
     n = len(ids)
-    model = Model(len(parts), block, alphabet)
+    model = Model(block, alphabet, np.ascontiguousarray(ids.T))
     low, span = np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
-    out, used = np.zeros((n, STEPS + 8), np.uint32), np.zeros(n, np.int64)
+    out, used = np.zeros((n, STEPS + 8), np.uint32), np.arange(n) * (STEPS + 8)
     learnt = 0
-    one = two = np.zeros(n, np.int64)
-    columns = np.ascontiguousarray(ids.T)
     for t in range(STEPS):
         if t in MARKS:
-            model.learn(ids[:, :t], learnt)
+            model.learn(learnt, t)
             learnt = t
-        now = columns[t]
-        g2, g1, state, w1, w2 = model.guess(two, one)
-        hit2, hit1 = g2 == now, g1 == now
-        spot = model.base0 + now
-        cum = model.flat[spot]
-        wide = model.flat[spot + 1] - cum
-        w0 = _WHOLE - w1 - w2
-        begin = (w0 * cum).astype(np.uint64) + model.total0 * (w1 * (g1 < now) + w2 * (g2 < now)).astype(np.uint64)
-        freq = (w0 * wide).astype(np.uint64) + model.total0 * (w1 * hit1 + w2 * hit2).astype(np.uint64)
+        now = model.at[t + 1]
+        g1, g2, which, w0, mass1, mass2 = model.guess(t)
+        hit1, hit2 = g1 == now, g2 == now
+        begin = w0 * model.cum.take(now) + mass1 * (g1 < now) + mass2 * (g2 < now)  # slots are in the order of ids here
+        freq = w0 * model.wide.take(now) + mass1 * hit1 + mass2 * hit2
         r = span // model.total
-        low += r * begin
-        span = r * freq
-        _emit(low, span, out, used)
-        model.told(state, hit1, hit2)
-        two, one = one, now
-    every = np.arange(n)
-    out[every, used] = ((low + _MASK) >> _32).astype(np.uint32)
-    used += 1
+        low += r * begin.astype(np.uint64)
+        span = r * freq.astype(np.uint64)
+        _emit(low, span, out.reshape(-1), used)
+        model.events[t] = which | hit1.view(np.uint8) << np.uint8(3) | hit2.view(np.uint8) << np.uint8(4)
+    out.reshape(-1)[used] = ((low + _MASK) >> _32).astype(np.uint32)
+    used += 1 - np.arange(n) * (STEPS + 8)
     blocks, at = [], 0
     live = np.arange(out.shape[1]) < used[:, None]
     for p, k in zip(parts, lanes, strict=True):
@@ -204,7 +249,7 @@ def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
     lanes = [_lanes(h[1]) for h in heads]
     n = sum(lanes)
     block = np.repeat(np.arange(len(blocks)), lanes)
-    words = np.zeros((n, STEPS + 10), np.uint64)
+    words = np.zeros((n, STEPS + 10), np.uint32)  # two and one a step are read at most
     at = 0
     for b, (magic, _, alphabet, size, crc, _), k in zip(blocks, heads, lanes, strict=True):
         code = b[HEAD_BYTES : HEAD_BYTES + size]
@@ -215,56 +260,45 @@ def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
         row = np.repeat(np.arange(k), sizes)
         words[at + row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
         at += k
-    model = Model(len(blocks), block, heads[0][2])
-    total0, last = model.total0.view(np.int64), model.total.view(np.int64) - 1
+    model = Model(block, heads[0][2])
+    model.index()
+    same_size = np.uint32 if model.kind is np.int32 else np.uint64
     low, span = np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
-    value, used = (words[:, 0] << _32) | words[:, 1], np.full(n, 2)
-    ids = np.zeros((n, STEPS), np.int64)
+    value, used = (words[:, 0].astype(np.uint64) << _32) | words[:, 1], np.arange(n) * (STEPS + 10) + 2
     learnt = 0
-    one = two = np.zeros(n, np.int64)
     for t in range(STEPS):
         if t in MARKS:
-            model.learn(ids[:, :t], learnt)
-            learnt, total0 = t, model.total0.view(np.int64)
-            last = model.total.view(np.int64) - 1
-        g2, g1, state, w1, w2 = model.guess(two, one)
-        w0 = _WHOLE - w1 - w2
+            model.learn(learnt, t)
+            model.index()
+            learnt = t
+        g1, g2, which, w0, mass1, mass2 = model.guess(t)
         r = span // model.total
-        v = ((value - low) // r).view(np.int64)
-        np.minimum(v, last, out=v)
-        # where each guess begins and ends; one that is missing has no mass and a negative width, so nothing lies in it
-        mass1, mass2 = total0 * w1, total0 * w2
-        spot1, spot2 = model.base0 + g1, model.base0 + g2
-        cum1, cum2 = model.flat[spot1], model.flat[spot2]
-        wide1, wide2 = w0 * (model.flat[spot1 + 1] - cum1) + mass1, w0 * (model.flat[spot2 + 1] - cum2) + mass2
-        begin1, begin2 = w0 * cum1 + mass2 * (g2 < g1), w0 * cum2 + mass1 * (g1 < g2)
-        same = g1 == g2
-        wide1 += mass2 * same
-        wide2 += mass1 * same
-        over1, over2 = v >= begin1, v >= begin2
-        hit1, hit2 = over1 & (v - begin1 < wide1), over2 & (v - begin2 < wide2)
-        now, begin, freq = np.where(hit2, g2, g1).astype(np.int64), np.where(hit2, begin2, begin1), np.where(hit2, wide2, wide1)
-        rest = np.flatnonzero(~(hit1 | hit2))
-        if len(rest):
-            before = (mass1 * over1 + mass2 * over2)[rest]
-            part = w0[rest]
-            # below 2^53, so the quotient of floats has the right whole part
-            found = now[rest] = model.find(rest, ((v[rest] - before) / part).astype(np.int64))
-            spot = model.base0[rest] + found
-            cum = model.flat[spot]
-            begin[rest] = part * cum + before
-            freq[rest] = part * (model.flat[spot + 1] - cum)
-        low += r * begin.view(np.uint64)
-        span = r * freq.view(np.uint64)
+        v = np.minimum((value - low) // r, model.total - np.uint64(1)).astype(model.kind)
+        # how far behind the begin of each guess; one that is missing has no mass and no width, so nothing lies in it
+        cum1, cum2 = model.cum.take(g1), model.cum.take(g2)
+        below = cum2 < cum1
+        far1, far2 = v - (w0 * cum1 + mass2 * below), v - (w0 * cum2 + mass1 * ~below)
+        wide1, wide2 = w0 * model.wide.take(g1) + mass1, w0 * model.wide.take(g2) + mass2
+        hit1 = far1.view(same_size) < wide1.view(same_size)
+        hit2 = (far2.view(same_size) < wide2.view(same_size)) & ~hit1
+        before = mass1 * (far1 >= wide1) + mass2 * (far2 >= wide2)
+        # below 2^53, so the quotient of floats has the right whole part
+        spot = ((v - before) / w0).astype(np.int32)
+        np.copyto(spot, cum1, where=hit1)
+        np.copyto(spot, cum2, where=hit2)
+        model.past[t + 2], model.at[t + 1], cum, wide = model.find(spot)
+        low += r * (w0 * cum + before).astype(np.uint64)
+        span = r * (w0 * wide + mass1 * hit1 + mass2 * hit2).astype(np.uint64)
         idx = np.flatnonzero(span < _TOP)
         if len(idx):
-            lo, rg = low[idx], _shrunk(low[idx], span[idx])
-            value[idx] = (value[idx] << _32) | words[idx, np.minimum(used[idx], STEPS + 9)]
-            used[idx] += 1
+            lo = low.take(idx)
+            rg = _shrunk(lo, span.take(idx))
+            at = used.take(idx)
+            value[idx] = (value.take(idx) << _32) | words.take(at)
+            used[idx] = at + 1
             low[idx], span[idx] = lo << _32, rg << _32
-        model.told(state, hit1, hit2)
-        ids[:, t] = now
-        two, one = one, now
+        model.events[t] = which | hit1.view(np.uint8) << np.uint8(3) | hit2.view(np.uint8) << np.uint8(4)
+    ids = model.past[2:].T
     out, at = [], 0
     for (_, size, _, _, _, crc), k in zip(heads, lanes, strict=True):
         got = ids[at : at + k].reshape(-1)[:size].astype("<u4")
@@ -278,7 +312,7 @@ def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
 def pack(ids: np.ndarray) -> bytes:
     """A stretch's blocks, one after the other."""
     parts, alphabet = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)], _alphabet(ids)
-    return b"".join(b for i in range(0, len(parts), 16) for b in encode_blocks(parts[i : i + 16], alphabet))
+    return b"".join(b for i in range(0, len(parts), _AT_ONCE) for b in encode_blocks(parts[i : i + _AT_ONCE], alphabet))
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -287,7 +321,7 @@ def unpack(data: bytes) -> np.ndarray:
         end = at + HEAD_BYTES + struct.unpack_from(HEAD, data, at)[3]
         blocks.append(data[at:end])
         at = end
-    got = [a for i in range(0, len(blocks), 16) for a in decode_blocks(blocks[i : i + 16])]
+    got = [a for i in range(0, len(blocks), _AT_ONCE) for a in decode_blocks(blocks[i : i + _AT_ONCE])]
     return np.concatenate(got) if got else np.zeros(0, "<u4")
 
 

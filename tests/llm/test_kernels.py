@@ -126,6 +126,31 @@ def test_range_coder_round_trip(n, high):
     assert (op6_token_files.unpack(op6_token_files.pack(ids)) == ids).all()
 
 
+def test_coded_bytes_stay_and_tables_hold_only_told_ids():
+    """Codes are those of the coder with tables over the whole alphabet; order-0 sums are the plain ones of counts."""
+    ids = np.concatenate((np.arange(3000) * 7919 % 50021, np.tile(np.arange(50), 2000), np.arange(20000) ** 2 % 997, [65535, 0, 0, 1]))
+    assert zlib.crc32(op6_token_files.pack(ids)) == 149863310
+    assert zlib.crc32(op6_token_files.pack(np.array([0, 70000, op6_token_files.MOST_IDS - 1, 5] * 50))) == 2212721627
+    r, size, lanes = np.random.default_rng(8), op6_token_files.LEAST_IDS, np.repeat(np.arange(3), 8)
+    told = np.stack([r.choice([0, 1, 2, 3, 500, size - 2, size - 1, *range(900, 960)], 24) for _ in range(op6_token_files.MARKS[3])])
+    model, counts = op6_token_files.Model(lanes, size), np.ones((3, size), np.int64)
+    for t, now in enumerate(told):
+        model.guess(t)
+        model.past[t + 2], model.at[t + 1] = now, model.slot[model.base + now]
+        np.add.at(counts, (lanes, now), op6_token_files._GAIN)
+    model.learn(0, len(told))
+    model.index()
+    assert len(model.cum) <= len(np.unique(lanes * size + told)) + 1 + 3  # none, and an id 0 of each block
+    for _ in range(40):
+        ends = counts.cumsum(1)[lanes]
+        value = (r.random(24) * ends[:, -1]).astype(np.int32)
+        edge = np.array([ends[k, r.choice(told[:, k])] for k in range(24)])
+        value = np.where(r.random(24) < 0.5, np.clip(edge - r.integers(0, 60, 24), 0, ends[:, -1] - 1), value).astype(np.int32)
+        want = np.array([np.searchsorted(e, v, "right") for e, v in zip(ends, value, strict=True)])
+        got, _, begin, wide = model.find(value)
+        assert (got == want).all() and (wide == counts[lanes, want]).all() and (begin == ends[np.arange(24), want] - wide).all()
+
+
 def test_range_coder_compresses_and_finds_damage():
     data = op6_token_files.pack(np.tile(np.arange(50), 2000))
     assert len(data) < 25_000
