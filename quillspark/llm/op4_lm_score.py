@@ -64,6 +64,8 @@ _FAN_IN = 64
 _BATCH_WINDOWS = 128
 #: Windows that are built at a time for training.
 _PART_WINDOWS = 20_000
+#: Rows of one batch of word counts.
+_ROWS = 500_000
 #: Words whose first id a worker remembers.
 _REMEMBERED = 2_000_000
 END_HASH = np.uint64(0xE2D0_E2D0_E2D0_E2D0)
@@ -89,6 +91,15 @@ class Reader:
             self._first = np.resize(self._first, max(self._seen.n, 2 * len(self._first)))
         self._first[entry] = first
 
+    @property
+    def full(self) -> bool:
+        """Whether the next texts begin with no entries but those known from the start."""
+        return self._seen.n > _REMEMBERED
+
+    def words(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, first ids) of some entries."""
+        return np.where(entry == 0, END_HASH, self._seen.hash(entry)), np.where(entry == 0, END, self._first[entry])
+
     def read(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(first row, hash of every token, its entry, its first id, tokens a text), some texts at a time.
 
@@ -96,7 +107,7 @@ class Reader:
         """
         raw, offsets = W.utf8(column)
         for i, j in W.chunks(offsets, 1 << 20):  # every chunk counts its ids over the whole vocabulary
-            if self._seen.n > _REMEMBERED:
+            if self.full:
                 self._clear()
             words = W.scan(W.LOWER[raw[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i], W.NOT_BLANK)
             hashes = words.hashes()
@@ -185,6 +196,7 @@ def _clusters(near: np.ndarray, mass: np.ndarray, k: int, rounds: int = 12) -> n
 START = INPUTS - 1
 _SHAPES = {"emb": (INPUTS, WIDTH), "pos": (LEN, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "o": (WIDTH, WIDTH), "out": (WIDTH, CLASSES), "bias": (CLASSES,)}
 _MASK = np.triu(np.full((LEN, LEN), -1e9, np.float32), 1)
+_SEEN = np.tril(np.ones((LEN, LEN), np.float32))
 
 
 def initial(share: np.ndarray | None = None, seed: int = 7) -> dict[str, np.ndarray]:
@@ -223,59 +235,87 @@ def _forward(p: dict, x_in: np.ndarray, pad: np.ndarray):
     return x, q, k, v, a, o, x + o @ p["o"]
 
 
+def _weights(q: np.ndarray, k: np.ndarray, pad: np.ndarray, told: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weights of all places, one row for each place from ``told`` on, not normed; their sums).
+
+    Exponents are held within 60, so none needs its row's greatest. A row without any place has weights of 0.
+    """
+    a = q @ k.transpose(0, 2, 1)
+    np.clip(a, -60, 60, out=a)
+    np.exp(a, out=a)
+    a *= _SEEN[told:]
+    if pad.any():
+        a *= (~pad).astype(a.dtype)[:, None, :]
+    return a, np.maximum(_row_sums(a), np.float32(1e-30))
+
+
+def _row_sums(m: np.ndarray) -> np.ndarray:
+    """As a column; by BLAS, as numpy's own sums of short rows take several times as long."""
+    return m.reshape(-1, m.shape[-1]) @ np.ones((m.shape[-1], 1), m.dtype)
+
+
+def _logits(p: dict, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(exponents of the classes, within 60; the states with a place of 1 for the bias)."""
+    h = np.concatenate((h, np.ones((len(h), 1), h.dtype)), 1)
+    z = h @ np.concatenate((p["out"], p["bias"][None]))
+    return np.clip(z, -60, 60, out=z), h
+
+
 def _states(p: dict, x_in: np.ndarray, pad: np.ndarray) -> np.ndarray:
     """What ``_forward`` gives for the places that are scored; the others are context only."""
-    x = p["emb"][x_in] + p["pos"]
-    q, k, v = x[:, CONTEXT:] @ p["q"], x @ p["k"], x @ p["v"]
-    s = q @ k.transpose(0, 2, 1)
-    s *= np.float32(WIDTH**-0.5)
-    s += _MASK[CONTEXT:]
-    if pad.any():
-        s += (pad * np.float32(-1e4))[:, None, :]
-    a = np.exp(np.minimum(s, np.float32(60), out=s), out=s)
-    o = a @ v
-    o /= a.sum(2, keepdims=True)
-    return x[:, CONTEXT:] + o @ p["o"]
+    x = p["emb"].take(x_in, 0)
+    x += p["pos"]
+    own = x[:, CONTEXT:].reshape(-1, WIDTH)
+    q = (own @ (p["q"] * np.float32(WIDTH**-0.5))).reshape(len(x), -1, WIDTH)
+    kv = (x.reshape(-1, WIDTH) @ np.concatenate((p["k"], p["v"]), 1)).reshape(len(x), -1, 2 * WIDTH)
+    a, whole = _weights(q, kv[..., :WIDTH], pad, CONTEXT)
+    o = (a @ kv[..., WIDTH:]).reshape(-1, WIDTH)
+    o /= whole
+    return own + o @ p["o"]
 
 
 def gradient(p: dict, x_in: np.ndarray, target: np.ndarray, pad: np.ndarray, told: int = 0) -> dict[str, np.ndarray]:
     """Of the mean loss at the places from ``told`` on; those before are context only, so they ask nothing."""
-    x = p["emb"][x_in] + p["pos"]
+    x = p["emb"].take(x_in, 0)
+    x += p["pos"]
     b, n = x.shape[0], x.shape[1] - told
     two = lambda m: m.reshape(-1, m.shape[-1])
     every, own = two(x), two(x[:, told:])
-    q, k, v = (own @ p["q"]).reshape(b, n, WIDTH), (every @ p["k"]).reshape(x.shape), (every @ p["v"]).reshape(x.shape)
-    a = q @ k.transpose(0, 2, 1)
-    a *= np.float32(WIDTH**-0.5)
-    a += _MASK[told:]
-    if pad.any():
-        a += (pad * np.float32(-1e4))[:, None, :]
-    a -= a.max(2, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(2, keepdims=True)
+    scale = np.float32(WIDTH**-0.5)
+    ask, side = p["q"] * scale, np.concatenate((p["k"], p["v"]), 1)
+    q, kv = (own @ ask).reshape(b, n, WIDTH), (every @ side).reshape(b, -1, 2 * WIDTH)
+    k, v = kv[..., :WIDTH], kv[..., WIDTH:]
+    a, whole = _weights(q, k, pad, told)
     o = two(a @ v)
-    h = own + o @ p["o"]
-    d = h @ p["out"]
-    d += p["bias"]
-    d -= d.max(1, keepdims=True)
+    o /= whole
+    d, h = _logits(p, own + o @ p["o"])
     np.exp(d, out=d)
     live = (~pad[:, told:]).astype(np.float32).ravel()
     live /= max(1.0, float(live.sum()))
-    d *= (live / d.sum(1))[:, None]
+    d *= live[:, None] / _row_sums(d)
     d[np.arange(len(d)), target[:, told:].ravel()] -= live
+    last = h.T @ d  # of ``out``, and of the bias
     dh = d @ p["out"].T
-    do = (dh @ p["o"].T).reshape(q.shape)
-    ds = do @ v.transpose(0, 2, 1)
-    dv = two(a.transpose(0, 2, 1) @ do)
-    ds -= (ds * a).sum(2, keepdims=True)
+    do = dh @ p["o"].T
+    d_o = o.T @ dh
+    do /= whole
+    ds = do.reshape(q.shape) @ v.transpose(0, 2, 1)
+    ds -= np.einsum("ij,ij->i", do, o).reshape(b, n, 1)
     ds *= a
-    ds *= np.float32(WIDTH**-0.5)
-    dq, dk = two(ds @ k), two(ds.transpose(0, 2, 1) @ q)
-    dx = (dk @ p["k"].T + dv @ p["v"].T).reshape(x.shape)
-    dx[:, told:] += (dh + dq @ p["q"].T).reshape(q.shape)
-    cell = (x_in.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
-    emb = np.bincount(cell, dx.ravel(), minlength=INPUTS * WIDTH).reshape(INPUTS, WIDTH).astype(dx.dtype)
-    return {"emb": emb, "pos": dx.sum(0), "q": own.T @ dq, "k": every.T @ dk, "v": every.T @ dv, "o": o.T @ dh, "out": h.T @ d, "bias": d.sum(0)}
+    dkv = np.empty_like(kv)
+    np.matmul(ds.transpose(0, 2, 1), q, out=dkv[..., :WIDTH])
+    np.matmul(a.transpose(0, 2, 1), do.reshape(q.shape), out=dkv[..., WIDTH:])
+    dq, dkv = two(ds @ k), two(dkv)
+    dx = (dkv @ side.T).reshape(x.shape)
+    dh += dq @ ask.T
+    dx[:, told:] += dh.reshape(q.shape)
+    order = np.argsort(x_in, axis=None)
+    cell = x_in.ravel()[order]
+    first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    emb = np.zeros((INPUTS, WIDTH), dx.dtype)
+    emb[cell[first]] = np.add.reduceat(two(dx)[order], first)
+    side = every.T @ dkv
+    return {"emb": emb, "pos": dx.sum(0), "q": own.T @ dq * scale, "k": side[:, :WIDTH], "v": side[:, WIDTH:], "o": d_o, "out": last[:-1], "bias": last[-1]}
 
 
 class Adam:
@@ -305,10 +345,10 @@ class Adam:
             g *= 0.01
             m2 += g
             np.sqrt(m2, out=g)
-            g /= np.sqrt(1 - 0.99**self._n)
-            g += 1e-6
+            part = float(np.sqrt(1 - 0.99**self._n))  # a numpy scalar would take ``g`` through 64 bits
+            g += 1e-6 * part
             np.divide(m1, g, out=g)
-            g *= self._rate / (1 - 0.9**self._n)
+            g *= self._rate * part / (1 - 0.9**self._n)
             self._all -= g
 
 
@@ -330,12 +370,10 @@ def id_scores(p: dict[str, np.ndarray], table: Table, ids: np.ndarray, sizes: np
         at = (first[t][:, None] + place[:, CONTEXT:]).ravel()
         live = np.flatnonzero((place[:, CONTEXT:] < sizes[t][:, None]).ravel())
         at = at[live]
-        z = (h if len(live) == len(h) else h[live]) @ p["out"]
-        z += p["bias"]
-        np.clip(z, -60, 60, out=z)
+        z, _ = _logits(p, h if len(live) == len(h) else h[live])
         told = ids[at]
         hit = z[np.arange(len(at)), table.cls[told]]
-        out[at] = hit - np.log(np.exp(z, out=z).sum(1)) - table.log_mass[table.cls[told]]
+        out[at] = hit - np.log(_row_sums(np.exp(z, out=z))[:, 0]) - table.log_mass[table.cls[told]]
     return out
 
 
@@ -345,30 +383,34 @@ def _gather(own: DataFrame, path: str | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(path)
         names = ["kind", "key", "n", "first", "ids"]
-        held, size, seen = [], 0, np.zeros(VOCABULARY, np.int64)
+        met, seen = np.zeros(1 << 16, np.int64), np.zeros(VOCABULARY, np.int64)
 
         def rows(kind, key, n, first=None, ids=None):
             none = lambda x, t: pa.array(x, t) if x is not None else pa.nulls(len(key), t)
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key, pa.int64()), none(n, pa.int64()), none(first, pa.int32()), none(ids, pa.binary())], names=names)
 
         def told():
-            value, at, count = np.unique(np.concatenate([h for h, _ in held]), return_index=True, return_counts=True)
-            return rows(0, value.view(np.int64), count, np.concatenate([f for _, f in held])[at])
+            at = np.flatnonzero(met)
+            for i in range(0, len(at), _ROWS):
+                part = at[i : i + _ROWS]
+                hashes, first = reader.words(part)
+                yield rows(0, hashes.view(np.int64), met[part], first)
 
         for b in batches:
             draw = b.column("draw").to_numpy()
-            for i, hashes, _, ids, counts in reader.read(b.column("text")):
-                held.append((hashes, ids))
-                size += len(hashes)
+            for i, _, entry, ids, counts in reader.read(b.column("text")):
+                some = np.bincount(entry)
+                if len(some) > len(met):
+                    met = np.concatenate((met, np.zeros(max(len(some), len(met)), np.int64)))
+                met[: len(some)] += some
                 seen += np.bincount(ids, minlength=VOCABULARY)
                 ends = np.cumsum(counts)
                 short = ids.astype("<u2")
                 yield rows(2, draw[i : i + len(counts)], counts, None, [short[z - n : z].tobytes() for n, z in zip(counts.tolist(), ends.tolist(), strict=True)])
-                if size > 3_000_000:
-                    yield told()
-                    held, size = [], 0
-        if size:
-            yield told()
+                if reader.full:  # before its entries are given to other words
+                    yield from told()
+                    met[:] = 0
+        yield from told()
         at = np.flatnonzero(seen)
         yield rows(1, at, seen[at])
 

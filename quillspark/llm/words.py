@@ -211,6 +211,9 @@ class Seen:
         found[rest] = other
         return found
 
+    def hash(self, entry: np.ndarray) -> np.ndarray:
+        return self._key[entry]
+
     def add(self, hashes: np.ndarray) -> np.ndarray:
         """New entries in order; a hash that loses its slots is not known any more."""
         n = self.n + len(hashes)

@@ -304,6 +304,38 @@ def test_gradient_of_told_places_takes_no_whole_pass(monkeypatch):
         assert np.isclose((loss(up) - loss(down)) / 2e-4, g[key][at], rtol=2e-2, atol=1e-5), key
 
 
+def test_gradient_adds_only_rows_that_occur(monkeypatch):
+    """Inputs that repeat add up, without a pass over all cells of the table; places outside and large exponents stay finite."""
+    rng, told = np.random.default_rng(2), op4_lm_score.CONTEXT
+    p = {k: v.astype(np.float64) for k, v in op4_lm_score.initial().items()}
+    x, t = rng.integers(0, 9, (4, op4_lm_score.LEN)), rng.integers(0, op4_lm_score.CLASSES, (4, op4_lm_score.LEN))
+    pad = np.zeros(x.shape, bool)
+    pad[0, :told], pad[1, -9:] = True, True
+    apart = [op4_lm_score.gradient(p, x[i : i + 1], t[i : i + 1], pad[i : i + 1], told) for i in range(4)]
+    share = (~pad[:, told:]).sum(1) / (~pad[:, told:]).sum()
+    monkeypatch.setattr(np, "bincount", None)
+    whole = op4_lm_score.gradient(p, x, t, pad, told)
+    for k in p:
+        assert np.allclose(whole[k], sum(g[k] * w for g, w in zip(apart, share, strict=True)), rtol=1e-4, atol=1e-9), k
+    assert not whole["emb"][9:].any() and whole["emb"][:9].all()
+    steep = {k: v.astype(np.float32) * (300 if k in ("q", "k", "out") else 1) for k, v in p.items()}
+    assert all(np.isfinite(g).all() for g in op4_lm_score.gradient(steep, x, t, pad).values())
+
+
+def test_reader_tells_words_by_entry():
+    texts = pa.array(["Red green red", "", None, "blue 12 blue red " + " ".join(f"w{i}" for i in range(3000))])
+    reader, counts = op4_lm_score.Reader(), Counter()
+    for _, hashes, entry, ids, _ in reader.read(texts):
+        met = np.bincount(entry)
+        at = np.flatnonzero(met)
+        told, first = reader.words(at)
+        counts.update(dict(zip(told.tolist(), met[at].tolist(), strict=True)))
+        assert (told[np.searchsorted(at, entry)] == hashes).all() and (first[np.searchsorted(at, entry)] == ids).all()
+    raw = np.frombuffer(b"red", np.uint8)
+    assert counts[int(W.scan(raw, np.array([0, 3]), W.NOT_BLANK).hashes()[0])] == 3 and counts[int(op4_lm_score.END_HASH)] == 4
+    assert len(counts) == 3000 + 5 and not reader.full
+
+
 def test_windows_score_each_id_as_one_pass_does():
     p = op4_lm_score.initial()
     near = np.zeros((op4_lm_score.VOCABULARY, op4_lm_score.OWN))
