@@ -64,6 +64,8 @@ _FAN_IN = 64
 _BATCH_WINDOWS = 128
 #: Windows that are built at a time for training.
 _PART_WINDOWS = 20_000
+#: Places whose neighbours are counted at a time, so that arrays stay in a core's cache.
+_PLACES = 1 << 14
 #: Rows of one batch of word counts.
 _ROWS = 500_000
 #: Words whose first id a worker remembers.
@@ -478,23 +480,37 @@ def _fit(found: DataFrame, table: Table, rounds: tuple[float, ...]) -> dict[str,
     return params
 
 
+def add_near(total: np.ndarray, texts: list[bytes], own: np.ndarray) -> None:
+    """Adds to cells (id, common id) how often the two stand within NEAR places; ``own``: places of common ids, else -1."""
+    raw, offsets = b"".join(texts), np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))))
+    for i, j in W.chunks(offsets, 1 << 20):
+        sizes = np.diff(offsets[i : j + 1]) // 2
+        # NEAR places of no text on both sides
+        ids, text = np.zeros(int(sizes.sum()) + 2 * NEAR, np.int64), np.full(int(sizes.sum()) + 2 * NEAR, -1, np.int32)
+        ids[NEAR:-NEAR] = np.frombuffer(raw, "<u2", int(sizes.sum()), int(offsets[i]))
+        text[NEAR:-NEAR] = np.repeat(np.arange(j - i, dtype=np.int32), sizes)
+        common = own.take(ids)
+        common[:NEAR] = common[-NEAR:] = -1
+        every = np.flatnonzero(common >= 0)
+        ids *= OWN
+        for k in range(0, len(every), _PLACES):
+            at = every[k : k + _PLACES]
+            column, mine = common.take(at), text.take(at)
+            for step in (*range(-NEAR, 0), *range(1, NEAR + 1)):
+                there = at + step
+                cells = ids.take(there)
+                cells += column
+                np.add.at(total, cells[text.take(there) == mine], 1)
+
+
 def _near(found: DataFrame, rank: np.ndarray) -> np.ndarray:
     """How often each id stands within NEAR places of each of the OWN commonest, in all training texts."""
-    shipped = found.sparkSession.sparkContext.broadcast(rank)
+    shipped = found.sparkSession.sparkContext.broadcast(np.where(rank < OWN, rank, -1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(VOCABULARY * OWN, np.int64)
         for b in batches:
-            for w in windows(b.column("ids").to_pylist()):
-                told = w[:, CONTEXT + 1 :]
-                cells = []
-                for k in range(1, NEAR + 1):  # each id with those before it, which its window has too
-                    before = w[:, CONTEXT + 1 - k : LEN + 1 - k]
-                    for x, y in ((told, before), (before, told)):
-                        r = shipped.value[np.maximum(y, 0)]
-                        ok = (x >= 0) & (y >= 0) & (r < OWN)
-                        cells.append(x[ok] * OWN + r[ok])
-                total += np.bincount(np.concatenate(cells), minlength=len(total))
+            add_near(total, b.column("ids").to_pylist(), shipped.value)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["cell", "n"])
 

@@ -322,6 +322,23 @@ def test_gradient_adds_only_rows_that_occur(monkeypatch):
     assert all(np.isfinite(g).all() for g in op4_lm_score.gradient(steep, x, t, pad).values())
 
 
+def test_neighbours_stay_in_their_text(monkeypatch):
+    monkeypatch.setattr(op4_lm_score, "_PLACES", 50)  # many parts
+    r, own, near = np.random.default_rng(6), np.full(op4_lm_score.VOCABULARY, -1), op4_lm_score.NEAR
+    own[[3, 5, op4_lm_score.END]] = 0, 1, op4_lm_score.OWN - 1
+    texts = [r.choice([0, 3, 5, 9, op4_lm_score.END], n).astype("<u2") for n in (1, 0, 2, 40, 700, 6, 7)]
+    want = np.zeros((op4_lm_score.VOCABULARY, op4_lm_score.OWN), np.int64)
+    for x in texts:
+        for i in range(len(x)):
+            for j in range(max(0, i - near), min(len(x), i + near + 1)):
+                if i != j and own[x[j]] >= 0:
+                    want[x[i], own[x[j]]] += 1
+    total = np.zeros(want.size, np.int64)
+    op4_lm_score.add_near(total, [x.tobytes() for x in texts], own)
+    op4_lm_score.add_near(total, [], own)
+    assert (total == want.ravel()).all() and want.sum() > 1000
+
+
 def test_reader_tells_words_by_entry():
     texts = pa.array(["Red green red", "", None, "blue 12 blue red " + " ".join(f"w{i}" for i in range(3000))])
     reader, counts = op4_lm_score.Reader(), Counter()
